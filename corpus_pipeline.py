@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from rostrum.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
+from rostrum.llm.shared import written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranking learned from `labels` scores at the threshold or above; an empty text is scored like
+    any other. All labelled rows may be learned from here."""
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (null counts as empty), the one with the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten-word window of a benchmark item occurs."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens, their ids, and the digest of the text decoded from them."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=("ids", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("decontaminate", benchmark_free),
+    ("tokens", tokens),
+]
+
+#: The quality model, the similarity join and the tokenizer have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of `sf_dir`, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import bpe, chat, decontaminate, exact_dedup, langid, quality, secrets, sharding
+from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, quality, secrets, sharding
 from rostrum.llm.shared import held_out
 
 SHARDS = 16
@@ -46,6 +46,11 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard_join.near_groups(_table(spark, folder, "documents"), words=4, least=(85, 100))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(_table(spark, folder, "conversations"))
 
@@ -59,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op7_chat_format, op9_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op9_decontamination, op10_exact_dedup)}
 
 
 _OP7 = """
