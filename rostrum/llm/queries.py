@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, quality, secrets, sharding
+from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, quality, secrets, sharding
 from rostrum.llm.shared import held_out
 
 SHARDS = 16
@@ -55,6 +55,12 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(_table(spark, folder, "conversations"))
 
 
+def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    named, model = lm_score.train(docs)
+    return lm_score.score(docs, named, model)
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -64,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op9_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup)}
 
 
 _OP7 = """
