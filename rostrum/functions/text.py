@@ -245,7 +245,7 @@ def short_address(c: Column, departments: str = "(?i)^(?:dept|department|school|
 
 def heuristic_short(c: Column, mapped: Column, keywords: str = "(?i)univ|instit|college|lab") -> Column:
     """The mapped label, else the first comma part with a keyword, else the first part."""
-    parts = F.transform(F.split(c, ","), F.trim)
+    parts = F.transform(F.split(c, ","), lambda p: F.trim(p))
     return F.coalesce(mapped, F.try_element_at(F.filter(parts, lambda p: p.rlike(keywords)), F.lit(1)), F.element_at(parts, 1))
 
 
