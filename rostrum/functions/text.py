@@ -36,6 +36,12 @@ def unmarked(c: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(c), "[̀-ͯ]", ""), _MARKED, _PLAIN)
 
 
+def unmarked_cased(c: Column) -> Column:
+    """Without diacritics, the case kept."""
+    pairs = [(m.upper(), p.upper()) for m, p in zip(_MARKED, _PLAIN) if len(m.upper()) == 1]
+    return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), _MARKED + "".join(m for m, _ in pairs), _PLAIN + "".join(p for _, p in pairs))
+
+
 def fold(c: Column) -> Column:
     """The form in which texts are searched: lower case, no diacritics, plain Latin letters. Null stays null."""
     out = unmarked(c)

@@ -13,7 +13,7 @@ from rostrum.functions import text as T
 def pool(df: DataFrame, *columns: str, separator: str = ";") -> DataFrame:
     """(value): distinct trimmed non-blank values of the columns, lists split at the separator."""
     each = F.explode(F.flatten(F.array(*[F.split(F.coalesce(F.col(c), F.lit("")), separator) for c in columns])))
-    return df.select(F.trim(each).alias("value")).where("value != ''").distinct()
+    return df.select(each.alias("value")).select(F.trim("value").alias("value")).where("value != ''").distinct()
 
 
 def learn_casing(tokens: DataFrame, token: str) -> DataFrame:
@@ -28,7 +28,7 @@ def learn_casing(tokens: DataFrame, token: str) -> DataFrame:
 def consolidate(labels: DataFrame, label: str, curated: Column) -> DataFrame:
     """(label, winner): labels that are equal without diacritics (case kept) share a winner: curated first, then the
     larger count, a form with diacritics, the longer, the greater text."""
-    plain = F.translate(F.translate(F.col(label), *_both(T._MARKED)), *_both(T._PLAIN, upper=True))
+    plain = T.unmarked_cased(F.col(label))
     counts = labels.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.max(curated.cast("int")).alias("curated"))
     keyed = counts.withColumn("key", plain)
     order = F.struct("curated", "n", (F.col(label) != F.col("key")).cast("int"), F.length(label), F.col(label))
@@ -36,10 +36,6 @@ def consolidate(labels: DataFrame, label: str, curated: Column) -> DataFrame:
     return keyed.join(winners, "key").select(label, "winner")
 
 
-def _both(marked: str, upper: bool = False) -> tuple[str, str]:
-    return (marked, T._PLAIN) if not upper else (T._MARKED.upper() if len(T._MARKED.upper()) == len(T._MARKED) else T._MARKED, T._PLAIN.upper())
-
-
 def facets(df: DataFrame, token: str, registry: DataFrame, default: str = "neutral") -> DataFrame:
     """(id, label, n) for the registered types that occur, in the registry's order (`ord`)."""
     counts = df.groupBy(F.coalesce(token, F.lit(default)).alias("id")).agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    from rostrum.sources.tables import table
-
-    return table(spark, folder, "documents").groupBy("lang").count()
+    """The flagship query over `folder`."""
+    return _QUERIES["flagship_label_resolution"](spark, folder)
