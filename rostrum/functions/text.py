@@ -91,7 +91,7 @@ def tidy_location(c: Column) -> Column:
     """Blanks squeezed, doubled parentheses single, a stray closing one dropped from the end."""
     out = F.regexp_replace(F.regexp_replace(squeezed(c), r"\(\(+", "("), r"\)\)+", ")")
     stray = F.length(F.replace(out, F.lit("("), F.lit(""))) > F.length(F.replace(out, F.lit(")"), F.lit("")))
-    return F.when(stray, F.regexp_replace(out, r"\)$", "")).otherwise(out)
+    return F.rtrim(F.when(stray, F.regexp_replace(out, r"\)$", "")).otherwise(out))
 
 
 def compact_location(c: Column, places: Mapping[str, str]) -> Column:
@@ -195,6 +195,15 @@ def without_known(aliases: Column, names: Column) -> Column:
     return F.filter(aliases, lambda a, i: ~F.array_contains(known, key(a)) & (F.array_position(keys, key(a)) == i + 1))
 
 
+def names_then_institutions(c: Column, keywords: str = "(?i)univ|instit|college|lab") -> Column:
+    """Struct (names, institutions) of `name, name, inst, inst (Country)`: institutions begin at the first part with a
+    keyword or a parenthesis; without one all parts are names."""
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
+    at = F.array_position(F.transform(parts, lambda p: p.rlike(keywords) | F.contains(p, F.lit("("))), True)
+    n = F.when(at > 0, at - 1).otherwise(F.size(parts)).cast("int")
+    return F.struct(F.slice(parts, 1, n).alias("names"), F.slice(parts, n + 1, F.size(parts)).alias("institutions"))
+
+
 def first_timestamp(c: Column, formats: Sequence[str]) -> Column:
     """The first format that fits; null where none does."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from rostrum.operators import matching, search, state
 from rostrum.plans.join_queries import rule_tables
 from rostrum.plans.registry import query
 from rostrum.sources import program
+from rostrum.session import shared_folder
 from rostrum.sources.tables import table
+from rostrum.streaming import state as streaming
 
 
 @query("s3_read_pages", "SELECT page_id, length(html) AS n_chars, sha256(html) AS digest FROM pages")
@@ -191,6 +195,19 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return state.last_write(log_of(table(spark, d, "events")), ["user_id", "id"])
 
 
+@query("t1_stream", f"SELECT user_id, id, op, ts FROM {_WIN}")
+def t1_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge as a stream over the events: changed ids are appended by batch, the last batch of an id counts."""
+    path = f"{d}/events.parquet"
+    out = f"{shared_folder(spark)}/t1-{uuid.uuid4().hex}"
+    # a glob, so that the table may be one file or a folder of files
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.removesuffix("t") + "[t]")
+    changed = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/state/batch={batch}")
+    streaming.merge_stream(log_of(events), ["user_id", "id"], f"{out}/log", changed).awaitTermination()
+    rows = spark.read.parquet(f"{out}/state")
+    return rows.groupBy("user_id", "id").agg(F.max_by(F.struct("op", "ts"), "batch").alias("x")).select("user_id", "id", "x.op", "x.ts")
+
+
 @query("t2_legacy_adds", f"SELECT user_id, id, op, ts FROM {_WIN} WHERE id % 10 > 0 UNION ALL SELECT DISTINCT user_id, id, 'add', 0 FROM {_LOG} WHERE id % 10 = 0")
 def t2(spark: SparkSession, d: str) -> DataFrame:
     log = log_of(table(spark, d, "events"))

@@ -172,6 +172,13 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.array_join(T.without_known(aliases, F.array(F.lit("O "))), "/").alias("aliases"))
 
 
+@query("f18_group_layout", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Ann/' || s_name ELSE 'Bo' END AS names, CASE WHEN s_suppkey % 2 = 0 THEN 'X University/Lab (Land)' ELSE s_name || ' (Land)' END AS institutions FROM supplier")
+def f18(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Ann, "), "s_name", F.lit(", X University, Lab (Land)"))).otherwise(F.concat(F.lit("Bo, "), "s_name", F.lit(" (Land)")))
+    x = table(spark, d, "supplier").select("s_suppkey", T.names_then_institutions(raw).alias("x"))
+    return x.select("s_suppkey", F.array_join("x.names", "/").alias("names"), F.array_join("x.institutions", "/").alias("institutions"))
+
+
 @query(
     "f19_parse_times",
     "SELECT o_orderkey, o_orderdate AS at, CASE WHEN o_orderkey % 2 = 0 THEN 545 + 720 ELSE 9 END AS minutes FROM orders",

@@ -1,7 +1,9 @@
-"""Session settings shared by tests, the benchmark and interactive use."""
+"""Session settings shared by tests, the benchmark and interactive use, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,15 @@ def local_session(cores: str | int = "*", partitions: int = 8, name: str = "rost
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; on a local master without that setting, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
