@@ -2,7 +2,7 @@
 
 Logs often hold a conversation again and again, each time with the turns so far. Every prefix of a conversation gets
 a rolling hash: each turn's digest covers its position, role and text, and the digests of the turns so far are summed
-up in two independent 64-bit lanes. A conversation whose last hash is the hash of a shorter prefix of another one is a
+up in two independent 60-bit lanes. A conversation whose last hash is the hash of a shorter prefix of another one is a
 snapshot; an anti-join drops it. Equal conversations keep the smallest id. What remains is rendered.
 """
 

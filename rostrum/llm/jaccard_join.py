@@ -1,7 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the groups that its links form.
 
-A document is its set of distinct word shingles. All sets are read in one global order (light shingles by hash, then
-those that many documents hold by their count), so two sets that overlap enough must share shingles near their
+A document is its set of distinct word shingles. All sets are read in one global order (single shingles by hash, then
+those that recur by their count), so two sets that overlap enough must share shingles near their
 beginnings: with n shingles and a least overlap o, the first n - o + l hold at least l shared ones. Every document
 chooses its own l: the counts of its first shingles give the work of scanning them and, divided by l, a bound on the
 documents that share l of them; the cheapest l wins. A pair must share as many as the smaller l of the two.
@@ -16,7 +16,7 @@ and small-star steps (Kiveris et al., 2014).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,27 +28,97 @@ from rostrum.llm.shared import BROADCAST_ROWS, clear_name, sized, written
 
 #: Words of a shingle; the least similarity as a fraction; the largest l; cost of a verification in scanned entries.
 WORDS, LEAST, MOST_MATCHES, VERIFY = 5, (80, 100), 4, 16
-#: Most shingles whose counts are kept by name (16 bytes each, broadcast), and the least count of such a one.
-HEAVY, HEAVY_COUNT = 1 << 20, 8
+#: Most shingles whose counts are kept by name: the most frequent ones (16 bytes each, broadcast).
+HEAVY = 1 << 20
+
+#: Bytes of text hashed together, rows that a task returns at once.
+CHUNK, ROWS = 1 << 20, 1024
+#: Rows up to which a column of numbers is broadcast (about 64 MB as a hash table).
+BROADCAST_TOKENS = 2_000_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASE = 0x5851F42D4C957F2D  # odd
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _byte_numbers() -> np.ndarray:
+    """A number for each byte, capital letters as small ones."""
+    numbers = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    numbers[65:91] = numbers[97:123]
+    return numbers
+
+
+_BYTE = _byte_numbers()
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its word shingles: A-Z lower-cased, words between ASCII white
+    space; fewer words than `words` are one shingle, no words are none.
+
+    Texts are hashed together up to CHUNK bytes. A word's hash is a sum of random numbers for its bytes times powers
+    of an odd base, taken from running sums; with its length it is mixed, and the words of a shingle are mixed in
+    turn."""
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1]) + 1
+        if size >= CHUNK:
+            yield from _together(held, words)
+            held, size = [], 0
+    if held:
+        yield from _together(held, words)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * _MIX[0]
+    h ^= h >> np.uint64(31)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _together(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = ~_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    start, end = edge[::2], edge[1::2]
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cuts = np.searchsorted(start, bounds)
+    if len(start):
+        power, inverse = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+        own = _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for a, b in zip(cuts, cuts[1:]):
+        n = b - a
+        if not n:
+            yield np.zeros(0, np.int64)
+            continue
+        k = min(words, n)
+        m = n - k + 1
+        h = np.full(m, np.uint64(k))
+        for j in range(k):
+            h = _mixed(h ^ own[a + j : a + j + m])
+        yield np.unique(h.view(np.int64))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles: A-Z lower-cased, words between ASCII white space; fewer words than
-    `words` are one shingle, no words are none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.int64)
-    own = np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64)
-    k = min(words, len(own))
-    m = len(own) - k + 1
-    h = np.full(m, np.uint64(k))
-    for j in range(k):
-        h = (h ^ own[j : j + m]) * _MIX[0]
-        h ^= h >> np.uint64(31)
-        h *= _MIX[1]
-    return np.unique(h.view(np.int64))
+    return next(shingle_sets([text], words))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64; the longest tables asked for are kept."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, np.uint64(base))
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS[0], _POWERS[1]
+
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _least_overlap(n: int, least: tuple[int, int]) -> int:
@@ -65,14 +135,20 @@ def choose_prefix(ordered_counts: np.ndarray, n: int, least: tuple[int, int], mo
     return k, n - need + k
 
 
+def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at : at + ROWS]
+
+
 def _nodes(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """(id, mark, n, node, first): size and fingerprint of each row's set (null where it is empty), and the beginning
     of the set in the order of hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, words) for t in batch["text"]]
-            node = pd.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], dtype="Int64")
+        for batch in _small(batches):
+            sets = list(shingle_sets(batch["text"], words))
+            node = pd.array([_node(s) if len(s) else None for s in sets], dtype="Int64")
             first = [s[: len(s) - _least_overlap(len(s), least) + 1] if len(s) else s for s in sets]
             yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "n": [len(s) for s in sets], "node": node, "first": first})
 
@@ -86,25 +162,36 @@ def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, counts = held.value
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
-            for text in batch["text"]:
-                s = shingles(text, words)
+            for s in shingle_sets(batch["text"], words):
                 if not len(s):
                     continue
-                node = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
                 c = np.ones(len(s), np.int64)
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     c = np.where(names[at] == s, counts[at], 1)
                 order = np.lexsort((s, c))
                 k, length = choose_prefix(c[order], len(s), least)
-                rows.append((node, len(s), k, s[order[:length]]))
+                rows.append((_node(s), len(s), k, s[order[:length]]))
             yield pd.DataFrame(rows, columns=["node", "n", "l", "tokens"])
 
     return docs.select("text").mapInPandas(run, "node long, n int, l int, tokens array<long>")
 
 
+def _threshold(counts: DataFrame) -> int:
+    """The least count, 2 or more, that at most HEAVY shingles reach."""
+    bands = F.floor(F.log2("count") * 4).alias("band")
+    rows = counts.groupBy(bands).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).collect()  # a few hundred bands at most
+    often, n = None, 0
+    for r in sorted(rows, key=lambda r: -r.band):
+        n += r.n
+        if n > HEAVY:
+            break
+        often = r.least
+    return often or (max(r.least for r in rows) + 1 if rows else 2)
+
+
 def _may_link(a: str, b: str, least: tuple[int, int], matches: Column) -> Column:
     """Bounds for two entries of one shingle (structs with n and pos) of sets that share `matches` of their prefix."""
     num, den = least
@@ -117,22 +204,24 @@ def _may_link(a: str, b: str, least: tuple[int, int], matches: Column) -> Column
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (a < b) whose whole sets are similar enough; only texts that some pair needs are read again."""
     pairs = written(pairs, "pairs")
+    n_pairs = pairs.count()
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = written(classes.join(nodes.hint("merge"), "node").select(F.col("rep").alias("need")).distinct(), "ids")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [s for t in batch["text"] if len(s := shingles(t, words))]
-            yield pd.DataFrame({"node": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], "set": sets})
+        for batch in _small(batches):
+            sets = [s for s in shingle_sets(batch["text"], words) if len(s)]
+            yield pd.DataFrame({"node": [_node(s) for s in sets], "set": sets})
 
     texts = docs.join(sized(ids), docs["id"].eqNullSafe(ids["need"])).select("text")
-    sets = written(texts.mapInPandas(run, "node long, set array<long>").dropDuplicates(["node"]), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+    sets = written(texts.mapInPandas(run, "node long, set array<long>"), "sets")
+    one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).join(sized(pairs, n_pairs), "a")
+    two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).join(sized(pairs.select("b").distinct(), n_pairs), "b", "left_semi")
     both = F.size(F.array_intersect("set_a", "set_b"))
     all_ = F.size("set_a") + F.size("set_b") - both
-    compared = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return written(compared.where(F.lit(least[1]) * both >= F.lit(least[0]) * all_).select("a", "b"), "links")
+    compared = one.join(two.hint("merge"), "b")
+    # an id that repeats may give a node's set twice
+    return written(compared.where(F.lit(least[1]) * both >= F.lit(least[0]) * all_).select("a", "b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,9 +255,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(_nodes(base.select("id", "mark", "text"), words, least), "nodes")
     classes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep")), "reps")
 
-    counts = rows.select(F.explode("first").alias("token")).groupBy("token").count()
-    entries = rows.agg(F.sum(F.size("first")).alias("n")).first().n or 0
-    often = max(HEAVY_COUNT, entries // HEAVY + 1)  # so at most HEAVY shingles can be this frequent
+    counts = rows.select(F.explode("first").alias("token")).groupBy("token").count().where("count > 1")
+    counts = written(counts, "counts")
+    often = _threshold(counts)
     frequent = counts.where(F.col("count") >= often).toPandas().sort_values("token")
     heavy = (frequent["token"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64))
 
@@ -176,7 +265,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(sets, "prefixes")
     entry = sets.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token"))
     shared = entry.groupBy("token").count().where("count > 1").select("token")
-    entry = written(entry.join(shared.hint("shuffle_hash"), "token"), "entries")
+    shared = written(shared, "shared")
+    n_shared = shared.count()
+    entry = written(entry.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared.hint("shuffle_hash"), "token"), "entries")
 
     # first round: each shingle's sets against its pivot
     pivots = written(entry.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p")).select("token", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "pivots")
