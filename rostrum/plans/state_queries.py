@@ -23,12 +23,14 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("digest"))
 
 
-@query("s5_fingerprint", "SELECT sha256(string_agg(doc_id::VARCHAR || chr(9) || sha256(text), chr(10) ORDER BY doc_id::VARCHAR)) AS digest, source FROM documents GROUP BY source")
+_LANE = "sum(('0x' || substr(one, {0}, 15))::BIGINT::HUGEINT)::VARCHAR"
+
+
+@query("s5_fingerprint", "SELECT source, sha256(concat_ws('-', count(*)::VARCHAR, " + ", ".join(_LANE.format(k) for k in (1, 17, 33, 49)) + ")) AS digest FROM (SELECT source, sha256(doc_id::VARCHAR || chr(9) || sha256(text)) AS one FROM documents) GROUP BY source")
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    """One digest for each source over its documents in the order of their ids."""
+    """One digest for each source over its documents."""
     rows = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("p"), F.sha2("text", 256).alias("h"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", "h")))
-    return rows.groupBy("source").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat_ws("\t", x["p"], x["h"])), "\n"), 256).alias("digest"))
+    return program.digest_of(rows, [F.col("p"), F.col("h")], ["source"])
 
 
 @query("s6_changed_rows", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')")
@@ -243,15 +245,12 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return state.change_counts(log.where("op = 'add'"), after, ["user_id", "id"], "user_id")
 
 
-@query("x1_unreachable_rules", "WITH r AS (SELECT row_number() OVER (ORDER BY w) AS rule_id, w AS needle FROM (SELECT DISTINCT p_name AS w FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT p_type FROM part)) SELECT b.needle, min(a.rule_id) AS earlier_id FROM r a JOIN r b ON a.rule_id < b.rule_id AND contains(b.needle, a.needle) GROUP BY ALL")
+@query("x1_unreachable_rules", "WITH r AS (SELECT needle, min(rule_id) AS rule_id FROM (SELECT unnest([p_name, split_part(p_name, ' ', 1), p_type]) AS needle, p_partkey * 3 + unnest([0, 1, 2]) AS rule_id FROM part) GROUP BY ALL) SELECT b.needle, min(a.rule_id) AS earlier_id FROM r a JOIN r b ON a.rule_id < b.rule_id AND contains(b.needle, a.needle) GROUP BY ALL")
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    """Rules drawn from the parts' names, numbered in order; later ones that an earlier one always beats."""
-    part = table(spark, d, "part")
-    words = part.select(F.col("p_name").alias("w")).union(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).union(part.select("p_type")).distinct()
-    earlier = words.select(F.col("w").alias("v"))
-    # a small vocabulary: ranks are counted by a join instead of a window over the whole table
-    ranked = words.join(F.broadcast(earlier), F.col("v") <= F.col("w")).groupBy("w").agg(F.count(F.lit(1)).alias("rule_id"))
-    rules = ranked.select("rule_id", F.col("w").alias("needle"), F.lit(False).alias("is_regex"))
+    """Rules drawn from the parts' names, in the order of their first part; later ones that an earlier one always beats."""
+    words = F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_type")
+    each = table(spark, d, "part").select("p_partkey", F.posexplode(words).alias("k", "needle"))
+    rules = each.groupBy("needle").agg(F.min(F.col("p_partkey") * 3 + F.col("k")).alias("rule_id")).withColumn("is_regex", F.lit(False))
     return matching.unreachable_rules(rules).select("needle", "earlier_id")
 
 

@@ -150,7 +150,7 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
 def a15(spark: SparkSession, d: str) -> DataFrame:
     events, orders = table(spark, d, "events"), table(spark, d, "orders")
     days = events.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).union(orders.select(F.date_format("o_orderdate", "yyyy-MM-dd"))).distinct()
-    return days.crossJoin(F.broadcast(events.agg(F.max("ts").alias("program_end"))))  # one row on the right
+    return days.select("day", events.agg(F.max("ts")).scalar().alias("program_end"))
 
 
 @query("a16_first_last_below", "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE event_type <> 'signup' GROUP BY ALL")
