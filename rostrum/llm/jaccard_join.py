@@ -7,8 +7,8 @@ chooses its own l: the counts of its first shingles give the work of scanning th
 documents that share l of them; the cheapest l wins. A pair must share as many as the smaller l of the two.
 
 Groups of near copies would give a square of pairs. So the search has two rounds. In the first, each shingle's
-documents meet only its pivot, the document with the fewest rarer shingles. The links found give labels. In the
-second, documents of a shingle meet only where their labels differ, and at least one of the two isn't the pivot's:
+documents meet only its pivot, the document with the fewest rarer shingles. The groups that the links form give labels. In
+the second, documents of a shingle meet only where their labels differ, and at least one of the two isn't the pivot's:
 pairs inside a group are never listed, and none between groups is lost. Candidates pass bounds on sizes and positions
 and are verified on the whole sets. Equal sets are one node throughout; groups are joined by alternating large-star
 and small-star steps (Kiveris et al., 2014).
@@ -275,13 +275,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = entry.join(sized(pivots, n_pivots), "token").where("node != p_node").where(_may_link("", "p_", least, F.lit(1)))
     links = _verified(met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), base, classes, words, least)
 
-    # labels that members of a group mostly share: the smallest neighbour, followed twice
-    ways = links.union(links.select("b", "a")).toDF("node", "to")
-    label = written(ways.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label")), "label")
+    # the groups that these links form
+    label = written(components(links).withColumnRenamed("root", "label"), "label")
     n_label = label.count()
-    for _ in range(2):
-        onward = label.select(F.col("node").alias("label"), F.col("label").alias("then"))
-        label = written(label.join(sized(onward, n_label), "label", "left").select("node", F.coalesce("then", "label").alias("label")), "label")
 
     # second round: sets of one shingle whose labels differ, one of them other than the pivot's
     named = entry.join(sized(label, n_label), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -301,7 +297,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links)
     grouped = written(classes.join(roots.hint("merge"), "node"), "roots")
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = classes.join(grouped.select("node", "root").hint("merge"), "node", "left").join(smallest.hint("merge"), "root", "left")
+    linked = grouped.join(smallest.hint("merge"), "root").select("node", "component_id")
+    found = classes.join(linked.hint("merge"), "node", "left")
     found = written(found.select("node", F.coalesce("component_id", "rep").alias("component_id")), "groups")
     return rows.join(sized(found), "node", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("mark").alias("text_mark")
