@@ -5,9 +5,9 @@ each offset, are summed and passed through tanh, and a softmax over the vocabula
 probability. A document's score is the sum of the log-probabilities of its tokens.
 
 The vocabulary comes from word counts over all documents; rarer words share hashed entries. Training makes ROUNDS
-passes over disjoint thirds of the documents: every task trains a copy of the network on its rows (every STRIDE-th
-token of every document is a target), and the copies are averaged, weighted by their targets. What reaches the driver
-is one network a round, whose size is fixed.
+passes over disjoint thirds of the documents, so that every token of every document is a target once: every task
+trains a copy of the network on its rows, and the copies are averaged, weighted by their targets. What reaches the
+driver is one network a round, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from rostrum.llm.shared import partitions, written
 
 #: Words with an entry of their own, hashed entries for the others, width of the network, tokens seen on each side.
 NAMED, HASHED, WIDTH, REACH = 384, 127, 16, 2
-#: Rounds of training, distance between training targets, targets of a step, learning rate, slices of the parameters.
-ROUNDS, STRIDE, STEP, RATE, SLICES = 3, 8, 512, 0.15, 32
+#: Rounds of training, targets of a step, learning rate, slices of the parameters.
+ROUNDS, STEP, RATE, SLICES = 3, 512, 0.15, 32
 #: Tokens scored together (their probabilities stay in a core's cache) and gathered before; words counted in a task
 #: before they are passed on.
 BATCH, GATHERED, COUNTED = 1 << 10, 1 << 17, 500_000
 VOCABULARY = NAMED + HASHED + 1
 EDGE = VOCABULARY - 1  # stands where a document has no token
+ONES = np.ones(VOCABULARY, np.float32)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,29 +84,42 @@ class Network:
         z += self.output[-1]
         return z
 
-    def log_probabilities(self, sides: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = self.logits(self.state(sides))
+    def scaled(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """[h, 1], the exponentials of the logits up to a factor of the row, and the targets' logarithms of them.
+
+        As |h| <= 1, the biases and weights bound every logit; while the bounds are close, one shift of all biases
+        keeps the exponentials in range, else each row is shifted by its maximum."""
+        wide = np.empty((len(h), WIDTH + 1), np.float32)
+        wide[:, :-1], wide[:, -1] = h, 1
+        reach = np.abs(self.output[:-1]).sum(axis=0)
+        high, low = (self.output[-1] + reach).max(), (self.output[-1] - reach).max()
+        near = high - low < 60
+        shifted = self.output
+        if near:
+            shifted = self.output.copy()
+            shifted[-1] -= high
+        z = wide @ shifted
+        if not near:
+            z -= z.max(axis=1)[:, None]
         hit = z[np.arange(len(z)), target].astype(np.float64)
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        return hit - top - np.log(z.sum(axis=1).astype(np.float64))
+        return wide, np.exp(z, out=z), hit
+
+    def log_probabilities(self, sides: np.ndarray, target: np.ndarray) -> np.ndarray:
+        _, e, hit = self.scaled(self.state(sides), target)
+        return hit - np.log((e @ ONES).astype(np.float64))
 
     def train(self, sides: np.ndarray, target: np.ndarray, power: list[np.ndarray]) -> None:
         """One step of Adagrad on the mean log-loss; `power` has the squared gradients so far."""
         n = len(target)
         h = self.state(sides)
-        p = self.logits(h)
-        p -= p.max(axis=1)[:, None]
-        np.exp(p, out=p)
-        p /= p.sum(axis=1)[:, None]
-        p[np.arange(n), target] -= 1
-        p /= n
-        back = (p @ self.output[:-1].T) * (1 - h * h)
-        grad_out = np.vstack([h.T @ p, p.sum(axis=0)])
-        grads = [np.zeros_like(self.context), back.sum(axis=0), grad_out]
-        for j in range(2 * REACH):
-            np.add.at(grads[0][j], sides[:, j], back)
+        wide, e, _ = self.scaled(h, target)
+        total = e @ ONES
+        e[np.arange(n), target] -= total  # the gradient by the logits, times total * n
+        scale = (1 / (total * n))[:, None]
+        back = (e @ self.output[:-1].T) * (1 - h * h) * scale
+        grad_out = (wide * scale).T @ e
+        grad = np.bincount((((np.arange(2 * REACH) * VOCABULARY + sides) * WIDTH)[:, :, None] + np.arange(WIDTH)).ravel(), np.repeat(back[:, None], 2 * REACH, axis=1).ravel(), self.context.size)
+        grads = [grad.reshape(self.context.shape).astype(np.float32), back.sum(axis=0), grad_out]
         for x, g, q in zip((self.context, self.hidden, self.output), grads, power):
             q += g * g
             x -= RATE * g / np.sqrt(q + 1e-8)
@@ -158,12 +172,11 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], Ne
             for batch in batches:
                 for text in batch["text"]:
                     ids = token_ids(words_of(text), names.value)
-                    at = np.arange((len(ids) + turn) % STRIDE, len(ids), STRIDE)
-                    if not len(at):
+                    if not len(ids):
                         continue
-                    sides.append(windows(ids)[at])
-                    target.append(ids[at])
-                    held += len(at)
+                    sides.append(windows(ids))
+                    target.append(ids)
+                    held += len(ids)
                     if held >= 64 * STEP:
                         seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
                         sides, target, held = [], [], 0

@@ -429,6 +429,25 @@ def test_scores_prefer_the_corpus(spark, documents):
     assert named == {w: k for k, (w, _) in enumerate(want)}
 
 
+def test_every_token_is_a_target(spark, documents, monkeypatch):
+    texts = ["left right"] * 200 + ["up down"] * 200 + ["one"] * 50
+    short = spark.createDataFrame([(i, t + " " * (i % 7)) for i, t in enumerate(texts)], "doc_id long, text string")
+    named, model = lm_score.train(short)
+    likelihood = lambda docs, net: lm_score.score(docs, named, net).agg(F.sum("log_likelihood")).first()[0]
+    assert likelihood(short, model) > likelihood(short, lm_score.Network.start(lm_score.vocabulary(short)[1])) + 50
+    seen, steps = spark.sparkContext.accumulator(0), lm_score._steps
+
+    def counted(own, power, sides, target):
+        seen.add(len(target))
+        return steps(own, power, sides, target)
+
+    monkeypatch.setattr(lm_score, "_steps", counted)
+    part = documents.limit(100)
+    named, model = lm_score.train(part)
+    assert seen.value == sum(len(lm_score.words_of(r.text)) for r in part.collect())
+    assert likelihood(part, model) > likelihood(part, lm_score.Network.start(lm_score.vocabulary(part)[1]))
+
+
 def test_lm_awkward(awkward, empty):
     named, model = lm_score.train(awkward)
     rows = lm_score.score(awkward, named, model).collect()
