@@ -4,7 +4,9 @@ Each token is masked in turn and predicted from the REACH tokens on both sides:
 each offset, are summed and passed through tanh, and a softmax over the vocabulary gives the masked token's
 probability. A document's score is the sum of the log-probabilities of its tokens.
 
-The vocabulary comes from word counts over all documents; rarer words share hashed entries. Training makes ROUNDS
+The vocabulary comes from word counts over all documents; rarer words share hashed entries. Such a word's probability
+is its entry's, times its share of the entry's count; the counts of a document's rarer words come from a Spark join, so
+there is no limit to their number. A word that the corpus doesn't have counts UNSEEN. Training makes ROUNDS
 passes over disjoint thirds of the documents, so that every token of every document is a target once: every task
 trains a copy of the network on its rows, and the copies are averaged, weighted by their targets. What reaches the
 driver is one network a round, whose size is fixed.
@@ -31,6 +33,10 @@ ROUNDS, STEP, RATE, SLICES = 3, 512, 0.15, 32
 #: Tokens scored together (their probabilities stay in a core's cache) and gathered before; words counted in a task
 #: before they are passed on.
 BATCH, GATHERED, COUNTED = 1 << 10, 1 << 17, 500_000
+#: Rows whose rarer words are held at a time.
+ROWS = 500
+#: Count of a word that is not in the corpus, and what each hashed entry's count has for all such words.
+UNSEEN = 0.5
 VOCABULARY = NAMED + HASHED + 1
 EDGE = VOCABULARY - 1  # stands where a document has no token
 ONES = np.ones(VOCABULARY, np.float32)
@@ -48,6 +54,13 @@ def token_ids(words: list[bytes], named: dict[bytes, int]) -> np.ndarray:
     return np.array(found, np.int32)
 
 
+class Vocabulary(dict[bytes, int]):
+    """The ids of the named words; `counts` is the table (word, n) of all words, `held` the counts of the hashed entries."""
+
+    counts: DataFrame
+    held: np.ndarray
+
+
 @dataclass
 class Network:
     """`context`: (2 * REACH, VOCABULARY, WIDTH), `hidden`: WIDTH biases, `output`: (WIDTH + 1, VOCABULARY)."""
@@ -132,7 +145,7 @@ def windows(ids: np.ndarray) -> np.ndarray:
     return np.stack([wide[j : j + n] for j in range(2 * REACH + 1) if j != REACH], axis=1)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], np.ndarray]:
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The NAMED most frequent words over all documents (ties by the word), and the frequency of every entry."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,21 +160,25 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int
 
     counts = written(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(NAMED).collect()  # a bounded list
-    named = {bytes(r.word): k for k, r in enumerate(top)}
-    rest = counts.agg(F.sum("n").alias("n")).first().n or 0
+    named = Vocabulary({bytes(r.word): k for k, r in enumerate(top)})
+    named.counts, named.held = counts, np.zeros(HASHED)
+    for r in counts.groupBy((F.crc32("word") % HASHED).alias("entry")).agg(F.sum("n").alias("n")).collect():
+        named.held[r.entry] = r.n
+    for r in top:
+        named.held[zlib.crc32(r.word) % HASHED] -= r.n
     frequency = np.full(VOCABULARY, 1.0)
     frequency[: len(top)] = [r.n for r in top]
-    frequency[NAMED:EDGE] = max(1.0, (rest - sum(r.n for r in top)) / HASHED)
+    frequency[NAMED:EDGE] = np.maximum(1.0, named.held)
     return named, frequency
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], Network]:
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
     """The vocabulary and a network trained on all documents. Without any token it stays as it starts."""
     spark = docs.sparkSession
     named, frequency = vocabulary(docs, text_col)
     model = Network.start(frequency)
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    names = spark.sparkContext.broadcast(named)
+    names = spark.sparkContext.broadcast(dict(named))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
 
@@ -211,19 +228,22 @@ def _steps(own: Network, power: list[np.ndarray], sides: np.ndarray, target: np.
     return len(target)
 
 
-def score(docs: DataFrame, named: dict[bytes, int], model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, named: Vocabulary, model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: (id_col, n_tokens, log_likelihood, mean_log_likelihood) of the whole text.
 
     A null, empty or blank text has no tokens, sum 0 and a null mean. Repeated rows are scored each; ids, null
-    included, pass through; no rows give no rows. Texts are scored in blocks of BATCH tokens."""
-    held = docs.sparkSession.sparkContext.broadcast((named, model.flat()))
+    included, pass through; no rows give no rows. Texts are scored in blocks of BATCH tokens. A word of a hashed entry
+    adds log(its count / (the entry's count + UNSEEN)): the divisors in the scan, the counts by a join of each
+    document's distinct words."""
+    held = docs.sparkSession.sparkContext.broadcast((dict(named), model.flat(), np.concatenate([np.zeros(NAMED), np.log(named.held + UNSEEN), [0.0]])))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, flat = held.value
+        names, flat, divisors = held.value
         net = Network.of(flat)
-        for batch in batches:
+        for batch in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
             n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            rare, times = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
             sides, target, owner, size = [], [], [], 0
 
             def flush() -> None:
@@ -234,10 +254,14 @@ def score(docs: DataFrame, named: dict[bytes, int], model: Network, id_col: str
                         total[:] += np.bincount(c[at : at + BATCH], weights=got, minlength=len(batch))
 
             for i, text in enumerate(batch["text"]):
-                ids = token_ids(words_of(text), names)
+                words = words_of(text)
+                ids = token_ids(words, names)
                 if not len(ids):
                     continue
                 n[i] = len(ids)
+                total[i] -= divisors[ids].sum()
+                own = Counter(w for w in words if w not in names)
+                rare[i], times[i] = list(own), list(own.values())
                 sides.append(windows(ids))
                 target.append(ids)
                 owner.append(np.full(len(ids), i))
@@ -246,7 +270,12 @@ def score(docs: DataFrame, named: dict[bytes, int], model: Network, id_col: str
                     flush()
                     sides, target, owner, size = [], [], [], 0
             flush()
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": total})
-
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, log_likelihood double")
+            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_tokens": n, "scanned": total, "rare": rare, "times": times})
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scanned = written(texts.mapInPandas(run, f"row long, id {kind}, n_tokens long, scanned double, rare array<binary>, times array<long>"), "scanned")
+    each = scanned.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times")
+    found = each.join(named.counts.hint("merge"), "word", "left").withColumn("inside", F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))))
+    inside = found.groupBy("row").agg(F.sum("inside").alias("inside"))
+    scored = scanned.select("row", "id", "n_tokens", "scanned").join(inside.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("scanned") + F.coalesce("inside", F.lit(0.0)))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

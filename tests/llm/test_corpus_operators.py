@@ -448,6 +448,29 @@ def test_every_token_is_a_target(spark, documents, monkeypatch):
     assert likelihood(part, model) > likelihood(part, lm_score.Network.start(lm_score.vocabulary(part)[1]))
 
 
+def test_words_inside_an_entry(spark, documents):
+    named, frequency = lm_score.vocabulary(documents)
+    net = lm_score.Network.start(frequency)
+    counts = Counter(w for r in documents.select("text").collect() for w in lm_score.words_of(r.text))
+    held = Counter()
+    for w, n in counts.items():
+        held[zlib.crc32(w) % lm_score.HASHED] += n * (w not in named)
+    assert named.held.tolist() == [held[k] for k in range(lm_score.HASHED)]
+    asked = [w for w, _ in counts.most_common() if w.decode("utf-8", "ignore").encode() == w]
+    common, rare = asked[: lm_score.NAMED : 5], asked[-50:]
+    made_up = [f"qzx{i}qq".encode() for i in range(50)]
+    assert not set(made_up) & set(counts)
+    docs = [*common, *rare, *made_up, b" ".join(rare + made_up[:2] + rare + common)]
+    got = dict(lm_score.score(spark.createDataFrame([(i, w.decode()) for i, w in enumerate(docs)], "doc_id long, text string"), named, net).select("doc_id", "log_likelihood").collect())
+    for i, text in enumerate(docs):
+        words = lm_score.words_of(text.decode())
+        ids = lm_score.token_ids(words, named)
+        inside = [np.log((counts[w] or lm_score.UNSEEN) / (held[k - lm_score.NAMED] + lm_score.UNSEEN)) for w, k in zip(words, ids) if k >= lm_score.NAMED]
+        assert abs(got[i] - net.log_probabilities(lm_score.windows(ids), ids).sum() - sum(inside)) < 1e-3
+    score = lambda words: [got[docs.index(w)] for w in words]
+    assert max(score(made_up)) < min(score(common)) and max(score(rare)) < min(score(common)) and np.mean(score(made_up)) < np.mean(score(rare))
+
+
 def test_lm_awkward(awkward, empty):
     named, model = lm_score.train(awkward)
     rows = lm_score.score(awkward, named, model).collect()
