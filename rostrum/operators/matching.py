@@ -3,13 +3,15 @@ equi join; range conditions are checked inside a block."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rostrum.session import shared_folder
+
 #: Rules up to which a rule table is broadcast; a larger one is joined by the words of its needles.
 MOST_RULES = 50_000
 
@@ -121,37 +123,40 @@ def best_word_match(overlap: DataFrame, left_id: str, right_id: str, least: int
     return ranked.groupBy(left_id).agg(F.max_by(F.struct(right_id, "shared", equal.alias("equal")), "rank").alias("best")).select(left_id, "best.*")
 
 
-def assign_once(pairs: DataFrame, block: str, left_id: str, right_id: str, score: str) -> DataFrame:
-    """Greedy one-to-one assignment inside each block: pairs by falling score (then ids), each side used once. The
-    blocks must be small; pairs are what survived a threshold, not all of a block."""
+def _greedy(pairs: DataFrame, block: str | None, left_id: str, right_id: str, order: Sequence[Column]) -> DataFrame:
+    """The pairs that one pass in `order` keeps, if it uses each left and each right row of a block once.
+
+    In rounds over written tables: a pair that comes first among those of its left and first among those of its right
+    row is kept, and all pairs of both rows go. Rounds end when no pair is left; each keeps a pair at least."""
+    spark = pairs.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/greedy-{uuid.uuid4().hex}"
+    inside = [block] if block else []
+    keyed = pairs.withColumns({"_left": F.struct(*inside, left_id), "_right": F.struct(*inside, right_id), "_order": F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*order, F.col(left_id), F.col(right_id)])])})
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values([score, left_id, right_id], ascending=[False, True, True], kind="stable")
-        used_left, used_right, kept = set(), set(), []
-        for k, (a, b) in enumerate(zip(ordered[left_id], ordered[right_id])):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                kept.append(k)
-        return ordered.iloc[kept]
+    def written(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{path}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{path}")
 
-    return pairs.groupBy(block).applyInPandas(pick, pairs.schema)
+    rest, k = written(keyed, "rest-0"), 0
+    first = lambda side: rest.groupBy(side).agg(F.min_by(F.struct(*rest.columns), "_order").alias("row")).select("row.*")
+    while not rest.isEmpty():
+        k += 1
+        won = written(first("_left").join(first("_right").select("_left", "_right"), ["_left", "_right"]).select(*rest.columns), f"won/round={k}")
+        rest = written(rest.join(won.select("_left"), "_left", "left_anti").join(won.select("_right"), "_right", "left_anti").select(*rest.columns), f"rest-{k}")
+    if not k:
+        return pairs.where("1 = 0")
+    return spark.read.schema(keyed.schema).parquet(f"{folder}/won").select(*pairs.columns)
 
 
-def claim_in_order(pairs: DataFrame, block: str, left_order: Sequence[str], left_id: str, right_id: str, score: str) -> DataFrame:
-    """Left rows in order each claim their best free right row of the block."""
+def assign_once(pairs: DataFrame, block: str | None, left_id: str, right_id: str, score: str) -> DataFrame:
+    """Greedy one-to-one assignment inside each block: pairs by falling score (then ids), each side used once."""
+    return _greedy(pairs, block, left_id, right_id, [-F.col(score)])
 
-    def claim(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values([*left_order, score, right_id], ascending=[True] * len(left_order) + [False, True], kind="stable")
-        done, taken, kept = set(), set(), []
-        for k, (a, b) in enumerate(zip(ordered[left_id], ordered[right_id])):
-            if a not in done and b not in taken:
-                done.add(a)
-                taken.add(b)
-                kept.append(k)
-        return ordered.iloc[kept]
 
-    return pairs.groupBy(block).applyInPandas(claim, pairs.schema)
+def claim_in_order(pairs: DataFrame, block: str | None, left_order: Sequence[str], left_id: str, right_id: str, score: str) -> DataFrame:
+    """Left rows in order each claim their best free right row of the block (of the table without a block). The order
+    must be unique to a left row."""
+    return _greedy(pairs, block, left_id, right_id, [*map(F.col, left_order), -F.col(score)])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, tolerance: Column | None = None) -> DataFrame:

@@ -157,3 +157,37 @@ def test_native_plans_have_no_python_and_no_cartesian(spark, folder):
     for name in ("f1_search_fold", "j9_edit_distance", "j17_as_of", "w3_run_segmentation", "a7_consolidate", "t1_last_write_wins"):
         plan = registry.queries()[name](spark, folder)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
+
+
+def greedy(rows):
+    """The rows kept by one loop over (block, left, right, score) in the given order."""
+    used, kept = set(), []
+    for block, a, b, score in rows:
+        if not {(block, "a", a), (block, "b", b)} & used:
+            used |= {(block, "a", a), (block, "b", b)}
+            kept.append((block, a, b, score))
+    return sorted(kept, key=repr)
+
+
+def test_one_to_one_matching_equals_a_greedy_loop(spark):
+    import random
+
+    draw = random.Random(5)
+    pairs = sorted({(draw.choice(["x", "y", None]), draw.randrange(25), draw.randrange(12)): draw.randrange(6) / 4 for _ in range(300)}.items(), key=repr)
+    rows = [(*p, s) for p, s in pairs]
+    df = spark.createDataFrame([*rows, *rows[:5]], "block string, a int, b int, score double")
+    plain = lambda got: sorted(map(tuple, got.collect()), key=repr)
+    once = matching.assign_once(df, "block", "a", "b", "score")
+    assert plain(once) == greedy(sorted(rows, key=lambda r: (-r[3], r[1], r[2]))) and once.columns == df.columns
+    assert plain(matching.claim_in_order(df, "block", ["a"], "a", "b", "score")) == greedy(sorted(rows, key=lambda r: (r[1], -r[3], r[2])))
+    assert matching.assign_once(df.where("1 = 0"), "block", "a", "b", "score").count() == 0
+    assert "Python" not in once._jdf.queryExecution().toString() and "Pandas" not in once._jdf.queryExecution().toString()
+
+
+def test_claims_take_one_item_for_each_document(spark, folder):
+    from rostrum.plans import join_queries
+
+    rows = [(None, r.documents_id, r.benchmark_id, r.score) for r in join_queries.j11(spark, folder).where("score >= 0.05").collect()]
+    got = [(None, r.documents_id, r.benchmark_id, r.score) for r in join_queries.j11_claims(spark, folder).collect()]
+    assert sorted(got, key=repr) == greedy(sorted(rows, key=lambda r: (r[1], -r[3], r[2])))
+    assert len({r[1] for r in got}) == len(got)
