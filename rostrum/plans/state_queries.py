@@ -118,6 +118,13 @@ def q5(spark: SparkSession, d: str) -> DataFrame:
     return search.pools(tokens, "token", "doc_id")
 
 
+@query("q5_suggestion_pools_all")
+def q5_all(spark: SparkSession, d: str) -> DataFrame:
+    """The pool over the documents of every language and of none; its fold goes beyond what the SQL of q5 expresses."""
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
+    return search.pools(tokens, "token", "doc_id")
+
+
 @query("q6_suggestions", "WITH v AS (SELECT value, count(*) AS n FROM (SELECT c_mktsegment AS value FROM customer UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part) GROUP BY ALL), q AS (SELECT DISTINCT lower(value[1:3]) AS query FROM v) SELECT query, rank, value, n FROM (SELECT query, value, n, row_number() OVER (PARTITION BY query ORDER BY n DESC, value) AS rank FROM q JOIN v ON len(list_filter(string_split(lower(value), ' '), lambda w: starts_with(w, query))) > 0) WHERE rank <= 3")
 def q6(spark: SparkSession, d: str) -> DataFrame:
     one = lambda name, c: table(spark, d, name).select(F.col(c).alias("value"))

@@ -191,3 +191,23 @@ def test_claims_take_one_item_for_each_document(spark, folder):
     got = [(None, r.documents_id, r.benchmark_id, r.score) for r in join_queries.j11_claims(spark, folder).collect()]
     assert sorted(got, key=repr) == greedy(sorted(rows, key=lambda r: (r[1], -r[3], r[2])))
     assert len({r[1] for r in got}) == len(got)
+
+
+def test_suggestion_pool_of_all_languages(spark, tmp_path):
+    from rostrum.plans import registry, state_queries  # noqa: F401
+
+    docs = [(1, "Straße Æther", "de"), (2, "strasse noch", "en"), (3, "Niemand NOCH", None), (4, None, "de"), (5, "  ", "fr"), (6, "aether", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.fold: r.display for r in registry.queries()["q5_suggestion_pools_all"](spark, str(tmp_path)).collect()}
+    assert got == {"strasse": "Straße", "aether": "Æther", "noch": "noch", "niemand": "Niemand"}
+
+
+def test_suggestion_pool_equals_a_loop_over_all_documents(spark, folder):
+    from rostrum.plans import registry, state_queries  # noqa: F401
+
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''").distinct()
+    want = {}
+    for r in sorted(rows.withColumn("fold", T.squeezed(T.fold(F.col("token")))).collect(), key=lambda r: (r.doc_id, r.token.encode())):
+        if r.fold:
+            want.setdefault(r.fold, r.token)
+    assert {r.fold: r.display for r in registry.queries()["q5_suggestion_pools_all"](spark, folder).collect()} == want
