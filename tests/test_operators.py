@@ -211,3 +211,12 @@ def test_suggestion_pool_equals_a_loop_over_all_documents(spark, folder):
         if r.fold:
             want.setdefault(r.fold, r.token)
     assert {r.fold: r.display for r in registry.queries()["q5_suggestion_pools_all"](spark, folder).collect()} == want
+
+
+def test_every_shouted_line_is_recased(spark, tmp_path):
+    from rostrum.plans import table_queries
+
+    text = "a quiet line\nGREAT HALLS OF LIGHT\nquiet again\nSMALL ROOMS"
+    spark.createDataFrame([(1, text, "en", "s", 60), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line): r.title.lower() for r in table_queries.f5(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): "great halls of light", (1, 3): "small rooms"}
