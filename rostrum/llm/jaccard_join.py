@@ -6,12 +6,16 @@ beginnings: with n shingles and a least overlap o, the first n - o + l hold at l
 chooses its own l: the counts of its first shingles give the work of scanning them and, divided by l, a bound on the
 documents that share l of them; the cheapest l wins. A pair must share as many as the smaller l of the two.
 
+Entries of the prefix index carry a bit set of the whole document: bit h(s) is flipped by every shingle s. Sets that
+differ in d shingles differ in at most d bits, so the bits bound the overlap from above inside the join on shingles,
+and pairs that are too far apart never leave it. That matters within groups of near copies, whose members share most
+shingles without all being similar enough.
+
 Groups of near copies would give a square of pairs. So the search has two rounds. In the first, each shingle's
-documents meet only its pivot, the document with the fewest rarer shingles. The groups that the links form give labels. In
-the second, documents of a shingle meet only where their labels differ, and at least one of the two isn't the pivot's:
-pairs inside a group are never listed, and none between groups is lost. Candidates pass bounds on sizes and positions
-and are verified on the whole sets. Equal sets are one node throughout; groups are joined by alternating large-star
-and small-star steps (Kiveris et al., 2014).
+documents meet only its pivot, the document with the fewest rarer shingles. The groups that the links form give
+labels. In the second, documents of a shingle meet only where their labels differ: pairs inside a group are never
+listed, and none between groups is lost. Candidates are verified on the words of the whole texts. Equal sets are one
+node throughout; groups are joined by alternating large-star and small-star steps (Kiveris et al., 2014).
 """
 
 from __future__ import annotations
@@ -24,44 +28,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.shared import BROADCAST_ROWS, clear_name, sized, written
+from rostrum.llm.shared import Scratch, clear_name, pieces, sized, written
 
-#: Words of a shingle; the least similarity as a fraction; the largest l; cost of a verification in scanned entries.
-WORDS, LEAST, MOST_MATCHES, VERIFY = 5, (80, 100), 4, 16
+#: Words of a shingle; the least similarity as a fraction; cost of a candidate in scanned entries.
+WORDS, LEAST, CANDIDATE = 5, (80, 100), 4
 #: Most shingles whose counts are kept by name: the most frequent ones (16 bytes each, broadcast).
 HEAVY = 1 << 20
+#: 64-bit parts of the bit set that stands for a document in the join.
+PARTS = 8
 
-#: Bytes of text hashed together, rows that a task returns at once.
-CHUNK, ROWS = 1 << 20, 1024
-#: Rows up to which a column of numbers is broadcast (about 64 MB as a hash table).
-BROADCAST_TOKENS = 2_000_000
+#: Bytes of text hashed together; bytes of a word that are hashed as lanes of eight.
+CHUNK, LANES = 1 << 20, 64
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_BASE = 0x5851F42D4C957F2D  # odd
-_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-
-
-def _byte_numbers() -> np.ndarray:
-    """A number for each byte, capital letters as small ones."""
-    numbers = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    numbers[65:91] = numbers[97:123]
-    return numbers
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-_BYTE = _byte_numbers()
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, words between ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its word shingles: A-Z lower-cased, words between ASCII white
-    space; fewer words than `words` are one shingle, no words are none.
-
-    Texts are hashed together up to CHUNK bytes. A word's hash is a sum of random numbers for its bytes times powers
-    of an odd base, taken from running sums; with its length it is mixed, and the words of a shingle are mixed in
-    turn."""
+    """For each text the sorted distinct hashes of its word shingles; fewer words than `words` are one shingle, no
+    words are none. Texts are hashed together up to CHUNK bytes. A word's bytes are mixed in eight at a time (words
+    over LANES bytes by xxh3), and so are the words of a shingle."""
     held, size = [], 0
     for text in texts:
-        held.append((text or "").encode("utf-8", "surrogatepass"))
+        held.append((text or "").encode("utf-8", "surrogatepass").lower())
         size += len(held[-1]) + 1
         if size >= CHUNK:
             yield from _together(held, words)
@@ -78,91 +73,113 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word data[start:end]; `data` has eight bytes more than the last word."""
+    size = end - start
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = _mixed(size.astype(np.uint64))
+    open_ = np.arange(len(start))
+    for at in range(0, LANES, 8):
+        open_ = open_[size[open_] > at]
+        if not len(open_):
+            return h
+        h[open_] = _mixed(h[open_] ^ (lanes[start[open_] + at] & _MASK[np.minimum(size[open_] - at, 8)]))
+    for k in np.flatnonzero(size > LANES):
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+    return h
+
+
 def _together(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    inside = ~_SPACE[data]
+    data = b" ".join(texts) + b" " * 9
+    inside = ~_SPACE[np.frombuffer(data, np.uint8)]
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
     start, end = edge[::2], edge[1::2]
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    cuts = np.searchsorted(start, bounds)
-    if len(start):
-        power, inverse = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        own = _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    own = _word_hashes(data, start, end)
+    cuts = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    m = max(0, len(own) - words + 1)
+    whole = _shingle_hashes(own, words, m)
     for a, b in zip(cuts, cuts[1:]):
         n = b - a
         if not n:
             yield np.zeros(0, np.int64)
-            continue
-        k = min(words, n)
-        m = n - k + 1
-        h = np.full(m, np.uint64(k))
-        for j in range(k):
-            h = _mixed(h ^ own[a + j : a + j + m])
-        yield np.unique(h.view(np.int64))
+        elif n < words:
+            yield _shingle_hashes(own[a:b], n, 1).view(np.int64)
+        else:
+            yield np.unique(whole[a : b - words + 1].view(np.int64))
+
+
+def _shingle_hashes(own: np.ndarray, k: int, m: int) -> np.ndarray:
+    h = np.full(m, np.uint64(k))
+    for j in range(k if m else 0):
+        h = _mixed(h ^ own[j : j + m])
+    return h
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     return next(shingle_sets([text], words))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; the longest tables asked for are kept."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, np.uint64(base))
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+def similar(a: set, b: set, least: tuple[int, int]) -> bool:
+    both = len(a & b)
+    return both > 0 and least[1] * both >= least[0] * (len(a) + len(b) - both)
 
 
-def _node(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+def word_shingles(text: str | None, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, for verification."""
+    w = words_of(text)
+    return set(zip(*(w[j:] for j in range(words)))) if len(w) >= words else {tuple(w)} if w else set()
+
+
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def bit_set(s: np.ndarray) -> np.ndarray:
+    """PARTS * 64 bits; each shingle flips one, chosen by its hash."""
+    place = _mixed(s.view(np.uint64)) >> np.uint64(40)
+    odd = np.bincount((place % np.uint64(PARTS * 64)).astype(np.int64), minlength=PARTS * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _least_overlap(n: int, least: tuple[int, int]) -> int:
     return -(-least[0] * n // least[1])
 
 
-def choose_prefix(ordered_counts: np.ndarray, n: int, least: tuple[int, int], most: int = MOST_MATCHES) -> tuple[int, int]:
-    """(l, prefix length): the l whose scan and verification are estimated to cost least."""
+def choose_prefix(ordered_counts: np.ndarray, n: int, least: tuple[int, int]) -> tuple[int, int]:
+    """(l, prefix length): the l whose scan and candidates are estimated to cost least."""
     need = _least_overlap(n, least)
-    most = min(most, need)
-    work = np.cumsum(np.maximum(ordered_counts[: n - need + most] - 1, 0))
-    cost = [work[n - need + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
-    k = int(np.argmin(cost)) + 1
+    work = np.cumsum(np.maximum(ordered_counts - 1, 0))[n - need :]
+    k = int(np.argmin(work * (1 + CANDIDATE / np.arange(1, need + 1)))) + 1
     return k, n - need + k
 
 
-def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.iloc[at : at + ROWS]
-
-
-def _nodes(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """(id, mark, n, node, first): size and fingerprint of each row's set (null where it is empty), and the beginning
-    of the set in the order of hashes."""
+def _sets(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """(id, mark, n, hi, lo, first): size and name of each row's set (null where it is empty), and the beginning of
+    the set in the order of hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _small(batches):
+        for batch in pieces(batches):
             sets = list(shingle_sets(batch["text"], words))
-            node = pd.array([_node(s) if len(s) else None for s in sets], dtype="Int64")
+            names = [_name(s) if len(s) else (None, None) for s in sets]
             first = [s[: len(s) - _least_overlap(len(s), least) + 1] if len(s) else s for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "n": [len(s) for s in sets], "node": node, "first": first})
+            yield pd.DataFrame({
+                "id": batch["id"], "mark": batch["mark"], "n": [len(s) for s in sets],
+                "hi": pd.array([h for h, _ in names], "Int64"), "lo": pd.array([x for _, x in names], "Int64"), "first": first,
+            })
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, mark long, n int, node long, first array<long>")
+    return docs.mapInPandas(run, f"id {kind}, mark long, n int, hi long, lo long, first array<long>")
 
 
-def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, least: tuple[int, int]) -> DataFrame:
-    """(node, n, l, tokens): each row's prefix, heavy shingles last."""
+def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], clash: set[int], words: int, least: tuple[int, int]) -> DataFrame:
+    """(node, n, l, tokens, bits): each row's prefix, heavy shingles last."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, counts = held.value
-        for batch in _small(batches):
+        for batch in pieces(batches):
             rows = []
             for s in shingle_sets(batch["text"], words):
                 if not len(s):
@@ -171,77 +188,90 @@ def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
                 if len(names):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     c = np.where(names[at] == s, counts[at], 1)
-                order = np.lexsort((s, c))
+                order = np.argsort(c, kind="stable")
                 k, length = choose_prefix(c[order], len(s), least)
-                rows.append((_node(s), len(s), k, s[order[:length]]))
-            yield pd.DataFrame(rows, columns=["node", "n", "l", "tokens"])
+                hi, lo = _name(s)
+                rows.append((lo if hi in clash else hi, len(s), k, s[order[:length]], bit_set(s)))
+            yield pd.DataFrame(rows, columns=["node", "n", "l", "tokens", "bits"])
 
-    return docs.select("text").mapInPandas(run, "node long, n int, l int, tokens array<long>")
+    return docs.select("text").mapInPandas(run, "node long, n int, l int, tokens array<long>, bits array<long>")
 
 
 def _threshold(counts: DataFrame) -> int:
     """The least count, 2 or more, that at most HEAVY shingles reach."""
     bands = F.floor(F.log2("count") * 4).alias("band")
-    rows = counts.groupBy(bands).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).collect()  # a few hundred bands at most
-    often, n = None, 0
+    rows = counts.groupBy(bands).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least"), F.max("count").alias("most")).collect()  # a few hundred bands at most
+    often, n = max((r.most for r in rows), default=1) + 1, 0
     for r in sorted(rows, key=lambda r: -r.band):
         n += r.n
         if n > HEAVY:
             break
         often = r.least
-    return often or (max(r.least for r in rows) + 1 if rows else 2)
+    return often
+
+
+_BITS = [f"x{k}" for k in range(PARTS)]
 
 
 def _may_link(a: str, b: str, least: tuple[int, int], matches: Column) -> Column:
-    """Bounds for two entries of one shingle (structs with n and pos) of sets that share `matches` of their prefix."""
+    """Bounds for two entries of one shingle (columns n, pos and bit set) of sets that share `matches` of their
+    prefixes: sizes, positions, and the shingles that must differ because so many bits do."""
     num, den = least
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     need = F.floor((F.lit(num) * (na + nb) + F.lit(num + den - 1)) / F.lit(num + den))
     sizes = F.lit(den) * F.least(na, nb) >= F.lit(num) * F.greatest(na, nb)
-    return sizes & (F.col(f"{a}pos") <= na - need + matches - 1) & (F.col(f"{b}pos") <= nb - need + matches - 1)
+    places = (F.col(f"{a}pos") <= na - need + matches - 1) & (F.col(f"{b}pos") <= nb - need + matches - 1)
+    differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in _BITS[1:]), F.bit_count(F.col(f"{a}{_BITS[0]}").bitwiseXOR(F.col(f"{b}{_BITS[0]}"))))
+    return sizes & places & (differ <= na + nb - 2 * need)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a < b) whose whole sets are similar enough; only texts that some pair needs are read again."""
-    pairs = written(pairs, "pairs")
-    n_pairs = pairs.count()
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """The pairs (a < b) whose whole sets of shingles, compared word by word, are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = written(classes.join(nodes.hint("merge"), "node").select(F.col("rep").alias("need")).distinct(), "ids")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _small(batches):
-            sets = [s for s in shingle_sets(batch["text"], words) if len(s)]
-            yield pd.DataFrame({"node": [_node(s) for s in sets], "set": sets})
-
-    texts = docs.join(sized(ids), docs["id"].eqNullSafe(ids["need"])).select("text")
-    sets = written(texts.mapInPandas(run, "node long, set array<long>"), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")).join(sized(pairs, n_pairs), "a")
-    two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")).join(sized(pairs.select("b").distinct(), n_pairs), "b", "left_semi")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    all_ = F.size("set_a") + F.size("set_b") - both
-    compared = one.join(two.hint("merge"), "b")
-    # an id that repeats may give a node's set twice
-    return written(compared.where(F.lit(least[1]) * both >= F.lit(least[0]) * all_).select("a", "b").distinct(), "links")
+    chosen = scratch.written(classes.join(nodes.hint("merge"), "node").select("node", F.col("rep.id").alias("need"), F.col("rep.mark").alias("need_mark")), "needed")
+    same = docs["id"].eqNullSafe(chosen["need"]) & (docs["mark"] == chosen["need_mark"])
+    texts = scratch.written(docs.join(sized(chosen), same).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, known = None, set()
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            for k, (b, x, y) in enumerate(zip(batch["b"], batch["x"], batch["y"])):
+                if b != last:
+                    last, known = b, word_shingles(y, words)
+                good[k] = similar(word_shingles(x, words), known, least)
+            yield batch.loc[good, ["a", "b"]]
+
+    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    links = scratch.written(both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"), "links")
+    scratch.drop(chosen, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that it reaches. A step joins links
-    with each node's smallest neighbour, so the neighbours of a node never meet in one task."""
+    with each node's smallest neighbour, so the neighbours of a node never meet in one task; both sides of a join are
+    written tables, so adaptive execution can split the links of a node that has very many."""
+    scratch = Scratch(links.sparkSession)
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    links, before = written(links, "stars"), None
+    links, before = scratch.written(links, "stars"), None
     while True:
         state = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v")).distinct()
+            roots = written(links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v")).distinct(), "component")
+            scratch.drop()
+            return roots
         before = state
         ways = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least.hint("merge"), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", "m"))
-        links = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        least = scratch.written(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        wide = ways.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        wide = scratch.written(wide, "large")
+        scratch.drop(links, least)
+        least = scratch.written(wide.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = wide.join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", "m"))
+        links = scratch.written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        scratch.drop(wide, least)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -249,64 +279,81 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its links reach. Two rows link when least[1] * |intersection| >= least[0] * |union|.
 
     Null, empty and blank texts have no shingles and link with nothing (component_id is their own id). Equal sets
-    always link. Null ids are larger than any other; a group of null ids has a null component. Repeated rows share
-    their group; no rows give no rows. text_mark is a hash of the text, for joins back to rows that share an id."""
+    always link (they are told by 128 bits); other links are verified on the words, however long the texts. Null ids
+    are larger than any other; a group of null ids has a null component. Repeated rows and ties share their group;
+    further columns are ignored; no rows give no rows. text_mark is a hash of the text, for joins back to rows that
+    share an id."""
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    rows = written(_nodes(base.select("id", "mark", "text"), words, least), "nodes")
-    classes = written(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep")), "reps")
+    wide = scratch.written(_sets(base.select("id", "mark", "text"), words, least), "sets")
+    named = wide.where("hi is not null").groupBy("hi").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x != y").select("hi")
+    clash = {r.hi for r in named.collect()}  # two names that begin alike: n * n / 2**65 of n sets
+    node = F.when(F.col("hi").isin(clash), F.col("lo")).otherwise(F.col("hi")) if clash else F.col("hi")
+    rows = written(wide.select("id", "mark", "n", node.alias("node")), "nodes")
 
-    counts = rows.select(F.explode("first").alias("token")).groupBy("token").count().where("count > 1")
-    counts = written(counts, "counts")
+    counts = scratch.written(wide.select(F.explode("first").alias("token")).groupBy("token").count().where("count > 1"), "counts")
     often = _threshold(counts)
     frequent = counts.where(F.col("count") >= often).toPandas().sort_values("token")
     heavy = (frequent["token"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64))
+    scratch.drop(wide, counts)
+
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    classes = scratch.written(rows.where("node is not null").groupBy("node").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("n_rows")), "classes")
 
-    sets = _prefixes(base, heavy, words, least).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "l", "tokens")])
-    sets = written(sets, "prefixes")
-    entry = sets.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token"))
-    shared = entry.groupBy("token").count().where("count > 1").select("token")
-    shared = written(shared, "shared")
-    n_shared = shared.count()
-    entry = written(entry.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared.hint("shuffle_hash"), "token"), "entries")
+    sets = _prefixes(base, heavy, clash, words, least).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "l", "tokens", "bits")])
+    sets = scratch.written(sets, "prefixes")
+    bits = [F.col("bits")[k].alias(x) for k, x in enumerate(_BITS)]
+    entry = sets.select("node", "n", "l", *bits, F.posexplode("tokens").alias("pos", "token"))
+    shared = scratch.written(sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
+    entry = scratch.written(entry.join(sized(shared, other="shuffle_hash"), "token", "left_semi"), "entries")
+    scratch.drop(sets, shared)
 
     # first round: each shingle's sets against its pivot
-    pivots = written(entry.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("p")).select("token", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "pivots")
-    n_pivots = pivots.count()
-    met = entry.join(sized(pivots, n_pivots), "token").where("node != p_node").where(_may_link("", "p_", least, F.lit(1)))
-    links = _verified(met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), base, classes, words, least)
+    seat = F.struct("pos", "n", "node", "l", *_BITS)
+    pivots = scratch.written(entry.groupBy("token").agg(F.min(seat).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("pos", "n", "node", "l", *_BITS)]), "pivots")
+    fewer = F.least("l", "p_l")
+    met = entry.join(sized(pivots), "token").where("node != p_node").where(_may_link("", "p_", least, fewer))
+    pairs = met.groupBy(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(fewer).alias("need")).where("k >= need")
+    tried = scratch.written(pairs.select("a", "b"), "tried")
+    links = _verified(tried, base, classes, words, least, scratch)
 
     # the groups that these links form
-    label = written(components(links).withColumnRenamed("root", "label"), "label")
+    label = components(links).withColumnRenamed("root", "label")
     n_label = label.count()
 
-    # second round: sets of one shingle whose labels differ, one of them other than the pivot's
-    named = entry.join(sized(label, n_label), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # second round: sets of one shingle whose labels differ; one of them isn't labelled as the pivot is
     own = label.select(F.col("node").alias("p_node"), F.col("label").alias("p_label"))
-    center = pivots.join(sized(own, n_label), "p_node", "left").select("token", "p_node", F.coalesce("p_label", "p_node").alias("p_label"))
-    named = written(named.join(sized(center, n_pivots), "token"), "named").where("node != p_node")
-    odd = named.where("label != p_label")
-    n_odd = odd.count()
-    left = odd.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "l", "pos", "label")])
-    right = named.select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "l", "pos", "label")], (F.col("label") != F.col("p_label")).alias("b_odd"))
+    center = scratch.written(pivots.select("token", "p_node").join(sized(own, n_label), "p_node", "left").select("token", F.coalesce("p_label", "p_node").alias("p_label")), "centers")
+    scratch.drop(pivots)
+    labelled = entry.join(sized(label, n_label), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = scratch.written(labelled.join(sized(center), "token").withColumn("odd", F.col("label") != F.col("p_label")).drop("p_label"), "labelled")
+    scratch.drop(entry, center)
+    columns = ("node", "n", "l", "pos", "label", *_BITS)
+    left = labelled.where("odd").select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = labelled.select("token", "odd", *[F.col(c).alias(f"b_{c}") for c in columns])
     fewer = F.least("a_l", "b_l")
-    once = ~F.col("b_odd") | (F.col("a_node") < F.col("b_node"))
-    met = right.join(F.broadcast(left) if n_odd <= BROADCAST_ROWS // 4 else left.hint("merge"), "token").where((F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", least, fewer))
+    once = ~F.col("odd") | (F.col("a_node") < F.col("b_node"))
+    met = right.join(sized(left), "token").where((F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", least, fewer))
     pairs = met.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(fewer).alias("need")).where("k >= need")
-    links = links.union(_verified(pairs.select("a", "b"), base, classes, words, least))
-
-    roots = components(links)
-    grouped = written(classes.join(roots.hint("merge"), "node"), "roots")
-    smallest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = grouped.join(smallest.hint("merge"), "root").select("node", "component_id")
-    found = classes.join(linked.hint("merge"), "node", "left")
-    found = written(found.select("node", F.coalesce("component_id", "rep").alias("component_id")), "groups")
+    more = scratch.written(pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    scratch.drop(labelled, tried)
+    links = links.union(_verified(more, base, classes, words, least, scratch))
+
+    # all rows of a group take its smallest id; sets of one row that link with nothing need no entry
+    grouped = scratch.written(classes.select("node", "rep.id", "n_rows").join(components(links).hint("merge"), "node", "left"), "grouped")
+    smallest = grouped.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    smallest = scratch.written(smallest, "smallest")
+    found = grouped.where("root is not null or n_rows > 1").join(sized(smallest), "root", "left")
+    found = written(found.select("node", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("grouped")), "groups")
+    scratch.drop()
     return rows.join(sized(found), "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("mark").alias("text_mark")
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("mark").alias("text_mark")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """The rows of `docs`, all columns, whose id is their group's: one document of each group stays."""
+    """The rows of `docs`, all columns, whose id is their group's: one document of each group stays. Null, empty and
+    blank texts stay; rows that repeat the id and text that stays, stay with it."""
     i, m = clear_name(docs, "lost_id"), clear_name(docs, "lost_mark")
     groups = near_groups(docs, id_col, text_col, words, least).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
     lost = written(groups.select(F.col(id_col).alias(i), F.col("text_mark").alias(m)).distinct(), "lost")

@@ -358,12 +358,33 @@ def test_shingles(texts, monkeypatch):
 def test_prefix_choice():
     ones = np.ones(100, np.int64)
     assert jaccard_join.choose_prefix(ones, 100, (80, 100)) == (1, 21)
-    hot = np.r_[np.full(2, 1000), np.ones(98, np.int64)]
-    k, length = jaccard_join.choose_prefix(hot, 100, (80, 100))
-    assert k == jaccard_join.MOST_MATCHES and length == 20 + k
+    k, length = jaccard_join.choose_prefix(np.full(100, 1000), 100, (80, 100))
+    assert k > 4 and length == 20 + k  # all shingles are frequent: many matches are asked for
+    later = np.r_[np.ones(25, np.int64), np.full(75, 1000)]
+    assert jaccard_join.choose_prefix(later, 100, (80, 100))[0] == 1
     assert jaccard_join.choose_prefix(np.array([500]), 1, (80, 100)) == (1, 1)
 
 
+def test_bit_sets_bound_the_difference():
+    rng = np.random.default_rng(12)
+    for n in (1, 30, 900):
+        whole = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for share in (0.05, 0.5):
+            part = whole[rng.random(len(whole)) >= share]
+            bits = sum(int(x).bit_count() for x in (jaccard_join.bit_set(whole) ^ jaccard_join.bit_set(part)).view(np.uint64))
+            assert bits <= len(whole) - len(part) and (n > 30 or bits >= (len(whole) - len(part)) * 0.8 - 1)
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Thue-Morse words and their complements, which share every polynomial hash modulo 2**64, are no copies."""
+    docs = []
+    for k, n in enumerate((64, 1024, 4096)):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        docs += [(2 * k, "".join("ab"[b] for b in bits)), (2 * k + 1, "".join("ba"[b] for b in bits))]
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {i: i for i in range(6)}
+    assert len({jaccard_join.shingles(t, 5)[0] for _, t in docs}) == 6
+
+
 def test_components_are_the_smallest_reachable(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (5, 5)], "a long, b long")
     assert {(r.node, r.root) for r in jaccard_join.components(links).collect()} == {(i, 0) for i in range(41)} | {(90, 90), (95, 90), (100, 90)}
