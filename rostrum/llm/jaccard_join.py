@@ -1,20 +1,23 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the groups that its links form.
 
-A document is its set of distinct word shingles. All sets are read in one global order (single shingles by hash, then
-those that recur by their count), so two sets that overlap enough must share shingles near their
-beginnings: with n shingles and a least overlap o, the first n - o + l hold at least l shared ones. Every document
-chooses its own l: the counts of its first shingles give the work of scanning them and, divided by l, a bound on the
-documents that share l of them; the cheapest l wins. A pair must share as many as the smaller l of the two.
+A document is its set of distinct word shingles. All sets are read in one global order: first the shingles whose hash
+lies in a slice of the hash space a little wider than a prefix needs, single ones before those that recur, by their
+count over all documents; then the others. Two sets that overlap enough must share shingles near their beginnings:
+with n shingles and a least overlap o, the first n - o + l hold at least l shared ones. Every document chooses its own
+l: the counts of its first shingles give the work of scanning them and, divided by l, a bound on the documents that
+share l of them; the cheapest l wins. A pair must share as many as the smaller l of the two.
 
 Entries of the prefix index carry a bit set of the whole document: bit h(s) is flipped by every shingle s. Sets that
 differ in d shingles differ in at most d bits, so the bits bound the overlap from above inside the join on shingles,
 and pairs that are too far apart never leave it. That matters within groups of near copies, whose members share most
 shingles without all being similar enough.
 
-Groups of near copies would give a square of pairs. So the search has two rounds. In the first, each shingle's
-documents meet only its pivot, the document with the fewest rarer shingles. The groups that the links form give
-labels. In the second, documents of a shingle meet only where their labels differ: pairs inside a group are never
-listed, and none between groups is lost. Candidates are verified on the words of the whole texts. Equal sets are one
+Groups of near copies would give a square of pairs. So the search has three rounds. In the first, each shingle's
+documents meet only its pivot, the one with the fewest shingles that are rare beside its others, which is the middle of
+its group as a rule. The groups that the links form give labels. In the second, a frequent
+shingle's documents meet a few drawn from those that have its most common label, and more groups grow together. In
+the third, documents of a shingle meet all whose label differs, one of the two not having the most common one: pairs
+inside a group are never listed, and none between groups is lost. Candidates are verified on the words of the whole texts. Equal sets are one
 node throughout; groups are joined by alternating large-star and small-star steps (Kiveris et al., 2014).
 """
 
@@ -36,6 +39,8 @@ WORDS, LEAST, CANDIDATE = 5, (80, 100), 4
 HEAVY = 1 << 20
 #: 64-bit parts of the bit set that stands for a document in the join.
 PARTS = 8
+#: A shingle of BUSY documents takes part in the second round; DRAWN of them are drawn.
+BUSY, DRAWN = 16, 4
 
 #: Bytes of text hashed together; bytes of a word that are hashed as lanes of eight.
 CHUNK, LANES = 1 << 20, 64
@@ -147,6 +152,12 @@ def _least_overlap(n: int, least: tuple[int, int]) -> int:
     return -(-least[0] * n // least[1])
 
 
+def _slice_end(least: tuple[int, int]) -> int:
+    """The hash below which shingles are counted: a share of the hash space a third over what a prefix needs."""
+    share = min(1.0, 4 / 3 * (1 - least[0] / least[1]) + 0.07)
+    return int(share * ((1 << 64) - 1)) - (1 << 63)
+
+
 def choose_prefix(ordered_counts: np.ndarray, n: int, least: tuple[int, int]) -> tuple[int, int]:
     """(l, prefix length): the l whose scan and candidates are estimated to cost least."""
     need = _least_overlap(n, least)
@@ -156,14 +167,15 @@ def choose_prefix(ordered_counts: np.ndarray, n: int, least: tuple[int, int]) ->
 
 
 def _sets(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """(id, mark, n, hi, lo, first): size and name of each row's set (null where it is empty), and the beginning of
-    the set in the order of hashes."""
+    """(id, mark, n, hi, lo, first): size and name of each row's set (null where it is empty), and its shingles in
+    the slice that is counted."""
+    end = _slice_end(least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
             sets = list(shingle_sets(batch["text"], words))
             names = [_name(s) if len(s) else (None, None) for s in sets]
-            first = [s[: len(s) - _least_overlap(len(s), least) + 1] if len(s) else s for s in sets]
+            first = [s[: np.searchsorted(s, end)] for s in sets]
             yield pd.DataFrame({
                 "id": batch["id"], "mark": batch["mark"], "n": [len(s) for s in sets],
                 "hi": pd.array([h for h, _ in names], "Int64"), "lo": pd.array([x for _, x in names], "Int64"), "first": first,
@@ -174,7 +186,9 @@ def _sets(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], clash: set[int], words: int, least: tuple[int, int]) -> DataFrame:
-    """(node, n, l, tokens, bits): each row's prefix, heavy shingles last."""
+    """(node, n, l, rare, lack, tokens, bits): each row's prefix in the global order; of its counted shingles, those
+    that are rare beside its median one or that no other row has, and minus the number of the others."""
+    end, last = _slice_end(least), np.iinfo(np.int64).max
     held = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,17 +198,22 @@ def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], clash: set[
             for s in shingle_sets(batch["text"], words):
                 if not len(s):
                     continue
-                c = np.ones(len(s), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    c = np.where(names[at] == s, counts[at], 1)
+                counted = int(np.searchsorted(s, end))
+                c = np.full(len(s), last)
+                c[:counted] = 1
+                if len(names) and counted:
+                    at = np.minimum(np.searchsorted(names, s[:counted]), len(names) - 1)
+                    c[:counted] = np.where(names[at] == s[:counted], counts[at], 1)
                 order = np.argsort(c, kind="stable")
-                k, length = choose_prefix(c[order], len(s), least)
+                c = c[order]
+                c[counted:] = c[counted - 1] if counted else 1  # not known
+                k, length = choose_prefix(c, len(s), least)
                 hi, lo = _name(s)
-                rows.append((lo if hi in clash else hi, len(s), k, s[order[:length]], bit_set(s)))
-            yield pd.DataFrame(rows, columns=["node", "n", "l", "tokens", "bits"])
+                rare = int((c[:counted] < max(2, c[counted // 2] / 4)).sum())
+                rows.append((lo if hi in clash else hi, len(s), k, rare, rare - counted, s[order[:length]], bit_set(s)))
+            yield pd.DataFrame(rows, columns=["node", "n", "l", "rare", "lack", "tokens", "bits"])
 
-    return docs.select("text").mapInPandas(run, "node long, n int, l int, tokens array<long>, bits array<long>")
+    return docs.select("text").mapInPandas(run, "node long, n int, l int, rare int, lack int, tokens array<long>, bits array<long>")
 
 
 def _threshold(counts: DataFrame) -> int:
@@ -225,6 +244,28 @@ def _may_link(a: str, b: str, least: tuple[int, int], matches: Column) -> Column
     return sizes & places & (differ <= na + nb - 2 * need)
 
 
+def _enough(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a < b) whose prefixes share as many shingles as the smaller of their l."""
+    pairs = scratch.written(pairs, "met")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("l").alias(f"l_{x}"), F.col("tokens").alias(f"t_{x}")).hint("merge")
+    enough = F.size(F.array_intersect("t_a", "t_b")) >= F.least("l_a", "l_b")
+    kept = scratch.written(pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b"), "enough")
+    scratch.drop(pairs)
+    return kept
+
+
+def _labelled(entry: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """The entries of shingles whose sets have different labels, with their label, whether it isn't the shingle's most
+    common one (odd), and the shingle's number of entries (total)."""
+    own = entry.join(sized(roots.withColumnRenamed("root", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tally = own.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    center = tally.groupBy("token").agg(F.max_by("label", "n").alias("center"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    center = scratch.written(center, "centers")
+    out = scratch.written(own.join(sized(center), "token").withColumn("odd", F.col("label") != F.col("center")).drop("center"), "labelled")
+    scratch.drop(center)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: tuple[int, int], scratch: Scratch) -> DataFrame:
     """The pairs (a < b) whose whole sets of shingles, compared word by word, are similar enough."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -300,34 +341,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
     classes = scratch.written(rows.where("node is not null").groupBy("node").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("n_rows")), "classes")
 
-    sets = _prefixes(base, heavy, clash, words, least).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "l", "tokens", "bits")])
+    sets = _prefixes(base, heavy, clash, words, least).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "l", "rare", "lack", "tokens", "bits")])
     sets = scratch.written(sets, "prefixes")
     bits = [F.col("bits")[k].alias(x) for k, x in enumerate(_BITS)]
-    entry = sets.select("node", "n", "l", *bits, F.posexplode("tokens").alias("pos", "token"))
+    entry = sets.select("node", "n", "l", "rare", "lack", *bits, F.posexplode("tokens").alias("pos", "token"))
     shared = scratch.written(sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
     entry = scratch.written(entry.join(sized(shared, other="shuffle_hash"), "token", "left_semi"), "entries")
-    scratch.drop(sets, shared)
-
-    # first round: each shingle's sets against its pivot
-    seat = F.struct("pos", "n", "node", "l", *_BITS)
-    pivots = scratch.written(entry.groupBy("token").agg(F.min(seat).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("pos", "n", "node", "l", *_BITS)]), "pivots")
-    fewer = F.least("l", "p_l")
-    met = entry.join(sized(pivots), "token").where("node != p_node").where(_may_link("", "p_", least, fewer))
-    pairs = met.groupBy(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(fewer).alias("need")).where("k >= need")
-    tried = scratch.written(pairs.select("a", "b"), "tried")
+    scratch.drop(shared)
+
+    # first round: each shingle's sets of about one size against their pivot; sizes are banded twice, half a band apart
+    band = F.log(F.col("n").cast("double")) / float(np.log(least[1] / least[0]))
+    bands = F.array(2 * F.floor(band), 2 * F.floor(band + 0.5) + 1).cast("array<int>")
+    banded = entry.withColumn("band", F.explode(bands))
+    seat = F.struct("rare", "lack", "node", "n", "l", "pos", *_BITS)
+    chosen = banded.groupBy("token", "band").agg(F.min(seat).alias("p"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    pivots = scratch.written(chosen.select("token", "band", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("pos", "n", "node", "l", *_BITS)]), "pivots")
+    met = banded.join(sized(pivots), ["token", "band"]).where("node != p_node").where(_may_link("", "p_", least, F.least("l", "p_l")))
+    tried = _enough(met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), sets, scratch)
     links = _verified(tried, base, classes, words, least, scratch)
+    label = components(links)
+    scratch.drop(pivots)
 
-    # the groups that these links form
-    label = components(links).withColumnRenamed("root", "label")
-    n_label = label.count()
+    # second round: where a shingle has many sets, those without its most common label against a few that have it
+    labelled = _labelled(entry, label, scratch)
+    busy = labelled.where(F.col("total") >= BUSY)
+    draws = [F.max_by("node", F.xxhash64("node", "token", F.lit(k))).alias(f"d{k}") for k in range(DRAWN)]
+    drawn = busy.where(~F.col("odd")).groupBy("token").agg(*draws).select("token", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWN)]))).alias("node"))
+    seats = scratch.written(busy.join(drawn.hint("merge"), ["token", "node"]).select("token", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "l", "pos", "label", *_BITS)]), "seats")
+    met = busy.where("odd").join(sized(seats), "token").where((F.col("label") != F.col("p_label")) & _may_link("", "p_", least, F.least("l", "p_l")))
+    met = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+    more = _enough(met, sets, scratch)
+    links = links.union(_verified(more, base, classes, words, least, scratch))
+    tried = tried.union(more)
+    scratch.drop(sets, labelled, seats)
 
-    # second round: sets of one shingle whose labels differ; one of them isn't labelled as the pivot is
-    own = label.select(F.col("node").alias("p_node"), F.col("label").alias("p_label"))
-    center = scratch.written(pivots.select("token", "p_node").join(sized(own, n_label), "p_node", "left").select("token", F.coalesce("p_label", "p_node").alias("p_label")), "centers")
-    scratch.drop(pivots)
-    labelled = entry.join(sized(label, n_label), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = scratch.written(labelled.join(sized(center), "token").withColumn("odd", F.col("label") != F.col("p_label")).drop("p_label"), "labelled")
-    scratch.drop(entry, center)
+    # third round: sets of one shingle whose labels differ; one of them hasn't the shingle's most common label
+    labelled = _labelled(entry, components(links), scratch)
+    scratch.drop(entry)
     columns = ("node", "n", "l", "pos", "label", *_BITS)
     left = labelled.where("odd").select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
     right = labelled.select("token", "odd", *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -335,12 +385,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = ~F.col("odd") | (F.col("a_node") < F.col("b_node"))
     met = right.join(sized(left), "token").where((F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", least, fewer))
     pairs = met.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(fewer).alias("need")).where("k >= need")
-    more = scratch.written(pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    scratch.drop(labelled, tried)
-    links = links.union(_verified(more, base, classes, words, least, scratch))
+    rest = scratch.written(pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    links = links.union(_verified(rest, base, classes, words, least, scratch))
+    scratch.drop(labelled)
+    roots = components(links)
 
     # all rows of a group take its smallest id; sets of one row that link with nothing need no entry
-    grouped = scratch.written(classes.select("node", "rep.id", "n_rows").join(components(links).hint("merge"), "node", "left"), "grouped")
+    grouped = scratch.written(classes.select("node", "rep.id", "n_rows").join(roots.hint("merge"), "node", "left"), "grouped")
     smallest = grouped.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
     smallest = scratch.written(smallest, "smallest")
     found = grouped.where("root is not null or n_rows > 1").join(sized(smallest), "root", "left")
