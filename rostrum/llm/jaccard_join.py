@@ -36,7 +36,7 @@ from rostrum.llm.shared import Scratch, clear_name, pieces, sized, written
 #: Words of a shingle; the least similarity as a fraction; cost of a candidate in scanned entries.
 WORDS, LEAST, CANDIDATE = 5, (80, 100), 4
 #: Most shingles whose counts are kept by name: the most frequent ones (16 bytes each, broadcast).
-HEAVY = 1 << 20
+HEAVY = 1 << 18
 #: 64-bit parts of the bit set that stands for a document in the join.
 PARTS = 8
 #: A shingle of BUSY documents takes part in the second round; DRAWN of them are drawn.

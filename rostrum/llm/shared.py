@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rostrum.session import shared_folder
 
 #: Bytes up to which a counted table is broadcast; beyond it, the join shuffles.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 16 << 20
 #: Rows and characters of text that a task works on at a time.
 PIECE_ROWS, PIECE_CHARS = 1024, 1 << 20
 
