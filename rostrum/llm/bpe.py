@@ -7,13 +7,13 @@ first. The longest such chain, in bytes, is the sufficient lookahead: a token th
 the bytes seen stays the same whatever follows. The transducer keeps that many bytes, emits what is stable and drops
 it. (Streaming tokenisation of this kind is described by Berglund and van der Merwe, "Formalizing BPE Tokenization".)
 
-Text is cut into pre-tokens by the tokenizer's pattern first, one after the other. Most pre-tokens are short words
-and come again, so their ids are kept in a bounded table. Decoding feeds token bytes to an incremental UTF-8 decoder.
+A text is one stream: its pre-tokens, cut by the tokenizer's pattern, go through the transducer one after the other,
+and the end of a pre-token settles what is open. What the transducer said for a pre-token is remembered in a table of
+bounded size, for most come again. Decoding feeds token bytes to an incremental UTF-8 decoder.
 """
 
 from __future__ import annotations
 
-import bisect
 import codecs
 import hashlib
 import heapq
@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes fed to the transducer at once, pre-tokens a task remembers, pre-tokens looked up and characters cut at once.
-PIECE, KNOWN, BLOCK, WINDOW = 1 << 12, 1_000_000, 1 << 18, 1 << 20
-#: Pre-tokens of up to SHORT bytes, which end inside the first piece, are merged SIDE at a time.
-SHORT, SIDE = 48, 1 << 14
+from rostrum.llm.shared import pieces
+
+#: Bytes fed to the transducer at once, pre-tokens looked up and characters cut at once.
+PIECE, BLOCK, WINDOW = 1 << 12, 1 << 16, 1 << 18
+#: Pre-tokens that a task remembers, and bytes of the longest one that it remembers.
+KNOWN, KNOWN_BYTES = 300_000, 64
 
 #: The published pattern of byte-level BPE: contractions, words, numbers, other signs, white space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,22 +91,19 @@ class Merges:
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of `data` taken as a whole: the lowest rank first, from the left."""
-        ids = [self.of_byte[b] for b in data]
+        ids = list(map(self.of_byte.__getitem__, data))
         rank = self.rank
         if len(ids) <= 32:
-            none = (len(self.parts), 0)
+            none = (1 << 32, 0)
             pairs = [rank.get(p, none) for p in zip(ids, ids[1:])]
-            while pairs:
-                best = min(pairs)
-                if best is none:
-                    break
-                i = pairs.index(best)
-                ids[i : i + 2] = [best[1]]
-                del pairs[i]
+            while pairs and (best := min(pairs)) is not none:
+                i, new = pairs.index(best), best[1]
+                ids[i] = new
+                del ids[i + 1], pairs[i]
                 if i < len(pairs):
-                    pairs[i] = rank.get((best[1], ids[i + 1]), none)
+                    pairs[i] = rank.get((new, ids[i + 1]), none)
                 if i:
-                    pairs[i - 1] = rank.get((ids[i - 1], best[1]), none)
+                    pairs[i - 1] = rank.get((ids[i - 1], new), none)
             return ids
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
@@ -125,82 +124,6 @@ class Merges:
         return [t for t, g in zip(ids, gone) if not g]
 
 
-class Together:
-    """Merges many short byte strings at once: one row of token ids each, one merge per row and step."""
-
-    def __init__(self, merges: Merges):
-        self.merges, self.none = merges, len(merges.parts)
-        self.new = np.array([ab for _, _, ab in merges.parts] + [0], np.int32)
-        self.of_byte = np.array([-1 if i is None else i for i in merges.of_byte], np.int32)
-        self.bits = max(4, (8 * len(merges.parts)).bit_length())
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
-        key = np.array([(a << 24) | b for a, b, _ in merges.parts], np.int64)
-        left, slot = np.arange(len(key)), self._slot(key)
-        while len(left):  # each round places the first key of every free slot, the others move on by one
-            free = self.keys[slot[left]] < 0
-            _, first = np.unique(np.where(free, slot[left], -1 - np.arange(len(left))), return_index=True)
-            placed = left[first][free[first]]
-            self.keys[slot[placed]], self.ranks[slot[placed]] = key[placed], placed
-            left = np.setdiff1d(left, placed)
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank of each pair, `none` where it isn't in the list or a side is missing (negative)."""
-        key = (a.astype(np.int64) << 24) | b
-        key[(a < 0) | (b < 0)] = -2
-        slot = self._slot(key)
-        held = self.keys[slot]
-        out = np.where(held == key, self.ranks[slot], self.none)
-        on = np.flatnonzero((held != key) & (held >= 0))
-        while len(on):
-            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
-            held = self.keys[slot[on]]
-            hit = held == key[on]
-            out[on[hit]] = self.ranks[slot[on[hit]]]
-            on = on[~hit & (held >= 0)]
-        return out
-
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after the other, number of tokens of each word)."""
-        size = np.array([len(w) for w in words])
-        ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), size)
-        # the last token of a word has no pair
-        ranks = np.full(len(ids), self.none, np.int32)
-        inner = np.flatnonzero(word[:-1] == word[1:])
-        ranks[inner] = self.rank(ids[inner], ids[inner + 1])
-        done_ids, done_words = [], []
-        while len(ids):
-            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            lengths = np.diff(np.r_[start, len(ids)])
-            best = np.repeat(np.minimum.reduceat(ranks, start), lengths)
-            live = best < self.none
-            if not live.all():
-                done_ids.append(ids[~live])
-                done_words.append(word[~live])
-                ids, word, ranks, best = ids[live], word[live], ranks[live], best[live]
-                if not len(ids):
-                    break
-            at = np.flatnonzero(ranks == best)
-            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]  # the leftmost of each word
-            ids[at] = self.new[ranks[at]]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            at = at - np.arange(len(at))  # where it stands when the right parts are gone
-            ids, word, ranks = ids[keep], word[keep], ranks[keep]
-            ranks[at] = self.none
-            right = at[np.r_[word, -1][at + 1] == word[at]]
-            ranks[right] = self.rank(ids[right], ids[right + 1])
-            left = at[(at > 0) & (word[at - 1] == word[at])] - 1
-            ranks[left] = self.rank(ids[left], ids[left + 1])
-        ids, word = np.concatenate(done_ids), np.concatenate(done_words)
-        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
-
-
 class Flat:
     """Byte strings or id lists in one array; gather() concatenates the chosen ones."""
 
@@ -229,7 +152,7 @@ class Flat:
 
 
 class Transducer:
-    """Bytes of one pre-token in, stable token ids out; it never holds more than PIECE plus the lookahead."""
+    """Bytes of a text in, stable token ids out; it never holds more than PIECE plus the lookahead."""
 
     def __init__(self, merges: Merges):
         self.merges, self.open = merges, b""
@@ -249,9 +172,16 @@ class Transducer:
         return out
 
     def finish(self) -> list[int]:
+        """The end of a pre-token: nothing that follows can change what is open."""
         rest, self.open = self.merges.merge(self.open), b""
         return rest
 
+    def pretoken(self, data: bytes) -> list[int]:
+        out = []
+        for at in range(0, len(data), PIECE):
+            out += self.push(data[at : at + PIECE])
+        return out + self.finish()
+
 
 def narrow_pattern() -> re.Pattern:
     """The pattern for texts below U+0100, with its classes written out: the standard library is faster there."""
@@ -261,14 +191,14 @@ def narrow_pattern() -> re.Pattern:
 
 
 class Tokenizer:
-    """Streams of token ids from texts. `known` numbers the pre-tokens seen, `ids` has their tokens; both are emptied
-    when full."""
+    """Streams of token ids from texts. `known` numbers the pre-tokens remembered, `ids` has their tokens; both are
+    emptied when full."""
 
     _joint = re.compile(r"(?<=\S) (?=\S)")
     _wide = re.compile(r"[^\x00-\xff]")
 
     def __init__(self, merges: Merges):
-        self.merges, self.together = merges, Together(merges)
+        self.merges, self.stream = merges, Transducer(merges)
         self.general, self.narrow = regex.compile(_PATTERN), narrow_pattern()
         self.special = re.compile("|".join(re.escape(s) for s in sorted(merges.special, key=len, reverse=True))) if merges.special else None
         self._forget()
@@ -278,20 +208,10 @@ class Tokenizer:
         self.ids = Flat(np.array([*self.merges.special.values()], np.int32), np.ones(len(self.known), np.int64))
 
     def _learn(self, words: set[str]) -> None:
-        coded = sorted(((w.encode(), w) for w in words), key=lambda x: len(x[0]))
-        short = bisect.bisect_right(coded, SHORT, key=lambda x: len(x[0]))
-        for at in range(0, short, SIDE):
-            self.ids.append(*self.together.merge([b for b, _ in coded[at : min(short, at + SIDE)]]))
-        for data, _ in coded[short:]:
-            found = self._streamed(data)
-            self.ids.append(np.array(found, np.int32), np.array([len(found)]))
-        self.known.update(zip((w for _, w in coded), range(len(self.known), len(self.known) + len(coded))))
-
-    def _streamed(self, data: bytes) -> list[int]:
-        stream, out = Transducer(self.merges), []
-        for at in range(0, len(data), PIECE):
-            out += stream.push(data[at : at + PIECE])
-        return out + stream.finish()
+        """Send each of `words` through the transducer and remember what it says."""
+        found = [self.stream.pretoken(w.encode()) for w in words]
+        self.ids.append(np.array([*itertools.chain.from_iterable(found)], np.int32), np.array([len(f) for f in found], np.int64))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
     def _cut(self, text: str) -> Iterator[str]:
         """Parts of about WINDOW characters; a cut goes before a blank that stands between other signs, where a
@@ -308,14 +228,20 @@ class Tokenizer:
         if self.special and any(s in text for s in self.merges.special):
             for m in self.special.finditer(text):
                 for part in self._cut(text[at : m.start()]):
-                    yield self._pretokens(part)
+                    yield from self._pretokens(part)
                 yield [m[0]]
                 at = m.end()
         for part in self._cut(text[at:] if at else text):  # each side of a special token is a text of its own
-            yield self._pretokens(part)
+            yield from self._pretokens(part)
 
-    def _pretokens(self, part: str) -> list[str]:
-        return (self.general if self._wide.search(part) else self.narrow).findall(part)
+    def _pretokens(self, part: str) -> Iterator[list[str]]:
+        pattern = self.general if self._wide.search(part) else self.narrow
+        if len(part) <= 2 * WINDOW:
+            yield pattern.findall(part)
+        else:  # a long part without a joint
+            found = (m[0] for m in pattern.finditer(part))
+            while some := [*itertools.islice(found, BLOCK)]:
+                yield some
 
     def blocks(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(index of the text, ids): blocks of bounded length, the texts in order."""
@@ -337,12 +263,19 @@ class Tokenizer:
             self._forget()
             missing = set(words).difference(self.known)
         if missing:
-            self._learn(missing)
+            self._learn({w for w in missing if len(w) <= KNOWN_BYTES})
+            mark = self.ids.n, self.ids.used
+            self._learn({w for w in missing if len(w) > KNOWN_BYTES})
             found = list(map(self.known.__getitem__, words))
         at, numbers = 0, np.array(found, np.int64)
         for i, own in held:
             yield i, self.ids.gather(numbers[at : at + len(own)])
             at += len(own)
+        if missing:  # long pre-tokens aren't remembered
+            for w in missing:
+                if len(w) > KNOWN_BYTES:
+                    del self.known[w]
+            self.ids.n, self.ids.used = mark
 
 
 class Decoder:
@@ -367,8 +300,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     driver and broadcast (its size is fixed).
 
     A null text counts as empty: no tokens, digests of the empty text. Special tokens in a text become their ids, as
-    the file says. Repeated rows are encoded each; ids, null included, pass through; no rows give no rows. Digests
-    are fed block by block, so a text of any length needs only its own memory. Nothing is shuffled."""
+    the file says. Repeated rows and ties are encoded each; ids, null included, pass through; further columns are
+    ignored; no rows give no rows. Digests are fed block by block, and rows leave after about a megabyte of text, so
+    a text of any length needs only its own memory. Nothing is shuffled."""
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -378,18 +312,18 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         token_bytes, decimals = tok.merges.flat_bytes(), Flat.of([f",{i}".encode() for i in range(tok.merges.size)])
 
         def group(texts: list[str]) -> list[dict]:
-            rows = [{"n_tokens": 0, "ids": [], "ids_hash": hashlib.sha256(), "decoded": "", "text_hash": hashlib.sha256(), "decoder": Decoder(token_bytes)} for _ in texts]
+            rows = [{"n_tokens": 0, "ids": [], "ids_hash": hashlib.sha256(), "decoded": [], "text_hash": hashlib.sha256(), "decoder": Decoder(token_bytes)} for _ in texts]
 
             def said(row: dict, part: str) -> None:
                 if "decoded" in outputs:
-                    row["decoded"] += part
+                    row["decoded"].append(part)
                 if "decoded_sha256" in outputs:
                     row["text_hash"].update(part.encode())
 
             for i, ids in tok.blocks(texts):
                 row = rows[i]
                 if "ids" in outputs:
-                    row["ids"].extend(ids.tolist())
+                    row["ids"].append(ids.astype(np.int32))
                 if "ids_sha256" in outputs and len(ids):
                     row["ids_hash"].update(decimals.gather(ids)[0 if row["n_tokens"] else 1 :])
                 row["n_tokens"] += len(ids)
@@ -398,11 +332,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             for row in rows:
                 said(row, row["decoder"].finish())
                 row |= {"ids_sha256": row["ids_hash"].hexdigest(), "decoded_sha256": row["text_hash"].hexdigest()}
+                row |= {"ids": np.concatenate(row["ids"]) if row["ids"] else np.zeros(0, np.int32), "decoded": "".join(row["decoded"])}
             return [{k: row[k] for k in ("n_tokens", *outputs)} for row in rows]
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"]} | dict(pd.DataFrame(group(texts), columns=["n_tokens", *outputs])))
+            yield pd.DataFrame({"id": batch["id"].to_numpy()} | dict(pd.DataFrame(group(texts), columns=["n_tokens", *outputs])))
 
     schema = f"id {kind}, n_tokens long, " + ", ".join(f"{k} {OUTPUTS[k]}" for k in outputs)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema.rstrip(", ")).withColumnRenamed("id", id_col)

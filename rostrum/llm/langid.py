@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.shared import written
+from rostrum.llm.shared import pieces, written
 
 #: N-gram lengths; hash functions; most rows learned from for each language; most slots of the filter.
 SIZES, HASHES, TRAIN_ROWS, MOST_SLOTS = (3, 4), 3, 5_000, 1 << 24
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, text: Column, lang: Column, train: Column, train_rows
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             for name, group in batch.groupby("lang"):
                 for _, part in chunks(list(group["text"])):
                     h, n = np.unique(grams(part)[0], return_counts=True)
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, score = held.value.predict(list(batch["text"]))
             yield pd.DataFrame({"id": batch["id"], "lang_pred": names, "score": score})
 

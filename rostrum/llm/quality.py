@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm.shared import pieces
+
 #: Most labelled rows learned from (about), opponents drawn for each row of the rarer label, the threshold's score.
 TRAIN_ROWS, OPPONENTS, CUT = 20_000, 20, 0.3
 CHUNK = 1 << 21
@@ -125,17 +127,19 @@ def fit(x: np.ndarray, label: np.ndarray, opponents: int = OPPONENTS, ridge: flo
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train: Column | None = None, train_rows: int = TRAIN_ROWS) -> Ranking:
     """Fit on about `train_rows` labelled documents, chosen by a hash of the id; `train` (over the ids) restricts the
-    rows that labels may be learned from. Ids labelled more than once take their smallest label; null labels and ids
-    don't count. The features of the chosen rows, a bounded number, come to the driver."""
+    rows that labels may be learned from. Ids labelled more than once take their smallest label, ids with more than one
+    text their smallest; null labels and ids don't count. The features of the chosen rows, a bounded number, come to
+    the driver."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     if train is not None:
         known = known.where(train)
     n = known.count()
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, train_rows / max(1, n)) * (1 << 20)))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # one row an id, however often it repeats
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": list(features(list(batch["text"])))})
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -145,12 +149,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: (id_col, score, predicted): predicted is 1 from CUT on. A null text counts as the empty one,
-    which is scored like any other; repeated rows get the same score each; no rows give no rows."""
+    which is scored like any other; very long texts are read whole; repeated rows and ties get the same score each;
+    null ids pass through; further columns are ignored; no rows give no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             s = held.value.scores(list(batch["text"]))
             yield pd.DataFrame({"id": batch["id"], "score": s, "predicted": (s >= CUT).astype(np.int32)})
 

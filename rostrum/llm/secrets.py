@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm.shared import pieces
+
 #: In the order in which spans with the same start are listed. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "ssh")
 
@@ -150,12 +152,13 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: (id_col, spans array<struct<kind,start,end>>), over whole texts.
 
-    Null and empty texts have no spans; repeated rows get the same spans each; ids of any value, null included, pass
-    through; other columns are ignored; no rows give no rows. Nothing is shuffled."""
+    Null and empty texts have no spans; very long texts are scanned whole, a megabyte of shorter ones at a time;
+    repeated rows get the same spans each; ids of any value, null included, pass through; other columns are ignored;
+    no rows give no rows. Nothing is shuffled."""
     kind = docs.select(id_col).schema[0].dataType
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in secret_spans(t or "")] for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "spans": spans})
 

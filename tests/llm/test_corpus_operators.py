@@ -179,6 +179,24 @@ def test_small_tables_and_windows(merges, library, monkeypatch):
     assert encoded(tok, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_whole_documents_stream_through_the_transducer(texts, merges, library, monkeypatch):
+    """Every pre-token of whole documents as bytes into one transducer, a few at a time, nothing remembered."""
+    monkeypatch.setattr(bpe, "PIECE", 3)
+    tok, stream = bpe.Tokenizer(merges), bpe.Transducer(merges)
+    for text in [*texts.values()][:25] + ["x" * 3000 + " " + "ab" * 2000, "no joint\n" * 400, "日本語" * 300]:
+        ids = [i for words in tok._parts(text or "") for w in words for i in stream.pretoken(w.encode())]
+        assert ids == library.encode(text or "", add_special_tokens=False).ids and stream.open == b""
+
+
+def test_long_texts_without_joints(merges, library, monkeypatch):
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    monkeypatch.setattr(bpe, "BLOCK", 16)
+    tok = bpe.Tokenizer(merges)
+    for text in ("line\n" * 300, "q" * 5000, "a1" * 900, "\t\t" * 400 + "end", "wörter\u2003" * 200):
+        assert encoded(tok, text) == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, tok.known), default=0) <= bpe.KNOWN_BYTES
+
+
 def test_encode_awkward(awkward, empty, library):
     rows = bpe.encode(awkward, TOKENIZER, outputs=("ids", "ids_sha256", "decoded", "decoded_sha256")).collect()
     assert len(rows) == awkward.count()
