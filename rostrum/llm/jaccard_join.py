@@ -7,17 +7,17 @@ with n shingles and a least overlap o, the first n - o + l hold at least l share
 l: the counts of its first shingles give the work of scanning them and, divided by l, a bound on the documents that
 share l of them; the cheapest l wins. A pair must share as many as the smaller l of the two.
 
-Entries of the prefix index carry a bit set of the whole document: bit h(s) is flipped by every shingle s. Sets that
+Entries of busy shingles carry a bit set of the whole document: bit h(s) is flipped by every shingle s. Sets that
 differ in d shingles differ in at most d bits, so the bits bound the overlap from above inside the join on shingles,
 and pairs that are too far apart never leave it. That matters within groups of near copies, whose members share most
 shingles without all being similar enough.
 
-Groups of near copies would give a square of pairs. So the search has three rounds. In the first, each shingle's
-documents meet only its pivot, the one with the fewest shingles that are rare beside its others, which is the middle of
-its group as a rule. The groups that the links form give labels. In the second, a frequent
-shingle's documents meet a few drawn from those that have its most common label, and more groups grow together. In
-the third, documents of a shingle meet all whose label differs, one of the two not having the most common one: pairs
-inside a group are never listed, and none between groups is lost. Candidates are verified on the words of the whole texts. Equal sets are one
+Groups of near copies would give a square of pairs. So the search has three rounds. In the first, the documents of a
+busy shingle (BUSY or more) meet only its pivot, the one with the fewest shingles that are rare beside its others, which is the middle of
+its group as a rule. The groups that the links form give labels. In the second, they
+meet a few drawn from those that have its most common label, and more groups grow together. In
+the third, documents of any shingle meet all whose label differs (of a busy one, one of the two hasn't the most common
+label): pairs inside a group are never listed, and none between groups is lost. Candidates are verified on the words of the whole texts. Equal sets are one
 node throughout; groups are joined by alternating large-star and small-star steps (Kiveris et al., 2014).
 """
 
@@ -39,7 +39,7 @@ WORDS, LEAST, CANDIDATE = 5, (80, 100), 4
 HEAVY = 1 << 18
 #: 64-bit parts of the bit set that stands for a document in the join.
 PARTS = 8
-#: A shingle of BUSY documents takes part in the second round; DRAWN of them are drawn.
+#: Sets from which on a shingle is busy, and how many of them the second round draws.
 BUSY, DRAWN = 16, 4
 
 #: Bytes of text hashed together; bytes of a word that are hashed as lanes of eight.
@@ -232,16 +232,31 @@ def _threshold(counts: DataFrame) -> int:
 _BITS = [f"x{k}" for k in range(PARTS)]
 
 
-def _may_link(a: str, b: str, least: tuple[int, int], matches: Column) -> Column:
-    """Bounds for two entries of one shingle (columns n, pos and bit set) of sets that share `matches` of their
-    prefixes: sizes, positions, and the shingles that must differ because so many bits do."""
+def _need(na: Column, nb: Column, least: tuple[int, int]) -> Column:
+    """The least overlap of sets of na and nb shingles that link."""
     num, den = least
+    return F.floor((F.lit(num) * (na + nb) + F.lit(num + den - 1)) / F.lit(num + den))
+
+
+def _differ(a: str, b: str) -> Column:
+    """The number of bits in which the sets of two entries differ."""
+    one, *others = [F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in _BITS]
+    return sum(others, one)
+
+
+def _places(a: str, b: str, least: tuple[int, int], matches: Column) -> Column:
+    """Bounds on sizes and positions for two entries of one shingle (columns n and pos) of sets that share `matches`
+    shingles of their prefixes."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    need = F.floor((F.lit(num) * (na + nb) + F.lit(num + den - 1)) / F.lit(num + den))
-    sizes = F.lit(den) * F.least(na, nb) >= F.lit(num) * F.greatest(na, nb)
-    places = (F.col(f"{a}pos") <= na - need + matches - 1) & (F.col(f"{b}pos") <= nb - need + matches - 1)
-    differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in _BITS[1:]), F.bit_count(F.col(f"{a}{_BITS[0]}").bitwiseXOR(F.col(f"{b}{_BITS[0]}"))))
-    return sizes & places & (differ <= na + nb - 2 * need)
+    need = _need(na, nb, least)
+    sizes = F.lit(least[1]) * F.least(na, nb) >= F.lit(least[0]) * F.greatest(na, nb)
+    return sizes & (F.col(f"{a}pos") <= na - need + matches - 1) & (F.col(f"{b}pos") <= nb - need + matches - 1)
+
+
+def _may_link(a: str, b: str, least: tuple[int, int], matches: Column) -> Column:
+    """The same, and the bound that the bits set on the shingles that differ."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    return _places(a, b, least, matches) & (_differ(a, b) <= na + nb - 2 * _need(na, nb, least))
 
 
 def _enough(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -254,12 +269,17 @@ def _enough(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return kept
 
 
+def _own(entry: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries with their label: the root of their group, or the set itself."""
+    return entry.join(sized(roots.withColumnRenamed("root", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _labelled(entry: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """The entries of shingles whose sets have different labels, with their label, whether it isn't the shingle's most
-    common one (odd), and the shingle's number of entries (total)."""
-    own = entry.join(sized(roots.withColumnRenamed("root", "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """The entries of shingles whose sets have different labels, with their label and whether it isn't the shingle's
+    most common one (odd)."""
+    own = _own(entry, roots)
     tally = own.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    center = tally.groupBy("token").agg(F.max_by("label", "n").alias("center"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    center = tally.groupBy("token").agg(F.max_by("label", "n").alias("center"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
     center = scratch.written(center, "centers")
     out = scratch.written(own.join(sized(center), "token").withColumn("odd", F.col("label") != F.col("center")).drop("center"), "labelled")
     scratch.drop(center)
@@ -343,16 +363,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets = _prefixes(base, heavy, clash, words, least).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "l", "rare", "lack", "tokens", "bits")])
     sets = scratch.written(sets, "prefixes")
-    bits = [F.col("bits")[k].alias(x) for k, x in enumerate(_BITS)]
-    entry = sets.select("node", "n", "l", "rare", "lack", *bits, F.posexplode("tokens").alias("pos", "token"))
-    shared = scratch.written(sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "shared")
-    entry = scratch.written(entry.join(sized(shared, other="shuffle_hash"), "token", "left_semi"), "entries")
+    token = F.explode("tokens").alias("token")
+    shared = scratch.written(sets.select(token).groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("total")).where("total > 1"), "shared")
+    entry = sets.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token")).join(sized(shared, width=20, limit=1 << 25), "token")
+    entry = scratch.written(entry, "entries")
     scratch.drop(shared)
+    few = entry.where(F.col("total") < BUSY)
+    bits = [F.col("bits")[k].alias(x) for k, x in enumerate(_BITS)]
+    busy = scratch.written(entry.where(F.col("total") >= BUSY).join(sets.select("node", "rare", "lack", *bits).hint("merge"), "node"), "busy")
 
-    # first round: each shingle's sets of about one size against their pivot; sizes are banded twice, half a band apart
+    # first round: a busy shingle's sets of about one size against their pivot; sizes are banded twice, half a band apart
     band = F.log(F.col("n").cast("double")) / float(np.log(least[1] / least[0]))
     bands = F.array(2 * F.floor(band), 2 * F.floor(band + 0.5) + 1).cast("array<int>")
-    banded = entry.withColumn("band", F.explode(bands))
+    banded = busy.withColumn("band", F.explode(bands))
     seat = F.struct("rare", "lack", "node", "n", "l", "pos", *_BITS)
     chosen = banded.groupBy("token", "band").agg(F.min(seat).alias("p"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     pivots = scratch.written(chosen.select("token", "band", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("pos", "n", "node", "l", *_BITS)]), "pivots")
@@ -362,32 +385,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = components(links)
     scratch.drop(pivots)
 
-    # second round: where a shingle has many sets, those without its most common label against a few that have it
-    labelled = _labelled(entry, label, scratch)
-    busy = labelled.where(F.col("total") >= BUSY)
+    # second round: those without the shingle's most common label against a few that have it
+    labelled = _labelled(busy, label, scratch)
     draws = [F.max_by("node", F.xxhash64("node", "token", F.lit(k))).alias(f"d{k}") for k in range(DRAWN)]
-    drawn = busy.where(~F.col("odd")).groupBy("token").agg(*draws).select("token", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWN)]))).alias("node"))
-    seats = scratch.written(busy.join(drawn.hint("merge"), ["token", "node"]).select("token", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "l", "pos", "label", *_BITS)]), "seats")
-    met = busy.where("odd").join(sized(seats), "token").where((F.col("label") != F.col("p_label")) & _may_link("", "p_", least, F.least("l", "p_l")))
+    drawn = labelled.where(~F.col("odd")).groupBy("token").agg(*draws).select("token", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWN)]))).alias("node"))
+    seats = scratch.written(labelled.join(drawn.hint("merge"), ["token", "node"]).select("token", *[F.col(c).alias(f"p_{c}") for c in ("node", "n", "l", "pos", "label", *_BITS)]), "seats")
+    met = labelled.where("odd").join(sized(seats), "token").where((F.col("label") != F.col("p_label")) & _may_link("", "p_", least, F.least("l", "p_l")))
     met = met.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = _enough(met, sets, scratch)
     links = links.union(_verified(more, base, classes, words, least, scratch))
     tried = tried.union(more)
-    scratch.drop(sets, labelled, seats)
-
-    # third round: sets of one shingle whose labels differ; one of them hasn't the shingle's most common label
-    labelled = _labelled(entry, components(links), scratch)
-    scratch.drop(entry)
-    columns = ("node", "n", "l", "pos", "label", *_BITS)
-    left = labelled.where("odd").select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = labelled.select("token", "odd", *[F.col(c).alias(f"b_{c}") for c in columns])
+    scratch.drop(labelled, seats)
+
+    # third round: sets of one shingle whose labels differ; of a busy one, one set hasn't its most common label
+    label = components(links)
+    labelled = _labelled(busy, label, scratch)
+    scratch.drop(busy)
     fewer = F.least("a_l", "b_l")
-    once = ~F.col("odd") | (F.col("a_node") < F.col("b_node"))
-    met = right.join(sized(left), "token").where((F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", least, fewer))
-    pairs = met.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(fewer).alias("need")).where("k >= need")
-    rest = scratch.written(pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    renamed = lambda df, x, columns: df.select("token", *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    columns = ("node", "n", "l", "pos", "label", "odd", *_BITS)
+    once = ~F.col("b_odd") | (F.col("a_node") < F.col("b_node"))
+    met = renamed(labelled, "b", columns).join(sized(renamed(labelled.where("odd"), "a", columns)), "token").where((F.col("a_label") != F.col("b_label")) & once & _may_link("a_", "b_", least, fewer))
+    own = scratch.written(_own(few, label), "few")
+    columns = ("node", "n", "l", "pos", "label")
+    pair = renamed(own, "a", columns).join(renamed(own, "b", columns).hint("merge"), "token").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _places("a_", "b_", least, fewer))
+    both = [F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"), fewer.alias("need")]
+    pairs = met.select(*both).union(pair.select(*both)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need")).where("k >= need")
+    rest = scratch.written(pairs.select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti"), "rest")
     links = links.union(_verified(rest, base, classes, words, least, scratch))
-    scratch.drop(labelled)
+    scratch.drop(labelled, own, entry, sets)
     roots = components(links)
 
     # all rows of a group take its smallest id; sets of one row that link with nothing need no entry
