@@ -316,14 +316,14 @@ def components(links: DataFrame) -> DataFrame:
     written tables, so adaptive execution can split the links of a node that has very many."""
     scratch = Scratch(links.sparkSession)
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    links, before = scratch.written(links, "stars"), None
+    links = scratch.written(links, "stars")
     while True:
-        state = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
+        ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not seen.where("up > 1 or (up > 0 and down > 0)").limit(1).count():  # all are stars around their smallest node
             roots = written(links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v")).distinct(), "component")
             scratch.drop()
             return roots
-        before = state
         ways = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.written(ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         wide = ways.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

@@ -39,7 +39,8 @@ def _letters() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the text) of every n-gram: letters lower-cased, each run of other signs one blank, and blanks
-    around the text; n-grams with a blank inside are left out, those at a word's edge stay."""
+    around the text; n-grams with a blank inside are left out, those at a word's edges stay, so every text with a
+    letter has one."""
     low = [f" {t.lower()} " for t in texts]
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     own = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
@@ -59,7 +60,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = own[:m] == own[n - 1 :]
         for j in range(1, n - 1):
             whole &= letter[j : j + m]
-        whole &= letter[:m] | letter[n - 1 :]
         found.append(h[whole])
         index.append(own[:m][whole])
     return (np.concatenate(found), np.concatenate(index)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
@@ -179,9 +179,9 @@ def learn(docs: DataFrame, text: Column, lang: Column, train: Column, train_rows
 
 
 def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: (id_col, lang_pred, score) for the whole text; 'und' and 0 where the text is null or has no
-    letter, or nothing was learned. Repeated rows get the same answer each; other columns aren't looked at; no rows
-    give no rows. The filter is broadcast: its size is bounded by MOST_SLOTS."""
+    """One row per row: (id_col, lang_pred, score) for the whole text, however long; 'und' and 0 where the text is null
+    or has no letter, or nothing was learned. Repeated rows get the same answer each; null ids pass through; other
+    columns aren't looked at; no rows give no rows. The filter is broadcast: its size is bounded by MOST_SLOTS."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 

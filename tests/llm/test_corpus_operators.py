@@ -62,6 +62,34 @@ def test_language_awkward(spark, awkward, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_every_text_with_a_letter_gets_a_language(spark, folder, documents):
+    model = langid.learn(documents, F.col("text"), F.col("lang"), F.lit(True))
+    names, score = model.predict(["a", "I", "a b c", "日", "é 1", "ß", "1 2 3", "", None, " .,;"])
+    assert all(n in model.languages for n in names[:6]) and names[6:] == ["und"] * 4
+    assert ((score >= 0) & (score <= 1)).all() and (score[6:] == 0).all()
+
+
+def test_filter_agrees_with_plain_sets(spark, folder, documents):
+    """The same decision from plain sets of n-grams; the filter differs by its false positives only."""
+    model = langid.learn(documents, F.col("text"), F.col("lang"), F.lit(True))
+    texts = [r.text for r in documents.select("text").limit(150).collect()]
+    counts = {}
+    for r in documents.select("text", "lang").where("text is not null and lang is not null").collect():
+        counts.setdefault(r.lang, Counter()).update(langid.grams([r.text])[0].tolist())
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    top = Counter()
+    for k, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[k] if n >= langid.LEAST_COUNT else 0)
+    kept = {k: {g for g, n in c.items() if n >= langid.LEAST_COUNT and n / total[k] >= langid.LEAST_RATE * top[g]} for k, c in counts.items()}
+    same = 0
+    for text, name in zip(texts, model.predict(texts)[0]):
+        own = langid.grams([text or ""])[0].tolist()
+        best = max(sorted(kept), key=lambda k: sum(g in kept[k] for g in own))
+        same += name == best or not own
+    assert same >= 0.97 * len(texts)
+
+
 def test_long_text_in_parts(monkeypatch):
     text = "the quick brown fox " * 50
     whole = Counter(langid.grams([text])[0].tolist())
