@@ -111,7 +111,7 @@ def repaired_name(c: Column) -> Column:
 
     def piece(p: Column, i: Column) -> Column:
         inner = (i > 0) & (i < n - 1)
-        capital = F.array_join(F.transform(F.split(F.lower(p), "-"), lambda h: F.concat(F.upper(h.substr(1, 1)), F.substring(h, 2, 1000))), "-")
+        capital = F.array_join(F.transform(F.split(F.lower(p), "-"), lambda h: F.concat(F.upper(h.substr(1, 1)), h.substr(F.lit(2), F.length(h)))), "-")
         shouted = p.rlike("^[A-Z'-]{3,}$") & p.rlike("[AEIOUY]")
         return F.when(inner & F.lower(p).isin(*PARTICLES), F.lower(p)).when(shouted, capital).otherwise(p)
 
@@ -321,4 +321,4 @@ def prose(c: Column, pattern: str) -> Column:
 
 def recased(word: Column, known: Column) -> Column:
     """A shouted word in title case, or as `known` says."""
-    return F.coalesce(known, F.when(F.lower(word).isin(*MINOR_WORDS), F.lower(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1000)))))
+    return F.coalesce(known, F.when(F.lower(word).isin(*MINOR_WORDS), F.lower(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(word.substr(F.lit(2), F.length(word))))))

@@ -73,14 +73,16 @@ def edit_distance_join(left: DataFrame, right: DataFrame, left_text: str, right_
 
 def first_rule(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
     """(text, rule_id, short) of the first rule that hits each distinct text. `rules`: (rule_id, needle, is_regex, short);
-    a needle is a substring or a pattern. Each distinct text is matched once against the broadcast rules; a table of
-    over MOST_RULES rules must be split by tier first."""
-    n = rules.count()
-    if n > MOST_RULES:
-        raise ValueError(f"{n} rules are too many to broadcast; match them tier by tier")
+    a needle is a substring or a pattern. Each distinct text is matched against the broadcast rules, MOST_RULES of them
+    at a time."""
+    parts = max(1, -(-rules.count() // MOST_RULES))
     distinct = texts.select(text).where(F.col(text).isNotNull()).distinct()
     hit = (~F.col("is_regex") & F.contains(F.col(text), F.col("needle"))) | (F.col("is_regex") & F.expr(f"`{text}` rlike needle"))
-    return distinct.join(F.broadcast(rules), hit).groupBy(text).agg(F.min(F.struct("rule_id", "short")).alias("best")).select(text, "best.rule_id", "best.short")
+    found = None
+    for k in range(parts):
+        some = distinct.join(F.broadcast(rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k)), hit).select(text, "rule_id", "short")
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy(text).agg(F.min(F.struct("rule_id", "short")).alias("best")).select(text, "best.rule_id", "best.short")
 
 
 def resolve_labels(texts: DataFrame, tiers: Sequence[DataFrame], text: str, fallback: Column) -> DataFrame:

@@ -52,16 +52,24 @@ def suggest(queries: DataFrame, index: DataFrame, query: str, value: str, counts
 def batch_search(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, text: str) -> DataFrame:
     """(query_id, item_id): items whose folded text contains the query's folded text.
 
-    The longest inner word of the query is looked up in an inverted index of the items' words, then the whole phrase is
-    verified. Inner words stand whole in every hit; a query of one or two words must match whole words."""
+    A word of the query is looked up in an inverted index of the items' words, then the whole phrase is verified. The
+    inner words of a query stand whole in every hit, so the longest one is taken. A query of one or two words may lie
+    inside longer words: its longest word is looked up in the distinct words that contain it, found by three signs."""
     folded = lambda df, i: df.select(i, T.squeezed(T.fold(F.col(text))).alias("folded"))
     asked = folded(queries, query_id).withColumn("words", F.split("folded", " "))
     inner = F.when(F.size("words") > 2, F.slice("words", 2, F.size("words") - 2)).otherwise(F.col("words"))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = asked.where("folded != ''").select(query_id, F.col("folded").alias("phrase"), longest.alias("word"))
+    asked = asked.where("folded != ''").select(query_id, F.col("folded").alias("phrase"), longest.alias("word"), (F.size("words") > 2).alias("whole"))
     have = folded(items, item_id)
     postings = have.select(item_id, F.explode(F.array_distinct(F.split("folded", " "))).alias("word"))
-    candidates = postings.join(asked.hint("merge"), "word").select(query_id, "phrase", item_id)
+    vocabulary = postings.select("word").distinct()
+    starts = F.sequence(F.lit(1), F.length("word"))
+    cut = lambda k: F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(k)))
+    grams = vocabulary.where("word != ''").select("word", F.explode(F.array_distinct(F.concat(cut(1), cut(2), cut(3)))).alias("gram"))
+    part = asked.where(~F.col("whole")).select(query_id, "phrase", F.col("word").alias("piece"), F.substring("word", 1, 3).alias("gram"))
+    inside = grams.join(part.hint("merge"), "gram").where(F.contains("word", F.col("piece"))).select(query_id, "phrase", "word")
+    looked_up = asked.where("whole").select(query_id, "phrase", "word").unionByName(inside)
+    candidates = postings.join(looked_up.hint("merge"), "word").select(query_id, "phrase", item_id)
     return candidates.join(have.hint("merge"), item_id).where(F.contains("folded", F.col("phrase"))).select(query_id, item_id).distinct()
 
 
@@ -71,6 +79,12 @@ def hit_counts(postings: DataFrame, short: str, key: str) -> DataFrame:
 
 
 def natural_key(c: Column) -> Column:
-    """Folded text with its runs of digits padded to ten, so that numbers sort by value."""
+    """Folded text whose runs of digits have their length before them and no leading zeros, so that numbers of any
+    length sort by value."""
     parts = F.regexp_extract_all(T.fold(c), F.lit("([0-9]+|[^0-9]+)"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 10, "0")).otherwise(p)), "")
+
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, key), "")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
-from rostrum.operators import aggregates, matching, people, state, windows
+from rostrum.operators import aggregates, matching, people, search, state, windows
 from rostrum.sources import program
 from rostrum.streaming import state as streaming
 
@@ -220,3 +220,32 @@ def test_every_shouted_line_is_recased(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", 60), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.line): r.title.lower() for r in table_queries.f5(spark, str(tmp_path)).collect()}
     assert got == {(1, 1): "great halls of light", (1, 3): "small rooms"}
+
+
+def test_numbers_of_any_length_sort_by_value(spark):
+    names = ["a12345678902", "a12345678901", "a1234567890", "a007", "a8", "b", "a10c2", "a10c10"]
+    got = [r.s for r in spark.createDataFrame([(n,) for n in names], "s string").orderBy(search.natural_key(F.col("s"))).collect()]
+    assert got == ["a007", "a8", "a10c2", "a10c10", "a1234567890", "a12345678901", "a12345678902", "b"]
+
+
+def test_long_words_stay_whole(spark):
+    word = "B" + "A" * 1499
+    row = spark.createDataFrame([(word,)], "s string").select(T.repaired_name(F.col("s")).alias("n"), T.recased(F.col("s"), F.lit(None)).alias("t")).first()
+    assert row.n == row.t == "B" + "a" * 1499
+
+
+def test_batch_search_finds_what_contains_finds(spark):
+    items = {1: "xab cdx and more", 2: "nothing", 3: "Ab  Cd", 4: "cab", 5: "one two three four", 6: "", 7: "a", 8: None, 9: "stone two threes"}
+    asked = {1: "ab cd", 2: "ab", 3: "a", 4: "one two three", 5: "b", 6: "", 7: None, 8: "tone", 9: "two thre", 10: "one two three four"}
+    frame = lambda rows, i: spark.createDataFrame(list(rows.items()), f"{i} long, text string")
+    got = {tuple(r) for r in search.batch_search(frame(asked, "q"), frame(items, "i"), "q", "i", "text").collect()}
+    plain = lambda t: " ".join((t or "").lower().split())
+    assert got == {(q, i) for q, a in asked.items() for i, t in items.items() if plain(a) and plain(a) in plain(t)}
+
+
+def test_rules_in_parts(spark, monkeypatch):
+    rules = spark.createDataFrame([(i, f"w{i}", False, f"s{i}") for i in range(40)] + [(40, "w[0-9]", True, "any")], "rule_id long, needle string, is_regex boolean, short string")
+    texts = spark.createDataFrame([("has w7 and w30",), ("w39 alone",), ("w99",), ("none",)], "t string")
+    whole = {tuple(r) for r in matching.first_rule(texts, rules, "t").collect()}
+    monkeypatch.setattr(matching, "MOST_RULES", 6)
+    assert {tuple(r) for r in matching.first_rule(texts, rules, "t").collect()} == whole == {("has w7 and w30", 3, "s3"), ("w39 alone", 3, "s3"), ("w99", 9, "s9")}
