@@ -71,31 +71,38 @@ def edit_distance_join(left: DataFrame, right: DataFrame, left_text: str, right_
     return left.join(near.withColumnRenamed("a", left_text), left_text).join(right.withColumnRenamed(right_text, "b"), "b").withColumnRenamed("b", right_text)
 
 
-def first_rule(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """(text, rule_id, short) of the first rule that hits each distinct text. `rules`: (rule_id, needle, is_regex, short);
-    a needle is a substring or a pattern. Each distinct text is matched against the broadcast rules, MOST_RULES of them
-    at a time."""
+def _best_rules(distinct: DataFrame, rules: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
+    """(text, best): of the rules that hit each text, the struct of `order` and short that is least, or null. Texts are
+    read once and matched against the broadcast rules, MOST_RULES of them at a time."""
     parts = max(1, -(-rules.count() // MOST_RULES))
-    distinct = texts.select(text).where(F.col(text).isNotNull()).distinct()
     hit = (~F.col("is_regex") & F.contains(F.col(text), F.col("needle"))) | (F.col("is_regex") & F.expr(f"`{text}` rlike needle"))
     found = None
     for k in range(parts):
-        some = distinct.join(F.broadcast(rules.where(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == k)), hit).select(text, "rule_id", "short")
-        found = some if found is None else found.unionByName(some)
-    return found.groupBy(text).agg(F.min(F.struct("rule_id", "short")).alias("best")).select(text, "best.rule_id", "best.short")
+        some = rules if parts == 1 else rules.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k)
+        one = distinct.join(F.broadcast(some), hit, "left").select(text, F.when(F.col("needle").isNotNull(), F.struct(*order, "short")).alias("best"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy(text).agg(F.min("best").alias("best"))
+
+
+def first_rule(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """(text, rule_id, short) of the first rule that hits each distinct text. `rules`: (rule_id, needle, is_regex, short);
+    a needle is a substring or a pattern."""
+    distinct = texts.select(text).where(F.col(text).isNotNull()).distinct()
+    return _best_rules(distinct, rules, text, ["rule_id"]).where("best is not null").select(text, "best.rule_id", "best.short")
 
 
 def resolve_labels(texts: DataFrame, tiers: Sequence[DataFrame], text: str, fallback: Column) -> DataFrame:
-    """(text, short, tier): the first tier with a rule that hits, in order, else the fallback (tier null). Later tiers
-    only see what earlier ones left."""
-    rest = texts.select(text).where(F.col(text).isNotNull()).distinct()
-    done = None
-    for k, rules in enumerate(tiers):
-        hit = first_rule(rest, rules, text).select(text, "short", F.lit(k).alias("tier"))
-        done = hit if done is None else done.unionByName(hit)
-        rest = rest.join(hit, text, "left_anti")
-    last = rest.select(text, fallback.alias("short"), F.lit(None).cast("int").alias("tier"))
-    return last if done is None else done.unionByName(last)
+    """(text, short, tier): of the first tier with a rule that hits, in order, the first rule's label, else the fallback
+    (tier null). All tiers are matched in one pass over the distinct texts."""
+    distinct = texts.select(text).where(F.col(text).isNotNull()).distinct()
+    if not tiers:
+        return distinct.select(text, fallback.alias("short"), F.lit(None).cast("int").alias("tier"))
+    rules = None
+    for k, tier in enumerate(tiers):
+        own = tier.select(F.lit(k).alias("tier"), "rule_id", "needle", "is_regex", "short")
+        rules = own if rules is None else rules.unionByName(own)
+    found = _best_rules(distinct, rules, text, ["tier", "rule_id"])
+    return found.select(text, F.when(F.col("best").isNull(), fallback).otherwise(F.col("best.short")).alias("short"), F.col("best.tier").alias("tier"))
 
 
 def unreachable_rules(rules: DataFrame) -> DataFrame:
