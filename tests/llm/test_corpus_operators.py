@@ -592,16 +592,31 @@ def test_decontamination_awkward_and_native(spark, awkward, empty, folder):
 # 10: exact dedup
 
 
-def test_filters_merge_without_loss():
-    rng = np.random.default_rng(8)
-    for bits, block_bits in ((4, 2), (20, 3)):
-        values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
-        values = np.concatenate([values, values[:500], values[:100], np.array([0, 0, 2**64 - 1], np.uint64)])
-        parts = [exact_dedup.CountingQuotientFilter.of(p, bits) for p in np.array_split(rng.permutation(values), 5)]
-        whole = exact_dedup.CountingQuotientFilter.merged(parts)
-        want = Counter(values.tolist())
-        assert dict(zip(whole.fingerprints().tolist(), whole.counts.tolist())) == want
-        assert sum(x.counts.sum() for _, x in whole.blocks(block_bits)) == len(values)
+@pytest.mark.parametrize("bits", [16, 30, 57, 63])
+def test_filters_merge_without_loss(bits):
+    rng = np.random.default_rng(bits)
+    values = rng.integers(0, 1 << bits, 3000, dtype=np.uint64)
+    top = np.uint64((1 << bits) - 1)
+    values = np.concatenate([values, values[:500], values[:100], np.full(70_000, values[7]), np.array([0, 0, 1, 1, 1, top, top], np.uint64)])
+    parts = [exact_dedup.CountingQuotientFilter.of(p, bits) for p in np.array_split(rng.permutation(values), 5)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.merge(part)
+    got, counts = whole.entries()
+    assert (got[1:] > got[:-1]).all() and dict(zip(got.tolist(), counts.tolist())) == Counter(values.tolist())
+    # a filter holds the same whichever way it was built, in fewer bytes than a pair of number and count
+    assert whole.slots == exact_dedup.CountingQuotientFilter.of(values, bits).slots
+    assert len(whole.slots) < 16 * len(got)
+    none = exact_dedup.CountingQuotientFilter.of(values[:0], bits)
+    assert none.merge(whole).slots == whole.slots and not len(none.merge(none).entries()[0])
+
+
+def test_slots_by_hand():
+    """Eight home slots; 1 has two values and the second one three times, 2 has one value that is pushed on."""
+    made = exact_dedup.CountingQuotientFilter.packed(np.array([1 << 9 | 5, 1 << 9 | 7, 2 << 9 | 5], np.uint64), np.array([1, 3, 1]), 12)
+    assert made.quotient == 3
+    slots = np.frombuffer(made.slots, "<u2")
+    assert [(int(s) >> 4, int(s) & 15) for s in slots] == [(0, 0), (5, 1), (7, 3 | 4), (2, 2 | 4 | 8), (5, 4), (0, 0), (0, 0), (0, 0)]
 
 
 def test_repeated_fingerprints_small_filters(spark, monkeypatch):
