@@ -7,11 +7,15 @@ that is rarest over all documents. The steps:
 1. One scan of the documents marks where the benchmark's shingles occur and counts the words.
 2. The marks are counted over the corpus; each window takes its rarest shingle, and windows with a shingle that
    occurs nowhere are out (no prefix token, no candidate).
-3. Marks join windows on the prefix token. A candidate must lie inside the document (positional bound) and the
-   document must have the window's number of words (length bound); then the words themselves are compared.
-
-The marks carry the words around them, so that verification needs no second look at the text. The scan tests shingles
-against a literal set while the benchmark has at most LITERAL_SHINGLES of them, and joins them otherwise.
+3. Marks join the places (offset, width) that windows give their prefix token. A place must lie inside the document
+   (positional bound) and the document must have the window's number of words (length bound). Then the words there,
+   joined to a text, must be those of a window.
+
+Step 3 joins texts, not pairs of marks and windows, so a passage that many items and documents share costs what its
+occurrences do. While the benchmark has at most LITERAL_SHINGLES shingles, the scan tests for them in a literal set,
+and marks carry the words around them. A larger benchmark goes through a Bloom filter of its shingles, a broadcast table
+of at most BLOOM_BITS bits, then a join; its marks are bare positions, and the words of the documents that have places
+are read again.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from rostrum.llm.shared import clear_name, sized, written
 
 WINDOW, SHINGLE = 10, 4
 LITERAL_SHINGLES = 100_000
+#: Bits of the Bloom filter: 16 a shingle up to this many. Beyond it more false positives reach the join behind it.
+BLOOM_BITS, _BUCKET_BITS = 1 << 26, 1 << 15
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -50,7 +56,8 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
 
 
 def _marks(base: DataFrame, tokens: DataFrame, sizes: list[int], window: int) -> tuple[DataFrame, DataFrame]:
-    """Tables (id, key, n_words) of all rows, and (key, n_words, at, token, around, first) of the marked positions."""
+    """Tables (id, key, n_words) of all rows, and (key, n_words, at, token) of the marked positions, with the words
+    `around` them too for a small benchmark."""
     around = lambda words, at: F.slice(words, F.greatest(at - (window - 1), F.lit(0)) + 1, F.least(at, F.lit(window - 1)) + window)
     mark = lambda words, k: lambda at: F.struct(at.alias("at"), _token(words, at, k).alias("token"), around(words, at).alias("around"))
     listed = lambda words, k, tokens: lambda at: _token(words, at, k).isin(tokens)
@@ -65,10 +72,41 @@ def _marks(base: DataFrame, tokens: DataFrame, sizes: list[int], window: int) ->
         scan = written(base.select("id", "key", F.size("words").alias("n_words"), F.when(F.size("words") > 0, found).alias("found")), "marks")
         marks = scan.where(F.size("found") > 0).select("key", "n_words", F.explode("found").alias("m")).select("key", "n_words", "m.*")
         return scan.select("id", "key", "n_words"), marks.dropDuplicates(["key", "at", "token"])
-    every = F.flatten(F.array(*[F.transform(spots, mark(F.col("words"), k)) for k in sizes]))
-    rows = base.where(F.size("words") > 0).select("key", F.size("words").alias("n_words"), F.explode(every).alias("m")).select("key", "n_words", "m.*")
-    hit = rows.join(sized(tokens.select("token").distinct(), n_tokens), "token", "left_semi").dropDuplicates(["key", "at", "token"])
-    return base.select("id", "key", F.size("words").alias("n_words")), written(hit.select("key", "n_words", "at", "token", "around"), "marks")
+    token_at = lambda at, k: F.when(at + k <= F.size("words"), _token(F.col("words"), at, k))
+    every = F.transform(spots, lambda at: F.struct(at.alias("at"), F.array(*[token_at(at, k) for k in sizes]).alias("tokens")))
+    spot = base.where(F.size("words") > 0).select("key", F.size("words").alias("n_words"), F.explode(every).alias("m"))
+    known = tokens.select("token").distinct()
+    hit = _maybe(spot.select("key", "n_words", "m.at", F.explode("m.tokens").alias("token")), known, n_tokens)
+    found = hit.join(sized(known, n_tokens), "token", "left_semi").dropDuplicates(["key", "at", "token"])
+    return base.select("id", "key", F.size("words").alias("n_words")), written(found.select("key", "n_words", "at", "token"), "marks")
+
+
+def _maybe(rows: DataFrame, tokens: DataFrame, n_tokens: int) -> DataFrame:
+    """The rows whose token the Bloom filter of `tokens` has: all that are there, and few others."""
+    bits = _BUCKET_BITS
+    while bits < min(16 * n_tokens, BLOOM_BITS):
+        bits *= 2
+    bucket = lambda c: (F.pmod(c, F.lit(bits)) / _BUCKET_BITS).cast("int")
+    word = lambda c: (F.pmod(c, F.lit(_BUCKET_BITS)) / 64).cast("int")
+    bit = lambda c: F.pmod(c, F.lit(64)).cast("int")
+    filled = (
+        tokens.select(bucket(F.col("token")).alias("bucket"), word(F.col("token")).alias("word"), bit(F.col("token")).alias("bit"))
+        .groupBy("bucket", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        .groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("filled"))
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.lit(_BUCKET_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("filled", i), F.lit(0).cast("long")))
+    bloom = written(filled.select("bucket", dense.alias("bits")), "bloom")
+    keyed = rows.withColumn("slot", bucket(F.col("token")))
+    there = F.bit_get(F.get(bloom["bits"], word(keyed["token"])), bit(keyed["token"])) == 1
+    return keyed.join(F.broadcast(bloom), (keyed["slot"] == bloom["bucket"]) & there).select(*rows.columns)
+
+
+def _words_at(base: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, s, e, window_id): the words of the documents at these spans (key, s, e), each document read once."""
+    keys = written(spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    texts = base.select("key", "words").join(sized(keys.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    at = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array_join(F.slice("words", x["s"] + 1, x["e"] - x["s"]), " ").alias("window_id"))
+    return texts.join(keys.hint("merge"), "key").select("key", F.explode(F.transform("spans", at)).alias("h")).select("key", "h.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -101,19 +139,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "off")).alias("rarest"))
         .where("rarest.n > 0")
         .groupBy(F.col("rarest.token").alias("token"))
-        .agg(F.collect_list(F.struct(F.col("rarest.off").alias("off"), "width", "window_id")).alias("windows"))
+        .agg(F.collect_set(F.struct(F.col("rarest.off").alias("off"), "width")).alias("places"))  # at most window^2
     )
     prefix = written(prefix, "prefix")
-    begin = lambda w: F.col("at") - w["off"]
     first = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    fits = lambda w: (begin(w) >= 0) & (begin(w) + w["width"] <= F.col("n_words"))
-    same = lambda w: F.array_join(F.slice("around", F.greatest(begin(w) - first, F.lit(0)) + 1, w["width"]), " ") == w["window_id"]
-    hits = written(
-        marks.join(sized(prefix), "token")
-        .select("key", F.explode(F.transform(F.filter("windows", lambda w: fits(w) & same(w)), lambda w: F.struct(begin(w).alias("s"), (begin(w) + w["width"]).alias("e"), w["window_id"].alias("window_id")))).alias("h"))
-        .select("key", "h.*"),
-        "hits",
+    near = "around" in marks.columns
+    spans = (
+        marks.join(sized(prefix, width=32 + 80 + 16 * window), "token")
+        .select("key", "n_words", "at", *["around"] * near, F.explode("places").alias("p"))
+        .withColumns({"s": F.col("at") - F.col("p.off"), "e": F.col("at") - F.col("p.off") + F.col("p.width")})
+        .where("s >= 0 AND e <= n_words")
     )
+    if near:
+        text = F.array_join(F.slice("around", F.col("s") - first + 1, F.col("e") - F.col("s")), " ")
+        read = spans.select("key", "s", "e", text.alias("window_id")).distinct()
+    else:
+        read = _words_at(base, spans.select("key", "s", "e").distinct())
+    hits = written(read.join(sized(plain.select("window_id"), width=256), "window_id", "left_semi").select("key", "s", "e", "window_id"), "hits")
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     cover = lambda acc, h: F.struct((acc["n"] + F.greatest(h["e"] - F.greatest(h["s"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], h["e"]).alias("end"))
     words_hit = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")).select("key", F.aggregate("spans", start, cover)["n"].cast("long").alias("n_hit"))
