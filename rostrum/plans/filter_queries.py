@@ -79,10 +79,17 @@ def p9(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(P.usable_affiliation(F.col("text"))).select("doc_id")
 
 
-@query("p10_meaningful_source", "SELECT n_nationkey, n_nationkey % 2 = 0 AS meaningful FROM nation")
+@query(
+    "p10_meaningful_source",
+    r"""WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ' Ltd. ' || n_name WHEN 1 THEN 'GmbH, ' || n_name ELSE regexp_replace(c_name, '#.*', '') || ', ' || n_name || ' Co.' END AS raw FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, length(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\b(inc|ltd|llc|gmbh|corp|co)\b\.?', '', 'g'), 'nation_[0-9]+', '', 'g'), '[^a-z]', '', 'g')) >= 2 AS meaningful FROM t""",
+)
 def p10(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Works Ltd. "), "n_name")).otherwise(F.concat(F.lit("GmbH, "), "n_name"))
-    return table(spark, d, "nation").select("n_nationkey", P.meaningful_source(raw, ("nation_[0-9]+",)).alias("meaningful"))
+    both = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey") % 3
+    named = F.concat(F.regexp_replace("c_name", "#.*", ""), F.lit(", "), "n_name", F.lit(" Co."))
+    raw = F.when(k == 0, F.concat("c_mktsegment", F.lit(" Ltd. "), "n_name")).when(k == 1, F.concat(F.lit("GmbH, "), "n_name")).otherwise(named)
+    return both.select("c_custkey", P.meaningful_source(raw, ("nation_[0-9]+",)).alias("meaningful"))
 
 
 @query("p11_time_labels", "SELECT event_id, strftime(ts, '%H:%M') || ' – ' || strftime(ts + INTERVAL 45 MINUTES, '%H:%M') AS span, strftime(ts, '%Y-%m-%d') AS day FROM events")

@@ -309,15 +309,14 @@ def j24(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j25_institution_short",
-    "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'mapped ' || r_name ELSE n_name || ' University' END AS short FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'mapped ' || r_name ELSE n_name || ' University' END AS short FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON n_regionkey = r_regionkey",
 )
 def j25(spark: SparkSession, d: str) -> DataFrame:
     """Map hit on any variant, the cleanest first, else the heuristic on the cleanest."""
     region = table(spark, d, "region")
-    variants = F.array(F.concat("n_name", F.lit(" University, Town")), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("alt "), F.col("n_regionkey").cast("string"))).otherwise("none"))
-    each = table(spark, d, "nation").select("n_nationkey", F.posexplode(variants).alias("pos", "raw"))
+    both = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    variants = F.array(F.concat("n_name", F.lit(" University, Town")), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("alt "), F.col("n_regionkey").cast("string"))).otherwise("none"))
+    each = both.select("c_custkey", F.posexplode(variants).alias("pos", "raw"))
     mapping = region.select(F.concat(F.lit("alt "), F.col("r_regionkey").cast("string")).alias("raw"), F.concat(F.lit("mapped "), "r_name").alias("hit"))
-    found = each.join(mapping, "raw", "left").groupBy("n_nationkey").agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("pos"))).alias("hit"), F.min_by("raw", "pos").alias("clean"))
-    return found.select("n_nationkey", T.heuristic_short(F.col("clean"), F.col("hit")).alias("short"))
-
-
+    found = each.join(mapping.hint("merge"), "raw", "left").groupBy("c_custkey").agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("pos"))).alias("hit"), F.min_by("raw", "pos").alias("clean"))
+    return found.select("c_custkey", T.heuristic_short(F.col("clean"), F.col("hit")).alias("short"))

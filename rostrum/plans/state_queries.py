@@ -12,6 +12,7 @@ from rostrum.operators import classify as C
 from rostrum.operators import matching, search, state
 from rostrum.plans.join_queries import rule_tables
 from rostrum.plans.registry import query
+from rostrum.plans.text_queries import _FOLD as _WHOLE_FOLD
 from rostrum.sources import program
 from rostrum.session import shared_folder
 from rostrum.sources.tables import table
@@ -41,9 +42,10 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return program.changed_since(docs, known, "doc_id").select("doc_id")
 
 
-@query("s8_map_lines", "SELECT DISTINCT regexp_replace(split_part(text, '.', 1), '[\\t\\r\\n]', ' ', 'g') AS raw, source AS short FROM documents")
+@query("s8_map_lines", "SELECT DISTINCT regexp_replace(unnest(string_split(text, '.')), '[\\t\\r\\n]', ' ', 'g') AS raw, source AS short FROM documents")
 def s8(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.split_part("text", F.lit("."), F.lit(1)).alias("raw"), F.col("source").alias("short"))
+    """Every sentence of every whole document as a raw label of its source."""
+    docs = table(spark, d, "documents").select(F.explode(F.split("text", r"\.")).alias("raw"), F.col("source").alias("short"))
     return program.map_lines(docs).distinct()
 
 
@@ -112,17 +114,23 @@ def q4(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.exists(names, hit)).select("l_orderkey")
 
 
-@query("q5_suggestion_pools", r"WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS token FROM documents WHERE lang <> 'de') SELECT replace(lower(strip_accents(token)), 'ß', 'ss') AS fold, arg_min(token, (doc_id, encode(token))) AS display FROM t WHERE token <> '' GROUP BY ALL")
+_POOL = rf"WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS token FROM documents) SELECT {_WHOLE_FOLD.format('token')} AS fold, arg_min(token, (doc_id, encode(token))) AS display FROM t WHERE token <> '' GROUP BY ALL"
+
+
+@query("q5_suggestion_pools", _POOL)
 def q5(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, "documents").where("lang != 'de'").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
+    """Words of all documents, of every language and of none."""
+    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
     return search.pools(tokens, "token", "doc_id")
 
 
-@query("q5_suggestion_pools_all")
+@query("q5_suggestion_pools_all", _POOL + " UNION ALL SELECT lower(source), arg_min(source, doc_id) FROM documents WHERE source IS NOT NULL AND lower(source) NOT IN (SELECT fold FROM (" + _POOL + ")) GROUP BY ALL")
 def q5_all(spark: SparkSession, d: str) -> DataFrame:
-    """The pool over the documents of every language and of none; its fold goes beyond what the SQL of q5 expresses."""
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
-    return search.pools(tokens, "token", "doc_id")
+    """One pool over the words and the sources of all documents; a word's display form comes before a source's."""
+    docs = table(spark, d, "documents")
+    words = docs.select(F.lit(0).alias("field"), "doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
+    both = words.union(docs.where("source IS NOT NULL").select(F.lit(1), "doc_id", "source"))
+    return search.pools(both.select("token", F.struct("field", "doc_id").alias("pos")), "token", "pos")
 
 
 @query("q6_suggestions", "WITH v AS (SELECT value, count(*) AS n FROM (SELECT c_mktsegment AS value FROM customer UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part) GROUP BY ALL), q AS (SELECT DISTINCT lower(value[1:3]) AS query FROM v) SELECT query, rank, value, n FROM (SELECT query, value, n, row_number() OVER (PARTITION BY query ORDER BY n DESC, value) AS rank FROM q JOIN v ON len(list_filter(string_split(lower(value), ' '), lambda w: starts_with(w, query))) > 0) WHERE rank <= 3")
@@ -135,13 +143,12 @@ def q6(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q7_batch_search",
-    r"""WITH q AS (SELECT item_id, array_to_string(string_split(trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '\s+', ' ', 'g')), ' ')[1:8], ' ') AS p FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(replace(replace(lower(strip_accents(text)), 'ß', 'ss'), 'æ', 'ae'), '\s+', ' ', 'g')) AS t FROM documents)
-SELECT item_id, doc_id FROM q JOIN d ON contains(t, p)""",
+    rf"""WITH q AS (SELECT item_id, trim(regexp_replace({_WHOLE_FOLD.format('text')}, '\s+', ' ', 'g')) AS p FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace({_WHOLE_FOLD.format('text')}, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, doc_id FROM q JOIN d ON contains(t, p) WHERE p <> ''""",
 )
 def q7(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight words of every benchmark item, looked for in all documents."""
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    queries = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 8), " ").alias("text"))
+    """Every whole benchmark item, looked for in all documents."""
+    queries = table(spark, d, "benchmark").select("item_id", "text")
     return search.batch_search(queries, table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id", "text")
 
 
@@ -184,9 +191,11 @@ def c6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(n, "o_orderkey", "left").select("o_orderkey", C.format_of(F.col("o_orderpriority"), F.coalesce("n", F.lit(0)), [("1-", "plenary"), ("5-", "poster")]).alias("format"))
 
 
-@query("c7_phase_from_venue", "SELECT n_nationkey, CASE WHEN contains(n_name, '1') THEN 'first' WHEN contains(n_name, '2') THEN 'second' ELSE 'none' END AS phase FROM nation")
+@query("c7_phase_from_venue", "SELECT c_custkey, CASE WHEN contains(c_name, '7') THEN 'first' WHEN contains(c_name, '2') THEN 'second' WHEN contains(n_name, '7') THEN 'first' WHEN contains(n_name, '2') THEN 'second' ELSE 'none' END AS phase FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", C.by_keywords([F.col("n_name")], [("1", "first"), ("2", "second")], "none").alias("phase"))
+    """The phase by the venue's name, else by its country's."""
+    both = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.select("c_custkey", C.by_keywords([F.col("c_name"), F.col("n_name")], [("7", "first"), ("2", "second")], "none").alias("phase"))
 
 
 def log_of(events: DataFrame) -> DataFrame:

@@ -71,17 +71,27 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.compact_location(raw, PLACES).alias("place"))
 
 
+_WORDS = r"list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '')"
+
+
+def _runs(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """(doc_id, source, pos, w): the words (A-Z, a-z) of every whole document in runs of n, the last one shorter."""
+    words = table(spark, d, "documents").select("doc_id", "source", F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "").alias("all")).where(F.size("all") > 0)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(n)), lambda i: F.slice("all", i, F.lit(n)))
+    return words.select("doc_id", "source", F.posexplode(runs).alias("pos", "w"))
+
+
 @query(
     "f8_repair_names",
-    """WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '')[1:3] AS p FROM documents)
-SELECT doc_id, array_to_string(list_transform(p, lambda x, i: CASE
+    f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+u AS (SELECT doc_id, k AS pos, w[3 * k + 1:3 * k + 3] AS p FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 2) // 3)) AS k FROM t))
+SELECT doc_id, pos::INTEGER AS pos, array_to_string(list_transform(p, lambda x, i: CASE
   WHEN i > 1 AND i < len(p) AND lower(x) IN ('da', 'de', 'del', 'der', 'di', 'du', 'la', 'le', 'van', 'von') THEN lower(x)
-  WHEN length(x) >= 3 AND regexp_matches(upper(x), '[AEIOUY]') THEN upper(x[1:1]) || lower(x[2:]) ELSE upper(x) END), ' ') AS name FROM t WHERE len(p) = 3""",
+  WHEN length(x) >= 3 AND regexp_matches(upper(x), '[AEIOUY]') THEN upper(x[1:1]) || lower(x[2:]) ELSE upper(x) END), ' ') AS name FROM u""",
 )
 def f8(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^A-Za-z ]", ""), " "), lambda w: w != ""), 1, 3)
-    docs = table(spark, d, "documents").select("doc_id", words.alias("p")).where(F.size("p") == 3)
-    return docs.select("doc_id", T.repaired_name(F.upper(F.array_join("p", " "))).alias("name"))
+    """Every three words of every whole document as a shouted name."""
+    return _runs(spark, d, 3).select("doc_id", "pos", T.repaired_name(F.upper(F.array_join("w", " "))).alias("name"))
 
 
 _PERSON = "CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment || ', José-María' WHEN c_custkey % 4 = 1 THEN 'Ann B. ' || c_mktsegment WHEN c_custkey % 4 = 2 THEN c_mktsegment || ', Ann B.' ELSE 'J. ' || c_mktsegment END"
@@ -136,11 +146,12 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f14_title_keys",
-    f"WITH t AS (SELECT doc_id, split_part(text, '.', 1) AS title FROM documents) SELECT doc_id, {_SQUEEZE.format('lower(title)')} AS plain_key, regexp_replace({_FOLD.format('title')}, '[^a-z0-9]', '', 'g') AS alnum_key FROM t",
+    f"WITH t AS (SELECT doc_id, generate_subscripts(p, 1)::INTEGER - 1 AS pos, unnest(p) AS title FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)) SELECT doc_id, pos, {_SQUEEZE.format('lower(title)')} AS plain_key, regexp_replace({_FOLD.format('title')}, '[^a-z0-9]', '', 'g') AS alnum_key FROM t",
 )
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    title = F.split_part("text", F.lit("."), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", T.title_key(title).alias("plain_key"), T.alnum_key(title).alias("alnum_key"))
+    """Every sentence of every whole document as a title."""
+    title = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "title"))
+    return title.select("doc_id", "pos", T.title_key(F.col("title")).alias("plain_key"), T.alnum_key(F.col("title")).alias("alnum_key"))
 
 
 @query(
@@ -269,14 +280,15 @@ def f28(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f29_cell_from_right",
-    """WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '')[1:2] AS w, source FROM documents)
-SELECT doc_id, w[1] || ' ' || w[2] AS title, CASE WHEN doc_id % 2 = 0 THEN 'Ann Lee' END AS speaker, CASE WHEN doc_id % 3 > 0 THEN source END AS aff FROM t WHERE len(w) = 2""",
+    f"""WITH t AS (SELECT doc_id, source, {_WORDS} AS w FROM documents),
+u AS (SELECT doc_id, source, k AS pos, w[2 * k + 1:2 * k + 2] AS w FROM (SELECT doc_id, source, w, unnest(range(0, (len(w) + 1) // 2)) AS k FROM t))
+SELECT doc_id, pos::INTEGER AS pos, array_to_string(w, ' ') AS title, CASE WHEN (doc_id + pos) % 2 = 0 THEN 'Ann Lee' END AS speaker, CASE WHEN (doc_id + pos) % 3 > 0 THEN source END AS aff FROM u""",
 )
 def f29(spark: SparkSession, d: str) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^A-Za-z ]", ""), " "), lambda w: w != ""), 1, 2)
-    raw = F.concat(F.array_join("w", " "), F.when(F.col("doc_id") % 2 == 0, ". Ann Lee").otherwise(""), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(", "), "source")).otherwise(""))
-    docs = table(spark, d, "documents").select("doc_id", "source", words.alias("w")).where(F.size("w") == 2)
-    return docs.select("doc_id", T.cell_from_right(raw).alias("x")).select("doc_id", "x.*")
+    """Every two words of every whole document as a title, with a speaker or an affiliation behind some of them."""
+    k = F.col("doc_id") + F.col("pos")
+    raw = F.concat(F.array_join("w", " "), F.when(k % 2 == 0, ". Ann Lee").otherwise(""), F.when((k % 3 > 0) & F.col("source").isNotNull(), F.concat(F.lit(", "), "source")).otherwise(""))
+    return _runs(spark, d, 2).select("doc_id", "pos", T.cell_from_right(raw).alias("x")).select("doc_id", "pos", "x.*")
 
 
 @query("f30_name_guard", "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s, text FROM documents) SELECT doc_id, len(string_split(s, ' ')) <= 6 AND NOT regexp_matches(text, '[0-9;]|[.!?] ') AND NOT regexp_matches(lower(text), '\\b(university|department|street)\\b') AS name_like FROM t")
