@@ -5,15 +5,18 @@ each offset, are summed and passed through tanh, and a softmax over the vocabula
 probability. A document's score is the sum of the log-probabilities of its tokens.
 
 The vocabulary comes from word counts over all documents; rarer words share hashed entries. Such a word's probability
-is its entry's, times its share of the entry's count; the counts of a document's rarer words come from a Spark join, so
-there is no limit to their number. A word that the corpus doesn't have counts UNSEEN. Training makes ROUNDS
-passes over disjoint thirds of the documents, so that every token of every document is a target once: every task
-trains a copy of the network on its rows, and the copies are averaged, weighted by their targets. What reaches the
-driver is one network a round, whose size is fixed.
+is its entry's, times its share of the entry's count. Up to FREQUENT of these words have their counts broadcast; the
+counts of all others come from a Spark join, so there is no limit to their number. A word that the corpus doesn't have
+counts UNSEEN. Training makes ROUNDS passes over disjoint thirds of the documents, so that every token of every
+document is a target once: every task trains a copy of the network on its rows by sampled softmax (each target against
+the entries drawn for its step, logits corrected for the chance of the draw), and the copies are averaged, weighted by
+their targets. Scores use the whole softmax. What reaches the driver is one network a round, whose size is fixed, and
+the broadcast words.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +34,19 @@ from rostrum.llm.shared import partitions, written
 NAMED, HASHED, WIDTH, REACH = 384, 127, 16, 2
 #: Rounds of training, targets of a step, learning rate, slices of the parameters.
 ROUNDS, STEP, RATE, SLICES = 3, 512, 0.15, 32
+#: Draws of entries in a step (an entry drawn twice stands once), and the power of the frequencies they follow.
+DRAWS, FLAT = 96, 0.75
 #: Tokens scored together (their probabilities stay in a core's cache) and gathered before; words counted in a task
 #: before they are passed on.
-BATCH, GATHERED, COUNTED = 1 << 10, 1 << 17, 500_000
+BATCH, GATHERED, COUNTED = 1 << 10, 1 << 17, 200_000
+#: Words without an entry of their own whose counts are broadcast at most: whole bands of counts, eight to a doubling.
+FREQUENT = 1 << 16
 #: Rows whose rarer words are held at a time.
 ROWS = 500
 #: Count of a word that is not in the corpus, and what each hashed entry's count has for all such words.
 UNSEEN = 0.5
+#: Seed of the 64-bit hash, as Spark's xxhash64 has it.
+SEED = 42
 VOCABULARY = NAMED + HASHED + 1
 EDGE = VOCABULARY - 1  # stands where a document has no token
 ONES = np.ones(VOCABULARY, np.float32)
@@ -55,9 +65,11 @@ def token_ids(words: list[bytes], named: dict[bytes, int]) -> np.ndarray:
 
 
 class Vocabulary(dict[bytes, int]):
-    """The ids of the named words; `counts` is the table (word, n) of all words, `held` the counts of the hashed entries."""
+    """The ids of the named words; `counts` is the table (word, n) of all words, `frequent` has the most frequent of the
+    others with their counts, `held` the counts of the hashed entries."""
 
     counts: DataFrame
+    frequent: dict[bytes, int]
     held: np.ndarray
 
 
@@ -121,16 +133,27 @@ class Network:
         _, e, hit = self.scaled(self.state(sides), target)
         return hit - np.log((e @ ONES).astype(np.float64))
 
-    def train(self, sides: np.ndarray, target: np.ndarray, power: list[np.ndarray]) -> None:
-        """One step of Adagrad on the mean log-loss; `power` has the squared gradients so far."""
+    def train(self, sides: np.ndarray, target: np.ndarray, drawn: np.ndarray, chance: np.ndarray, power: list[np.ndarray]) -> None:
+        """One step of Adagrad on the mean log-loss of each target against the entries `drawn`. `chance` has the log of
+        every entry's chance to be drawn, `power` the squared gradients so far. All entries drawn at chance 0 (log) give
+        the whole softmax."""
         n = len(target)
         h = self.state(sides)
-        wide, e, _ = self.scaled(h, target)
-        total = e @ ONES
-        e[np.arange(n), target] -= total  # the gradient by the logits, times total * n
-        scale = (1 / (total * n))[:, None]
-        back = (e @ self.output[:-1].T) * (1 - h * h) * scale
-        grad_out = (wide * scale).T @ e
+        wide = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)
+        column, others = self.output[:, target].T, self.output[:, drawn]
+        own = (wide * column).sum(axis=1) - chance[target]
+        z = wide @ others - chance[drawn]
+        z[drawn == target[:, None]] = -np.inf  # a target stands once
+        top = np.maximum(own, z.max(axis=1))
+        z -= top[:, None]
+        e, own = np.exp(z, out=z), np.exp(own - top)
+        total = n * (e.sum(axis=1) + own)
+        e /= total[:, None]
+        miss = (own / total - 1 / n)[:, None]
+        back = (e @ others[:-1].T + miss * column[:, :-1]) * (1 - h * h)
+        grad_out = np.bincount((np.arange(WIDTH + 1) * VOCABULARY + target[:, None]).ravel(), (wide * miss).ravel(), self.output.size)
+        grad_out = grad_out.reshape(self.output.shape).astype(np.float32)
+        grad_out[:, drawn] += wide.T @ e
         grad = np.bincount((((np.arange(2 * REACH) * VOCABULARY + sides) * WIDTH)[:, :, None] + np.arange(WIDTH)).ravel(), np.repeat(back[:, None], 2 * REACH, axis=1).ravel(), self.context.size)
         grads = [grad.reshape(self.context.shape).astype(np.float32), back.sum(axis=0), grad_out]
         for x, g, q in zip((self.context, self.hidden, self.output), grads, power):
@@ -138,11 +161,12 @@ class Network:
             x -= RATE * g / np.sqrt(q + 1e-8)
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """The REACH tokens before and after each position, EDGE beyond the text."""
+def blocks(ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, targets) of a text, `size` positions at a time, so that a long text takes no more memory."""
     wide = np.concatenate([np.full(REACH, EDGE, np.int32), ids, np.full(REACH, EDGE, np.int32)])
-    n = len(ids)
-    return np.stack([wide[j : j + n] for j in range(2 * REACH + 1) if j != REACH], axis=1)
+    for at in range(0, len(ids), size):
+        own = ids[at : at + size]
+        yield np.stack([wide[at + j : at + j + len(own)] for j in range(2 * REACH + 1) if j != REACH], axis=1), own
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
@@ -166,6 +190,15 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
         named.held[r.entry] = r.n
     for r in top:
         named.held[zlib.crc32(r.word) % HASHED] -= r.n
+    band = F.floor(F.log2("n") * 8)
+    least, room = None, FREQUENT + len(top)
+    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():  # a few hundred bands at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.band
+    frequent = counts.where(band >= least).collect() if least is not None else []
+    named.frequent = {bytes(r.word): r.n for r in frequent if bytes(r.word) not in named}
     frequency = np.full(VOCABULARY, 1.0)
     frequency[: len(top)] = [r.n for r in top]
     frequency[NAMED:EDGE] = np.maximum(1.0, named.held)
@@ -178,27 +211,26 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]
     named, frequency = vocabulary(docs, text_col)
     model = Network.start(frequency)
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    names = spark.sparkContext.broadcast(dict(named))
+    names = spark.sparkContext.broadcast((dict(named), frequency))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Network.of(start.value.copy())
             power = [np.zeros_like(x) for x in (own.context, own.hidden, own.output)]
+            ids_of, draw = names.value[0], Draw(names.value[1])
             seen, sides, target, held = 0, [], [], 0
             for batch in batches:
                 for text in batch["text"]:
-                    ids = token_ids(words_of(text), names.value)
-                    if not len(ids):
-                        continue
-                    sides.append(windows(ids))
-                    target.append(ids)
-                    held += len(ids)
-                    if held >= 64 * STEP:
-                        seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
-                        sides, target, held = [], [], 0
+                    for around, ids in blocks(token_ids(words_of(text), ids_of), 64 * STEP):
+                        sides.append(around)
+                        target.append(ids)
+                        held += len(ids)
+                        if held >= 64 * STEP:
+                            seen += _steps(own, power, draw, np.concatenate(sides), np.concatenate(target))
+                            sides, target, held = [], [], 0
             if held:
-                seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
+                seen += _steps(own, power, draw, np.concatenate(sides), np.concatenate(target))
             if seen:
                 parts = np.array_split(own.flat() * np.float32(seen), SLICES)
                 yield pd.DataFrame({"slice": range(SLICES), "weight": float(seen), "values": [p.astype(np.float32).tobytes() for p in parts]})
@@ -220,11 +252,25 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]
     return named, model
 
 
-def _steps(own: Network, power: list[np.ndarray], sides: np.ndarray, target: np.ndarray) -> int:
+class Draw:
+    """Entries for the steps of sampled softmax; `chance` has the log of each entry's chance to be among them."""
+
+    def __init__(self, frequency: np.ndarray, seed: int = 5) -> None:
+        share = np.maximum(frequency, 1.0) ** FLAT
+        share /= share.sum()
+        self.ends = np.cumsum(share)
+        self.chance = np.log(-np.expm1(DRAWS * np.log1p(-share))).astype(np.float32)
+        self.random = np.random.default_rng(seed)
+
+    def entries(self) -> np.ndarray:
+        return np.unique(np.minimum(np.searchsorted(self.ends, self.random.random(DRAWS)), VOCABULARY - 1))
+
+
+def _steps(own: Network, power: list[np.ndarray], draw: Draw, sides: np.ndarray, target: np.ndarray) -> int:
     order = np.random.default_rng(len(target)).permutation(len(target))
     for at in range(0, len(order), STEP):
         some = order[at : at + STEP]
-        own.train(sides[some], target[some], power)
+        own.train(sides[some], target[some], draw.entries(), draw.chance, power)
     return len(target)
 
 
@@ -233,13 +279,14 @@ def score(docs: DataFrame, named: Vocabulary, model: Network, id_col: str = "doc
 
     A null, empty or blank text has no tokens, sum 0 and a null mean. Repeated rows are scored each; ids, null
     included, pass through; no rows give no rows. Texts are scored in blocks of BATCH tokens. A word of a hashed entry
-    adds log(its count / (the entry's count + UNSEEN)): the divisors in the scan, the counts by a join of each
-    document's distinct words."""
-    held = docs.sparkSession.sparkContext.broadcast((dict(named), model.flat(), np.concatenate([np.zeros(NAMED), np.log(named.held + UNSEEN), [0.0]])))
+    adds log(its count / (the entry's count + UNSEEN)): the divisors and the counts of frequent words in the scan, all
+    other counts by a join of each document's distinct words. The join goes by 64-bit hashes; two words of one hash
+    share their counts."""
+    held = docs.sparkSession.sparkContext.broadcast((dict(named), {w: math.log(k) for w, k in named.frequent.items()}, model.flat(), np.concatenate([np.zeros(NAMED), np.log(named.held + UNSEEN), [0.0]])))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, flat, divisors = held.value
+        names, frequent, flat, divisors = held.value
         net = Network.of(flat)
         for batch in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
             n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
@@ -260,22 +307,29 @@ def score(docs: DataFrame, named: Vocabulary, model: Network, id_col: str = "doc
                     continue
                 n[i] = len(ids)
                 total[i] -= divisors[ids].sum()
-                own = Counter(w for w in words if w not in names)
-                rare[i], times[i] = list(own), list(own.values())
-                sides.append(windows(ids))
-                target.append(ids)
-                owner.append(np.full(len(ids), i))
-                size += len(ids)
-                if size >= GATHERED:
-                    flush()
-                    sides, target, owner, size = [], [], [], 0
+                for w, k in Counter(w for w in words if w not in names).items():
+                    if w in frequent:
+                        total[i] += k * frequent[w]
+                    else:
+                        rare[i].append(xxhash.xxh64_intdigest(w, SEED))
+                        times[i].append(k)
+                rare[i] = np.array(rare[i], np.uint64).view(np.int64)
+                for around, part in blocks(ids, GATHERED):
+                    sides.append(around)
+                    target.append(part)
+                    owner.append(np.full(len(part), i))
+                    size += len(part)
+                    if size >= GATHERED:
+                        flush()
+                        sides, target, owner, size = [], [], [], 0
             flush()
             yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_tokens": n, "scanned": total, "rare": rare, "times": times})
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scanned = written(texts.mapInPandas(run, f"row long, id {kind}, n_tokens long, scanned double, rare array<binary>, times array<long>"), "scanned")
+    scanned = written(texts.mapInPandas(run, f"row long, id {kind}, n_tokens long, scanned double, rare array<long>, times array<int>"), "scanned")
     each = scanned.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times")
-    found = each.join(named.counts.hint("merge"), "word", "left").withColumn("inside", F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))))
+    counts = named.counts.groupBy(F.xxhash64("word").alias("word")).agg(F.sum("n").alias("n"))
+    found = each.join(counts.hint("merge"), "word", "left").withColumn("inside", F.col("times") * F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))))
     inside = found.groupBy("row").agg(F.sum("inside").alias("inside"))
     scored = scanned.select("row", "id", "n_tokens", "scanned").join(inside.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("scanned") + F.coalesce("inside", F.lit(0.0)))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

@@ -476,14 +476,46 @@ def test_network_gradient_and_probabilities():
     assert np.allclose(net.log_probabilities(sides, target), np.log(p[np.arange(50), target]), atol=1e-4)
     before = net.log_probabilities(sides, target).mean()
     power = [np.zeros_like(x) for x in (net.context, net.hidden, net.output)]
+    every, certain = np.arange(lm_score.VOCABULARY), np.zeros(lm_score.VOCABULARY, np.float32)
+    p[np.arange(50), target] -= 1
+    want = np.concatenate([net.state(sides), np.ones((50, 1))], axis=1).T @ p / 50
+    first = lm_score.Network.of(net.flat())
+    first.train(sides, target, every, certain, power)
+    assert np.allclose(power[2], want**2, atol=1e-7)
+    power = [np.zeros_like(x) for x in power]
     for _ in range(20):
-        net.train(sides, target, power)
+        net.train(sides, target, every, certain, power)
     assert net.log_probabilities(sides, target).mean() > before + 0.5
 
 
+def test_sampled_softmax_nears_the_whole_one():
+    rng = np.random.default_rng(8)
+    frequency = 1e5 / (np.arange(lm_score.VOCABULARY) + 3.0)
+    sides = rng.choice(lm_score.VOCABULARY, (40_000, 2 * lm_score.REACH), p=frequency / frequency.sum())
+    target = np.where(rng.random(len(sides)) < 0.5, (sides[:, 1] * 7 + 3) % 200, rng.integers(0, 300, len(sides)))
+    draw, got = lm_score.Draw(frequency), []
+    drawn = np.array([np.isin(np.arange(lm_score.VOCABULARY), draw.entries()) for _ in range(4000)]).mean(axis=0)
+    assert np.abs(drawn - np.exp(draw.chance)).max() < 0.05
+    for sampled in (True, False):
+        net = lm_score.Network.start(frequency)
+        power = [np.zeros_like(x) for x in (net.context, net.hidden, net.output)]
+        for turn in range(2):
+            for at in range(0, len(target), lm_score.STEP):
+                some = slice(at, at + lm_score.STEP)
+                entries, chance = (draw.entries(), draw.chance) if sampled else (np.arange(lm_score.VOCABULARY), np.zeros(lm_score.VOCABULARY, np.float32))
+                net.train(sides[some], target[some], entries, chance, power)
+        got.append(net.log_probabilities(sides, target).mean())
+    start = lm_score.Network.start(frequency).log_probabilities(sides, target).mean()
+    assert got[1] > start + 0.3 and got[0] > got[1] - 0.25 * (got[1] - start)
+
+
 def test_windows():
     e = lm_score.EDGE
-    assert lm_score.windows(np.array([1, 2, 3], np.int32)).tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e]]
+    (whole, ids), = lm_score.blocks(np.array([1, 2, 3], np.int32), 3)
+    assert whole.tolist() == [[e, e, 2, 3], [e, 1, 3, e], [1, 2, e, e]] and ids.tolist() == [1, 2, 3]
+    cut = list(lm_score.blocks(np.array([1, 2, 3], np.int32), 2))
+    assert np.concatenate([a for a, _ in cut]).tolist() == whole.tolist() and [t.tolist() for _, t in cut] == [[1, 2], [3]]
+    assert not list(lm_score.blocks(np.array([], np.int32), 2))
 
 
 def test_scores_prefer_the_corpus(spark, documents):
@@ -504,9 +536,9 @@ def test_every_token_is_a_target(spark, documents, monkeypatch):
     assert likelihood(short, model) > likelihood(short, lm_score.Network.start(lm_score.vocabulary(short)[1])) + 50
     seen, steps = spark.sparkContext.accumulator(0), lm_score._steps
 
-    def counted(own, power, sides, target):
+    def counted(own, power, draw, sides, target):
         seen.add(len(target))
-        return steps(own, power, sides, target)
+        return steps(own, power, draw, sides, target)
 
     monkeypatch.setattr(lm_score, "_steps", counted)
     part = documents.limit(100)
@@ -515,8 +547,11 @@ def test_every_token_is_a_target(spark, documents, monkeypatch):
     assert likelihood(part, model) > likelihood(part, lm_score.Network.start(lm_score.vocabulary(part)[1]))
 
 
-def test_words_inside_an_entry(spark, documents):
+@pytest.mark.parametrize("most", [1 << 16, 1000, 0])
+def test_words_inside_an_entry(spark, documents, monkeypatch, most):
+    monkeypatch.setattr(lm_score, "FREQUENT", most)
     named, frequency = lm_score.vocabulary(documents)
+    assert len(named.frequent) <= most and bool(named.frequent) == bool(most) and not set(named.frequent) & set(named)
     net = lm_score.Network.start(frequency)
     counts = Counter(w for r in documents.select("text").collect() for w in lm_score.words_of(r.text))
     held = Counter()
@@ -533,7 +568,7 @@ def test_words_inside_an_entry(spark, documents):
         words = lm_score.words_of(text.decode())
         ids = lm_score.token_ids(words, named)
         inside = [np.log((counts[w] or lm_score.UNSEEN) / (held[k - lm_score.NAMED] + lm_score.UNSEEN)) for w, k in zip(words, ids) if k >= lm_score.NAMED]
-        assert abs(got[i] - net.log_probabilities(lm_score.windows(ids), ids).sum() - sum(inside)) < 1e-3
+        assert abs(got[i] - net.log_probabilities(next(lm_score.blocks(ids, len(ids)))[0], ids).sum() - sum(inside)) < 1e-3
     score = lambda words: [got[docs.index(w)] for w in words]
     assert max(score(made_up)) < min(score(common)) and max(score(rare)) < min(score(common)) and np.mean(score(made_up)) < np.mean(score(rare))
 
