@@ -8,19 +8,19 @@ The vocabulary comes from word counts over all documents; rarer words share hash
 is its entry's, times its share of the entry's count. Up to FREQUENT of these words have their counts broadcast; the
 counts of all others come from a Spark join, so there is no limit to their number. A word that the corpus doesn't have
 counts UNSEEN. Training makes ROUNDS passes over disjoint thirds of the documents, so that every token of every
-document is a target once: every task trains a copy of the network on its rows by sampled softmax (each target against
-the entries drawn for its step, logits corrected for the chance of the draw), and the copies are averaged, weighted by
-their targets. Scores use the whole softmax. What reaches the driver is one network a round, whose size is fixed, and
-the broadcast words.
+document is a target once: every task trains a copy of the network on its rows, and the copies are averaged, weighted
+by their targets. The softmax has two levels, the class of an entry and the entry within its class, so that a token
+costs CLASSES + EACH exponentials. What reaches the driver is one network a round, whose size is fixed, and the
+broadcast words.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,10 @@ from rostrum.llm.shared import partitions, written
 #: Words with an entry of their own, hashed entries for the others, width of the network, tokens seen on each side.
 NAMED, HASHED, WIDTH, REACH = 384, 127, 16, 2
 #: Rounds of training, targets of a step, learning rate, slices of the parameters.
-ROUNDS, STEP, RATE, SLICES = 3, 512, 0.15, 32
-#: Draws of entries in a step (an entry drawn twice stands once), and the power of the frequencies they follow.
-DRAWS, FLAT = 96, 0.75
+ROUNDS, STEP, RATE, SLICES = 3, 2048, 0.15, 32
 #: Tokens scored together (their probabilities stay in a core's cache) and gathered before; words counted in a task
 #: before they are passed on.
-BATCH, GATHERED, COUNTED = 1 << 10, 1 << 17, 200_000
+BATCH, GATHERED, COUNTED = 1 << 12, 1 << 17, 200_000
 #: Words without an entry of their own whose counts are broadcast at most: whole bands of counts, eight to a doubling.
 FREQUENT = 1 << 16
 #: Rows whose rarer words are held at a time.
@@ -49,7 +47,9 @@ UNSEEN = 0.5
 SEED = 42
 VOCABULARY = NAMED + HASHED + 1
 EDGE = VOCABULARY - 1  # stands where a document has no token
-ONES = np.ones(VOCABULARY, np.float32)
+#: Classes of entries (neighbours by frequency), and entries of a class.
+CLASSES = 8
+EACH = VOCABULARY // CLASSES
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,6 +64,27 @@ def token_ids(words: list[bytes], named: dict[bytes, int]) -> np.ndarray:
     return np.array(found, np.int32)
 
 
+class Places:
+    """Tokens to ids by one table of the named and the frequent words; the others by their hash. `inside` has the log
+    count of each frequent word and 0 for the named ones."""
+
+    def __init__(self, named: dict[bytes, int], frequent: dict[bytes, int]) -> None:
+        words = [*named, *frequent]
+        self.place = {w: k for k, w in enumerate(words)}
+        self.entry = np.array([*named.values(), *(NAMED + zlib.crc32(w) % HASHED for w in frequent), 0], np.int32)
+        self.inside = np.concatenate([np.zeros(len(named)), np.log(np.array([*frequent.values()], np.float64)), [0.0]])
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, float, list[bytes]]:
+        """(ids, the sum of `inside`, the words of neither kind, repeats included)."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        ids = self.entry[at]
+        missing = np.flatnonzero(at < 0)
+        rare = [words[k] for k in missing]
+        if rare:
+            ids[missing] = [NAMED + zlib.crc32(w) % HASHED for w in rare]
+        return ids, float(self.inside[at].sum()), rare
+
+
 class Vocabulary(dict[bytes, int]):
     """The ids of the named words; `counts` is the table (word, n) of all words, `frequent` has the most frequent of the
     others with their counts, `held` the counts of the hashed entries."""
@@ -75,28 +96,36 @@ class Vocabulary(dict[bytes, int]):
 
 @dataclass
 class Network:
-    """`context`: (2 * REACH, VOCABULARY, WIDTH), `hidden`: WIDTH biases, `output`: (WIDTH + 1, VOCABULARY)."""
+    """`context`: (2 * REACH, VOCABULARY, WIDTH), `hidden`: WIDTH biases, `classes`: (WIDTH + 1, CLASSES), `output`:
+    (WIDTH + 1, VOCABULARY), read within a class."""
 
     context: np.ndarray
     hidden: np.ndarray
+    classes: np.ndarray
     output: np.ndarray
 
     @classmethod
     def start(cls, frequency: np.ndarray, seed: int = 11) -> Network:
-        """Small random weights; the output biases are the log frequencies, so training starts at the unigram model."""
+        """Small random weights; the biases are the log frequencies, so training starts at the unigram model."""
         draw = np.random.default_rng(seed)
-        output = (draw.standard_normal((WIDTH + 1, VOCABULARY)) * 0.1).astype(np.float32)
-        output[-1] = np.log(np.maximum(frequency, 0.5) / max(1.0, frequency.sum()))
-        return cls((draw.standard_normal((2 * REACH, VOCABULARY, WIDTH)) * 0.1).astype(np.float32), np.zeros(WIDTH, np.float32), output)
+        small = lambda *shape: (draw.standard_normal(shape) * 0.1).astype(np.float32)
+        share = np.maximum(frequency, 0.5)
+        share = share / share.sum()
+        net = cls(small(2 * REACH, VOCABULARY, WIDTH), np.zeros(WIDTH, np.float32), small(WIDTH + 1, CLASSES), small(WIDTH + 1, VOCABULARY))
+        net.classes[-1], net.output[-1] = np.log(share.reshape(CLASSES, EACH).sum(axis=1)), np.log(share)
+        return net
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.context, self.hidden, self.classes, self.output]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.context.ravel(), self.hidden, self.output.ravel()])
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
-        n = 2 * REACH * VOCABULARY * WIDTH
-        flat = flat.astype(np.float32)
-        return cls(flat[:n].reshape(2 * REACH, VOCABULARY, WIDTH), flat[n : n + WIDTH], flat[n + WIDTH :].reshape(WIDTH + 1, VOCABULARY))
+        shapes = [(2 * REACH, VOCABULARY, WIDTH), (WIDTH,), (WIDTH + 1, CLASSES), (WIDTH + 1, VOCABULARY)]
+        parts = np.split(flat.astype(np.float32), np.cumsum([np.prod(x) for x in shapes])[:-1])
+        return cls(*(x.reshape(shape) for x, shape in zip(parts, shapes)))
 
     def state(self, sides: np.ndarray) -> np.ndarray:
         h = np.tile(self.hidden, (len(sides), 1))
@@ -104,63 +133,56 @@ class Network:
             h += self.context[j][sides[:, j]]
         return np.tanh(h, out=h)
 
-    def logits(self, h: np.ndarray) -> np.ndarray:
-        z = h @ self.output[:-1]
-        z += self.output[-1]
-        return z
-
-    def scaled(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """[h, 1], the exponentials of the logits up to a factor of the row, and the targets' logarithms of them.
-
-        As |h| <= 1, the biases and weights bound every logit; while the bounds are close, one shift of all biases
-        keeps the exponentials in range, else each row is shifted by its maximum."""
-        wide = np.empty((len(h), WIDTH + 1), np.float32)
-        wide[:, :-1], wide[:, -1] = h, 1
-        reach = np.abs(self.output[:-1]).sum(axis=0)
-        high, low = (self.output[-1] + reach).max(), (self.output[-1] - reach).max()
-        near = high - low < 60
-        shifted = self.output
-        if near:
-            shifted = self.output.copy()
-            shifted[-1] -= high
-        z = wide @ shifted
-        if not near:
-            z -= z.max(axis=1)[:, None]
-        hit = z[np.arange(len(z)), target].astype(np.float64)
-        return wide, np.exp(z, out=z), hit
+    def levels(self, wide: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, weights, logits, place of the right one): first the classes for all rows, then the entries of each
+        class for the rows whose target is in it."""
+        own = target // EACH
+        yield slice(None), self.classes, wide @ self.classes, own
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            rows, weights = order[ends[c] : ends[c + 1]], self.output[:, c * EACH : (c + 1) * EACH]
+            yield rows, weights, wide[rows] @ weights, target[rows] - c * EACH
 
     def log_probabilities(self, sides: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, e, hit = self.scaled(self.state(sides), target)
-        return hit - np.log((e @ ONES).astype(np.float64))
-
-    def train(self, sides: np.ndarray, target: np.ndarray, drawn: np.ndarray, chance: np.ndarray, power: list[np.ndarray]) -> None:
-        """One step of Adagrad on the mean log-loss of each target against the entries `drawn`. `chance` has the log of
-        every entry's chance to be drawn, `power` the squared gradients so far. All entries drawn at chance 0 (log) give
-        the whole softmax."""
+        total = np.zeros(len(target))
+        for rows, _, z, right in self.levels(with_one(self.state(sides)), target):
+            z -= z.max(axis=1, keepdims=True)
+            total[rows] += z[np.arange(len(z)), right]
+            total[rows] -= np.log(np.exp(z, out=z).sum(axis=1))
+        return total
+
+    def train(self, sides: np.ndarray, target: np.ndarray, power: list[np.ndarray]) -> None:
+        """One step of Adagrad on the mean log-loss; `power` has the squared gradients so far."""
         n = len(target)
         h = self.state(sides)
-        wide = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)
-        column, others = self.output[:, target].T, self.output[:, drawn]
-        own = (wide * column).sum(axis=1) - chance[target]
-        z = wide @ others - chance[drawn]
-        z[drawn == target[:, None]] = -np.inf  # a target stands once
-        top = np.maximum(own, z.max(axis=1))
-        z -= top[:, None]
-        e, own = np.exp(z, out=z), np.exp(own - top)
-        total = n * (e.sum(axis=1) + own)
-        e /= total[:, None]
-        miss = (own / total - 1 / n)[:, None]
-        back = (e @ others[:-1].T + miss * column[:, :-1]) * (1 - h * h)
-        grad_out = np.bincount((np.arange(WIDTH + 1) * VOCABULARY + target[:, None]).ravel(), (wide * miss).ravel(), self.output.size)
-        grad_out = grad_out.reshape(self.output.shape).astype(np.float32)
-        grad_out[:, drawn] += wide.T @ e
+        wide = with_one(h)
+        back = np.zeros_like(h)
+        above, inner = np.zeros_like(self.classes), np.zeros_like(self.output)
+        for rows, weights, z, right in self.levels(wide, target):
+            z -= z.max(axis=1, keepdims=True)
+            e = np.exp(z, out=z)
+            e /= (e.sum(axis=1) * n)[:, None]
+            e[np.arange(len(e)), right] -= 1 / n  # the gradient by the logits
+            back[rows] += e @ weights[:-1].T
+            if isinstance(rows, slice):
+                above += wide.T @ e
+            else:
+                c = target[rows[0]] // EACH
+                inner[:, c * EACH : (c + 1) * EACH] = wide[rows].T @ e
+        back *= 1 - h * h
         grad = np.bincount((((np.arange(2 * REACH) * VOCABULARY + sides) * WIDTH)[:, :, None] + np.arange(WIDTH)).ravel(), np.repeat(back[:, None], 2 * REACH, axis=1).ravel(), self.context.size)
-        grads = [grad.reshape(self.context.shape).astype(np.float32), back.sum(axis=0), grad_out]
-        for x, g, q in zip((self.context, self.hidden, self.output), grads, power):
+        grads = [grad.reshape(self.context.shape).astype(np.float32), back.sum(axis=0), above, inner]
+        for x, g, q in zip(self.arrays(), grads, power):
             q += g * g
             x -= RATE * g / np.sqrt(q + 1e-8)
 
 
+def with_one(h: np.ndarray) -> np.ndarray:
+    """The rows of h, each with a 1 behind it for the biases."""
+    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+
+
 def blocks(ids: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(windows, targets) of a text, `size` positions at a time, so that a long text takes no more memory."""
     wide = np.concatenate([np.full(REACH, EDGE, np.int32), ids, np.full(REACH, EDGE, np.int32)])
@@ -211,26 +233,26 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]
     named, frequency = vocabulary(docs, text_col)
     model = Network.start(frequency)
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    names = spark.sparkContext.broadcast((dict(named), frequency))
+    names = spark.sparkContext.broadcast((dict(named), named.frequent))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Network.of(start.value.copy())
-            power = [np.zeros_like(x) for x in (own.context, own.hidden, own.output)]
-            ids_of, draw = names.value[0], Draw(names.value[1])
+            power = [np.zeros_like(x) for x in own.arrays()]
+            places = Places(*names.value)
             seen, sides, target, held = 0, [], [], 0
             for batch in batches:
                 for text in batch["text"]:
-                    for around, ids in blocks(token_ids(words_of(text), ids_of), 64 * STEP):
+                    for around, ids in blocks(places.read(words_of(text))[0], 64 * STEP):
                         sides.append(around)
                         target.append(ids)
                         held += len(ids)
                         if held >= 64 * STEP:
-                            seen += _steps(own, power, draw, np.concatenate(sides), np.concatenate(target))
+                            seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
                             sides, target, held = [], [], 0
             if held:
-                seen += _steps(own, power, draw, np.concatenate(sides), np.concatenate(target))
+                seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
             if seen:
                 parts = np.array_split(own.flat() * np.float32(seen), SLICES)
                 yield pd.DataFrame({"slice": range(SLICES), "weight": float(seen), "values": [p.astype(np.float32).tobytes() for p in parts]})
@@ -252,25 +274,11 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]
     return named, model
 
 
-class Draw:
-    """Entries for the steps of sampled softmax; `chance` has the log of each entry's chance to be among them."""
-
-    def __init__(self, frequency: np.ndarray, seed: int = 5) -> None:
-        share = np.maximum(frequency, 1.0) ** FLAT
-        share /= share.sum()
-        self.ends = np.cumsum(share)
-        self.chance = np.log(-np.expm1(DRAWS * np.log1p(-share))).astype(np.float32)
-        self.random = np.random.default_rng(seed)
-
-    def entries(self) -> np.ndarray:
-        return np.unique(np.minimum(np.searchsorted(self.ends, self.random.random(DRAWS)), VOCABULARY - 1))
-
-
-def _steps(own: Network, power: list[np.ndarray], draw: Draw, sides: np.ndarray, target: np.ndarray) -> int:
+def _steps(own: Network, power: list[np.ndarray], sides: np.ndarray, target: np.ndarray) -> int:
     order = np.random.default_rng(len(target)).permutation(len(target))
     for at in range(0, len(order), STEP):
         some = order[at : at + STEP]
-        own.train(sides[some], target[some], draw.entries(), draw.chance, power)
+        own.train(sides[some], target[some], power)
     return len(target)
 
 
@@ -282,11 +290,12 @@ def score(docs: DataFrame, named: Vocabulary, model: Network, id_col: str = "doc
     adds log(its count / (the entry's count + UNSEEN)): the divisors and the counts of frequent words in the scan, all
     other counts by a join of each document's distinct words. The join goes by 64-bit hashes; two words of one hash
     share their counts."""
-    held = docs.sparkSession.sparkContext.broadcast((dict(named), {w: math.log(k) for w, k in named.frequent.items()}, model.flat(), np.concatenate([np.zeros(NAMED), np.log(named.held + UNSEEN), [0.0]])))
+    held = docs.sparkSession.sparkContext.broadcast((dict(named), named.frequent, model.flat(), np.concatenate([np.zeros(NAMED), np.log(named.held + UNSEEN), [0.0]])))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, frequent, flat, divisors = held.value
+        places = Places(names, frequent)
         net = Network.of(flat)
         for batch in (whole.iloc[k : k + ROWS] for whole in batches for k in range(0, len(whole), ROWS)):
             n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
@@ -301,19 +310,14 @@ def score(docs: DataFrame, named: Vocabulary, model: Network, id_col: str = "doc
                         total[:] += np.bincount(c[at : at + BATCH], weights=got, minlength=len(batch))
 
             for i, text in enumerate(batch["text"]):
-                words = words_of(text)
-                ids = token_ids(words, names)
+                ids, inside, others = places.read(words_of(text))
                 if not len(ids):
                     continue
                 n[i] = len(ids)
-                total[i] -= divisors[ids].sum()
-                for w, k in Counter(w for w in words if w not in names).items():
-                    if w in frequent:
-                        total[i] += k * frequent[w]
-                    else:
-                        rare[i].append(xxhash.xxh64_intdigest(w, SEED))
-                        times[i].append(k)
-                rare[i] = np.array(rare[i], np.uint64).view(np.int64)
+                total[i] += inside - divisors[ids].sum()
+                own = Counter(others)
+                rare[i] = np.array([xxhash.xxh64_intdigest(w, SEED) for w in own], np.uint64).view(np.int64)
+                times[i] = np.array([*own.values()], np.int32)
                 for around, part in blocks(ids, GATHERED):
                     sides.append(around)
                     target.append(part)
