@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, quality, secrets, sharding
+from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, merkle, quality, secrets, sharding
 from rostrum.llm.shared import held_out
 
 SHARDS = 16
@@ -69,8 +69,18 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    leaf = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    struck = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(struck, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    rows = merkle.manifest(leaves, "lang", ["doc_id"])
+    folded = rows.withColumns({"proof_sha256": F.sha2(merkle.path_text(F.col("path")), 256), "folded_root": merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))})
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup, op11_merkle)}
 
 
 _OP7 = """
@@ -104,6 +114,57 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+#: crc32 of a string's UTF-8 bytes, from the polynomial's rule; `crc(t)` needs the table `crc_step` in front.
+_CRC_STEP = """
+crc_step AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS step FROM range(256) AS r(i))
+"""
+
+
+def _crc(text: str) -> str:
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: (strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * i + 2, 1)) - 1)"
+    return f"xor(list_reduce({code}, lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text")]
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC_STEP},
+d AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS other, {_crc("doc_id::VARCHAR")} % 7 = 0 AS struck FROM documents, crc_step
+), num AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+), tree AS (
+  SELECT 0 AS lvl, lang, pos, leaf AS h, n FROM num
+  UNION ALL
+  SELECT lvl + 1, lang, pos >> 1, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) >> 1 FROM tree WHERE n > 1 GROUP BY lvl, lang, pos >> 1, n
+), tops AS (
+  SELECT lang, lvl AS height, h AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), upper AS (
+  SELECT 0 AS lvl, pos, subroot AS h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos >> 1, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) >> 1 FROM upper WHERE n > 1 GROUP BY lvl, pos >> 1, n
+), steps AS (
+  SELECT m.doc_id, m.lang, m.pos, t.lvl, (m.pos >> t.lvl) & 1 AS odd, coalesce(s.h, '') AS sib
+  FROM num m JOIN tree t ON t.lang IS NOT DISTINCT FROM m.lang AND t.pos = m.pos >> t.lvl AND t.n > 1
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM m.lang AND s.lvl = t.lvl AND s.pos = xor(m.pos >> t.lvl, 1)
+  UNION ALL
+  SELECT m.doc_id, m.lang, m.pos, g.height + t.lvl, (g.pos >> t.lvl) & 1, coalesce(s.h, '')
+  FROM num m JOIN tops g ON g.lang IS NOT DISTINCT FROM m.lang JOIN upper t ON t.pos = g.pos >> t.lvl AND t.n > 1
+  LEFT JOIN upper s ON s.lvl = t.lvl AND s.pos = xor(g.pos >> t.lvl, 1)
+), proofs AS (SELECT lang, pos, string_agg(sib, '' ORDER BY lvl) AS proof, list({{'odd': odd, 'sib': sib}} ORDER BY lvl) AS path FROM steps GROUP BY lang, pos),
+done AS (
+  SELECT m.doc_id, m.leaf, g.subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(coalesce(p.path, []), lambda a, s: {{'odd': s.odd, 'sib': CASE WHEN s.odd = 1 THEN sha256(s.sib || a.sib) ELSE sha256(a.sib || s.sib) END}},
+      {{'odd': 0::BIGINT, 'sib': CASE WHEN m.struck AND m.doc_id IS NOT NULL THEN m.other ELSE m.leaf END}}).sib AS folded_root
+  FROM num m JOIN tops g ON g.lang IS NOT DISTINCT FROM m.lang CROSS JOIN (SELECT h FROM upper WHERE n = 1) r
+  LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM m.lang AND p.pos = m.pos
+)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _OP7, "op9_decontamination": _OP9, "op10_exact_dedup": _OP10}
+    return {"op7_chat_format": _OP7, "op9_decontamination": _OP9, "op10_exact_dedup": _OP10, "op11_merkle": _OP11}
