@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, merkle, quality, secrets, sharding
+from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, merkle, quality, secrets, sharding, spelling
 from rostrum.llm.shared import held_out
 
 SHARDS = 16
@@ -79,8 +79,13 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.word_runs(_table(spark, folder, "documents"), least=5)
+    return spelling.variants(spelling.counted(spelling.with_slips(runs, every=97)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup, op11_merkle)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup, op11_merkle, op12_spelling)}
 
 
 _OP7 = """
@@ -165,6 +170,33 @@ done AS (
 SELECT *, folded_root = root AS verified FROM done
 """
 
+_OP12 = f"""
+WITH RECURSIVE {_CRC_STEP},
+runs AS (SELECT doc_id, run, count(*) AS times FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+) WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (SELECT run, times, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc_step),
+w AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM hashed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word != b.word
+  UNION SELECT a.word, a.rest FROM cut a JOIN w ON w.word = a.rest
+  UNION SELECT a.rest, a.word FROM cut a JOIN w ON w.word = a.rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, max(o.n) AS most, arg_min(other, (-o.n, encode(other))) AS other FROM near JOIN w o ON o.word = near.other GROUP BY near.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN other END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS last FROM forms
+  UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.last WHERE forms.form IS NOT NULL
+)
+SELECT forms.word, forms.form, last AS root, forms.n, forms.n_near::BIGINT AS n_near, forms.form_n
+FROM forms JOIN chain ON chain.word = forms.word JOIN forms f ON f.word = chain.last AND f.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _OP7, "op9_decontamination": _OP9, "op10_exact_dedup": _OP10, "op11_merkle": _OP11}
+    return {"op7_chat_format": _OP7, "op9_decontamination": _OP9, "op10_exact_dedup": _OP10, "op11_merkle": _OP11, "op12_spelling": _OP12}
