@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, merkle, quality, secrets, sharding, spelling
+from rostrum.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, merkle, quality, secrets, sharding, spelling, suffix_dedup
 from rostrum.llm.shared import held_out
 
 SHARDS = 16
@@ -84,8 +84,12 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.counted(spelling.with_slips(runs, every=97)))
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(_table(spark, folder, "documents"), least=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup, op11_merkle, op12_spelling)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_bpe, op4_secrets, op5_quality, op6_jaccard_join, op7_chat_format, op8_lm_score, op9_decontamination, op10_exact_dedup, op11_merkle, op12_spelling, op13_suffix_dedup)}
 
 
 _OP7 = """
