@@ -9,12 +9,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rostrum.operators import needles
+from rostrum.operators.shared import hinted
 from rostrum.session import shared_folder
 
-#: Rules up to which a rule table is broadcast; a larger one is joined by the words of its needles.
-MOST_RULES = 50_000
-
 
 def children_in_order(parents: DataFrame, children: DataFrame, parent_key: str, ids: str, child_key: str, start: str) -> DataFrame:
     """Each id of a parent's ordered array with its child, ids without a child dropped; `rank` is by start, then by
@@ -72,16 +72,22 @@ def edit_distance_join(left: DataFrame, right: DataFrame, left_text: str, right_
 
 
 def _best_rules(distinct: DataFrame, rules: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
-    """(text, best): of the rules that hit each text, the struct of `order` and short that is least, or null. Texts are
-    read once and matched against the broadcast rules, MOST_RULES of them at a time."""
-    parts = max(1, -(-rules.count() // MOST_RULES))
-    hit = (~F.col("is_regex") & F.contains(F.col(text), F.col("needle"))) | (F.col("is_regex") & F.expr(f"`{text}` rlike needle"))
+    """(text, best): of the rules that hit each text, the struct of `order` and short that is least, or null.
+
+    The rules, which are configuration, come in parts of up to MOST_BYTES; a part is matched by one automaton over the
+    texts, whatever its number of needles. The first rule of each part is found, then the least of all parts."""
+    spark = distinct.sparkSession
+    size = rules.agg(F.sum(F.octet_length("needle") + F.coalesce(F.octet_length("short"), F.lit(0)) + 16), F.count_if("is_regex")).first()
+    parts = max(1, -(-(size[0] or 0) // needles.MOST_BYTES), -(-size[1] // needles.MOST_PATTERNS))
     found = None
     for k in range(parts):
         some = rules if parts == 1 else rules.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k)
-        one = distinct.join(F.broadcast(some), hit, "left").select(text, F.when(F.col("needle").isNotNull(), F.struct(*order, "short")).alias("best"))
+        rows = sorted(some.where(F.col("needle").isNotNull()).select(*order, "short", "needle", "is_regex").collect(), key=lambda r: (tuple(r[c] for c in order), r.short or ""))
+        ranks = spark.createDataFrame([(i, *[r[c] for c in order], r.short) for i, r in enumerate(rows)], T.StructType([T.StructField("rank", T.IntegerType()), *[rules.schema[c] for c in order], rules.schema["short"]]))
+        hits = needles.first_hits(distinct, text, [(r.needle, bool(r.is_regex)) for r in rows])
+        one = hits.join(F.broadcast(ranks), "rank", "left").select(text, F.when(F.col("rank").isNotNull(), F.struct(*order, "short")).alias("best"))
         found = one if found is None else found.unionByName(one)
-    return found.groupBy(text).agg(F.min("best").alias("best"))
+    return found if parts == 1 else found.groupBy(text).agg(F.min("best").alias("best"))
 
 
 def first_rule(texts: DataFrame, rules: DataFrame, text: str) -> DataFrame:

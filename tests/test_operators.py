@@ -196,10 +196,10 @@ def test_claims_take_one_item_for_each_document(spark, folder):
 def test_suggestion_pool_of_all_languages(spark, tmp_path):
     from rostrum.plans import registry, state_queries  # noqa: F401
 
-    docs = [(1, "Straße Æther", "de"), (2, "strasse noch", "en"), (3, "Niemand NOCH", None), (4, None, "de"), (5, "  ", "fr"), (6, "aether", "en")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = [(1, "Straße Æther", "de", "Web"), (2, "strasse noch", "en", None), (3, "Niemand NOCH", None, "noch"), (4, None, "de", "web"), (5, "  ", "fr", "Press"), (6, "aether", "en", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.fold: r.display for r in registry.queries()["q5_suggestion_pools_all"](spark, str(tmp_path)).collect()}
-    assert got == {"strasse": "Straße", "aether": "Æther", "noch": "noch", "niemand": "Niemand"}
+    assert got == {"strasse": "Straße", "aether": "Æther", "noch": "noch", "niemand": "Niemand", "web": "Web", "press": "Press"}
 
 
 def test_suggestion_pool_equals_a_loop_over_all_documents(spark, folder):
@@ -210,6 +210,8 @@ def test_suggestion_pool_equals_a_loop_over_all_documents(spark, folder):
     for r in sorted(rows.withColumn("fold", T.squeezed(T.fold(F.col("token")))).collect(), key=lambda r: (r.doc_id, r.token.encode())):
         if r.fold:
             want.setdefault(r.fold, r.token)
+    for r in spark.read.parquet(f"{folder}/documents.parquet").where("source is not null").orderBy("doc_id").collect():
+        want.setdefault(r.source.lower(), r.source)
     assert {r.fold: r.display for r in registry.queries()["q5_suggestion_pools_all"](spark, folder).collect()} == want
 
 
