@@ -32,10 +32,11 @@ PROGRAM = _struct(
 )
 
 
-def read_program(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_program(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """The relations of program documents: sessions, talks (each with its place `pos` in the document), types and
-    affiliation sources. Missing fields are null; a missing location stays apart from a blank one."""
-    doc = spark.read.schema(PROGRAM).option("multiLine", True).json(path)
+    affiliation sources. Missing fields are null; a missing location stays apart from a blank one. Documents of one line
+    each (`multi_line` False) are split among tasks."""
+    doc = spark.read.schema(PROGRAM).option("multiLine", multi_line).json(path)
     part = lambda c: doc.select("conference_name", F.posexplode(c).alias("pos", "x")).select("conference_name", "pos", "x.*")
     out = {c: part(c) for c in ("sessions", "talks", "session_types", "talk_types")}
     out["affiliation_sources"] = doc.select("conference_name", F.explode("affiliation_sources").alias("raw"))
@@ -131,13 +132,14 @@ def decode_envelope(lines: DataFrame, line: str, schema: str, version: str = "CO
     return parsed.where(fine), parsed.where(~fine).drop("state")
 
 
-def rule_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(pattern): runtime rules, without comments and blank lines."""
-    return lines.select(F.trim(F.regexp_replace(line, "#.*$", "")).alias("pattern")).where("pattern != ''")
+def rule_lines(lines: DataFrame, line: str = "value", comment: str = "#.*$") -> DataFrame:
+    """(pattern): runtime rules, without comments and blank lines. Where rules contain the comment sign, `comment` says
+    how a comment looks instead."""
+    return lines.select(F.trim(F.regexp_replace(line, comment, "")).alias("pattern")).where("pattern != ''")
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    return rule_lines(spark.read.text(path))
+def read_rules(spark: SparkSession, path: str, comment: str = "#.*$") -> DataFrame:
+    return rule_lines(spark.read.text(path), comment=comment)
 
 
 def notes_report(items: DataFrame, notes: DataFrame, owner: str, item: str, at: str, title: str, note: str) -> DataFrame:
