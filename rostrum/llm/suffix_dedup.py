@@ -6,8 +6,9 @@ such a string is a suffix; equal strings are neighbours once the suffixes are so
 1. Documents are packed into chunks, one row each (about CHUNK bytes of text, compressed), written once.
 2. The suffixes of a chunk are dealt into buckets by the rarest-hashed GRAM bytes among the `least` first ones (their
    minimizer). Equal strings have equal minimizers, so a bucket sees all of them; neighbours mostly share one, so a
-   run of suffixes travels as one string. Equal runs of a chunk travel once, with the smallest id that has them: a
-   text with a million copies is one run per chunk.
+   run of suffixes travels as one string. First the chunks say which minimizers they have, as sorted numbers, and hear which of
+   them other chunks have too, a bit each: only those buckets can have anything to find, and only their runs travel. Equal
+   runs of a chunk travel once, with the smallest id that has them: a text with a million copies is one run per chunk.
 3. A task sorts the suffixes of its buckets (Manzini and Ferragina, 2004): a multikey quicksort on eight-byte
    characters down to a shallow depth, whose ties alone go on to the next character; then blind tries order the groups
    that share so long a prefix and differ behind it. Each run of equal suffixes takes its smallest id. Buckets whose runs all
@@ -187,28 +188,58 @@ def _ties(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Chunk:
-    """Some documents end to end, their runs, and which runs are equal."""
+    """Some documents end to end, and the runs of their suffixes."""
 
     def __init__(self, text: bytes, ids: np.ndarray, sizes: np.ndarray, least: int):
-        self.text, self.ids, self.ends = text, ids, np.cumsum(sizes)
+        self.text, self.ids, self.ends, self.least = text, ids, np.cumsum(sizes), least
         self.start, self.count, self.offset, self.hash = runs_of(np.frombuffer(text, np.uint8), self.ends, least)
+        self.doc = ids[np.searchsorted(self.ends, self.start, side="right")] if len(self.start) else np.zeros(0, np.int64)
+
+    def inside(self) -> np.ndarray:
+        """Which runs have a minimizer that documents of two ids here have."""
+        return _between(self.hash, self.doc)
+
+    def group(self, keep: np.ndarray) -> None:
+        """Leave the runs of `keep`, and find equal ones: `kind` numbers the strings in the order of their `first` runs."""
+        self.start, self.count, self.offset, self.hash, self.doc = (x[keep] for x in (self.start, self.count, self.offset, self.hash, self.doc))
         seen: dict[bytes, int] = {}
-        cuts = zip(self.start.tolist(), (self.start + self.count + least - 1).tolist())
+        text, cuts = self.text, zip(self.start.tolist(), (self.start + self.count + self.least - 1).tolist())
         self.kind = np.array([seen.setdefault(text[a:b], len(seen)) for a, b in cuts], np.int64)
         self.strings = list(seen)
-        self.first = np.flatnonzero(np.diff(np.maximum.accumulate(np.r_[-1, self.kind])) > 0)  # the first run of each kind
-        self.doc = ids[np.searchsorted(self.ends, self.start, side="right")] if len(self.start) else np.zeros(0, np.int64)
+        self.first = np.flatnonzero(np.diff(np.maximum.accumulate(np.r_[-1, self.kind])) > 0)
         self.least_doc = np.full(len(seen), _LAST)
         np.minimum.at(self.least_doc, self.kind, self.doc)
 
 
+def _between(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each entry: is its key one that entries of two documents or more have?"""
+    order = np.argsort(key, kind="stable")
+    cut = _cuts(key[order])
+    if not len(cut):
+        return np.zeros(0, bool)
+    doc = doc[order]
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut), np.diff(np.r_[cut, len(order)]))
+    return out
+
+
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+
+
+def _slices(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    cut = _cuts(values)
+    return zip(cut.tolist(), np.r_[cut[1:], len(values)].tolist())
+
+
 #: What a run says of itself in a block, and what a block says of a run of a chunk.
 _RUN = np.dtype([("place", "<u4"), ("doc", "<i8"), ("count", "u1"), ("offset", "u1")])
 _FOUND = np.dtype([("place", "<u4"), ("begin", "u1"), ("end", "u1"), ("doc", "<i8")])
 
 
 def _packed(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -243,25 +274,75 @@ def _unchunked(ids: bytes, sizes: bytes, text: bytes, least: int) -> _Chunk:
     return _Chunk(_unpacked(text), np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), least)
 
 
+def _block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    return ((hashes & _LOW) % np.uint64(blocks)).astype(np.int64)
+
+
+def _minimizers(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(block, number) of the distinct minimizers of a chunk, sorted: the lower half of a hash chooses the block, the upper
+    half names it there. Two of one name count as one, which costs time only."""
+    pair = np.unique((_block_of(hashes, blocks).astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+    return (pair >> np.uint64(32)).astype(np.int64), (pair & _LOW).astype(np.uint32)
+
+
+def _named(chunks: DataFrame, blocks: int, least: int) -> DataFrame:
+    """(block, chunk, numbers): the minimizers of each chunk in each block, as packed steps between sorted numbers."""
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, ids, sizes, text in zip(batch["chunk"], batch["ids"], batch["sizes"], batch["text"]):
+                block, value = _minimizers(_unchunked(ids, sizes, text, least).hash, blocks)
+                rows = [(int(block[a]), number, _steps(value[a:b])) for a, b in _slices(block)]
+                yield pd.DataFrame(rows, columns=["block", "chunk", "numbers"])
+
+    return chunks.select("chunk", "ids", "sizes", "text").mapInPandas(name, "block long, chunk long, numbers binary")
+
+
+def _steps(value: np.ndarray) -> bytes:
+    """Sorted numbers as steps, their bytes in four planes: the upper ones are nearly empty."""
+    return _packed(np.diff(value, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _stepped(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpacked(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0], dtype=np.uint64).astype(np.uint32)
+
+
+def _heard(named: DataFrame) -> DataFrame:
+    """(chunk, block, bits): for each minimizer of a chunk, in order, whether another chunk has it."""
+
+    def block(group: pd.DataFrame) -> pd.DataFrame:
+        values = [_stepped(n) for n in group["numbers"]]
+        every, place, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        twice = np.split((n > 1)[place], np.cumsum([len(v) for v in values])[:-1])
+        return pd.DataFrame({"chunk": group["chunk"], "block": group["block"], "bits": [np.packbits(t).tobytes() for t in twice]})
+
+    return named.groupBy("block").applyInPandas(block, "chunk long, block long, bits binary")
+
+
 def _dealt(chunks: DataFrame, blocks: int, least: int) -> DataFrame:
-    """(block, chunk, runs, strings): the distinct runs of each chunk that fall into each block of buckets."""
+    """(block, chunk, runs, strings): the distinct runs of each chunk that fall into each block of buckets, without those
+    whose minimizer no other document has. chunks: with `heard`, an array of (block, bits)."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for number, ids, sizes, text in zip(batch["chunk"], batch["ids"], batch["sizes"], batch["text"]):
+            for number, ids, sizes, text, heard in zip(batch["chunk"], batch["ids"], batch["sizes"], batch["text"], batch["heard"]):
                 c = _unchunked(ids, sizes, text, least)
-                block = ((c.hash[c.first] & _LOW) % np.uint64(blocks)).astype(np.int64)
+                block, value = _minimizers(c.hash, blocks)
+                bits = {h["block"]: h["bits"] for h in (heard if heard is not None else [])}
+                said = [np.unpackbits(np.frombuffer(bits[int(block[a])], np.uint8), count=b - a).astype(bool) for a, b in _slices(block)]
+                pair = (block.astype(np.uint64) << np.uint64(32)) | value
+                own = (_block_of(c.hash, blocks).astype(np.uint64) << np.uint64(32)) | (c.hash >> np.uint64(32))
+                c.group((np.concatenate(said)[np.searchsorted(pair, own)] if said else np.zeros(0, bool)) | c.inside())
+                block = _block_of(c.hash[c.first], blocks)
                 order = np.argsort(block, kind="stable")
                 said = np.empty(len(order), _RUN)
                 for name, values in (("place", c.start[c.first]), ("doc", c.least_doc), ("count", c.count[c.first]), ("offset", c.offset[c.first])):
                     said[name] = values[order]
-                cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])[: len(order)]
-                rows = []
-                for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(order)].tolist()):
-                    rows.append((int(block[order[a]]), number, said[a:b].tobytes(), _packed(*[c.strings[i] for i in order[a:b].tolist()])))
+                rows = [(int(block[order[a]]), number, said[a:b].tobytes(), _packed(*[c.strings[i] for i in order[a:b].tolist()])) for a, b in _slices(block[order])]
                 yield pd.DataFrame(rows, columns=["block", "chunk", "runs", "strings"])
 
-    return chunks.select("chunk", "ids", "sizes", "text").mapInPandas(deal, "block long, chunk long, runs binary, strings binary")
+    return chunks.mapInPandas(deal, "block long, chunk long, runs binary, strings binary")
 
 
 def _earlier(chunk: np.ndarray, runs: np.ndarray, raw: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,11 +354,7 @@ def _earlier(chunk: np.ndarray, runs: np.ndarray, raw: bytes, least: int) -> tup
     words = words_of(np.frombuffer(raw, np.uint8))
     spot = begin + runs["offset"]
     bucket = _mixed(words[spot], words[spot + 8])
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-    doc = runs["doc"][order]
-    live = np.repeat(np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut), np.diff(np.r_[cut, len(order)]))
-    entry = np.sort(order[live])
+    entry = np.flatnonzero(_between(bucket, runs["doc"]))
     if not len(entry):
         return nothing
     seen: dict[bytes, int] = {}
@@ -318,8 +395,7 @@ def _sorted_blocks(dealt: DataFrame, least: int) -> DataFrame:
         chunk = np.repeat(group["chunk"].to_numpy(np.int64), [len(r) for r in runs])
         to, found = _earlier(chunk, np.concatenate(runs), b"".join(map(_unpacked, group["strings"])), least)
         order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])[: len(order)]
-        rows = [(int(to[order[a]]), _packed(found[order[a:b]].tobytes())) for a, b in zip(cut.tolist(), np.r_[cut[1:], len(order)].tolist())]
+        rows = [(int(to[order[a]]), _packed(found[order[a:b]].tobytes())) for a, b in _slices(to[order])]
         return pd.DataFrame(rows, columns=["chunk", "found"])
 
     return dealt.groupBy("block").applyInPandas(block, "chunk long, found binary")
@@ -327,6 +403,8 @@ def _sorted_blocks(dealt: DataFrame, least: int) -> DataFrame:
 
 def _removed(c: _Chunk, found: np.ndarray, least: int) -> np.ndarray:
     """Which bytes of a chunk go."""
+    at = np.searchsorted(c.start, found["place"])
+    c.group(c.inside() | np.isin(c.hash, c.hash[at]))
     by_kind = np.argsort(c.kind, kind="stable")
     size = np.bincount(c.kind, minlength=len(c.strings))
     kind = np.searchsorted(c.start[c.first], found["place"])
@@ -355,7 +433,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     chunks = written(_chunks(docs, id_col, text_col), "chunks")
     blocks = max(4 * partitions(spark), -(-4 * total // BLOCK))
-    told = _sorted_blocks(_dealt(chunks, blocks, least), least).groupBy("chunk").agg(F.collect_list("found").alias("found"))
+    heard = _heard(_named(chunks, blocks, least)).groupBy("chunk").agg(F.collect_list(F.struct("block", "bits")).alias("heard"))
+    asked = chunks.join(heard.hint("merge"), "chunk", "left").select("chunk", "ids", "sizes", "text", "heard")
+    told = _sorted_blocks(_dealt(asked, blocks, least), least).groupBy("chunk").agg(F.collect_list("found").alias("found"))
     types = {"kept_sha256": "string", "kept": "binary", "spans": "array<struct<start:bigint,end:bigint>>"}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
