@@ -3,8 +3,8 @@ equi join; range conditions are checked inside a block."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rostrum.operators import needles
-from rostrum.operators.shared import hinted
-from rostrum.session import shared_folder
+from rostrum.operators.shared import hinted, written
+
+#: Pairs of a block that are passed over in one fold; larger blocks shrink in rounds before.
+GROUP_PAIRS = 4000
 
 
 def children_in_order(parents: DataFrame, children: DataFrame, parent_key: str, ids: str, child_key: str, start: str) -> DataFrame:
@@ -141,26 +143,41 @@ def best_word_match(overlap: DataFrame, left_id: str, right_id: str, least: int
 def _greedy(pairs: DataFrame, block: str | None, left_id: str, right_id: str, order: Sequence[Column]) -> DataFrame:
     """The pairs that one pass in `order` keeps, if it uses each left and each right row of a block once.
 
-    In rounds over written tables: a pair that comes first among those of its left and first among those of its right
-    row is kept, and all pairs of both rows go. Rounds end when no pair is left; each keeps a pair at least."""
-    spark = pairs.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/greedy-{uuid.uuid4().hex}"
+    Blocks of up to GROUP_PAIRS pairs are passed over in one go each. Larger ones (or the whole table, without a block) shrink
+    in rounds over written tables before: a pair that comes first among those of its left and first among those of its
+    right row is kept, and all pairs of both rows go. Each round keeps a pair at least, and most keep a large share."""
     inside = [block] if block else []
-    keyed = pairs.withColumns({"_left": F.struct(*inside, left_id), "_right": F.struct(*inside, right_id), "_order": F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*order, F.col(left_id), F.col(right_id)])])})
-
-    def written(df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{path}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{path}")
-
-    rest, k = written(keyed, "rest-0"), 0
+    keyed = pairs.withColumns({
+        "_block": F.to_json(F.struct(*inside), {"ignoreNullFields": "false"}) if block else F.lit(""), "_left": F.struct(*inside, left_id), "_right": F.struct(*inside, right_id),
+        "_order": F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*order, F.col(left_id), F.col(right_id)])]),
+    })
+    rest, won = written(keyed, "pairs"), []
     first = lambda side: rest.groupBy(side).agg(F.min_by(F.struct(*rest.columns), "_order").alias("row")).select("row.*")
-    while not rest.isEmpty():
-        k += 1
-        won = written(first("_left").join(first("_right").select("_left", "_right"), ["_left", "_right"]).select(*rest.columns), f"won/round={k}")
-        rest = written(rest.join(won.select("_left"), "_left", "left_anti").join(won.select("_right"), "_right", "left_anti").select(*rest.columns), f"rest-{k}")
-    if not k:
-        return pairs.where("1 = 0")
-    return spark.read.schema(keyed.schema).parquet(f"{folder}/won").select(*pairs.columns)
+    while True:
+        sizes = written(rest.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "block-sizes")
+        large = sizes.where(F.col("_n") > GROUP_PAIRS).select("_block")
+        won.append(_in_one_pass(rest.join(hinted(large), "_block", "left_anti") if large.take(1) else rest).select(*pairs.columns))
+        if not large.take(1):
+            return reduce(DataFrame.unionByName, won)
+        rest = rest.join(hinted(large), "_block", "left_semi")
+        kept = written(first("_left").join(first("_right").select("_left", "_right").hint("merge"), ["_left", "_right"]).select(*rest.columns), "kept")
+        won.append(kept.select(*pairs.columns))
+        rest = written(rest.join(kept.select("_left").hint("merge"), "_left", "left_anti").join(kept.select("_right").hint("merge"), "_right", "left_anti").select(*rest.columns), "pairs")
+
+
+def _in_one_pass(pairs: DataFrame) -> DataFrame:
+    """The pairs of small blocks that a pass over each keeps: a fold over the block's pairs in order, whose state is what
+    has been used."""
+    columns = [c for c in pairs.columns if c not in ("_block", "_left", "_right", "_order")]
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    row = F.struct(*columns).alias("row")
+    blocks = pairs.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_order", text("_left").alias("l"), text("_right").alias("r"), row))).alias("pairs"))
+    kind = pairs.select(row).schema["row"].dataType.simpleString()
+    none = F.struct(F.array().cast("array<string>").alias("l"), F.array().cast("array<string>").alias("r"), F.array().cast(f"array<{kind}>").alias("kept"))
+    taken = lambda s, p: F.array_contains(s["l"], p["l"]) | F.array_contains(s["r"], p["r"])
+    take = lambda s, p: F.struct(F.array_append(s["l"], p["l"]).alias("l"), F.array_append(s["r"], p["r"]).alias("r"), F.array_append(s["kept"], p["row"]).alias("kept"))
+    kept = F.aggregate("pairs", none, lambda s, p: F.when(taken(s, p), s).otherwise(take(s, p)), lambda s: s["kept"])
+    return blocks.select(F.explode(kept).alias("row")).select("row.*")
 
 
 def assign_once(pairs: DataFrame, block: str | None, left_id: str, right_id: str, score: str) -> DataFrame:
