@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from rostrum.operators import needles
 from rostrum.operators.shared import hinted, written
+from rostrum.operators.sweeps import as_of, band_of, contained_in, nearest  # noqa: F401
 
 #: Pairs of a block that are passed over in one fold; larger blocks shrink in rounds before.
 GROUP_PAIRS = 4000
@@ -191,50 +192,6 @@ def claim_in_order(pairs: DataFrame, block: str | None, left_order: Sequence[str
     return _greedy(pairs, block, left_id, right_id, [*map(F.col, left_order), -F.col(score)])
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, tolerance: Column | None = None) -> DataFrame:
-    """For each left row, `value` and time (`matched_at`) of the last right row of its key at or before `at`, within
-    the tolerance (in the unit of `at`). Both sides are stacked and swept once, without a range join; at equal times
-    right rows come first."""
-    stacked = left.withColumns({"matched_at": F.lit(None).cast(right.schema[at].dataType), "matched": F.lit(None).cast(right.schema[value].dataType), "side": F.lit(1)}).unionByName(
-        right.select(*keys, at, F.col(at).alias("matched_at"), F.col(value).alias("matched"), F.lit(0).alias("side")), allowMissingColumns=True
-    )
-    sweep = W.partitionBy(*keys).orderBy(at, "side").rowsBetween(W.unboundedPreceding, 0)
-    found = stacked.withColumns({c: F.last(c, ignorenulls=True).over(sweep) for c in ("matched_at", "matched")}).where("side = 1").drop("side")
-    if tolerance is None:
-        return found
-    near = F.col(at) - F.col("matched_at") <= tolerance
-    return found.withColumns({"matched": F.when(near, F.col("matched")), "matched_at": F.when(near, F.col("matched_at"))})
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
-    """For each left row the right row of its key that is nearest in `at`, ties to the earlier one: the last before
-    and the first after, found in one sweep each."""
-    place = F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
-    stacked = left.withColumns({"hit": F.lit(None).cast(right.select(place.alias("x")).schema[0].dataType), "side": F.lit(1)}).unionByName(
-        right.select(*keys, at, place.alias("hit"), F.lit(0).alias("side")), allowMissingColumns=True
-    )
-    before = W.partitionBy(*keys).orderBy(at, "side").rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(*keys).orderBy(F.col(at), F.col("side").desc()).rowsBetween(0, W.unboundedFollowing)
-    found = stacked.withColumns({"low": F.last("hit", ignorenulls=True).over(before), "high": F.first("hit", ignorenulls=True).over(after)}).where("side = 1")
-    gap = lambda x: F.abs(F.col(at) - F.col(f"{x}.at"))
-    low = F.col("low").isNotNull() & (F.col("high").isNull() | (gap("low") <= gap("high")))
-    best = F.when(low, F.col("low")).otherwise(F.col("high"))
-    return found.withColumns({"matched": best["value"], "matched_at": best["at"]}).drop("hit", "side", "low", "high")
-
-
-def band_of(rows: DataFrame, headers: DataFrame, keys: Sequence[str], pos: str, header: str) -> DataFrame:
-    """The header whose band [its position, the next header's) holds each row; rows before the first are dropped."""
-    return as_of(rows, headers, keys, pos, header).where("matched is not null").withColumnRenamed("matched", header).drop("matched_at")
-
-
-def contained_in(parts: DataFrame, hosts: DataFrame, keys: Sequence[str], part_id: str, host_id: str) -> DataFrame:
-    """Each part's smallest enclosing host of the same key: part [lo, hi] inside host [lo, hi], ties to the smaller id."""
-    h = hosts.select(*keys, host_id, F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    inside = (F.col("lo") >= F.col("h_lo")) & (F.col("hi") <= F.col("h_hi"))
-    best = F.min_by(host_id, F.struct(F.col("h_hi") - F.col("h_lo"), F.col(host_id)))
-    return parts.join(h, [*keys]).where(inside).groupBy(part_id).agg(best.alias(host_id))
-
-
 def supplement(own: DataFrame, other: DataFrame, parent: str) -> DataFrame:
     """Rows of `other` are added for parents that have none of their own."""
     return own.unionByName(other.join(own.select(parent).distinct(), parent, "left_anti"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rostrum.operators import sweeps
+
 
 def number_repeats(df: DataFrame, keys: Sequence[str], title: str, order: Sequence[str]) -> DataFrame:
     """Titles that repeat within their key get ` 1`, ` 2` … in order; unique ones stay."""
@@ -117,14 +119,26 @@ def next_boundary(df: DataFrame, columns: Sequence[str], now: Column) -> DataFra
     return each.where(F.col("boundary") > now).agg(F.min("boundary").alias("boundary"))
 
 
-def inferred_end(df: DataFrame, parent: Sequence[str], start: str, end: str, seconds: str, closing: Column, extra: Column) -> DataFrame:
-    """A missing end becomes the next strictly later start of the parent, else its closing time, else start + extra.
-    `seconds` is the start as whole seconds, for the range frame."""
+def inferred_end(df: DataFrame, parent: Sequence[str], start: str, end: str, seconds: str, closing: Column, extra: Column, starts: DataFrame | None = None, day: Sequence[str] = ()) -> DataFrame:
+    """A missing end becomes the next strictly later start of the parent, else its closing time, else the next of
+    `starts` (day, start) on the same day, where given, else start + extra. `seconds` is the start as whole seconds, for the
+    range frame."""
     later = F.min(start).over(W.partitionBy(*parent).orderBy(seconds).rangeBetween(1, W.unboundedFollowing))
-    return df.withColumn(end, F.coalesce(F.col(end), later, closing, F.col(start) + extra))
-
-
-def parent_span(parents: DataFrame, children: DataFrame, key: str, start: str, end: str, closing: str, extra: Column) -> DataFrame:
-    """Start: the earliest child. End: the closing time, else the latest child's end, else start + extra."""
-    spans = children.groupBy(key).agg(F.min(start).alias("span_start"), F.max(end).alias("_last"))
-    return parents.join(spans, key, "left").withColumn("span_end", F.coalesce(F.col(closing), F.col("_last"), F.col("span_start") + extra)).drop("_last")
+    out = df.withColumn("_later", later)
+    out = sweeps.next_after(out, starts, day, start) if starts is not None else out.withColumn("next_at", F.lit(None).cast(df.schema[start].dataType))
+    return out.withColumn(end, F.coalesce(F.col(end), "_later", closing, "next_at", F.col(start) + extra)).drop("_later", "next_at")
+
+
+def parent_span(parents: DataFrame, children: DataFrame, key: str, start: str, end: str, closing: str, extra: Column, day: Sequence[Column] = ()) -> DataFrame:
+    """Start: the earliest child, else the parent's own. End: the closing time, else the latest child's end, else, by
+    `day` (the program and the day of span_start, where given), the next start of a parent that day, else start + extra."""
+    spans = children.groupBy(key).agg(F.min(start).alias("_first"), F.max(end).alias("_last"))
+    own = F.col("span_start") if "span_start" in parents.columns else F.lit(None)
+    out = parents.join(spans.hint("merge"), key, "left").withColumn("span_start", F.coalesce("_first", own)).drop("_first")
+    if day:
+        names = [f"_day{i}" for i in range(len(day))]
+        out = out.withColumns(dict(zip(names, day)))
+        out = sweeps.next_after(out, out.select(*names, "span_start").distinct(), names, "span_start").drop(*names)
+    else:
+        out = out.withColumn("next_at", F.lit(None).cast(out.schema["span_start"].dataType))
+    return out.withColumn("span_end", F.coalesce(F.col(closing), "_last", "next_at", F.col("span_start") + extra)).drop("_last", "next_at")
