@@ -8,8 +8,10 @@ The vocabulary comes from word counts over all documents; rarer words share hash
 is its entry's, times its share of the entry's count. Up to FREQUENT of these words have their counts broadcast; the
 counts of all others come from a Spark join, so there is no limit to their number. A word that the corpus doesn't have
 counts UNSEEN. Training makes ROUNDS passes over disjoint thirds of the documents, so that every token of every
-document is a target once: every task trains a copy of the network on its rows, and the copies are averaged, weighted
-by their targets. The softmax has two levels, the class of an entry and the entry within its class, so that a token
+document is a target once. A hash of the row deals the documents of a round into shards of about SHARD tokens; each
+shard trains a copy of the network, in the order of the hash, and the copies are averaged, weighted by their targets. The number of shards
+follows from the corpus alone, so the scores don't depend on how the table is partitioned, and a copy sees as much of a large
+corpus as of a small one. The softmax has two levels, the class of an entry and the entry within its class, so that a token
 costs CLASSES + EACH exponentials. What reaches the driver is one network a round, whose size is fixed, and the
 broadcast words.
 """
@@ -34,6 +36,8 @@ from rostrum.llm.shared import partitions, written
 NAMED, HASHED, WIDTH, REACH = 384, 127, 16, 2
 #: Rounds of training, targets of a step, learning rate, slices of the parameters.
 ROUNDS, STEP, RATE, SLICES = 3, 2048, 0.15, 32
+#: Tokens of a shard, about.
+SHARD = 1 << 19
 #: Tokens scored together (their probabilities stay in a core's cache) and gathered before; words counted in a task
 #: before they are passed on.
 BATCH, GATHERED, COUNTED = 1 << 12, 1 << 17, 200_000
@@ -207,9 +211,10 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
     counts = written(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(NAMED).collect()  # a bounded list
     named = Vocabulary({bytes(r.word): k for k, r in enumerate(top)})
-    named.counts, named.held = counts, np.zeros(HASHED)
+    named.counts, named.held, named.total = counts, np.zeros(HASHED), 0
     for r in counts.groupBy((F.crc32("word") % HASHED).alias("entry")).agg(F.sum("n").alias("n")).collect():
         named.held[r.entry] = r.n
+        named.total += r.n
     for r in top:
         named.held[zlib.crc32(r.word) % HASHED] -= r.n
     band = F.floor(F.log2("n") * 8)
@@ -227,35 +232,38 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
     return named, frequency
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]:
-    """The vocabulary and a network trained on all documents. Without any token it stays as it starts."""
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[Vocabulary, Network]:
+    """The vocabulary and a network trained on all documents. Without any token it stays as it starts.
+
+    Nulls are left out, long texts are read in blocks, and columns but these two are ignored (without an `id_col`, the text
+    alone deals the rows out). Copies of a text under several ids go to several shards; rows equal in both go to one."""
     spark = docs.sparkSession
     named, frequency = vocabulary(docs, text_col)
     model = Network.start(frequency)
-    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    own_id = [F.col(id_col)] if id_col in docs.columns else []
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), *own_id).alias("key")).where(F.col("text").isNotNull())
+    shards = max(1, -(-named.total // (ROUNDS * SHARD)))
     names = spark.sparkContext.broadcast((dict(named), named.frequent))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.flat())
 
-        def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def learn(shard: pd.DataFrame) -> pd.DataFrame:
             own = Network.of(start.value.copy())
             power = [np.zeros_like(x) for x in own.arrays()]
             places = Places(*names.value)
             seen, sides, target, held = 0, [], [], 0
-            for batch in batches:
-                for text in batch["text"]:
-                    for around, ids in blocks(places.read(words_of(text))[0], 64 * STEP):
-                        sides.append(around)
-                        target.append(ids)
-                        held += len(ids)
-                        if held >= 64 * STEP:
-                            seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
-                            sides, target, held = [], [], 0
+            for text in shard.sort_values("key", kind="stable")["text"]:
+                for around, ids in blocks(places.read(words_of(text))[0], 64 * STEP):
+                    sides.append(around)
+                    target.append(ids)
+                    held += len(ids)
+                    if held >= 64 * STEP:
+                        seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
+                        sides, target, held = [], [], 0
             if held:
                 seen += _steps(own, power, np.concatenate(sides), np.concatenate(target))
-            if seen:
-                parts = np.array_split(own.flat() * np.float32(seen), SLICES)
-                yield pd.DataFrame({"slice": range(SLICES), "weight": float(seen), "values": [p.astype(np.float32).tobytes() for p in parts]})
+            parts = np.array_split(own.flat() * np.float32(seen), SLICES) if seen else []
+            return pd.DataFrame({"slice": range(len(parts)), "weight": float(seen), "values": [p.astype(np.float32).tobytes() for p in parts]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[int, tuple[float, np.ndarray]] = {}
@@ -265,9 +273,9 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, Network]
                     total[k] = (w0 + w, v0 + np.frombuffer(v, np.float32).astype(np.float64))
             yield pd.DataFrame({"slice": list(total), "weight": [w for w, _ in total.values()], "values": [(v / w).astype(np.float32).tobytes() for w, v in total.values()]})
 
-        # a hash of the text deals the documents out over the rounds
-        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
-        copies = part.mapInPandas(learn, "slice int, weight double, values binary")
+        shard = F.pmod("key", F.lit(ROUNDS * shards))
+        part = texts.where(F.pmod(shard, F.lit(ROUNDS)) == turn).withColumn("shard", shard)
+        copies = part.groupBy("shard").applyInPandas(learn, "slice int, weight double, values binary")
         mean = copies.repartition(min(SLICES, partitions(spark)), "slice").mapInPandas(add, "slice int, weight double, values binary").collect()
         if mean:
             model = Network.of(np.concatenate([np.frombuffer(r.values, np.float32) for r in sorted(mean, key=lambda r: r.slice)]))

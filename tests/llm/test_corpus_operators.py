@@ -511,6 +511,16 @@ def test_scores_prefer_the_corpus(spark, documents):
     assert named == {w: k for k, (w, _) in enumerate(want)}
 
 
+def test_scores_do_not_depend_on_partitions(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 20_000)
+    scores = []
+    for n in (1, 16):
+        docs = documents.repartition(n)
+        named, model = lm_score.train(docs)
+        scores.append({r.doc_id: r.log_likelihood for r in lm_score.score(docs, named, model).collect()})
+    assert all(abs(scores[0][d] - scores[1][d]) <= 1e-6 * max(1.0, abs(scores[0][d])) for d in scores[0]) and len(scores[0]) == len(scores[1])
+
+
 def test_every_token_is_a_target(spark, documents, monkeypatch):
     texts = ["left right"] * 200 + ["up down"] * 200 + ["one"] * 50
     short = spark.createDataFrame([(i, t + " " * (i % 7)) for i, t in enumerate(texts)], "doc_id long, text string")
