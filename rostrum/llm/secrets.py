@@ -2,7 +2,9 @@
 
 Patterns find the base spans. Runs of base64 or hexadecimal text are candidates only: they are decoded and must parse
 as a private key (nested DER lengths that fill the bytes exactly, or the OpenSSH container with its length-prefixed
-fields), or as a signed token whose header and body are JSON objects, before a span is added.
+fields), or as a signed token whose header and body are JSON objects, before a span is added. Candidates may be broken into
+lines: by line ends or their escapes (`\\n`), behind quote marks, with header lines inside an armour; the parts are joined
+before they are decoded, and the span covers the whole run. Encrypted tokens of five parts are told by their header.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,13 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run is matched whole, so the length can stand in the pattern
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]+)\.(ey[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_SEALED = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)(?![A-Za-z0-9_.-])")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z ]{0,20}PRIVATE KEY)-----")
+#: An end of line, real or escaped, with what quoting and string literals put around it.
+_BREAK = r"""[ \t"'+,]{0,8}(?:\r?\n|(?:\\r)?\\n)[ \t>|#"'+]{0,40}"""
+_BREAKS = re.compile(_BREAK)
+_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{40,}}(?:{_BREAK}[A-Za-z0-9+/_-]+={{0,2}})+")
+_HEXLINES = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{32,}}(?:{_BREAK}[0-9A-Fa-f]+)+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
@@ -123,29 +131,85 @@ def key_kind(data: bytes | None) -> str | None:
     return "ssh" if data and is_private_ssh(data) else None
 
 
+def _armoured(body: str) -> bool:
+    """Is this what stands between the lines of an armour: base64 of a key, or header lines and an encrypted one?"""
+    plain, heads = [], {}
+    for line in re.split(r"\r?\n|(?:\\r)?\\n", body):
+        line = line.strip(" \t>|#\"'+,")
+        name, colon, value = line.partition(":")
+        if colon:
+            heads[name.strip()] = value.strip()
+        elif line:
+            plain.append(line)
+    data = _decoded("".join(plain)) if plain else None
+    if data is None:
+        return False
+    if "ENCRYPTED" in heads.get("Proc-Type", ""):
+        cipher, _, salt = heads.get("DEK-Info", "").partition(",")
+        return bool(re.fullmatch("[A-Z0-9-]+", cipher)) and bool(re.fullmatch("(?:[0-9A-Fa-f]{16}){1,2}", salt.strip())) and len(data) % 8 == 0 and len(data) > 0
+    return key_kind(data) is not None
+
+
+def _armours(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of armoured keys; each BEGIN is searched up to the next one, so the text is read once."""
+    begins = list(_BEGIN.finditer(text))
+    for m, limit in zip(begins, [*[n.start() for n in begins[1:]], len(text)]):
+        foot = f"-----END {m[1]}-----"
+        at = text.find(foot, m.end(), limit)
+        if at >= 0 and _armoured(text[m.end() : at]):
+            yield m.start(), at + len(foot)
+
+
+def _wrapped(text: str, pattern: re.Pattern, decode: Callable[[str], bytes | None]) -> Iterator[tuple[str, int, int]]:
+    """Keys broken into lines: lines as long as the first one, then at most one shorter."""
+    for m in pattern.finditer(text):
+        lines, at = [], m.start()
+        for gap in _BREAKS.finditer(text, m.start(), m.end()):
+            lines.append((at, gap.start()))
+            at = gap.end()
+        lines.append((at, m.end()))
+        size = [b - a for a, b in lines]
+        n = next((k for k, x in enumerate(size) if x != size[0]), len(size))
+        for k in (n + 1, n) if n < len(size) and size[n] < size[0] else (n,):
+            if k > 1 and (kind := key_kind(decode("".join(text[a:b] for a, b in lines[:k])))):
+                yield kind, lines[0][0], lines[k - 1][1]
+                break
+
+
+def _unhexed(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then in the order of KINDS."""
     out = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+    sealed = []
+    if "ey" in text:
+        for m in _SEALED.finditer(text):
+            head = _object(m[1])
+            if head and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str) and all(_decoded(p) is not None for p in m.groups()[1:]):
+                sealed.append((m.start(), m.end()))
+                out.append(("token", m.start(), m.end()))
+    inside = lambda at, spans: any(a <= at < b for a, b in spans)
     if ".ey" in text:
         for m in _SIGNED.finditer(text):
             head = _object(m[1])
-            if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (m[3] or head["alg"] == "none"):
+            if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None and (m[3] or head["alg"] == "none") and not inside(m.start(), sealed):
                 out.append(("token", m.start(), m.end()))
-    pem = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if key_kind(_decoded("".join(m[2].split()))):
-                pem.append((m.start(), m.end()))
-                out.append(("pem", m.start(), m.end()))
-    for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in pem) and (kind := key_kind(_decoded(m[0]))):
-            out.append((kind, m.start(), m.end()))
-    for m in _HEXKEY.finditer(text):
-        if kind := key_kind(bytes.fromhex(m[0])):
-            out.append((kind, m.start(), m.end()))
+    keys = list(_armours(text)) if "-----BEGIN " in text else []
+    out += [("pem", a, b) for a, b in keys]
+    for pattern, decode in ((_LINES, _decoded), (_HEXLINES, _unhexed)):
+        for kind, a, b in _wrapped(text, pattern, decode):
+            if not inside(a, keys):
+                keys.append((a, b))
+                out.append((kind, a, b))
+    for pattern, decode in ((_BASE64, _decoded), (_HEXKEY, _unhexed)):
+        for m in pattern.finditer(text):
+            if not inside(m.start(), keys) and (kind := key_kind(decode(m[0]))):
+                out.append((kind, m.start(), m.end()))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -298,6 +298,39 @@ def test_structures_are_confirmed():
     assert kinds("secret: api_key: abcdefghijklmnop") == []  # the short match uses the text up
 
 
+def test_broken_secrets_are_joined():
+    import base64
+    import json
+
+    number = lambda n: der(2, bytes(range(1, n + 1)))
+    key = base64.b64encode(der(0x30, der(2, b"\x00"), *[number(40) for _ in range(8)])).decode()
+    lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+    def only(text, kind, begin, end):
+        found = [s for s in secrets.secret_spans(text) if s[0] not in secrets.KINDS[:3]]
+        assert found == [(kind, text.index(begin), text.rindex(end) + len(end))], (text, found)
+
+    service = json.dumps({"private_key": "\n".join([head, *lines, foot, ""]), "client": "é"})
+    only(service, "pem", head, foot)
+    only("\n".join("> " + x for x in ["see", head, *lines, foot]), "pem", head, foot)
+    only("k = (\n" + "\n".join(f'  "{x}\\n" +' for x in [head, *lines, foot]) + ")", "pem", head, foot)
+    sealed = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", base64.b64encode(bytes(range(64))).decode()]
+    only("\r\n".join([head, *sealed, foot]), "pem", head, foot)
+    assert "pem" not in {k for k, _, _ in secrets.secret_spans("\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,xyz", sealed[3], foot]))}
+    assert "pem" not in {k for k, _, _ in secrets.secret_spans("\n".join([head, *lines[:-1], foot, head, "x"]))}
+    only("dump:\n" + "\n".join(lines) + "\nword follows", "der", lines[0], lines[-1])
+    only("dump:\n" + "\\n".join(lines) + " word", "der", lines[0], lines[-1])
+    hexed = base64.b64decode(key).hex().upper()
+    rows = [hexed[k : k + 80] for k in range(0, len(hexed), 80)]
+    only("\n".join(rows), "der", rows[0], rows[-1])
+    url = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    token = ".".join([url({"alg": "dir", "enc": "A128GCM"}), "", "aXZpdml2", "Y2lwaGVy", "dGFnZ3M"])
+    only(f"t={token} end", "token", token, token)
+    assert [k for k, _, _ in secrets.secret_spans(token.replace(url({"alg": "dir", "enc": "A128GCM"}), url({"alg": "dir"})))] == []
+    assert [k for k, _, _ in secrets.secret_spans("q" * 64 + "\n" + "w" * 64 + "\nend")] == []
+
+
 def test_secrets_awkward(awkward, empty):
     rows = secrets.find_secrets(awkward).collect()
     assert len(rows) == awkward.count() and all(r.spans == [] for r in rows if r.doc_id in (3, 4, 5))
