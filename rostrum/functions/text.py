@@ -103,24 +103,38 @@ def compact_location(c: Column, places: Mapping[str, str]) -> Column:
     return F.when(short.isNull(), c).otherwise(F.concat_ws(" ", short, room))
 
 
+# What may follow a comma without being a given name.
+SUFFIXES = ("bsc", "esq", "ii", "iii", "iv", "jr", "md", "msc", "phd", "sr", "v")
+INSTITUTION_WORDS = r"(?i)\b(?:universit|universidad|institut|istituto|college|laborato|department|dept|cent(?:er|re)\b|academy|[ée]cole|polite[ck]ni|gmbh|ltd|inc\b)"
+
+
+def _capital(c: Column) -> Column:
+    """A lower-case piece with a capital at its beginning, and behind `O'`."""
+    plain = F.concat(F.upper(c.substr(1, 1)), c.substr(F.lit(2), F.length(c)))
+    return F.when(c.rlike("^o['’]."), F.concat(F.lit("O"), c.substr(2, 1), F.upper(c.substr(3, 1)), c.substr(F.lit(4), F.length(c)))).otherwise(plain)
+
+
 def repaired_name(c: Column) -> Column:
-    """A person's name whose pieces are all capitals gets capitals at the beginnings only; particles between the ends
+    """A person's name whose pieces are all capitals (of any alphabet) gets capitals at the beginnings only; particles between the ends
     go lower, initials stay, and so do names of over six pieces or with digits."""
     pieces = F.split(squeezed(c), " ")
     n = F.size(pieces)
 
     def piece(p: Column, i: Column) -> Column:
         inner = (i > 0) & (i < n - 1)
-        capital = F.array_join(F.transform(F.split(F.lower(p), "-"), lambda h: F.concat(F.upper(h.substr(1, 1)), h.substr(F.lit(2), F.length(h)))), "-")
-        shouted = p.rlike("^[A-Z'-]{3,}$") & p.rlike("[AEIOUY]")
+        capital = F.array_join(F.transform(F.split(F.lower(p), "-"), _capital), "-")
+        shouted = p.rlike(r"^[\p{Lu}\p{Mn}'’.-]{3,}$") & ~p.rlike(r"^(?:\p{Lu}\.-?)+$") & unmarked(p).rlike("[aeiouyæøœ]")
         return F.when(inner & F.lower(p).isin(*PARTICLES), F.lower(p)).when(shouted, capital).otherwise(p)
 
     return F.when((n > 6) | c.rlike("[0-9]"), c).otherwise(F.array_join(F.transform(pieces, piece), " "))
 
 
 def given_first(c: Column) -> Column:
-    """`Surname, Given` as `Given Surname` where each side is one piece; everything else stays."""
-    return F.when(c.rlike(r"^\S+,\s+\S+$"), F.regexp_replace(c, r"^(\S+),\s+(\S+)$", "$2 $1")).otherwise(c)
+    """`Surname, Given` as `Given Surname` where each side is one piece; everything else stays, and so do suffixes
+    (`Smith, Jr.`) and institutions behind the comma, and what has a second comma."""
+    given = F.lower(F.regexp_replace(F.regexp_extract(c, r",\s+(\S+)$", 1), r"\.", ""))
+    plain = c.rlike(r"^[^\s,]+,\s+[^\s,]+$") & ~given.isin(*SUFFIXES) & ~c.rlike(rf",\s+.*{INSTITUTION_WORDS}".replace("(?i)", "(?:(?i)", 1) + ")")
+    return F.when(plain, F.regexp_replace(c, r"^(\S+),\s+(\S+)$", "$2 $1")).otherwise(c)
 
 
 def surname_initial(c: Column) -> Column:

@@ -71,6 +71,58 @@ def backfill(df: DataFrame, keys: Sequence[str], value: str, known: DataFrame |
     return df.join(votes, [*keys], "left").withColumn(value, F.coalesce(present, "voted")).drop("voted")
 
 
+def _filled(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<struct<name:string,insts:array<int>>>"))
+
+
+def backfill_speakers(talks: DataFrame, speaker: str = "speaker", aff: str = "speaker_aff", authors: str = "authors", institutions: str = "institutions", shorts: str = "inst_shorts") -> DataFrame:
+    """`talks` with empty speaker affiliations filled by the speaker's most common one over all talks (none on a tie), and
+    the filled one mirrored into the talk: where the speaker's author entry (the first of that name) has no institution, it gets
+    the number of the institution with that short name, or of a new one with the largest number + 1.
+
+    authors: array of (name, insts array<int>), institutions: array of (n, name, alt_names), shorts: their short names in the
+    same order; nulls are empty arrays. Names are keyed by initial and surname. A talk without a speaker, or whose speaker has no
+    vote, stays as it is; a speaker who is no author gets the institution only."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    people, places = _filled(F.col(authors)), F.coalesce(institutions, none("struct<n:int,name:string,alt_names:array<string>>"))
+    base = talks.withColumns({authors: people, institutions: places, shorts: F.coalesce(shorts, none("string"))})
+    short_of = lambda n: F.trim(F.get(shorts, F.array_position(F.transform(institutions, lambda i: i["n"]), n).cast("int") - 1))
+    said = base.select(F.explode(F.transform(authors, lambda a: F.struct(T.initial_surname(a["name"]).alias("key"), F.transform(F.coalesce(a["insts"], none("int")), short_of).alias("affs")))).alias("x"))
+    votes = mode_unless_tied(said.select("x.key", F.explode("x.affs").alias("_voted")).where("trim(_voted) != '' and trim(key) != ''"), ["key"], "_voted").where("_voted is not null")
+    named = F.when(F.trim(F.coalesce(speaker, F.lit(""))) != "", T.initial_surname(F.col(speaker)))
+    out = base.withColumn("_key", named).join(votes.withColumnRenamed("key", "_key").hint("merge"), "_key", "left")
+    out = out.withColumn("_entry", F.coalesce(F.array_position(F.transform(authors, lambda a: T.initial_surname(a["name"])), F.col("_key")), F.lit(0)).cast("int"))
+    empty = F.trim(F.coalesce(aff, F.lit(""))) == ""
+    own = F.coalesce(F.size(F.get(authors, F.col("_entry") - 1)["insts"]), F.lit(0)) > 0
+    out = out.withColumns({"_fill": empty & F.col("_voted").isNotNull(), "_at": F.coalesce(F.array_position(F.transform(shorts, lambda s: F.trim(s)), F.col("_voted")), F.lit(0)).cast("int"), "_own": F.when(F.col("_entry") > 0, own).otherwise(False)})
+    out = out.withColumn("_n", F.when(F.col("_at") > 0, F.get(institutions, F.col("_at") - 1)["n"]).otherwise(F.coalesce(F.array_max(F.transform(institutions, lambda i: i["n"])), F.lit(0)) + 1))
+    mirror = F.col("_fill") & ~F.col("_own")
+    added = F.array(F.struct(F.col("_n").alias("n"), F.col("_voted").alias("name"), none("string").alias("alt_names")))
+    linked = F.transform(authors, lambda a, i: F.when(i + 1 == F.col("_entry"), F.struct(a["name"].alias("name"), F.array("_n").alias("insts"))).otherwise(a))
+    return out.withColumns({
+        authors: F.when(mirror, linked).otherwise(F.col(authors)),
+        institutions: F.when(mirror & (F.col("_at") == 0), F.concat(institutions, added)).otherwise(F.col(institutions)),
+        shorts: F.when(mirror & (F.col("_at") == 0), F.array_append(shorts, F.col("_voted"))).otherwise(F.col(shorts)),
+        aff: F.when(F.col("_fill"), F.col("_voted")).otherwise(F.col(aff)),
+    }).select(*talks.columns)
+
+
+def renumber_institutions(talks: DataFrame, allowed: str, authors: str = "authors", institutions: str = "institutions", shorts: str = "inst_shorts") -> DataFrame:
+    """`talks` in which, where `allowed` is true, institutions of one short name (trimmed) are one, the first, numbered from 1 in
+    order, and the authors' numbers follow, each once in order. Numbers of no institution are dropped; blank short names stay
+    apart by their own number. Other talks stay as they are."""
+    old = F.transform(institutions, lambda i: i["n"])
+    keys = F.transform(institutions, lambda i, at: F.when(F.trim(F.coalesce(F.get(shorts, at), F.lit(""))) != "", F.trim(F.get(shorts, at))).otherwise(F.concat(F.lit("\x00"), i["n"].cast("string"))))
+    out = talks.withColumns({"_old": old, "_keys": keys, "_first": F.array_distinct(keys)})
+    kept = F.transform("_first", lambda k, at: F.get(institutions, F.array_position("_keys", k).cast("int") - 1).withField("n", at + 1))
+    names = F.transform("_first", lambda k: F.get(shorts, F.array_position("_keys", k).cast("int") - 1))
+    place = lambda n: F.array_position("_first", F.get("_keys", F.array_position("_old", n).cast("int") - 1)).cast("int")
+    redirect = lambda insts: F.array_distinct(F.filter(F.transform(F.filter(insts, lambda n: F.array_contains("_old", n)), place), lambda n: n > 0))
+    moved = F.transform(authors, lambda a: a.withField("insts", redirect(a["insts"])))
+    yes = F.coalesce(F.col(allowed), F.lit(False))
+    return out.withColumns({authors: F.when(yes, moved).otherwise(F.col(authors)), institutions: F.when(yes, kept).otherwise(F.col(institutions)), shorts: F.when(yes, names).otherwise(F.col(shorts))}).select(*talks.columns)
+
+
 def speaker(row: dict[str, Column]) -> Column:
     """The first filled of the sources, best first."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in row.values()])

@@ -49,6 +49,44 @@ def suggest(queries: DataFrame, index: DataFrame, query: str, value: str, counts
     return ranked.where(F.col("rank") <= k).select(query, "rank", value, "n")
 
 
+def suggest_people(queries: DataFrame, names: DataFrame, query: str, name: str, least: int = 3, most: int = 12) -> DataFrame:
+    """(query, name, pass) of the names that a typed name may mean; the first pass that has it counts.
+
+    Pass 1: equal surnames, or one that begins with the typed one (of `least` signs or more), and consistent given names (none
+    agrees with all). Pass 2: typed given names and the beginning of a surname, however short; the name must have given names.
+    Pass 3: a query of one word of `least` signs or more begins a word of the name. Blank sides match nothing.
+
+    All passes are one equi-join on keys: surname beginnings of `least` to `most` signs, whole shorter surnames, beginnings
+    of any length behind the initial of the given name, and beginnings of words; each hit is then checked in full."""
+    cut = lambda c, lo: F.transform(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: (n >= lo) & (n <= F.length(c))), lambda n: F.substring(c, F.lit(1), n))
+    key = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    own = names.select(name).where(F.trim(name) != "").distinct().withColumns({"_fold": T.squeezed(T.fold(F.col(name))), "_p": T.person(F.col(name))})
+    own = own.withColumns({"_sur": F.col("_p.surname"), "_given": F.col("_p.given"), "_words": F.filter(F.split("_fold", "[^a-z0-9]+"), lambda w: w != "")})
+    initial = lambda g: F.concat(F.substring(F.get(g, 0), F.lit(1), F.lit(1)), F.lit(" "))
+    none = F.array().cast("array<string>")
+    keys = F.concat(
+        key("s", cut(F.col("_sur"), least)), F.when(F.length("_sur") < least, key("e", F.array("_sur"))).otherwise(none),
+        F.when(F.size("_given") > 0, F.transform(cut(F.col("_sur"), 1), lambda x: F.concat(F.lit("g"), initial("_given"), x))).otherwise(none), key("w", F.flatten(F.transform("_words", lambda w: cut(w, least)))),
+    )
+    index = own.select(name, "_fold", "_sur", "_given", F.explode(F.array_distinct(keys)).alias("_k"))
+    asked = queries.select(query).where(F.trim(query) != "").distinct().withColumns({"_q": T.squeezed(T.fold(F.col(query))), "_p": T.person(F.col(query))})
+    asked = asked.select(query, "_q", F.col("_p.surname").alias("_qs"), F.col("_p.given").alias("_qg"))
+    head = lambda c: F.substring(c, 1, most)
+    one = ~F.contains("_q", F.lit(" ")) & (F.length("_q") >= least)
+    wanted = F.array_compact(F.array(
+        F.when(F.length("_qs") >= least, F.concat(F.lit("s"), head("_qs"))), F.when((F.length("_qs") > 0) & (F.length("_qs") < least), F.concat(F.lit("e"), "_qs")),
+        F.when((F.size("_qg") > 0) & (F.length("_qs") > 0), F.concat(F.lit("g"), initial("_qg"), head("_qs"))), F.when(one, F.concat(F.lit("w"), head(F.regexp_extract("_q", "^[a-z0-9]*", 0)))),
+    ))
+    both = asked.withColumn("_k", F.explode(F.array_distinct(wanted))).join(index.hint("merge"), "_k")
+    agree = T.consistent_given(F.col("_qg"), F.col("_given"))
+    strict = (F.col("_qs") != "") & ((F.col("_qs") == F.col("_sur")) | ((F.length("_qs") >= least) & F.startswith("_sur", F.col("_qs")))) & agree
+    partial = (F.col("_qs") != "") & (F.size("_qg") > 0) & (F.size("_given") > 0) & F.startswith("_sur", F.col("_qs")) & agree
+    # the query stands in the name where a word begins; it may itself contain signs that split words
+    word = one & F.exists(F.sequence(F.lit(1), F.greatest(F.length("_fold"), F.lit(1))), lambda i: (F.substring(F.col("_fold"), i, F.length("_q")) == F.col("_q")) & ((i == 1) | ~F.substring(F.col("_fold"), i - 1, F.lit(1)).rlike("[a-z0-9]")))
+    found = F.when(strict, 1).when(partial, 2).when(word, 3)
+    return both.withColumn("pass", found).where(F.col("pass").isNotNull()).groupBy(query, name).agg(F.min("pass").alias("pass"))
+
+
 def batch_search(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, text: str) -> DataFrame:
     """(query_id, item_id): items whose folded text contains the query's folded text.
 
