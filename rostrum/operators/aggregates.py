@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
@@ -21,7 +22,7 @@ def learn_casing(tokens: DataFrame, token: str) -> DataFrame:
     two capitals or more. Two aggregations with partial results; no token's rows meet in one task."""
     counts = tokens.groupBy(F.upper(token).alias("upper"), F.col(token).alias("form")).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("upper").agg(F.max(F.struct("n", F.lit(0).alias("z"))).alias("m")).select("upper", F.col("m.n").alias("n"))
-    first = counts.join(best, ["upper", "n"]).groupBy("upper").agg(F.min("form").alias("form"))
+    first = counts.join(best.hint("merge"), ["upper", "n"]).groupBy("upper").agg(F.min("form").alias("form"))
     return first.where(F.length(F.regexp_replace("form", "[^A-Z]", "")) >= 2)
 
 
@@ -33,7 +34,7 @@ def consolidate(labels: DataFrame, label: str, curated: Column) -> DataFrame:
     keyed = counts.withColumn("key", plain)
     order = F.struct("curated", "n", (F.col(label) != F.col("key")).cast("int"), F.length(label), F.col(label))
     winners = keyed.groupBy("key").agg(F.max_by(label, order).alias("winner"))
-    return keyed.join(winners, "key").select(label, "winner")
+    return keyed.join(winners.hint("merge"), "key").select(label, "winner")
 
 
 def facets(df: DataFrame, token: str, registry: DataFrame, default: str = "neutral") -> DataFrame:
@@ -70,20 +71,15 @@ def integer_median(df: DataFrame, keys: Sequence[str], value: Column) -> DataFra
 
 
 def quality_report(df: DataFrame, key: str, checks: dict[str, Column], samples: int = 3) -> DataFrame:
-    """(category, n, samples): rows that fail each check, with the `samples` smallest keys as examples. One pass; the
-    samples are the first of each task, then of all, so nothing unbounded is collected."""
+    """(category, n, samples): rows that fail each check, with the `samples` smallest keys as examples. One scan counts, one
+    ranks; a task passes on no more than its own first keys of a category, so nothing unbounded is collected."""
     flags = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
     rows = df.select(key, F.explode(flags).alias("category"))
     totals = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    least = rows.groupBy("category").agg(F.min(key).alias("s0"))
-    shown = [least]
-    for k in range(1, samples):
-        beyond = rows.join(shown[-1].withColumnRenamed(f"s{k - 1}", "floor"), "category").where(F.col(key) > F.col("floor"))
-        shown.append(beyond.groupBy("category").agg(F.min(key).alias(f"s{k}")))
-    out = totals
-    for s in shown:
-        out = out.join(F.broadcast(s), "category", "left")
-    return out.select("category", "n", F.array_join(F.array_compact(F.array(*[F.col(f"s{k}").cast("string") for k in range(samples)])), ",").alias("samples"))
+    ranked = rows.where(F.col(key).isNotNull()).withColumn("place", F.dense_rank().over(W.partitionBy("category").orderBy(key))).where(F.col("place") <= samples)
+    shown = ranked.groupBy("category").agg(F.array_sort(F.collect_set(F.struct("place", F.col(key).cast("string").alias("k")))).alias("first"))
+    named = F.array_join(F.transform(F.coalesce("first", F.array().cast("array<struct<place:int,k:string>>")), lambda x: x["k"]), ",")
+    return totals.join(shown.hint("merge"), "category", "left").select("category", "n", named.alias("samples"))
 
 
 def dangling(children: DataFrame, parents: DataFrame, key: str, number: str) -> DataFrame:

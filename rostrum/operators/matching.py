@@ -24,7 +24,7 @@ def children_in_order(parents: DataFrame, children: DataFrame, parent_key: str,
     place in the array."""
     each = parents.select(parent_key, F.posexplode(ids).alias("pos", child_key))
     by = W.partitionBy(parent_key).orderBy(F.col(start).asc_nulls_last(), "pos")
-    return each.join(children, child_key).withColumn("rank", F.row_number().over(by)).drop("pos")
+    return each.join(children.hint("merge"), child_key).withColumn("rank", F.row_number().over(by)).drop("pos")
 
 
 def partially_selected(parents: DataFrame, children: DataFrame, selected_parents: DataFrame, selected_children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
@@ -71,7 +71,7 @@ def edit_distance_join(left: DataFrame, right: DataFrame, left_text: str, right_
     windows = keyed(lengths.select("b", "t"), "b", F.col("t"), range(-most, most + 1))
     pairs = pieces.join(windows.hint("merge"), "key").select("a", "b").distinct()
     near = pairs.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
-    return left.join(near.withColumnRenamed("a", left_text), left_text).join(right.withColumnRenamed(right_text, "b"), "b").withColumnRenamed("b", right_text)
+    return left.join(near.withColumnRenamed("a", left_text).hint("merge"), left_text).join(right.withColumnRenamed(right_text, "b").hint("merge"), "b").withColumnRenamed("b", right_text)
 
 
 def _best_rules(distinct: DataFrame, rules: DataFrame, text: str, order: Sequence[str]) -> DataFrame:

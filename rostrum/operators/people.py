@@ -47,12 +47,15 @@ def match_people(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 def surname_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, kind: str) -> DataFrame:
     """Each left person's best right one of the same surname: same initial first, then the kind in order, then the
-    smallest id."""
+    smallest id. The best of each (surname, initial) and of each surname are found first, so a common surname is a few rows."""
     parts = lambda df: df.withColumn("key", T.surname_initial(F.col(name)))
     a = parts(left).select(left_id, F.split("key", r"\|")[0].alias("surname"), F.split("key", r"\|")[1].alias("a_initial"))
     b = parts(right).select(right_id, kind, F.split("key", r"\|")[0].alias("surname"), F.split("key", r"\|")[1].alias("b_initial"))
-    best = F.min_by(right_id, F.struct(F.when(F.col("a_initial") == F.col("b_initial"), 0).otherwise(1), kind, right_id))
-    return a.join(b, "surname").groupBy(left_id).agg(best.alias(right_id))
+    rank = F.struct(kind, right_id)
+    own = b.groupBy("surname", F.col("b_initial").alias("a_initial")).agg(F.min_by(right_id, rank).alias("own"))
+    other = b.groupBy("surname").agg(F.min_by(right_id, rank).alias("other"))
+    found = a.join(other.hint("merge"), "surname").join(own.hint("merge"), ["surname", "a_initial"], "left")
+    return found.select(left_id, F.coalesce("own", "other").alias(right_id))
 
 
 def mode_unless_tied(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -60,15 +63,15 @@ def mode_unless_tied(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     ranking, so a key with many rows is a few counts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*keys).agg(F.max_by(F.col(value), F.struct("n", value)).alias(value), F.max("n").alias("top"))
-    ties = counts.join(best.select(*keys, "top"), [*keys]).where("n = top").groupBy(*keys).agg(F.count(F.lit(1)).alias("winners"))
-    return best.join(ties, [*keys]).select(*keys, F.when(F.col("winners") == 1, F.col(value)).alias(value))
+    ties = counts.join(best.select(*keys, "top").hint("merge"), [*keys]).where("n = top").groupBy(*keys).agg(F.count(F.lit(1)).alias("winners"))
+    return best.join(ties.hint("merge"), [*keys]).select(*keys, F.when(F.col("winners") == 1, F.col(value)).alias(value))
 
 
 def backfill(df: DataFrame, keys: Sequence[str], value: str, known: DataFrame | None = None) -> DataFrame:
     """Empty values filled with their key's mode_unless_tied over `known` (or the table itself)."""
     present = F.nullif(F.col(value), F.lit(""))
     votes = mode_unless_tied((known if known is not None else df).withColumn(value, present), keys, value).withColumnRenamed(value, "voted")
-    return df.join(votes, [*keys], "left").withColumn(value, F.coalesce(present, "voted")).drop("voted")
+    return df.join(votes.hint("merge"), [*keys], "left").withColumn(value, F.coalesce(present, "voted")).drop("voted")
 
 
 def _filled(c: Column) -> Column:

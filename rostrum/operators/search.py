@@ -44,8 +44,8 @@ def suggest(queries: DataFrame, index: DataFrame, query: str, value: str, counts
     """(query, rank, value, n): the top k values of each query by result count, ties by value. The join is on the
     query's first `most` signs."""
     asked = queries.select(query, T.fold(F.col(query)).alias("_q")).withColumn("prefix", F.substring("_q", 1, most))
-    hits = asked.join(index, "prefix").where(F.exists(F.split(T.squeezed(T.fold(F.col(value))), "[ -]"), lambda w: F.startswith(w, F.col("_q"))))
-    ranked = hits.select(query, value).distinct().join(counts, value).withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("n"), value)))
+    hits = asked.join(index.hint("merge"), "prefix").where(F.exists(F.split(T.squeezed(T.fold(F.col(value))), "[ -]"), lambda w: F.startswith(w, F.col("_q"))))
+    ranked = hits.select(query, value).distinct().join(counts.hint("merge"), value).withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("n"), value)))
     return ranked.where(F.col("rank") <= k).select(query, "rank", value, "n")
 
 

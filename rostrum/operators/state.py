@@ -46,7 +46,7 @@ def migrated(old: DataFrame, keys: Sequence[str], synced_at: Column) -> DataFram
 def days_of_range(ranges: DataFrame, first: str, last: str, known: DataFrame, day: str) -> DataFrame:
     """Ranges of days as the days that are known."""
     each = ranges.select("*", F.explode(F.sequence(F.col(first), F.col(last))).alias(day))
-    return each.join(known.select(day).distinct(), day, "left_semi").drop(first, last)
+    return each.join(known.select(day).distinct().hint("merge"), day, "left_semi").drop(first, last)
 
 
 def change_counts(before: DataFrame, after: DataFrame, keys: Sequence[str], group: str) -> DataFrame:

@@ -48,7 +48,7 @@ SELECT l_orderkey, l_linenumber, string_agg(r_name, '; ' ORDER BY pos, n) AS ins
 def j5(spark: SparkSession, d: str) -> DataFrame:
     numbers = F.array_distinct(F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5))
     each = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(numbers).alias("pos", "n")).groupBy("l_orderkey", "l_linenumber", "n").agg(F.min("pos").alias("pos"))
-    named = each.join(table(spark, d, "region"), F.col("n") == F.col("r_regionkey"))
+    named = each.join(table(spark, d, "region").hint("merge"), F.col("n") == F.col("r_regionkey"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "n", "r_name")))
     return named.groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.transform(ordered, lambda x: x["r_name"]), "; ").alias("insts"))
 
@@ -108,7 +108,7 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
         asked.join(right, key(F.col("q")) == key(F.col("t"))).select("q", F.lit(3).alias("pass"), "t"),
     ]
     best = passes[0].unionByName(passes[1]).unionByName(passes[2]).groupBy("q").agg(F.min(F.struct("pass", "t")).alias("best"))
-    return left.join(best, "q", "left").select("p_partkey", "best.pass", F.col("best.t").alias("matched"))
+    return left.join(best.hint("merge"), "q", "left").select("p_partkey", "best.pass", F.col("best.t").alias("matched"))
 
 
 @query("j9_edit_distance", "SELECT a.name AS a_name, b.name AS b_name, levenshtein(a.name, b.name) AS distance FROM (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part) a JOIN (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part) b ON levenshtein(a.name, b.name) <= 2")

@@ -399,6 +399,6 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     known = A.learn_casing(_cased(spark, d), "token").withColumnRenamed("form", "known")
     titles = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "title"))
     words = titles.where(T.is_shouting(F.col("title"))).select("doc_id", "line", F.posexplode(F.split("title", " ")).alias("pos", "word"))
-    cased = words.join(known, F.upper("word") == F.col("upper"), "left").select("doc_id", "line", "pos", T.recased(F.col("word"), F.col("known")).alias("word"))
+    cased = words.join(known.hint("merge"), F.upper("word") == F.col("upper"), "left").select("doc_id", "line", "pos", T.recased(F.col("word"), F.col("known")).alias("word"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
     return cased.groupBy("doc_id", "line").agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("title"))
