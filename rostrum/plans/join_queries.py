@@ -88,7 +88,7 @@ def _words(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
 
 @query(
     "j8_layered_match",
-    f"""WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), r AS (SELECT DISTINCT p_name AS t FROM part WHERE p_size <= 3)
+    f"""WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), r AS (SELECT DISTINCT p_name AS t FROM part)
 SELECT p_partkey, CASE WHEN e.t IS NOT NULL THEN 1 WHEN n.t IS NOT NULL THEN 2 WHEN i.t IS NOT NULL THEN 3 END AS pass, coalesce(e.t, n.t, i.t) AS matched
 FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || 'x' ELSE substr(p_name, 1, 1) || '. ' || split_part(p_name, ' ', 2) END AS q FROM part) p
 LEFT JOIN LATERAL (SELECT min(t) AS t FROM r WHERE t = q) e ON true LEFT JOIN LATERAL (SELECT min(t) AS t FROM r WHERE levenshtein(t, q) <= 2) n ON true
@@ -99,13 +99,13 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     q = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat("p_name", F.lit("x"))).otherwise(F.concat(F.substring("p_name", 1, 1), F.lit(". "), F.split_part("p_name", F.lit(" "), F.lit(2))))
     left = table(spark, d, "part").select("p_partkey", q.alias("q"))
-    right = table(spark, d, "part").where("p_size <= 3").select(F.col("p_name").alias("t")).distinct()
+    right = table(spark, d, "part").select(F.col("p_name").alias("t")).distinct()
     asked = left.select("q").distinct()
     key = lambda c: F.struct(F.substring(c, 1, 1), F.split_part(c, F.lit(" "), F.lit(2)))
     passes = [
-        asked.join(right, F.col("q") == F.col("t")).select("q", F.lit(1).alias("pass"), "t"),
+        asked.join(right.hint("merge"), F.col("q") == F.col("t")).select("q", F.lit(1).alias("pass"), "t"),
         J.edit_distance_join(asked, right, "q", "t", 2).select("q", F.lit(2).alias("pass"), "t"),
-        asked.join(right, key(F.col("q")) == key(F.col("t"))).select("q", F.lit(3).alias("pass"), "t"),
+        asked.join(right.hint("merge"), key(F.col("q")) == key(F.col("t"))).select("q", F.lit(3).alias("pass"), "t"),
     ]
     best = passes[0].unionByName(passes[1]).unionByName(passes[2]).groupBy("q").agg(F.min(F.struct("pass", "t")).alias("best"))
     return left.join(best.hint("merge"), "q", "left").select("p_partkey", "best.pass", F.col("best.t").alias("matched"))
