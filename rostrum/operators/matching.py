@@ -15,6 +15,8 @@ from rostrum.operators import needles
 from rostrum.operators.shared import hinted, written
 from rostrum.operators.sweeps import as_of, band_of, contained_in, nearest  # noqa: F401
 
+#: Rules that one automaton holds; more take further passes over the texts.
+MOST_RULES = 1_000_000
 #: Pairs of a block that are passed over in one fold; larger blocks shrink in rounds before.
 GROUP_PAIRS = 4000
 
@@ -77,11 +79,11 @@ def edit_distance_join(left: DataFrame, right: DataFrame, left_text: str, right_
 def _best_rules(distinct: DataFrame, rules: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
     """(text, best): of the rules that hit each text, the struct of `order` and short that is least, or null.
 
-    The rules, which are configuration, come in parts of up to MOST_BYTES; a part is matched by one automaton over the
+    The rules, which are configuration, come in parts of up to MOST_RULES or MOST_BYTES; a part is matched by one automaton over the
     texts, whatever its number of needles. The first rule of each part is found, then the least of all parts."""
     spark = distinct.sparkSession
-    size = rules.agg(F.sum(F.octet_length("needle") + F.coalesce(F.octet_length("short"), F.lit(0)) + 16), F.count_if("is_regex")).first()
-    parts = max(1, -(-(size[0] or 0) // needles.MOST_BYTES), -(-size[1] // needles.MOST_PATTERNS))
+    size = rules.agg(F.sum(F.octet_length("needle") + F.coalesce(F.octet_length("short"), F.lit(0)) + 16), F.count_if("is_regex"), F.count(F.lit(1))).first()
+    parts = max(1, -(-(size[0] or 0) // needles.MOST_BYTES), -(-size[1] // needles.MOST_PATTERNS), -(-size[2] // MOST_RULES))
     found = None
     for k in range(parts):
         some = rules if parts == 1 else rules.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == k)
