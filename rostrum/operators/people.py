@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.operators.matching import edit_distance_join
+from rostrum.operators.titles import title_form
 
 
 def _repair(c: Column) -> Column:
@@ -37,6 +39,32 @@ def upgrade_names(left: DataFrame, right: DataFrame, record: str, name: str, pos
     return both.select(record, pos, F.when(better & fuller, F.col("other")).otherwise(F.col(name)).alias(name))
 
 
+def layered_match(left: DataFrame, right: DataFrame, asked: tuple[str, str], known: tuple[str, str], value: str, pos: str, most: int = 2) -> DataFrame:
+    """`left` with `pass` and the `value` of the first pass that hits: 1 equal folded names, 2 names within `most` edits,
+    3 surname and initial, 4 title; both are null where none hits.
+
+    `asked` and `known` are (name, title) columns of left and right. Right rows without a value count for nothing; of several that
+    hit in a pass the first by `pos` (unique) wins. Null and blank names or titles match nothing. Edits are sought for the distinct
+    names only that no exact name answers. A `pass` or `value` column of `left` is replaced."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    name = lambda c: blank(T.squeezed(T.fold(F.col(c))))
+    key = lambda c: F.when(name(c).isNotNull(), T.surname_initial(F.col(c)))
+    title = lambda c: blank(title_form(F.col(c)))
+    filled = right.where(F.col(value).isNotNull() & (F.col(value) != ""))
+    index = filled.select(name(known[0]).alias("_n"), key(known[0]).alias("_k"), title(known[1]).alias("_t"), F.struct(F.col(pos).alias("pos"), F.col(value).alias("value")).alias("_hit"))
+    first = lambda c, to: index.where(F.col(c).isNotNull()).groupBy(c).agg(F.min_by("_hit", "_hit.pos").alias(to))
+    names = first("_n", "_1")
+    rows = left.withColumns({"_n": name(asked[0]), "_k": key(asked[0]), "_t": title(asked[1])}).join(names.hint("merge"), "_n", "left")
+    open_names = left.select(name(asked[0]).alias("_n")).where("_n IS NOT NULL").distinct().join(names.select("_n").hint("merge"), "_n", "left_anti")
+    near = edit_distance_join(open_names, names.select(F.col("_n").alias("_m"), F.col("_1").alias("_2")), "_n", "_m", most)
+    best = near.groupBy("_n").agg(F.min_by("_2", "_2.pos").alias("_2"))
+    for hit, c in ((best, "_n"), (first("_k", "_3"), "_k"), (first("_t", "_4"), "_t")):
+        rows = rows.join(hit.hint("merge"), c, "left")
+    hits = [F.col(f"_{i}") for i in range(1, 5)]
+    which = F.coalesce(*[F.when(h.isNotNull(), F.lit(i)) for i, h in enumerate(hits, 1)])
+    return rows.withColumns({"pass": which, value: F.coalesce(*hits)["value"]}).drop("_n", "_k", "_t", "_1", "_2", "_3", "_4")
+
+
 def match_people(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str) -> DataFrame:
     """Pairs (left_id, right_id) with equal surnames and consistent given names: an equi join on the surname, then a
     check of the given names. Not transitive, so never a basis for groups."""
