@@ -35,59 +35,61 @@ def learned_forms(texts: DataFrame, text: str, given: Mapping[str, str] = GIVEN_
     return learned.where(~F.col("upper").isin(*[k.upper() for k in given])).unionByName(fixed)
 
 
-def form_keys(c: Column) -> Column:
-    """The distinct upper-cased words and runs of letters of a title, and those without a last S: what to look up."""
-    up = F.upper(c)
-    keys = F.array_distinct(F.concat(F.split(T.squeezed(up), " "), F.regexp_extract_all(up, F.lit("([A-Z]+)"))))
+def form_keys(word: Column) -> Column:
+    """What to look up for a word: itself and its runs of letters in upper case, and those without a last S."""
+    up = F.upper(word)
+    keys = F.concat(F.array(up), F.regexp_extract_all(up, F.lit("([A-Z]+)")))
     singular = F.transform(F.filter(keys, lambda k: k.endswith("S")), lambda k: F.substr(k, F.lit(1), F.length(k) - 1))
     return F.filter(F.array_distinct(F.concat(keys, singular)), lambda k: k != "")
 
 
-def recased_title(c: Column, forms: Column, minor: Sequence[str] = MINOR_WORDS) -> Column:
-    """A shouted title in title case, white space squeezed; `forms` is a map from upper-cased words to their forms (or null).
+def _known(word: Column, forms: Column) -> Column:
+    up = F.upper(word)
+    plural = F.when(up.endswith("S"), F.concat(F.try_element_at(forms, F.substr(up, F.lit(1), F.length(up) - 1)), F.lit("s")))
+    return F.coalesce(F.try_element_at(forms, up), plural)
 
-    A word: as `forms` says, also as the plural of a form; minor words between the ends are lower; roman numerals stay. In other
-    words each run of letters A-Z counts on its own: by `forms`, a minor word behind the first run is lower, else with
-    one capital; a possessive ends in a small s. The first word, and one behind a colon, has a capital first letter."""
-    words = F.split(T.squeezed(c), " ")
-    last = F.size(words) - 1
 
-    def known(word: Column) -> Column:
-        up = F.upper(word)
-        plural = F.when(up.endswith("S"), F.concat(F.try_element_at(forms, F.substr(up, F.lit(1), F.length(up) - 1)), F.lit("s")))
-        return F.coalesce(F.try_element_at(forms, up), plural)
+def recased_word(word: Column, forms: Column, minor: Sequence[str] = MINOR_WORDS) -> Column:
+    """Struct (known, plain) of a word in capitals; `forms` is a map from its `form_keys` to their forms (or null).
 
-    def runs(word: Column) -> Column:
-        first = F.when(word.rlike("^[A-Za-z]"), 0).otherwise(1)
-        capital = lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.lower(F.substr(x, F.lit(2))))
-        run = lambda x, j: F.coalesce(known(x), F.when((j != first) & F.lower(x).isin(*minor), F.lower(x)), capital(x))
-        parts = F.regexp_extract_all(word, F.lit("([A-Za-z]+|[^A-Za-z]+)"))
-        return F.regexp_replace(F.array_join(F.transform(parts, lambda x, j: F.when(x.rlike("^[A-Za-z]"), run(x, j)).otherwise(x)), ""), r"'S\b", "'s")
+    `known` is the form of the whole word, also as a plural. `plain` leaves a roman numeral; else each run of letters A-Z counts on
+    its own: by `forms`, a minor word behind the first run is lower, others get one capital; a possessive ends in a small s."""
+    letters = F.lower(F.regexp_replace(word, "[^A-Za-z]", ""))
+    first = F.when(word.rlike("^[A-Za-z]"), 0).otherwise(1)
+    capital = lambda x: F.concat(F.upper(F.substr(x, F.lit(1), F.lit(1))), F.lower(F.substr(x, F.lit(2))))
+    run = lambda x, j: F.coalesce(_known(x, forms), F.when((j != first) & F.lower(x).isin(*minor), F.lower(x)), capital(x))
+    parts = F.regexp_extract_all(word, F.lit("([A-Za-z]+|[^A-Za-z]+)"))
+    runs = F.array_join(F.transform(parts, lambda x, j: F.when(x.rlike("^[A-Za-z]"), run(x, j)).otherwise(x)), "")
+    numeral = F.when((F.length(letters) >= 2) & letters.rlike(_ROMAN), F.upper(word))
+    return F.struct(_known(word, forms).alias("known"), F.coalesce(numeral, F.regexp_replace(runs, r"'S\b", "'s")).alias("plain"))
 
-    def recase(word: Column, i: Column) -> Column:
-        letters = F.lower(F.regexp_replace(word, "[^A-Za-z]", ""))
-        small = F.when((i > 0) & (i < last) & letters.isin(*minor), F.lower(word))
-        numeral = F.when((F.length(letters) >= 2) & letters.rlike(_ROMAN), F.upper(word))
-        return F.coalesce(known(word), small, numeral, runs(word))
 
-    def begin(word: Column, i: Column) -> Column:
-        at = F.length(F.regexp_extract(word, r"^(\P{L}*)", 1)) + 1
-        raised = F.concat(F.substr(word, F.lit(1), at - 1), F.upper(F.substr(word, at, F.lit(1))), F.substr(word, at + 1))
-        starts = (i == 0) | F.coalesce(F.get(words, i - 1).endswith(":"), F.lit(False))
-        return F.when(starts, raised).otherwise(word)
-
-    return F.array_join(F.transform(F.transform(words, recase), begin), " ")
+def _begun(word: Column) -> Column:
+    """With a capital as its first letter."""
+    at = F.length(F.regexp_extract(word, r"^(\P{L}*)", 1)) + 1
+    return F.concat(F.substr(word, F.lit(1), at - 1), F.upper(F.substr(word, at, F.lit(1))), F.substr(word, at + 1))
 
 
 def recase_titles(titles: DataFrame, ids: Sequence[str], title: str, forms: DataFrame, minor: Sequence[str] = MINOR_WORDS) -> DataFrame:
-    """`titles` with the shouted ones (`is_shouting`) by `recased_title`; other rows and columns stay as they are.
-
-    `ids` name a row. Each title asks once for each word it has; the forms found come back as one map a title, so a word
-    that stands in most titles is one key of a merge join whose long side adaptive execution splits. Null and empty titles stay;
-    a row with a null id is recased without forms."""
-    shouted = T.is_shouting(F.col(title))
-    asked = titles.where(shouted).select(*ids, F.explode(form_keys(F.col(title))).alias("_upper"))
+    """`titles` with the shouted ones (`is_shouting`) in title case, white space squeezed; other rows and columns stay.
+
+    Words go by `recased_word`, minor words between the ends are lower where `forms` (upper, form) has none for them, and the first
+    word and one behind a colon begin with a capital. Each distinct word of all titles is recased once, then joined to
+    its places, so a word of most titles is one key whose long side adaptive execution splits. `ids` name a row; null and
+    empty titles stay, and so do rows with a null id."""
+    words = F.split(T.squeezed(F.col(title)), " ")
+    behind = F.zip_with(words, F.concat(F.array(F.lit(":")), words), lambda w, before: F.struct(w.alias("w"), before.endswith(":").alias("begins")))
+    places = F.zip_with(behind, F.slice(words, 2, F.size(words)), lambda p, after: F.struct(p["w"].alias("w"), p["begins"].alias("begins"), after.isNull().alias("last")))
+    asked = titles.where(T.is_shouting(F.col(title)))
+    placed = asked.select(*ids, F.posexplode(places).alias("_i", "_p")).where("_p.w IS NOT NULL")
+    tokens = placed.select(*ids, "_i", F.col("_p.w").alias("_w"), F.col("_p.begins").alias("_begins"), ((F.col("_i") > 0) & ~F.col("_p.last")).alias("_inner"))
+    distinct = asked.select(F.explode(words).alias("_w")).distinct()
     known = forms.select(F.col("upper").alias("_upper"), F.col("form").alias("_form")).hint("merge")
-    found = asked.distinct().join(known, "_upper").groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("_upper", "_form"))).alias("_forms"))
-    out = titles.join(found.hint("merge"), list(ids), "left")
-    return out.withColumn(title, F.when(shouted, recased_title(F.col(title), F.col("_forms"), minor)).otherwise(F.col(title))).select(titles.columns)
+    found = distinct.select("_w", F.explode(form_keys(F.col("_w"))).alias("_upper")).join(known, "_upper").groupBy("_w").agg(F.map_from_entries(F.collect_list(F.struct("_upper", "_form"))).alias("_forms"))
+    recased = distinct.join(found.hint("merge"), "_w", "left").select("_w", recased_word(F.col("_w"), F.col("_forms"), minor).alias("_r"))
+    letters = F.lower(F.regexp_replace("_w", "[^A-Za-z]", ""))
+    word = F.coalesce(F.col("_r.known"), F.when(F.col("_inner") & letters.isin(*minor), F.lower("_w")), F.col("_r.plain"))
+    each = tokens.join(recased.hint("merge"), "_w").select(*ids, "_i", word.alias("_x"), "_begins")
+    ordered = F.array_sort(F.collect_list(F.struct("_i", F.when(F.col("_begins"), _begun(F.col("_x"))).otherwise(F.col("_x")).alias("x"))))
+    done = each.groupBy(*ids).agg(F.array_join(F.transform(ordered, lambda x: x["x"]), " ").alias("_title"))
+    return titles.join(done.hint("merge"), list(ids), "left").withColumn(title, F.coalesce("_title", title)).select(titles.columns)
