@@ -336,3 +336,36 @@ def prose(c: Column, pattern: str) -> Column:
 def recased(word: Column, known: Column) -> Column:
     """A shouted word in title case, or as `known` says."""
     return F.coalesce(known, F.when(F.lower(word).isin(*MINOR_WORDS), F.lower(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(word.substr(F.lit(2), F.length(word))))))
+
+
+def numbered_body(c: Column) -> Column:
+    """Struct (number, body) of `12. body`; the number is null where there is none (or none that fits), the body then the whole text."""
+    number = F.regexp_extract(c, r"^\s*([0-9]{1,9})\.\s+\S", 1)
+    return F.struct(F.nullif(number, F.lit("")).cast("int").alias("number"), F.when(number == "", F.trim(c)).otherwise(F.trim(F.regexp_replace(c, r"^\s*[0-9]{1,9}\.\s+", ""))).alias("body"))
+
+
+# Words that end the name of a venue, and places that say nothing.
+VENUE_WORDS = ("Atrium", "Auditorium", "Ballroom", "Beach", "Center", "Centre", "Courtyard", "Deck", "Foyer", "Garden", "Hall", "Lawn", "Lobby", "Lounge", "Patio", "Pavilion", "Plaza", "Pool", "Room", "Suite", "Terrace", "Theater", "Theatre", "Veranda")
+NO_PLACES = ("location to be announced", "tba", "tbd")
+
+
+def agenda_cell(c: Column, code: str = "[A-Z][A-Za-z0-9.-]*", no_places: Sequence[str] = NO_PLACES) -> Column:
+    """Struct (code, name, location) of `code • name, location`; code and location are null where there is none. The location is
+    behind the first comma, without stray commas; one of `no_places` is none."""
+    text = squeezed(c)
+    rest = F.regexp_replace(text, rf"^{code} ?• ?(?=.)", "")
+    place = F.regexp_replace(F.regexp_extract(rest, "^[^,]*,(.*)$", 1), "^[ ,]+|[ ,]+$", "")
+    return F.struct(
+        F.nullif(F.regexp_extract(text, rf"^({code}) ?• ?.", 1), F.lit("")).alias("code"),
+        F.trim(F.regexp_extract(rest, "^([^,]*)", 1)).alias("name"),
+        F.when((place != "") & ~F.lower(place).isin(*no_places), place).alias("location"),
+    )
+
+
+def venue_and_prose(c: Column, words: Sequence[str] = VENUE_WORDS) -> Column:
+    """Struct (venue, prose) of a blurb: the first `in the …` or `at the …` whose capitalised words end in a venue word (null where
+    there is none), and its paragraphs without the sentences that tell a clock time; paragraphs left empty go."""
+    venue = F.regexp_extract(c, rf"\b(?:in|at)\s+the\s+((?:[A-Z][\w.&'’-]*\s+)*?(?:{'|'.join(words)}))\b", 1)
+    timeless = lambda p: squeezed(F.array_join(F.filter(F.split(p, r"(?<=[.!?])\s+"), lambda s: ~s.rlike("[0-9]{1,2}:[0-9]{2}")), " "))
+    paragraphs = F.filter(F.transform(F.split(c, "\n\n"), timeless), lambda p: p != "")
+    return F.struct(F.nullif(squeezed(venue), F.lit("")).alias("venue"), F.array_join(paragraphs, "\n\n").alias("prose"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.operators.shared import hinted
 
 
 def pool(df: DataFrame, *columns: str, separator: str = ";") -> DataFrame:
@@ -87,3 +89,22 @@ def dangling(children: DataFrame, parents: DataFrame, key: str, number: str) ->
     repeated = children.groupBy(key, number).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg((F.max("n") > 1).alias("duplicate_number"))
     known = parents.select(key).distinct().withColumn("there", F.lit(True))
     return repeated.join(known, key, "left").select(key, "duplicate_number", F.col("there").isNull().alias("dangling"))
+
+
+def union_facets(tables: Sequence[tuple[DataFrame, str, DataFrame]], default: str = "neutral") -> DataFrame:
+    """(id, label, ord, n) over several tables, each as (rows, token, registry of id, label, ord): the counts of a token in all of
+    them together, by the first registry that has it.
+
+    `ord` counts from 1: the first registry's types in its order, then those only later ones have. Null tokens count as `default`, types in no
+    registry or without rows are left out. Registries are small tables of types, one row a type."""
+    counts = reduce(DataFrame.unionByName, [df.groupBy(F.coalesce(token, F.lit(default)).alias("id")).agg(F.count(F.lit(1)).alias("n")) for df, token, _ in tables])
+    types = reduce(DataFrame.unionByName, [r.select("id", F.struct(F.lit(i).alias("i"), "ord", "label").alias("t")) for i, (_, _, r) in enumerate(tables)])
+    first = types.groupBy("id").agg(F.min("t").alias("t"))
+    order = F.array_position(F.array_sort(F.collect_list("at").over(W.partitionBy(F.lit(1)))), F.col("at")).cast("int")
+    placed = first.withColumn("at", F.struct("t.i", "t.ord", "id")).select("id", F.col("t.label").alias("label"), order.alias("ord"))
+    return counts.groupBy("id").agg(F.sum("n").alias("n")).join(hinted(placed), "id").select("id", "label", "ord", "n")
+
+
+def counters(df: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
+    """One row: `n`, and for each flag how many rows it holds for (null is no), in one aggregate."""
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(flag).alias(name) for name, flag in flags.items()])

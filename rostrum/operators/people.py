@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators.matching import edit_distance_join
+from rostrum.operators.shared import hinted
 from rostrum.operators.titles import title_form
 
 
@@ -178,3 +179,37 @@ def shared_affiliation(of_speaker: Column, of_last: Column, speaker_is_last: Col
     author's first."""
     common = F.try_element_at(F.array_intersect(of_speaker, of_last), F.lit(1))
     return F.coalesce(F.when(~speaker_is_last, common), F.try_element_at(of_speaker, F.lit(1)), F.try_element_at(of_last, F.lit(1)))
+
+
+def chosen_speaker(scraped: Column, underlined: Column, presenter: Column, authors: Column) -> Column:
+    """Struct (speaker, source, position): the first name there is of the scraped one (`fuller` where it is longer than the
+    presenter's), the first underlined one (separated by semicolons), the presenter and the first author.
+
+    `position` is the speaker's place among the authors by folded name, from 0, or -1. Blank names are none; without any, speaker and
+    source are null. Null authors count as an empty list."""
+    full = lambda c: F.nullif(T.squeezed(c), F.lit(""))
+    names = F.coalesce(authors, F.array().cast("array<string>"))
+    seen, shown, first = full(scraped), full(presenter), full(F.try_element_at(names, F.lit(1)))
+    marked = full(F.split(underlined, ";")[0])
+    speaker = F.coalesce(seen, marked, shown, first)
+    fuller = F.length(seen) > F.coalesce(F.length(shown), F.lit(0))
+    source = F.when(fuller & shown.isNotNull(), "fuller").when(seen.isNotNull(), "scraped").when(marked.isNotNull(), "underlined").when(shown.isNotNull(), "presenter").when(first.isNotNull(), "first")
+    at = F.array_position(F.transform(names, lambda n: T.squeezed(T.fold(n))), T.fold(speaker)).cast("int") - 1
+    return F.struct(speaker.alias("speaker"), source.alias("source"), F.coalesce(at, F.lit(-1)).alias("position"))
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """(surname, initial, value) of tab-separated files with `#` comments; initials in upper case, rows with a blank field left
+    out. Of several rows of one key the smallest value counts."""
+    raw = spark.read.csv(path, sep="\t", comment="#", schema="surname string, initial string, value string", quote="", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    rows = raw.select(F.trim("surname").alias("surname"), F.upper(F.trim("initial")).alias("initial"), F.trim("value").alias("value"))
+    return rows.where("surname != '' AND initial != '' AND value != ''").groupBy("surname", "initial").agg(F.min("value").alias("value"))
+
+
+def overridden(df: DataFrame, name: str, value: str, overrides: DataFrame) -> DataFrame:
+    """`df` with `value` from `overrides` (surname, initial, value) where the last piece of the name and its first letter in upper case
+    have one. Null names have none; the overrides are broadcast where their counted size allows."""
+    turned = T.squeezed(T.given_first(F.col(name)))
+    keyed = df.withColumns({"_surname": F.element_at(F.split(turned, " "), -1), "_initial": F.upper(F.substring(turned, 1, 1))})
+    own = overrides.select(F.col("surname").alias("_surname"), F.col("initial").alias("_initial"), F.col("value").alias("_own"))
+    return keyed.join(hinted(own), ["_surname", "_initial"], "left").withColumn(value, F.coalesce("_own", value)).select(df.columns)

@@ -142,3 +142,12 @@ def parent_span(parents: DataFrame, children: DataFrame, key: str, start: str, e
     else:
         out = out.withColumn("next_at", F.lit(None).cast(out.schema["span_start"].dataType))
     return out.withColumn("span_end", F.coalesce(F.col(closing), "_last", "next_at", F.col("span_start") + extra)).drop("_last", "next_at")
+
+
+def renumber_all(items: DataFrame, references: DataFrame, parent: str, number: str, pos: Sequence[str], item_pos: str) -> DataFrame:
+    """(parent, number, new_number) of all `items` (parent, number, item_pos): from 1 by the first reference (parent, number, pos),
+    then the items nobody refers to in their own order. References to no item count for nothing."""
+    first = references.groupBy(parent, number).agg(F.min(F.struct(*pos)).alias("_at"))
+    both = items.select(parent, number, F.col(item_pos).alias("_pos")).join(first.hint("merge"), [parent, number], "left")
+    order = W.partitionBy(parent).orderBy(F.col("_at").asc_nulls_last(), "_pos", number)
+    return both.select(parent, number, F.row_number().over(order).alias("new_number"))

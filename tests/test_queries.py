@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from rostrum.plans import casing_queries, filter_queries, join_queries, label_queries, markup_queries, people_queries, registry, source_queries, state_queries, sweep_queries, table_queries, text_queries, title_queries  # noqa: F401
+from rostrum.plans import casing_queries, detail_queries, filter_queries, join_queries, label_queries, markup_queries, people_queries, registry, source_queries, state_queries, sweep_queries, table_queries, text_queries, title_queries  # noqa: F401
 
 NAMES = sorted(registry.queries())
 
