@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rostrum.operators.ranks import numbered
+
 from rostrum.operators import sweeps
 
 
@@ -90,10 +92,10 @@ def slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Colum
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """`chunk` 0 to n - 1: each key's rows in order, in chunks of the same rounded-up size."""
-    by = W.partitionBy(*keys)
-    size = F.ceil(F.count(F.lit(1)).over(by) / n)
-    return df.withColumn("chunk", F.floor((F.row_number().over(by.orderBy(*order)) - 1) / size).cast("int"))
+    """`chunk`: each key's rows in order, in up to n chunks of equal size (the last one shorter). Rows are numbered by ranges, so a key
+    with most rows isn't one task."""
+    size = F.ceil(F.col("_total") / n)
+    return numbered(df, keys, order, "_rank", "_total").withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank", "_total")
 
 
 def unique_codes(df: DataFrame, slug: Column, order: Sequence[str]) -> DataFrame:

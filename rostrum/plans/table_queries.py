@@ -11,6 +11,7 @@ from rostrum.operators import aggregates as A
 from rostrum.operators import filters as P
 from rostrum.operators import people, search, state
 from rostrum.operators import windows as N
+from rostrum.operators.ranks import numbered
 from rostrum.plans.join_queries import tokens
 from rostrum.plans.registry import query
 from rostrum.sources.tables import table
@@ -208,8 +209,8 @@ SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n, list(value ORDER BY v
 )
 def w4(spark: SparkSession, d: str) -> DataFrame:
     rows = N.gap_clusters(table(spark, d, "events"), ["user_id"], "value", 0.5, ["event_id"])
-    n = F.count(F.lit(1))
-    return rows.groupBy("user_id", "cluster").agg(n.alias("n"), F.array_sort(F.collect_list("value")).alias("v")).select("user_id", "cluster", "n", F.element_at("v", F.floor(F.col("n") / 2).cast("int") + 1).alias("position"))
+    ranked = numbered(rows, ["user_id", "cluster"], ["value", "event_id"], total="n")
+    return ranked.where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select("user_id", "cluster", "n", F.col("value").alias("position"))
 
 
 @query(
@@ -311,7 +312,7 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k3_natural_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY split_part(p_brand, '#', 2)::INTEGER, p_partkey) AS rank FROM part")
 def k3(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(table(spark, d, "part"), "p_type", search.natural_key(F.col("p_brand")), "p_partkey").select("p_partkey", "rank")
+    return numbered(table(spark, d, "part"), ["p_type"], [search.natural_key(F.col("p_brand")), "p_partkey"]).select("p_partkey", "rank")
 
 
 @query("k4_numbered_series", "SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY split_part(p_name, ' ', 1), p_size, p_partkey) AS rank FROM part")
@@ -319,7 +320,7 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
     """Same-time series by their leading word, then by number; a total order."""
     title = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_size").cast("string"))
     word, number = F.regexp_extract(title, "^([A-Za-z]+)", 1), F.regexp_extract(title, "([0-9]+)$", 1).cast("int")
-    return _ranked(table(spark, d, "part"), "p_type", word, number, "p_partkey").select("p_partkey", "rank")
+    return numbered(table(spark, d, "part"), ["p_type"], [word, number, "p_partkey"]).select("p_partkey", "rank")
 
 
 @query(
@@ -341,7 +342,7 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("1998-06-01").cast("timestamp_ntz")
     orders = table(spark, d, "orders")
     live = F.when(P.in_progress(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS"), now), 0).otherwise(1)
-    return _ranked(orders, "o_orderpriority", live, "o_orderdate", "o_orderkey").select("o_orderkey", "rank")
+    return numbered(orders, ["o_orderpriority"], [live, "o_orderdate", "o_orderkey"]).select("o_orderkey", "rank")
 
 
 @query(
