@@ -40,6 +40,13 @@ def inherited(own: Column, parent: Column) -> Column:
     return F.coalesce(own, parent)
 
 
+def compact_place(own_short: Column, own: Column, parent_short: Column, parent: Column) -> Column:
+    """For tight places: the own short form if it isn't blank, else the own place where there is one (an explicit blank too), else the
+    parent's short form or place, the first that isn't blank; an empty text where there is none."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(filled(own_short), own, filled(parent_short), filled(parent), F.lit(""))
+
+
 def usable_affiliation(c: Column) -> Column:
     return F.exists(F.split(c, ";"), lambda p: F.length(F.regexp_replace(p, "[^A-Za-z]", "")) >= 2)
 

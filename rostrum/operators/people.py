@@ -181,6 +181,26 @@ def shared_affiliation(of_speaker: Column, of_last: Column, speaker_is_last: Col
     return F.coalesce(F.when(~speaker_is_last, common), F.try_element_at(of_speaker, F.lit(1)), F.try_element_at(of_last, F.lit(1)))
 
 
+def speaker_affiliation(speaker: Column, authors: Column, institutions: Column) -> Column:
+    """The short affiliation to show for a speaker, of authors (array of name, insts) and institutions (array of n, short).
+
+    The speaker's (first author of that folded name) first affiliation; of several the first that the last author has too. A
+    speaker without one, who isn't the last author, in a talk where anybody has numbers, gets the last author's first. Else
+    the first institution, null without any. Numbers of no institution count for nothing, null arrays as empty."""
+    people_ = F.coalesce(authors, F.array().cast("array<struct<name:string,insts:array<int>>>"))
+    places = F.coalesce(institutions, F.array().cast("array<struct<n:int,short:string>>"))
+    folded = lambda c: F.nullif(T.squeezed(T.fold(c)), F.lit(""))
+    short = lambda n: F.try_element_at(F.filter(places, lambda p: p["n"] == n), F.lit(1))["short"]
+    shorts = lambda a: F.array_distinct(F.array_compact(F.transform(F.coalesce(a["insts"], F.array().cast("array<int>")), short)))
+    own = shorts(F.try_element_at(F.filter(people_, lambda a: F.coalesce(folded(a["name"]) == folded(speaker), F.lit(False))), F.lit(1)))
+    last = F.try_element_at(people_, F.lit(-1))
+    common = F.when(F.size(own) > 1, F.try_element_at(F.array_intersect(own, shorts(last)), F.lit(1)))
+    numbered = F.exists(people_, lambda a: F.size(F.coalesce(a["insts"], F.array().cast("array<int>"))) > 0)
+    is_last = F.coalesce(folded(last["name"]) == folded(speaker), F.lit(False))
+    senior = F.when(numbered & ~is_last, F.try_element_at(shorts(last), F.lit(1)))
+    return F.coalesce(common, F.try_element_at(own, F.lit(1)), senior, F.try_element_at(places, F.lit(1))["short"])
+
+
 def chosen_speaker(scraped: Column, underlined: Column, presenter: Column, authors: Column) -> Column:
     """Struct (speaker, source, position): the first name there is of the scraped one (`fuller` where it is longer than the
     presenter's), the first underlined one (separated by semicolons), the presenter and the first author.

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators import aggregates as A
+from rostrum.operators import filters as P
 from rostrum.operators import people
 from rostrum.operators import windows as N
 from rostrum.plans.registry import query
 from rostrum.session import shared_folder
+from rostrum.sources import program
 from rostrum.sources.tables import table
 
 
@@ -133,3 +135,51 @@ def w7_all(spark: SparkSession, d: str) -> DataFrame:
     items = lines.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("place"))
     references = lines.where("l_returnflag = 'N'").select("l_orderkey", "l_suppkey", (-F.col("l_linenumber")).alias("at"))
     return N.renumber_all(items, references, "l_orderkey", "l_suppkey", ["at"], "place")
+
+
+@query(
+    "p7_compact_location",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN l_returnflag WHEN l_linenumber % 4 = 1 THEN '' END AS os, CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN l_linestatus END AS o,
+  CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS ps, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS p FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, CASE WHEN os <> '' THEN os WHEN o IS NOT NULL THEN o WHEN ps <> '' THEN ps WHEN p <> '' THEN p ELSE '' END AS place FROM x""",
+)
+def p7_compact(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "lineitem").join(table(spark, d, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    line, supp = F.col("l_linenumber") % 4, F.col("l_suppkey") % 3
+    own = F.when(line == 0, F.col("l_returnflag")).when(line == 1, ""), F.when(supp == 0, "").when(supp == 1, F.col("l_linestatus"))
+    parent = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderstatus")), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority"))
+    return both.select("l_orderkey", "l_linenumber", P.compact_place(*own, *parent).alias("place"))
+
+
+@query(
+    "j24_speaker_affiliation",
+    """WITH l AS (SELECT l_orderkey AS k, list({'i': l_linenumber, 'name': 'P' || l_suppkey % 5, 'insts': CASE l_partkey % 4 WHEN 0 THEN [] WHEN 1 THEN [l_partkey % 6] WHEN 2 THEN [l_suppkey % 6, 7, l_partkey % 6] END} ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem GROUP BY l_orderkey),
+x AS (SELECT k, a, 'p' || k % 5 AS s, a[-1] AS z FROM l),
+y AS (SELECT *, list_distinct(list_filter(list_filter(a, lambda r: lower(r.name) = s)[1].insts, lambda n: n BETWEEN 1 AND 4)) AS d, list_filter(list_filter(a, lambda r: lower(r.name) = s)[1].insts, lambda n: n BETWEEN 1 AND 4) AS own, list_filter(z.insts, lambda n: n BETWEEN 1 AND 4) AS last FROM x)
+SELECT k AS l_orderkey, 'I' || coalesce(CASE WHEN len(d) > 1 THEN list_filter(own, lambda n: list_contains(last, n))[1] END, own[1], CASE WHEN len(list_filter(a, lambda r: len(r.insts) > 0)) > 0 AND lower(z.name) <> s THEN last[1] END, 1) AS aff FROM y""",
+)
+def j24_speaker(spark: SparkSession, d: str) -> DataFrame:
+    """Speakers of orders with authors from their lines; numbers 1 to 4 have an institution."""
+    k = F.col("l_partkey") % 4
+    number = lambda c: (F.col(c) % 6).cast("int")
+    insts = F.when(k == 0, F.array().cast("array<int>")).when(k == 1, F.array(number("l_partkey"))).when(k == 2, F.array(number("l_suppkey"), F.lit(7), number("l_partkey")))
+    author = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.concat(F.lit("P"), (F.col("l_suppkey") % 5).cast("string")).alias("name"), insts.alias("insts")).alias("a"))
+    talks = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(author)), lambda x: x["a"]).alias("authors"))
+    institutions = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f"I{n}").alias("short")) for n in range(1, 5)])
+    speaker = F.concat(F.lit("p"), (F.col("l_orderkey") % 5).cast("string"))
+    return talks.select("l_orderkey", people.speaker_affiliation(speaker, F.col("authors"), institutions).alias("aff"))
+
+
+@query(
+    "s11_full_report",
+    r"""WITH b AS (SELECT conv_id, 1 AS g, turn, turn || ', ' || CASE WHEN turn % 3 = 0 THEN '(untitled)' ELSE role END || ', ' || CASE WHEN turn % 2 = 0 THEN 'Ann B; ' || role || '*' ELSE 'Ann B*; ' || role END AS head, regexp_replace(text, '^\s+|\s+$', '', 'g') AS note FROM conversations WHERE turn % 4 < 3
+UNION ALL SELECT conv_id, 0, NULL, 'General notes', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM conversations WHERE turn = 1),
+t AS (SELECT conv_id, string_agg(head || chr(10) || '  ' || replace(note, chr(10), chr(10) || '  ') || chr(10), chr(10) ORDER BY g, turn) AS report FROM b WHERE note <> '' GROUP BY conv_id)
+SELECT conv_id, coalesce(report, '(No notes yet.)') AS report FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN t USING (conv_id)""",
+)
+def s11_full(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations")
+    notes = turns.where("turn % 4 < 3").select("conv_id", "turn", F.col("text").alias("note")).unionByName(turns.where("turn = 1").select("conv_id", F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"), F.col("text").alias("note")))
+    even = F.col("turn") % 2 == 0
+    items = turns.select("conv_id", "turn", F.col("turn").alias("at"), F.when(F.col("turn") % 3 > 0, F.col("role")).otherwise(" ").alias("title"), F.array(F.lit("Ann B"), F.lit(" "), "role").alias("authors"), F.when(even, F.upper("role")).otherwise("ann  b").alias("speaker"))
+    return program.full_notes_report(items, notes, "conv_id", "turn", "at", "title", "authors", "speaker", "note")

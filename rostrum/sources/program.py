@@ -148,3 +148,27 @@ def notes_report(items: DataFrame, notes: DataFrame, owner: str, item: str, at:
     line = F.concat_ws("\n", F.concat_ws(", ", F.col(item).cast("string"), title), F.when(F.length(F.trim(note)) > 0, F.concat(F.lit("    "), note)))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(at), F.col(item), line.alias("line"))))
     return both.groupBy(owner).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("report"))
+
+
+def full_notes_report(items: DataFrame, notes: DataFrame, owner: str, item: str, at: str, title: str, authors: str, speaker: str, note: str) -> DataFrame:
+    """(owner, report): the owner's general notes (those of a null item) first, then the items with a note by `at` (nulls last) and id, each as
+    `id, title, authors` and the note's lines indented, a blank line behind each.
+
+    Authors are an array, joined by semicolons, the speaker (case and blanks don't count) marked by an asterisk; an item without a
+    title is `(untitled)`. Blank notes count for nothing; an owner without notes gets `(No notes yet.)`. Several notes of
+    one item follow each other in their own order."""
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    names = F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != "")
+    marked = F.array_join(F.transform(names, lambda a: F.when(key(a) == key(F.col(speaker)), F.concat(a, F.lit("*"))).otherwise(a)), "; ")
+    head = F.concat_ws(", ", F.col(item).cast("string"), F.coalesce(F.nullif(F.trim(title), F.lit("")), F.lit("(untitled)")), F.nullif(marked, F.lit("")))
+    own = notes.select(owner, item, F.regexp_replace(note, r"^\s+|\s+$", "").alias("_note")).where("_note != ''")
+    block = lambda top: F.concat(top, F.lit("\n  "), F.replace("_note", F.lit("\n"), F.lit("\n  ")), F.lit("\n"))
+    heads = items.select(owner, item, F.col(at).alias("_at"), head.alias("_head"))
+    of_items = heads.join(own.hint("merge"), [owner, item]).select(owner, F.struct(F.lit(1).alias("general"), F.col("_at").isNull().alias("late"), F.col("_at").alias("at"), F.col(item).alias("id"), block(F.col("_head")).alias("text")).alias("_b"))
+    kinds = {f.name: f.dataType for f in of_items.schema["_b"].dataType.fields}
+    none = lambda n: F.lit(None).cast(kinds[n]).alias(n)
+    general = own.where(F.col(item).isNull()).select(owner, F.struct(F.lit(0).alias("general"), F.lit(False).alias("late"), none("at"), none("id"), block(F.lit("General notes")).alias("text")).alias("_b"))
+    blocks = of_items.unionByName(general).groupBy(owner).agg(F.array_sort(F.collect_list("_b")).alias("_all"))
+    owners = items.select(owner).unionByName(notes.select(owner)).distinct()
+    report = F.array_join(F.transform("_all", lambda b: b["text"]), "\n")
+    return owners.join(blocks.hint("merge"), owner, "left").select(owner, F.coalesce(report, F.lit("(No notes yet.)")).alias("report"))

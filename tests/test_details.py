@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators import aggregates as A
+from rostrum.operators import filters as P
 from rostrum.operators import people
 from rostrum.operators import windows as N
 from rostrum.session import shared_folder
+from rostrum.sources import program
 
 
 def one(spark, column, *values):
@@ -80,3 +82,27 @@ def test_renumber_all(spark):
     got = {(r["p"], r["n"]): r["new_number"] for r in N.renumber_all(items, refs, "p", "n", ["a", "b"], "at").collect()}
     assert got == {(1, 30): 1, (1, 10): 2, (1, 20): 3, (1, 40): 4, (2, 5): 1, (None, 5): 1}
     assert N.renumber_all(items, refs.where("false"), "p", "n", ["a", "b"], "at").where("p = 1").orderBy("new_number").select("n").collect()[0][0] == 10
+
+
+def test_compact_place(spark):
+    rows = [("s", "o", "ps", "p"), ("", "", "ps", "p"), (None, None, "", "p"), (None, None, None, None), (None, "o", "ps", "p"), ("", None, "ps", "p")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, c string, d string")
+    assert [r[0] for r in df.orderBy("i").select(P.compact_place(*map(F.col, "abcd"))).collect()] == ["s", "", "p", "", "o", "ps"]
+
+
+def test_speaker_affiliation(spark):
+    a, b = [("Ann", [1, 2]), ("Bo", [2])], [("Ann", []), ("Bo", [3, 2])]
+    rows = [("ANN ", a), ("Bo", a), ("ann", b), ("Nobody", b), ("bo", [("Ann", [2]), ("Bo", [])]), ("x", [("Ann", None), ("Bo", None)]), (None, None), ("Ann", [("Ann", [9]), (None, [2])]), ("Ann", [])]
+    df = spark.createDataFrame([(i, s, x) for i, (s, x) in enumerate(rows)], "i int, s string, a array<struct<name:string,insts:array<int>>>")
+    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("short")) for n, s in ((5, "Main"), (1, "One"), (2, "Two"))])
+    assert [r[0] for r in df.orderBy("i").select(people.speaker_affiliation(F.col("s"), F.col("a"), places)).collect()] == ["Two", "Two", "Two", "Two", "Main", "Main", "Main", "Two", "Main"]
+    none = F.lit(None).cast("array<struct<n:int,short:string>>")
+    assert {r[0] for r in df.select(people.speaker_affiliation(F.col("s"), F.col("a"), none)).collect()} == {None}
+
+
+def test_full_notes_report(spark):
+    items = spark.createDataFrame([(1, "t1", 5, "Title", [" Ann  Wu ", "", None, "Bo"], "ann wu"), (1, "t2", 3, None, None, None), (1, "t3", None, "Late", [], ""), (2, "t1", 1, "x", ["A"], None), (3, "t9", 1, "x", ["A"], None)], "o int, id string, at int, title string, authors array<string>, s string")
+    notes = spark.createDataFrame([(1, "t1", " a\nb \n"), (1, "t2", "c"), (1, "t3", "d"), (1, None, "g1"), (1, "zz", "lost"), (2, "t1", " \n"), (2, "t1", None), (4, None, "only")], "o int, id string, n string")
+    got = {r["o"]: r["report"] for r in program.full_notes_report(items, notes, "o", "id", "at", "title", "authors", "s", "n").collect()}
+    assert got[1] == "General notes\n  g1\n\nt2, (untitled)\n  c\n\nt1, Title, Ann  Wu*; Bo\n  a\n  b\n\nt3, Late\n  d\n"
+    assert got[2] == got[3] == "(No notes yet.)" and got[4] == "General notes\n  only\n" and len(got) == 4
