@@ -36,9 +36,10 @@ def learned_forms(texts: DataFrame, text: str, given: Mapping[str, str] = GIVEN_
 
 
 def form_keys(word: Column) -> Column:
-    """What to look up for a word: itself and its runs of letters in upper case, and those without a last S."""
-    up = F.upper(word)
-    keys = F.concat(F.array(up), F.regexp_extract_all(up, F.lit("([A-Z]+)")))
+    """What to look up for a word: itself and its runs of letters A-Z in upper case, and those without a last S.
+
+    Runs are taken before upper case, which joins them where a letter becomes two (`SSß` has the run SS, not SSSS)."""
+    keys = F.concat(F.array(F.upper(word)), F.transform(F.regexp_extract_all(word, F.lit("([A-Za-z]+)")), F.upper))
     singular = F.transform(F.filter(keys, lambda k: k.endswith("S")), lambda k: F.substr(k, F.lit(1), F.length(k) - 1))
     return F.filter(F.array_distinct(F.concat(keys, singular)), lambda k: k != "")
 

@@ -94,6 +94,11 @@ def test_recased_equals_a_loop(spark):
     assert _words(spark, rows, FORMS) == [_loop(r, FORMS) for r in rows]
 
 
+def test_runs_beside_letters_that_become_two(spark):
+    forms = {"SS": "sS", "QED": "QeD", "SSSS": "wrong"}
+    assert _words(spark, ["GO SSß. ON", "GO ßQED ßQEDS GO"], forms) == ["Go sSß. On", "Go ßQeD ßQeDs Go"]
+
+
 def test_learned_forms(spark):
     texts = ["We use AbX, abx and AbX; an eV.", "aBX aBX iPod (iPod)", "The ABX IS LOUD AND TEACHES NOTHING", "Word word WHO who", None, "", "mRNA mrna mrna and Gpu"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
