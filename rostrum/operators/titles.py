@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 import re
 import string
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.operators import matching
 from rostrum.operators.matching import assign_once, claim_in_order
-from rostrum.operators.shared import written
+from rostrum.operators.shared import hinted, written
 
 #: Signs that the bound of a similarity counts one by one; all others together are one more.
 _SIGNS = string.ascii_lowercase + string.digits + " "
@@ -45,6 +48,66 @@ def block_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _sizes_apart(left: DataFrame, right: DataFrame, block: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Both sides' rows in blocks of up to matching.GROUP_PAIRS pairs, and those in larger ones (or None without any)."""
+    count = lambda df, n: df.groupBy(block).agg(F.count(F.lit(1)).alias(n))
+    large = written(count(left, "_m").join(count(right, "_n").hint("merge"), block).where(F.col("_m") * F.col("_n") > matching.GROUP_PAIRS).select(block), "large-blocks")
+    if not large.take(1):
+        return (left, right), None
+    large = hinted(large)
+    return tuple(df.join(large, block, "left_anti") for df in (left, right)), tuple(df.join(large, block, "left_semi") for df in (left, right))
+
+
+def _assigned(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[int, int, float | None]]:
+    """(place in a, place in b, similarity) of one block, both in order of ids, leftovers last.
+
+    Pairs wait by an upper bound, their common subsequence, and are measured only when it is their turn."""
+    masks = [{c: sum(1 << k for k, x in enumerate(y) if x == c) for c in set(y)} for y in b]
+    matchers, waiting, out = {}, [], []
+    for j, (y, mask) in enumerate(zip(b, masks)):
+        every = (1 << len(y)) - 1
+        for i, x in enumerate(a):
+            v = every
+            for c in x:
+                u = v & mask.get(c, 0)
+                v = (v + u | v - u) & every
+            bound = 2.0 * (len(y) - v.bit_count()) / (len(x) + len(y)) if x or y else 1.0
+            if bound >= least:
+                waiting.append((-bound, False, i, j))
+    heapq.heapify(waiting)
+    rows, columns = set(range(len(a))), set(range(len(b)))
+    while waiting and rows and columns:
+        score, measured, i, j = heapq.heappop(waiting)
+        if i not in rows or j not in columns:
+            continue
+        if measured:
+            out.append((i, j, -score))
+            rows.remove(i)
+            columns.remove(j)
+            continue
+        if j not in matchers:
+            matchers[j] = difflib.SequenceMatcher(None, "", b[j])
+        matchers[j].set_seq1(a[i])
+        if (ratio := matchers[j].ratio()) >= least:
+            heapq.heappush(waiting, (-ratio, True, i, j))
+    return out + ([(i, j, None) for i, j in zip(sorted(rows), sorted(columns))] if len(rows) == len(columns) else [])
+
+
+def _assign_small(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, least: float) -> DataFrame:
+    """assign_titles of blocks that fit a task: each block's titles meet as one row."""
+
+    @F.pandas_udf("l array<int>, r array<int>, score array<double>")
+    def assigned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [[*zip(*_assigned(x, y, least))] or [(), (), ()] for x, y in zip(a, b)]
+        return pd.DataFrame({name: [list(f[k]) for f in found] for k, name in enumerate(("l", "r", "score"))})
+
+    form = title_form(F.coalesce(title, F.lit("")))
+    side = lambda df, i, to: df.where(F.col(block).isNotNull()).groupBy(block).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("id"), form.alias("t")))).alias(to))
+    blocks = side(left, left_id, "_a").join(side(right, right_id, "_b").hint("merge"), block).withColumn("_won", assigned("_a.t", "_b.t"))
+    each = blocks.select(block, "_a.id", F.col("_b.id").alias("_ids"), F.explode(F.arrays_zip("_won.l", "_won.r", "_won.score")).alias("_p"))
+    return each.select(block, F.get("id", F.col("_p.l")).alias(left_id), F.get("_ids", F.col("_p.r")).alias(right_id), "_p.score")
+
+
 def similar_titles(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, least: float = 0.5) -> DataFrame:
     """(block, left_id, right_id, score) of the pairs of a block whose titles have a similarity of `least` or more.
 
@@ -64,7 +127,15 @@ def assign_titles(left: DataFrame, right: DataFrame, block: str, left_id: str, r
     """(block, left_id, right_id, score): a one-to-one assignment inside each block.
 
     Pairs by falling similarity (then ids), each side once; where a block then has as many left as right rows over, these are paired
-    in order of their ids, with a null score. Ids are unique in their block."""
+    in order of their ids, with a null score. Ids are unique in their block. Blocks of up to matching.GROUP_PAIRS pairs are done in one
+    go each, and a title is compared only while both its rows are free; larger blocks list their similar pairs."""
+    (left_small, right_small), large = _sizes_apart(written(left.select(block, left_id, title), "left-titles"), written(right.select(block, right_id, title), "right-titles"), block)
+    small = _assign_small(left_small, right_small, block, left_id, right_id, title, least)
+    return small if large is None else small.unionByName(_assign_large(*large, block, left_id, right_id, title, least))
+
+
+def _assign_large(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, least: float) -> DataFrame:
+    """assign_titles by a table of the similar pairs."""
     won = written(assign_once(similar_titles(left, right, block, left_id, right_id, title, least), block, left_id, right_id, "score"), "assigned")
     rest = lambda df, i: (
         df.select(block, i).join(won.select(block, i).hint("merge"), [block, i], "left_anti")
@@ -78,20 +149,8 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
 
 
-def presenter_scores(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, least: float = 0.38) -> DataFrame:
-    """(block, left_id, right_id, score) of the pairs of a block with a score of `least` (above 0) or more.
-
-    left: (block, left_id, title, speaker), right: (block, right_id, title, speakers array). Equal titles score 1. Otherwise
-    j is the Jaccard similarity of their words, and c is 0.15 where one title contains the other: with a presenter who agrees (equal,
-    or one name contains the other) max(0.72, j + 0.35 + c), without only j + c where j >= 0.74, or c and j >= 0.6; never over 1.
-    A blank title scores 0.
-
-    Candidates are found by three equi-joins in the block: equal titles; a word of the rarest ones that a similarity of 0.6 can't
-    do without (prefixes by rarity, sizes bounded both ways); and presenters, each two names of a block once."""
-    a = written(left.select(block, left_id, title_form(F.coalesce("title", F.lit(""))).alias("t"), title_form(F.coalesce("speaker", F.lit(""))).alias("s")).where("t != ''").withColumn("w", _tokens(F.col("t"))), "talks")
-    names = F.filter(F.transform(F.coalesce("speakers", F.array().cast("array<string>")), title_form), lambda n: n.isNotNull())
-    b = written(right.select(block, right_id, title_form(F.coalesce("title", F.lit(""))).alias("u"), names.alias("names")).where("u != ''").withColumn("v", _tokens(F.col("u"))), "entries")
-
+def _candidates(a: DataFrame, b: DataFrame, block: str, left_id: str, right_id: str) -> DataFrame:
+    """Pairs that may have a score: a has (block, left_id, t, s, w), b (block, right_id, u, names, v)."""
     every = lambda df, i, w: df.select(block, F.col(i).alias("id"), F.size(w).alias("n"), F.explode(w).alias("word"))
     often = every(a, left_id, "w").select(block, "word").unionByName(every(b, right_id, "v").select(block, "word")).groupBy(block, "word").agg(F.count(F.lit(1)).alias("often"))
 
@@ -107,12 +166,35 @@ def presenter_scores(left: DataFrame, right: DataFrame, block: str, left_id: str
     agree = spoken.join(named.hint("merge"), block).where(F.contains("s", F.col("name")) | F.contains("name", F.col("s"))).select(block, "s", "name")
     told = a.select(block, left_id, "s").join(agree.hint("merge"), [block, "s"]).join(b.select(block, right_id, F.explode("names").alias("name")).hint("merge"), [block, "name"]).select(block, left_id, right_id)
     pairs = near.unionByName(equal).unionByName(told).distinct()
-    both = pairs.join(a.hint("merge"), [block, left_id]).join(b.hint("merge"), [block, right_id])
-    j = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
+    return pairs.join(a.hint("merge"), [block, left_id]).join(b.hint("merge"), [block, right_id])
+
+
+def presenter_scores(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, least: float = 0.38) -> DataFrame:
+    """(block, left_id, right_id, score) of the pairs of a block with a score of `least` (above 0) or more.
+
+    left: (block, left_id, title, speaker), right: (block, right_id, title, speakers array). Equal titles score 1. Otherwise
+    j is the Jaccard similarity of their words, and c is 0.15 where one title contains the other: with a presenter who agrees (equal,
+    or one name contains the other) max(0.72, j + 0.35 + c), without only j + c where j >= 0.74, or c and j >= 0.6; never over 1.
+    A blank title scores 0.
+
+    Blocks of up to matching.GROUP_PAIRS pairs are scored inside one join. In larger ones candidates are found by three equi-joins
+    before: equal titles; a word of the rarest ones that a similarity of 0.6 can't do without (prefixes by rarity, sizes bounded both
+    ways); and presenters, each two names of a block once."""
+    a = written(left.select(block, left_id, title_form(F.coalesce("title", F.lit(""))).alias("t"), title_form(F.coalesce("speaker", F.lit(""))).alias("s")).where("t != ''").withColumn("w", _tokens(F.col("t"))), "talks")
+    names = F.filter(F.transform(F.coalesce("speakers", F.array().cast("array<string>")), title_form), lambda n: n.isNotNull())
+    b = written(right.select(block, right_id, title_form(F.coalesce("title", F.lit(""))).alias("u"), names.alias("names")).where("u != ''").withColumn("v", _tokens(F.col("u"))), "entries")
+    (a_small, b_small), large = _sizes_apart(a, b, block)
+    both = a_small.join(b_small.hint("merge"), block)
+    if large is not None:
+        both = both.unionByName(_candidates(*large, block, left_id, right_id))
+    shared = F.size(F.array_intersect("w", "v"))
     bonus = F.when(F.contains("t", F.col("u")) | F.contains("u", F.col("t")), 0.15).otherwise(0.0)
     speaks = (F.col("s") != "") & F.exists("names", lambda n: F.contains("s", n) | F.contains(n, F.col("s")))
-    score = F.when(F.col("t") == F.col("u"), 1.0).when(speaks, F.least(F.lit(1.0), F.greatest(F.lit(0.72), j + 0.35 + bonus))).when((j >= 0.74) | ((bonus > 0) & (j >= 0.6)), F.least(F.lit(1.0), j + bonus))
-    return both.select(block, left_id, right_id, score.alias("score")).where(F.col("score") >= least)
+    score = lambda j, c: F.when(F.col("t") == F.col("u"), 1.0).when(speaks, F.least(F.lit(1.0), F.greatest(F.lit(0.72), j + 0.35 + c))).when((j >= 0.74) | ((c > 0) & (j >= 0.6)), F.least(F.lit(1.0), j + c))
+    # the generator keeps a filter from repeating what a score is made of
+    parts = F.array(F.struct((shared / (F.size("w") + F.size("v") - shared)).alias("j"), bonus.alias("c")))
+    scores = F.filter(F.transform(parts, lambda x: score(x["j"], x["c"])), lambda x: x >= least)
+    return both.select(block, left_id, right_id, F.explode(scores).alias("score"))
 
 
 def claim_abstracts(left: DataFrame, right: DataFrame, block: str, start: str, left_id: str, right_id: str, least: float = 0.38) -> DataFrame:

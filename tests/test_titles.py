@@ -107,6 +107,32 @@ def test_lines_of_one_key_count_by_their_smallest_forms(spark, tmp_path):
     assert got == want and want
 
 
+def test_titles_are_measured_only_while_both_rows_are_free(monkeypatch):
+    draw, count = random.Random(3), [0]
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            count[0] += 1
+            return super().ratio()
+
+    every = 0
+    for _ in range(300):
+        a, b = ([" ".join(draw.choices(["hot", "bolt", "ring", "", "blue", "hot bolt"], k=draw.randint(0, 5))) for _ in range(draw.randint(1, 6))] for _ in "ab")
+        want = {(i, j, r) for i, (j, r) in _plain_assign(dict(enumerate(a)), dict(enumerate(b))).items()}
+        with monkeypatch.context() as m:
+            m.setattr(titles.difflib, "SequenceMatcher", Counted)
+            assert set(titles._assigned(a, b, 0.5)) == want
+        every += len(a) * len(b)
+    assert count[0] < every / 2
+
+
+def test_large_blocks_equal_small_ones(spark, folder, monkeypatch):
+    names = ("j10", "j11_scores", "j11_claims")
+    want = [sorted(map(tuple, getattr(title_queries, n)(spark, folder).collect()), key=repr) for n in names]
+    monkeypatch.setattr(matching, "GROUP_PAIRS", 20)
+    assert [sorted(map(tuple, getattr(title_queries, n)(spark, folder).collect()), key=repr) for n in names] == want
+
+
 def test_significant_words(spark):
     row = spark.createDataFrame([("The 3rd SESSION: a b2, on monday 7 x Würz",), (None,)], "t string").select(titles.significant_words(F.col("t")).alias("w")).collect()
     assert [r.w for r in row] == [["3rd", "b2", "7", "rz"], []]
