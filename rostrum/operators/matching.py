@@ -150,33 +150,32 @@ def _greedy(pairs: DataFrame, block: str | None, left_id: str, right_id: str, or
     in rounds over written tables before: a pair that comes first among those of its left and first among those of its
     right row is kept, and all pairs of both rows go. Each round keeps a pair at least, and most keep a large share."""
     inside = [block] if block else []
-    keyed = pairs.withColumns({
-        "_block": F.to_json(F.struct(*inside), {"ignoreNullFields": "false"}) if block else F.lit(""), "_left": F.struct(*inside, left_id), "_right": F.struct(*inside, right_id),
-        "_order": F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*order, F.col(left_id), F.col(right_id)])]),
-    })
-    rest, won = written(keyed, "pairs"), []
+    # structs compare with nulls as equal, so blocks with a null are one like any other
+    ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*order, F.col(left_id), F.col(right_id)])])
+    keys = {"_block": F.struct(*inside) if block else F.lit(""), "_left": F.struct(*inside, left_id), "_right": F.struct(*inside, right_id), "_order": ranked}
+    read = lambda df, name: written(df.select(*pairs.columns), name).withColumns(keys)
+    rest, won = read(pairs, "pairs"), []
     first = lambda side: rest.groupBy(side).agg(F.min_by(F.struct(*rest.columns), "_order").alias("row")).select("row.*")
     while True:
-        sizes = written(rest.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "block-sizes")
-        large = sizes.where(F.col("_n") > GROUP_PAIRS).select("_block")
-        won.append(_in_one_pass(rest.join(hinted(large), "_block", "left_anti") if large.take(1) else rest).select(*pairs.columns))
-        if not large.take(1):
+        large = written(rest.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_PAIRS).select("_block"), "large-blocks")
+        some = large.take(1)
+        won.append(_in_one_pass(rest.join(hinted(large), "_block", "left_anti") if some else rest, pairs.columns, left_id, right_id))
+        if not some:
             return reduce(DataFrame.unionByName, won)
         rest = rest.join(hinted(large), "_block", "left_semi")
-        kept = written(first("_left").join(first("_right").select("_left", "_right").hint("merge"), ["_left", "_right"]).select(*rest.columns), "kept")
+        kept = read(first("_left").join(first("_right").select("_left", "_right").hint("merge"), ["_left", "_right"]), "kept")
         won.append(kept.select(*pairs.columns))
-        rest = written(rest.join(kept.select("_left").hint("merge"), "_left", "left_anti").join(kept.select("_right").hint("merge"), "_right", "left_anti").select(*rest.columns), "pairs")
-
-
-def _in_one_pass(pairs: DataFrame) -> DataFrame:
-    """The pairs of small blocks that a pass over each keeps: a fold over the block's pairs in order, whose state is what
-    has been used."""
-    columns = [c for c in pairs.columns if c not in ("_block", "_left", "_right", "_order")]
-    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    row = F.struct(*columns).alias("row")
-    blocks = pairs.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_order", text("_left").alias("l"), text("_right").alias("r"), row))).alias("pairs"))
-    kind = pairs.select(row).schema["row"].dataType.simpleString()
-    none = F.struct(F.array().cast("array<string>").alias("l"), F.array().cast("array<string>").alias("r"), F.array().cast(f"array<{kind}>").alias("kept"))
+        rest = read(rest.join(kept.select("_left").hint("merge"), "_left", "left_anti").join(kept.select("_right").hint("merge"), "_right", "left_anti"), "pairs")
+
+
+def _in_one_pass(pairs: DataFrame, columns: Sequence[str], left_id: str, right_id: str) -> DataFrame:
+    """The `columns` of the pairs of small blocks that a pass over each keeps: a fold over the block's pairs in order, whose state is
+    what has been used."""
+    each = F.struct("_order", F.struct(left_id).alias("l"), F.struct(right_id).alias("r"), F.struct(*columns).alias("row"))
+    blocks = pairs.groupBy("_block").agg(F.array_sort(F.collect_list(each)).alias("pairs"))
+    kind = lambda c: pairs.select(c).schema[0].dataType.simpleString()
+    empty = lambda c, to: F.array().cast(f"array<{kind(c)}>").alias(to)
+    none = F.struct(empty(F.struct(left_id), "l"), empty(F.struct(right_id), "r"), empty(F.struct(*columns), "kept"))
     taken = lambda s, p: F.array_contains(s["l"], p["l"]) | F.array_contains(s["r"], p["r"])
     take = lambda s, p: F.struct(F.array_append(s["l"], p["l"]).alias("l"), F.array_append(s["r"], p["r"]).alias("r"), F.array_append(s["kept"], p["row"]).alias("kept"))
     kept = F.aggregate("pairs", none, lambda s, p: F.when(taken(s, p), s).otherwise(take(s, p)), lambda s: s["kept"])
