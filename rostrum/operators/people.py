@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators.matching import edit_distance_join
-from rostrum.operators.shared import hinted
+from rostrum.operators.shared import hinted, written
 from rostrum.operators.titles import title_form
 
 
@@ -66,12 +66,25 @@ def layered_match(left: DataFrame, right: DataFrame, asked: tuple[str, str], kno
     return rows.withColumns({"pass": which, value: F.coalesce(*hits)["value"]}).drop("_n", "_k", "_t", "_1", "_2", "_3", "_4")
 
 
-def match_people(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str) -> DataFrame:
-    """Pairs (left_id, right_id) with equal surnames and consistent given names: an equi join on the surname, then a
-    check of the given names. Not transitive, so never a basis for groups."""
-    parsed = lambda df, i, p: df.select(i, T.person(F.col(name)).alias("p")).select(i, F.col("p.surname").alias("surname"), F.col("p.given").alias(p)).where("surname != ''")
-    both = parsed(left, left_id, "a").join(parsed(right, right_id, "b"), "surname")
-    return both.where(T.consistent_given(F.col("a"), F.col("b"))).select(left_id, right_id)
+#: Pairs of two names that one part lists; names with more are listed in several parts.
+PART_PAIRS = 1 << 22
+
+
+def match_people(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, most: int = PART_PAIRS) -> DataFrame:
+    """Pairs (left_id, right_id) with equal surnames and consistent given names. Not transitive, so never a basis for groups.
+
+    Distinct parsed names are joined on the surname and checked once; then the rows of two names that agree are joined. Two names
+    with more than `most` pairs of rows are spread over parts: rows of the more frequent one by a hash, the other's go to all."""
+    rows = lambda df, i, p: df.select(i, T.person(F.col(name)).alias(p)).where(F.col(p)["surname"] != "")
+    a, b = rows(left, left_id, "_a"), rows(right, right_id, "_b")
+    names = lambda df, p, n: df.groupBy(p).agg(F.count(F.lit(1)).alias(n)).withColumn("surname", F.col(p)["surname"])
+    agree = names(a, "_a", "_m").join(names(b, "_b", "_n").hint("merge"), "surname").where(T.consistent_given(F.col("_a.given"), F.col("_b.given")))
+    agree = written(agree.select("_a", "_b", F.ceil(F.col("_m") * F.col("_n") / most).cast("int").alias("_parts"), (F.col("_m") >= F.col("_n")).alias("_by_left")), "agreeing-names")
+    every = F.sequence(F.lit(0), F.col("_parts") - 1)
+    part = lambda i, hashed: F.when(hashed, F.array(F.pmod(F.xxhash64(i), F.col("_parts")).cast("int"))).otherwise(every)
+    side = lambda df, p, i, hashed: df.join(hinted(agree, 512), p).select(i, "_a", "_b", F.explode(part(i, hashed)).alias("_part"))
+    own, other = side(a, "_a", left_id, F.col("_by_left")), side(b, "_b", right_id, ~F.col("_by_left"))
+    return own.join(other.hint("merge"), ["_a", "_b", "_part"]).select(left_id, right_id)
 
 
 def surname_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, kind: str) -> DataFrame:

@@ -86,3 +86,14 @@ def test_surname_first_is_turned_only_where_it_is_clear(spark, given, want):
 def test_shouted_names_of_any_alphabet(spark):
     names = ["JOSÉ GARCÍA", "SHAUN O’NEIL", "ŁUKASZ WRZESIŃSKI", "J.-P. ÉMILE", "ANNA DE LA CRUZ", "Van MIT", "R2 UNIT", "ABC", "J.K. ROE"]
     assert one(spark, T.repaired_name, *names) == ["José García", "Shaun O’Neil", "Łukasz Wrzesiński", "J.-P. Émile", "Anna de la Cruz", "Van Mit", "R2 UNIT", "Abc", "J.K. Roe"]
+
+
+def test_people_of_frequent_names_in_parts(spark):
+    rows = lambda n, forms, i: spark.createDataFrame([(k, forms[k % len(forms)]) for k in range(n)], f"{i} int, name string")
+    left, right = rows(60, ["Ada Lee", "A. Lee", "Bo Lee", "Lee", "Bo Ray", None, " "], "i"), rows(45, ["Lee, Ada", "B. Lee", "Lee, Ada Bea", "Ray", ""], "j")
+    person = lambda df: df.select("*", T.person(F.col("name")).alias("p")).where("p.surname != ''")
+    a, b = person(left).alias("a"), person(right).alias("b")
+    both = a.join(b, F.col("a.p.surname") == F.col("b.p.surname")).where(T.consistent_given(F.col("a.p.given"), F.col("b.p.given")))
+    want = sorted(map(tuple, both.select("i", "j").collect()))
+    for most in (3, 40, people.PART_PAIRS):
+        assert sorted(map(tuple, people.match_people(left, right, "i", "j", "name", most).collect())) == want
