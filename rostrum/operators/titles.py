@@ -217,18 +217,17 @@ def word_set_matches(left: DataFrame, right: DataFrame, left_id: str, right_id:
     Equal word sets win (the smallest right id); else the larger overlap of sets of which one is in the other and has `least`
     words or more, ties to the smaller right id. Empty sets match nothing. A set lies in another only if its rarest
     word does, so each set is looked up by that one word; equal sets are one row before anything is joined."""
-    side = lambda df, i: df.where(F.size(words) > 0).groupBy(F.array_sort(words).alias("w")).agg(F.min(i).alias(i))
-    a, b = written(side(left, left_id).select("w"), "left-sets"), written(side(right, right_id), "right-sets")
-    often = a.select(F.explode("w").alias("word")).unionByName(b.select(F.explode("w").alias("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-
-    def rarest(df: DataFrame) -> DataFrame:
-        each = df.select("w", F.explode("w").alias("word")).join(often.hint("merge"), "word")
-        return each.groupBy("w").agg(F.min(F.struct("often", "word"))["word"].alias("word"))
-
-    within = rarest(a).withColumnRenamed("w", "x").join(b.select(F.col("w").alias("y"), F.explode("w").alias("word")).hint("merge"), "word").select("x", "y")
-    around = rarest(b).withColumnRenamed("w", "y").join(a.select(F.col("w").alias("x"), F.explode("w").alias("word")).hint("merge"), "word").select("x", "y")
+    side = lambda df, i, n: df.where(F.size(words) > 0).groupBy(F.array_sort(words).alias(n)).agg(F.min(i).alias(i)).withColumn(f"{n}_id", F.monotonically_increasing_id())
+    a, b = written(side(left, left_id, "x").select("x", "x_id"), "left-sets"), written(side(right, right_id, "y"), "right-sets")
+    # words go with the number of their set, not with the set, which would be written once a word
+    each_a, each_b = a.select("x_id", F.explode("x").alias("word")), b.select("y_id", F.explode("y").alias("word"))
+    often = each_a.select("word").unionByName(each_b.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    rarest = lambda each, i: each.join(often.hint("merge"), "word").groupBy(i).agg(F.min(F.struct("often", "word"))["word"].alias("word"))
+    within = rarest(each_a, "x_id").join(each_b.hint("merge"), "word").select("x_id", "y_id")
+    around = rarest(each_b, "y_id").join(each_a.hint("merge"), "word").select("x_id", "y_id")
     shared = F.size(F.array_intersect("x", "y"))
-    inside = (shared == F.least(F.size("x"), F.size("y"))) & ((F.least(F.size("x"), F.size("y")) >= least) | (F.col("x") == F.col("y")))
-    pairs = within.unionByName(around).where(inside).distinct()
-    ranked = pairs.join(b.withColumnRenamed("w", "y").hint("merge"), "y").groupBy("x").agg(F.max_by(F.struct(right_id, shared.alias("shared"), (F.col("x") == F.col("y")).alias("equal")), F.struct((F.col("x") == F.col("y")).cast("int"), shared, -F.col(right_id))).alias("best"))
+    inside = (F.col("shared") == F.least(F.size("x"), F.size("y"))) & ((F.least(F.size("x"), F.size("y")) >= least) | (F.col("x") == F.col("y")))
+    pairs = within.unionByName(around).distinct().join(a.hint("merge"), "x_id").join(b.hint("merge"), "y_id").withColumn("shared", shared).where(inside)
+    found = pairs.select("x_id", right_id, "shared", (F.col("x") == F.col("y")).alias("equal"))
+    ranked = found.groupBy("x_id").agg(F.max_by(F.struct(right_id, "shared", "equal"), F.struct("equal", "shared", -F.col(right_id))).alias("best")).join(a.hint("merge"), "x_id").select("x", "best")
     return left.select(left_id, F.array_sort(words).alias("x")).join(ranked.hint("merge"), "x").select(left_id, "best.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -93,6 +94,14 @@ def test_word_sets_equal_a_loop(spark, seed):
     assert {r.i: (r.j, r.shared, r.equal) for r in got} == want and len(got) == len(want)
 
 
+def test_word_sets_go_by_number_where_words_are_exploded(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b"])], "i int, words array<string>")
+    out = titles.word_set_matches(rows, rows.withColumnRenamed("i", "j"), "i", "j", "words")
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3, True), (2, 2, 2, True)]
+    exploded = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(" in x]
+    assert exploded and all(re.search(r"explode\(\w+#\d+\), \[\d+\]", x) for x in exploded)  # the array is dropped there
+
+
 def test_lines_of_one_key_count_by_their_smallest_forms(spark, tmp_path):
     import duckdb
 
