@@ -9,9 +9,10 @@ generated code. Patterns use what Java's and RE2's dialects share. Labels are re
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,22 +107,73 @@ def _let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
+@cache
+def required_part(pattern: str) -> tuple[str, bool]:
+    """A literal that each match of a pattern contains, as long as can be told, and whether its case counts; without case it is
+    in lower case. '' where none can be told, and for what Java's dialect alone has."""
+    if "&&" in pattern or re.search(r"\[[^\]]*\[", pattern):
+        return "", True
+    try:
+        parsed = re._parser.parse(pattern)
+    except re.error:
+        return "", True
+    runs = [""]
+
+    def walk(ops: Iterable) -> None:
+        for op, arg in ops:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(arg)
+            elif name == "SUBPATTERN" and not arg[1] and not arg[2]:
+                walk(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                runs.append("")
+                walk(arg[2])
+                runs.append("")
+            else:
+                runs.append("")
+
+    walk(parsed)
+    flags = parsed.state.flags & ~re.UNICODE
+    cased = not flags & re.IGNORECASE
+    plain = [r for r in runs if cased or r.isascii()]
+    return (max(plain, key=len, default="") if cased else max(plain, key=len, default="").lower(), cased) if flags in (0, re.IGNORECASE) else ("", True)
+
+
+def _may_match(x: Column, patterns: Iterable[str]) -> Column | None:
+    """Whether one of the patterns can match at all, by the literals that they need; None where one needs none."""
+    needed = [required_part(p) for p in patterns]
+    if not all(literal for literal, _ in needed):
+        return None
+    parts = [n for n in dict.fromkeys(needed) if not any(m != n and m[0] in n[0] and m[1] == n[1] for m in needed)]
+    return reduce(Column.__or__, [F.contains(x if cased else F.lower(x), F.lit(literal)) for literal, cased in parts])
+
+
 def _applied(c: Column, r: Rewrite) -> Column:
     once = lambda x: F.regexp_replace(x, r.pattern, r.replacement)
-    if not r.rounds and not r.unless:
-        return once(c)
 
     def guarded(x: Column) -> Column:
         times = F.length(x) - F.length(F.replace(x, F.lit(r.rounds or "("), F.lit("")))
         out = F.aggregate(F.array_repeat(F.lit(0), times.cast("int")), x, lambda acc, _: once(acc)) if r.rounds else once(x)
-        return F.when(x.rlike(r.unless), x).otherwise(out) if r.unless else out
+        out = F.when(x.rlike(r.unless), x).otherwise(out) if r.unless else out
+        may = _may_match(x, [r.pattern])
+        return out if may is None else F.when(may, out).otherwise(x)
+
+    return _let(c, guarded) if r.rounds or r.unless or required_part(r.pattern)[0] else once(c)
+
 
-    return _let(c, guarded)
+def _run(c: Column, rules: Sequence[Rewrite]) -> Column:
+    after = lambda x: reduce(_applied, rules, x)
+    if len(rules) < 2 or not required_part(rules[0].pattern)[0]:
+        return after(c)
+    return _let(c, lambda x: F.when(_may_match(x, [r.pattern for r in rules]), after(x)).otherwise(x))
 
 
 def rewritten(c: Column, rewrites: Sequence[Rewrite]) -> Column:
-    """The text after all rules, without blanks at the ends."""
-    return F.trim(reduce(_applied, rewrites, F.trim(c)))
+    """The text after all rules, without blanks at the ends. A rule, and a step's run of rules, is passed over where the text lacks
+    the literals without which they can't match."""
+    runs = [list(run) for _, run in groupby(rewrites, lambda r: (r.step, required_part(r.pattern)[0] != ""))]
+    return F.trim(reduce(_run, runs, F.trim(c)))
 
 
 def forms(c: Column, rewrites: Sequence[Rewrite]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.plans.registry import query
-from rostrum.sources.tables import table
+from rostrum.sources.tables import spread, table
 
 _FOLD = "replace(replace(replace(replace(replace(replace(replace(replace(lower(strip_accents({0})), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'þ', 'th'), 'ø', 'o'), 'đ', 'd'), 'ð', 'd'), 'ł', 'l')"
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -76,8 +76,10 @@ _WORDS = r"list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> ''
 
 def _runs(spark: SparkSession, d: str, n: int) -> DataFrame:
     """(doc_id, source, pos, w): the words (A-Z, a-z) of every whole document in runs of n, the last one shorter."""
-    words = table(spark, d, "documents").select("doc_id", "source", F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "").alias("all")).where(F.size("all") > 0)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(n)), lambda i: F.slice("all", i, F.lit(n)))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    words = docs.select("doc_id", "source", F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "").alias("all")).where(F.size("all") > 0)
+    # words by their place: slice copies the whole array for each run, which grows with the square of a document's words
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(n)), lambda i: F.array_compact(F.array(*[F.get("all", i + k) for k in range(n)])))
     return words.select("doc_id", "source", F.posexplode(runs).alias("pos", "w"))
 
 

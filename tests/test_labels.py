@@ -211,3 +211,23 @@ def test_no_nested_loop(spark, folder):
 
 def test_normal_form_before_rules(spark):
     assert spark.range(1).select(T.normal_form(F.lit("Univ. of  LEEDS"), ((r"\buniv\.", "university"),))).first()[0] == "university of leeds"
+
+
+def test_rules_are_passed_over_only_where_they_cannot_match(spark):
+    assert labels.required_part(r"(?i)^(\S.*?)[\s,-]+(?:universit[aä]t|university|univ)(?:[\s.,].*)?$") == ("univ", False)
+    assert labels.required_part(r"\s*\([^()]*\)") == ("(", True) and labels.required_part("ab?c+d") == ("a", True)
+    for loose in ("a|b", "(?:ab)?", r"\Qa\E", "[a[b]c]d", "(?i)é", r"(?m)^ab"):
+        assert labels.required_part(loose)[0] == "", loose
+    rules = [labels.Rewrite(1, 1, "(?i)ab+c", "-"), labels.Rewrite(1, 2, "X", "abc"), labels.Rewrite(1, 3, "(?i)abc", "."), labels.Rewrite(2, 1, "q", "", unless="(?i)STOP")]
+    texts = ["", "ABBC", "x abc", "X", "qX", "q stop", "nothing"]
+    got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", labels.rewritten(F.col("t"), rules).alias("x")).collect()}
+    assert got == {t: _plain_rewrite(t, rules) for t in texts}
+
+
+def test_addresses_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
+    from rostrum.plans import text_queries
+
+    spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("ab, cd "), F.lit("ef gh i")).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    runs = text_queries._runs(spark, str(tmp_path), 3)
+    assert runs.select(F.spark_partition_id()).distinct().count() > 2
+    assert {tuple(r.w) for r in runs.select("w").distinct().collect()} == {("ab", "cd", "ef"), ("gh", "i")}
