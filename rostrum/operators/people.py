@@ -135,7 +135,8 @@ def backfill_speakers(talks: DataFrame, speaker: str = "speaker", aff: str = "sp
     said = base.select(F.explode(F.transform(authors, lambda a: F.struct(T.initial_surname(a["name"]).alias("key"), F.transform(F.coalesce(a["insts"], none("int")), short_of).alias("affs")))).alias("x"))
     votes = mode_unless_tied(said.select("x.key", F.explode("x.affs").alias("_voted")).where("trim(_voted) != '' and trim(key) != ''"), ["key"], "_voted").where("_voted is not null")
     named = F.when(F.trim(F.coalesce(speaker, F.lit(""))) != "", T.initial_surname(F.col(speaker)))
-    out = base.withColumn("_key", named).join(votes.withColumnRenamed("key", "_key").hint("merge"), "_key", "left")
+    # few voters are broadcast: a shuffle by speaker would put all talks of one name, or of none, into one task
+    out = base.withColumn("_key", named).join(hinted(written(votes.withColumnRenamed("key", "_key"), "votes")), "_key", "left")
     out = out.withColumn("_entry", F.coalesce(F.array_position(F.transform(authors, lambda a: T.initial_surname(a["name"])), F.col("_key")), F.lit(0)).cast("int"))
     empty = F.trim(F.coalesce(aff, F.lit(""))) == ""
     own = F.coalesce(F.size(F.get(authors, F.col("_entry") - 1)["insts"]), F.lit(0)) > 0

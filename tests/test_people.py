@@ -97,3 +97,12 @@ def test_people_of_frequent_names_in_parts(spark):
     want = sorted(map(tuple, both.select("i", "j").collect()))
     for most in (3, 40, people.PART_PAIRS):
         assert sorted(map(tuple, people.match_people(left, right, "i", "j", "name", most).collect())) == want
+
+
+def test_talks_of_one_speaker_stay_spread_over_tasks(spark):
+    schema = "k int, authors array<struct<name:string,insts:array<int>>>, institutions array<struct<n:int,name:string,alt_names:array<string>>>, inst_shorts array<string>, speaker string, speaker_aff string"
+    rows = [(k, [("Ada Lov", [1] if k % 2 else [])], [(1, "Place", [])], ["P"], "A. Lov" if k % 3 else None, "") for k in range(200)]
+    out = people.backfill_speakers(spark.createDataFrame(rows, schema).repartition(4, "k"))
+    got = out.select("*", F.spark_partition_id().alias("part")).collect()
+    assert {r.k: r.speaker_aff for r in got} == {k: "P" if k % 3 else "" for k in range(200)}
+    assert len({r.part for r in got if r.speaker}) > 1 and len({r.part for r in got if not r.speaker}) > 1
