@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as T
 from rostrum.operators import matching as J
 from rostrum.operators import people
+from rostrum.operators.shared import hinted
 from rostrum.plans.registry import query
 from rostrum.sources.tables import table
 
@@ -48,7 +49,7 @@ SELECT l_orderkey, l_linenumber, string_agg(r_name, '; ' ORDER BY pos, n) AS ins
 def j5(spark: SparkSession, d: str) -> DataFrame:
     numbers = F.array_distinct(F.array(F.col("l_suppkey") % 5, F.col("l_partkey") % 5))
     each = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(numbers).alias("pos", "n")).groupBy("l_orderkey", "l_linenumber", "n").agg(F.min("pos").alias("pos"))
-    named = each.join(table(spark, d, "region").hint("merge"), F.col("n") == F.col("r_regionkey"))
+    named = each.join(hinted(table(spark, d, "region")), F.col("n") == F.col("r_regionkey"))  # five keys: a shuffle by them is five tasks
     ordered = F.array_sort(F.collect_list(F.struct("pos", "n", "r_name")))
     return named.groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.transform(ordered, lambda x: x["r_name"]), "; ").alias("insts"))
 

@@ -251,3 +251,10 @@ def test_rules_in_parts(spark, monkeypatch):
     whole = {tuple(r) for r in matching.first_rule(texts, rules, "t").collect()}
     monkeypatch.setattr(matching, "MOST_RULES", 6)
     assert {tuple(r) for r in matching.first_rule(texts, rules, "t").collect()} == whole == {("has w7 and w30", 3, "s3"), ("w39 alone", 3, "s3"), ("w99", 9, "s9")}
+
+
+def test_author_institutions_are_not_shuffled_by_region(spark, folder):
+    from rostrum.plans import join_queries, registry  # noqa: F401
+
+    plan = registry.queries()["j5_author_institutions"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
