@@ -34,6 +34,8 @@ RELATIONS: dict[str, T.StructType] = {
     "session_types": T.StructType([*_KEY, *program.TYPE.fields]),
     "talk_types": T.StructType([*_KEY, *program.TYPE.fields]),
 }
+#: Rows of one batch that the source hands to Spark.
+BATCH_ROWS = 4096
 #: What the source says of lines that are no document.
 BROKEN = T.StructType([T.StructField(c, T.StringType()) for c in ("file", "line", "problem")])
 
@@ -216,12 +218,25 @@ class _Reader(DataSourceReader):
             held, size = [*held, name], size + n
         return [*shares, _Share(tuple(held))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[Any]:
+        """The rows in Arrow batches of BATCH_ROWS, which Spark takes as they are."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         store, _ = _store(self.folder)
+        schema = to_arrow_schema(self.fields)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        held: list[tuple] = []
         for name in partition.files:
             with store.open_input_stream(name) as stream:
                 for line in _lines(stream):
-                    yield from self._rows(name, line)
+                    for row in self._rows(name, line):
+                        held.append(row)
+                        if len(held) == BATCH_ROWS:
+                            yield batch(held)
+                            held = []
+        if held:
+            yield batch(held)
 
     def _rows(self, file: str, line: str) -> Iterator[tuple]:
         try:
@@ -233,8 +248,10 @@ class _Reader(DataSourceReader):
                 yield file.rsplit("/", 1)[-1], line, str(e)
             return
         if self.relation != "broken":
+            fields = [(f.name, f.dataType, type(f.dataType) is T.StringType) for f in self.fields.fields[2:]]
             for pos, item in enumerate(document.get(self.relation) or []):
-                yield document.get("conference_name"), pos, *(_value((item or {}).get(f.name), f.dataType) for f in self.fields.fields[2:])
+                values = [(item or {}).get(name) for name, _, _ in fields]
+                yield _value(document.get("conference_name"), T.StringType()), pos, *(v if v is None or text and type(v) is str else _value(v, kind) for v, (_, kind, text) in zip(values, fields))
 
 
 def _lines(stream: Any) -> Iterator[str]:
@@ -254,7 +271,7 @@ def _value(x: Any, kind: T.DataType) -> Any:
     if isinstance(kind, T.ArrayType):
         return [_value(y, kind.elementType) for y in x] if isinstance(x, list) else None
     if isinstance(kind, T.StructType):
-        return tuple(_value(x.get(f.name), f.dataType) for f in kind) if isinstance(x, dict) else None
+        return {f.name: _value(x.get(f.name), f.dataType) for f in kind} if isinstance(x, dict) else None
     if isinstance(kind, T.BooleanType):
         return x if isinstance(x, bool) else None
     if isinstance(kind, T.IntegerType):

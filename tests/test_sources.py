@@ -118,3 +118,19 @@ def test_first_pattern(spark, tmp_path):
     rules = program.read_rules(spark, str(tmp_path / "rules.txt"))
     rows = spark.createDataFrame([(1, "xbbcx"), (2, "a bc"), (3, "zz"), (4, None)], "id int, t string")
     assert {r.id: r.pattern for r in config.first_pattern(rows, rules, "t").collect()} == {1: "b+c", 2: "a"}
+
+
+def test_documents_are_read_in_arrow_batches(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    talk = {"id": 7, "title": "T", "authors": [{"name": "A", "insts": [1, "x"]}, 3], "withdrawn": True, "speaker_pos": "no"}
+    with open(f"{tmp_path}/a.jsonl", "w") as out:
+        out.write(json.dumps({"conference_name": 5, "talks": [talk, None]}) + "\n{broken\n")
+    reader = processors._Reader(str(tmp_path), "talks", processors.RELATIONS["talks"], 1 << 20)
+    assert all(isinstance(b, pa.RecordBatch) for p in reader.partitions() for b in reader.read(p))
+    rows = processors.read_documents(spark, str(tmp_path), "talks").orderBy("pos").collect()
+    assert [(r.conference_name, r.pos, r.id, r.title, r.withdrawn, r.speaker_pos) for r in rows] == [("5", 0, "7", "T", True, None), ("5", 1, None, None, None, None)]
+    assert [a and (a.name, a.insts) for a in rows[0].authors] == [("A", [1, None]), None]
+    assert processors.read_documents(spark, str(tmp_path), "broken").count() == 1
