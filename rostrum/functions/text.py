@@ -154,8 +154,12 @@ def person(c: Column) -> Column:
     hyphens, all folded."""
     name = squeezed(fold(F.when(F.contains(c, F.lit(",")), F.regexp_replace(c, r"^([^,]+),\s*(.+)$", "$2 $1")).otherwise(c)))
     pieces = F.filter(F.split(name, " "), lambda p: p.rlike("[a-z]"))
-    given = F.filter(F.split(F.array_join(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), " "), r"[ .-]+"), lambda p: p != "")
-    return F.struct(F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit("")).alias("surname"), given.alias("given"))
+
+    def parts(pieces: Column) -> Column:
+        given = F.filter(F.split(F.array_join(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), " "), r"[ .-]+"), lambda p: p != "")
+        return F.struct(F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit("")).alias("surname"), given.alias("given"))
+
+    return F.get(F.transform(F.array(pieces), parts), 0)  # the folded pieces are computed once, however often they are used
 
 
 def consistent_given(a: Column, b: Column) -> Column:

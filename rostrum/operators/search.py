@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
+from rostrum.operators.shared import hinted
 
 
 def search_text(*columns: Column) -> Column:
@@ -28,7 +29,9 @@ def affiliation_postings(items: DataFrame, key: str, field: str) -> DataFrame:
 
 def pools(values: DataFrame, value: str, pos: str) -> DataFrame:
     """(fold, display): distinct by folded form, the first display form by `pos` wins."""
-    return values.groupBy(T.squeezed(T.fold(F.col(value))).alias("fold")).agg(F.min_by(value, F.struct(pos, value)).alias("display")).where("fold != ''")
+    # each distinct value is folded once; a struct keeps null positions first
+    each = values.groupBy(value).agg(F.min(F.struct(pos)).alias("_at"))
+    return each.groupBy(T.squeezed(T.fold(F.col(value))).alias("fold")).agg(F.min_by(value, F.struct("_at", value)).alias("display")).where("fold != ''")
 
 
 def prefix_index(values: DataFrame, value: str, least: int = 3, most: int = 12) -> DataFrame:
@@ -77,7 +80,8 @@ def suggest_people(queries: DataFrame, names: DataFrame, query: str, name: str,
         F.when(F.length("_qs") >= least, F.concat(F.lit("s"), head("_qs"))), F.when((F.length("_qs") > 0) & (F.length("_qs") < least), F.concat(F.lit("e"), "_qs")),
         F.when((F.size("_qg") > 0) & (F.length("_qs") > 0), F.concat(F.lit("g"), initial("_qg"), head("_qs"))), F.when(one, F.concat(F.lit("w"), head(F.regexp_extract("_q", "^[a-z0-9]*", 0)))),
     ))
-    both = asked.withColumn("_k", F.explode(F.array_distinct(wanted))).join(index.hint("merge"), "_k")
+    # few queries are broadcast, so that the keys of all names are looked up where they are made instead of being shuffled and sorted
+    both = index.join(hinted(asked.withColumn("_k", F.explode(F.array_distinct(wanted)))), "_k")
     agree = T.consistent_given(F.col("_qg"), F.col("_given"))
     strict = (F.col("_qs") != "") & ((F.col("_qs") == F.col("_sur")) | ((F.length("_qs") >= least) & F.startswith("_sur", F.col("_qs")))) & agree
     partial = (F.col("_qs") != "") & (F.size("_qg") > 0) & (F.size("_given") > 0) & F.startswith("_sur", F.col("_qs")) & agree

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.operators import people, search
 from rostrum.plans.registry import query
-from rostrum.sources.tables import table
+from rostrum.sources.tables import spread, table
 
 _LINES = "SELECT l_orderkey AS k, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL"
 _TALKS = f"""SELECT k, list({{'name': 'Ada N' || s % 9, 'insts': CASE WHEN (i + k) % 3 = 0 THEN [i * 2, i * 2 + 2] WHEN (i + k) % 3 = 1 THEN [i * 2] ELSE [] END}} ORDER BY i) AS authors,
@@ -80,7 +80,8 @@ SELECT query, name, pass FROM p WHERE pass IS NOT NULL""",
 )
 def q6_people(spark: SparkSession, d: str) -> DataFrame:
     """Names of every two words of the documents, asked for with beginnings of the benchmark's words."""
-    pair = lambda t: table(spark, d, t).select(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "").alias("w")).where("size(w) >= 2").select(F.explode(F.transform(F.expr("sequence(1, size(w) - size(w) % 2, 2)"), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("x")).select("x.*")
+    docs = {"documents": spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "benchmark": table(spark, d, "benchmark")}
+    pair = lambda t: docs[t].select(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "").alias("w")).where("size(w) >= 2").select(F.explode(F.transform(F.expr("sequence(1, size(w) - size(w) % 2, 2)"), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("x")).select("x.*")
     names = pair("documents").select(F.expr("CASE length(a) % 3 WHEN 0 THEN concat(a, ' ', b) WHEN 1 THEN b ELSE concat(b, ', ', a) END").alias("name"))
     queries = pair("benchmark").select(F.expr("CASE length(b) % 3 WHEN 0 THEN lower(concat(substr(a, 1, 1), ' ', substr(b, 1, 2))) WHEN 1 THEN lower(substr(b, 1, 4)) ELSE lower(concat(a, ' ', substr(b, 1, 3))) END").alias("query"))
     return search.suggest_people(queries, names, "query", "name")
