@@ -15,7 +15,7 @@ from rostrum.plans.registry import query
 from rostrum.plans.text_queries import _FOLD as _WHOLE_FOLD
 from rostrum.sources import program
 from rostrum.session import shared_folder
-from rostrum.sources.tables import table
+from rostrum.sources.tables import spread, table
 from rostrum.streaming import state as streaming
 
 
@@ -120,14 +120,14 @@ _POOL = rf"WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS
 @query("q5_suggestion_pools", _POOL)
 def q5(spark: SparkSession, d: str) -> DataFrame:
     """Words of all documents, of every language and of none."""
-    tokens = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
+    tokens = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
     return search.pools(tokens, "token", "doc_id")
 
 
 @query("q5_suggestion_pools_all", _POOL + " UNION ALL SELECT lower(source), arg_min(source, doc_id) FROM documents WHERE source IS NOT NULL AND lower(source) NOT IN (SELECT fold FROM (" + _POOL + ")) GROUP BY ALL")
 def q5_all(spark: SparkSession, d: str) -> DataFrame:
     """One pool over the words and the sources of all documents; a word's display form comes before a source's."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
     words = docs.select(F.lit(0).alias("field"), "doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token != ''")
     both = words.union(docs.where("source IS NOT NULL").select(F.lit(1), "doc_id", "source"))
     return search.pools(both.select("token", F.struct("field", "doc_id").alias("pos")), "token", "pos")
@@ -149,7 +149,7 @@ SELECT item_id, doc_id FROM q JOIN d ON contains(t, p) WHERE p <> ''""",
 def q7(spark: SparkSession, d: str) -> DataFrame:
     """Every whole benchmark item, looked for in all documents."""
     queries = table(spark, d, "benchmark").select("item_id", "text")
-    return search.batch_search(queries, table(spark, d, "documents").select("doc_id", "text"), "item_id", "doc_id", "text")
+    return search.batch_search(queries, spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "item_id", "doc_id", "text")
 
 
 _RULES = [("urgent", "plenary"), ("high|medium", "oral"), ("^5", "poster")]
