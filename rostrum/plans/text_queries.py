@@ -103,7 +103,7 @@ def _persons(spark: SparkSession, d: str) -> DataFrame:
     """Names of four shapes, derived from the customers."""
     k, seg = F.col("c_custkey") % 4, F.col("c_mktsegment")
     name = F.when(k == 0, F.concat(seg, F.lit(", José-María"))).when(k == 1, F.concat(F.lit("Ann B. "), seg)).when(k == 2, F.concat(seg, F.lit(", Ann B."))).otherwise(F.concat(F.lit("J. "), seg))
-    return table(spark, d, "customer").select("c_custkey", name.alias("name"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", name.alias("name"))
 
 
 @query("f9_given_first", f"WITH t AS (SELECT c_custkey, {_PERSON} AS name FROM customer) SELECT c_custkey, CASE WHEN regexp_full_match(name, '\\S+,\\s+\\S+') THEN regexp_replace(name, '^(\\S+),\\s+(\\S+)$', '\\2 \\1') ELSE name END AS name FROM t")
