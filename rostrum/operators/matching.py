@@ -126,11 +126,12 @@ def unreachable_rules(rules: DataFrame) -> DataFrame:
     return parts.join(early.hint("merge"), "part").where("earlier_id < rule_id").groupBy("rule_id", "needle").agg(F.min("earlier_id").alias("earlier_id"))
 
 
-def word_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: int = 2) -> DataFrame:
+def word_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: int = 2, small: str = "right") -> DataFrame:
     """(left_id, right_id, shared, left_n, right_n): pairs that share `least` distinct words or more, by an inverted
-    index. Both sides have (id, words array)."""
+    index. Both sides have (id, words array); the index of the `small` side is counted, and broadcast where it fits."""
     index = lambda df, i, n: df.select(i, F.size(F.array_distinct(words)).alias(n), F.explode(F.array_distinct(words)).alias("word"))
-    both = index(left, left_id, "left_n").join(index(right, right_id, "right_n").hint("merge"), "word")
+    one, other = index(left, left_id, "left_n"), index(right, right_id, "right_n")
+    both = one.join(hinted(other), "word") if small == "right" else other.join(hinted(one), "word")
     return both.groupBy(left_id, right_id, "left_n", "right_n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 

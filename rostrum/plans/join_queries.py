@@ -10,7 +10,7 @@ from rostrum.operators import matching as J
 from rostrum.operators import people
 from rostrum.operators.shared import hinted
 from rostrum.plans.registry import query
-from rostrum.sources.tables import table
+from rostrum.sources.tables import spread, table
 
 
 @query("j1_child_to_parent", "SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
@@ -84,7 +84,7 @@ _WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'),
 
 
 def _words(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
-    return table(spark, d, name).select(F.col(key).alias(f"{name}_id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 8)).alias("words"))
+    return spread(table(spark, d, name).select(key, "text"), key).select(F.col(key).alias(f"{name}_id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 8)).alias("words"))
 
 
 @query(
@@ -154,7 +154,7 @@ q AS (SELECT *, s = n AND s = m AS equal FROM p WHERE (s = n AND s = m AND s >=
 SELECT item_id AS benchmark_id, doc_id AS documents_id, s AS shared, equal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY equal DESC, s DESC, doc_id) AS r FROM q) WHERE r = 1""",
 )
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    pairs = J.word_overlap(_words(spark, d, "benchmark", "item_id"), _words(spark, d, "documents", "doc_id"), "benchmark_id", "documents_id", "words", 1)
+    pairs = J.word_overlap(_words(spark, d, "benchmark", "item_id"), _words(spark, d, "documents", "doc_id"), "benchmark_id", "documents_id", "words", 1, small="left")
     return J.best_word_match(pairs, "benchmark_id", "documents_id")
 
 

@@ -258,3 +258,22 @@ def test_author_institutions_are_not_shuffled_by_region(spark, folder):
 
     plan = registry.queries()["j5_author_institutions"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pools_take_null_positions_first_and_fold_each_value_once(spark):
+    rows = [("Ab", 3), ("AB", 2), ("ab", None), ("Cd", 5), ("cD", 4), ("Cd", 6), (" ", 1), (None, 1)]
+    found = search.pools(spark.createDataFrame(rows, "v string, p int"), "v", "p")
+    assert {r.fold: r.display for r in found.collect()} == {"ab": "ab", "cd": "cD"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_small_side_of_word_overlap_and_few_queries_are_broadcast(spark):
+    docs = spark.createDataFrame([(k, ["alpha", "beta", f"w{k}"]) for k in range(50)], "a int, words array<string>")
+    items = spark.createDataFrame([(1, ["alpha", "beta", "x"])], "b int, words array<string>")
+    for found in (matching.word_overlap(docs, items, "a", "b", "words"), matching.word_overlap(items, docs, "b", "a", "words", small="left")):
+        assert {(r.a, r.b, r.shared) for r in found.collect()} == {(k, 1, 2) for k in range(50)}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    names = spark.createDataFrame([("Ada Lovelace",), ("Bo Loren",)], "name string")
+    asked = search.suggest_people(spark.createDataFrame([("a love",)], "q string"), names, "q", "name")
+    assert [tuple(r) for r in asked.collect()] == [("a love", "Ada Lovelace", 1)]
+    assert "SortMergeJoin" not in asked._jdf.queryExecution().executedPlan().toString()
