@@ -231,3 +231,15 @@ def test_addresses_of_one_row_group_are_dealt_over_tasks(spark, tmp_path):
     runs = text_queries._runs(spark, str(tmp_path), 3)
     assert runs.select(F.spark_partition_id()).distinct().count() > 2
     assert {tuple(r.w) for r in runs.select("w").distinct().collect()} == {("ab", "cd", "ef"), ("gh", "i")}
+
+
+def test_rules_run_over_arrow_batches(spark):
+    rows = [None, "", "  ", ",", " , Italy", "Key Lab of X, Univ. of Y, Rome, Italy", "Acme Co., Ltd.", "12345", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string").repartition(3)
+    made = df.select("i", labels.fallback_label(F.col("raw")).alias("f"), labels.polished_label(F.col("raw")).alias("p"), labels.forms(F.col("raw"), labels.REWRITES).alias("all"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # a regular expression of the JVM costs ten times as much, and inside an interpreted lambda still more
+    assert "ArrowEvalPython" in plan and "regexp_replace" not in plan and "lambdafunction" not in plan
+    got = {r.i: (r.f, r.p, r["all"]) for r in made.collect()}
+    assert got[0] == got[8] == (None, None, [None] * 7) and got[1][:2] == got[2][:2] == ("", "")
+    assert [got[i][0] for i in (3, 4, 5, 6, 7)] == [",", "Italy", "Y", "Acme", "12345"]
