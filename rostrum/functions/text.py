@@ -57,7 +57,8 @@ def squeezed(c: Column) -> Column:
 
 def normal_form(c: Column, fixes: Sequence[tuple[str, str]] = ()) -> Column:
     """The form in which labels are matched: folded, dashes and quotes unified, `fixes` applied in order, blanks squeezed."""
-    out = F.translate(fold(c), "‐‑‒–—‘’“” ", "-----''\"\" ")
+    # ASCII texts have nothing to fold but their case; translating letter by letter costs most of the time
+    out = F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(fold(c), "‐‑‒–—‘’“” ", "-----''\"\" "))
     for pattern, replacement in fixes:
         out = F.regexp_replace(out, pattern, replacement)
     return squeezed(out)

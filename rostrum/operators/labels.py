@@ -9,7 +9,7 @@ Patterns use what Java's and RE2's dialects share. Labels are resolved on distin
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache, reduce
 from itertools import groupby
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import text as T
 from rostrum.operators import matching
-from rostrum.operators.shared import hinted
+from rostrum.operators.shared import hinted, written
 
 #: Rules that a table may have: they are part of the plan.
 MOST_REWRITES = 1000
@@ -232,11 +232,14 @@ class Words:
     institutions: str = INSTITUTIONS
 
 
+def _without_country_tail(x: pa.Array, words: Words) -> pa.Array:
+    names = "|".join(re.escape(n).replace("\\ ", " ") for n in sorted(words.countries, key=len, reverse=True))
+    return pc.utf8_trim(_applied(x, Rewrite(1, 1, rf"(?i)(?:\s*(?:\(\s*(?:{names})\s*\)|[-–—]\s*(?:{names})))+\s*$", "")), " ")
+
+
 def without_country_tail(c: Column, words: Words = Words()) -> Column:
     """`Name (Country)` and `Name - Country` without the country, also when two such tails follow each other."""
-    names = "|".join(re.escape(n).replace("\\ ", " ") for n in sorted(words.countries, key=len, reverse=True))
-    tail = Rewrite(1, 1, rf"(?i)(?:\s*(?:\(\s*(?:{names})\s*\)|[-–—]\s*(?:{names})))+\s*$", "")
-    return _on_arrays(lambda x: pc.utf8_trim(_applied(x, tail), " "), c)
+    return _on_arrays(lambda x: _without_country_tail(x, words), c)
 
 
 def _declared_acronym(x: pa.Array, words: Words) -> pa.Array:
@@ -331,20 +334,33 @@ def canonical_labels(texts: DataFrame, text: str, tiers: Sequence[DataFrame], cu
     curated: (form, short), one row a form; the text itself and its forms after each step of the rules are looked up, the
     first that is there wins (tier 'map'). Then the rule tiers, in order, on the normal form ('rules'); then the fallback
     ('fallback'). A text that comes out unchanged is tried once more without its country tail ('retry'). What rules, fallback
-    and retry give is polished. All look-ups are one join, and texts and their forms without a tail are resolved together."""
-    distinct = texts.select(F.col(text).alias("raw")).where(F.col("raw").isNotNull()).distinct()
-    bare = without_country_tail(F.col("raw"), words)
-    asked = distinct.select(F.explode(F.array_distinct(F.array("raw", bare))).alias("raw")).distinct()
-    looked = asked.select("raw", F.posexplode(forms(F.col("raw"), rewrites)).alias("at", "form"))
-    known = hinted(curated.select("form", F.col("short").alias("label")))
+    and retry give is polished. All look-ups are one join, and texts and their forms without a tail are resolved together. What was asked and
+    what was answered are written once, so no rule runs twice on a text."""
+
+    def with_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(0).drop_null().unique()
+            bare = _without_country_tail(raw, words)
+            for x, given in ((raw, True), (bare.filter(pc.not_equal(bare, raw)), False)):
+                yield pa.RecordBatch.from_arrays([x, pa.repeat(given, len(x))], ["raw", "given"])
+
+    # tails come off before the shuffle, so the texts and their forms without one are made distinct in one go
+    both = texts.select(F.col(text).alias("raw")).mapInArrow(with_tails, "raw string, given boolean").groupBy("raw").agg(F.bool_or("given").alias("given"))
+    asked = written(both.select("raw", "given", without_country_tail(F.when(F.col("given"), F.col("raw")), words).alias("bare"), T.normal_form(F.col("raw")).alias("normal")), "asked")
+    looked = asked.select("raw", F.posexplode(F.array_distinct(forms(F.col("raw"), rewrites))).alias("at", "form"))
+    known = hinted(written(curated.select("form", F.col("short").alias("label")), "curated"))
     mapped = looked.join(known, "form").groupBy("raw").agg(F.min_by("label", "at").alias("mapped"))
-    normal = asked.withColumn("normal", T.normal_form(F.col("raw")))
-    ruled = matching.resolve_labels(normal, tiers, "normal", F.lit(None).cast("string")).where("short is not null").select("normal", F.col("short").alias("ruled"))
-    answers = normal.join(mapped.hint("merge"), "raw", "left").join(ruled.hint("merge"), "normal", "left")
-    own = F.coalesce("mapped", polished_label(F.coalesce("ruled", fallback_label(F.col("raw"), rewrites, words)), rewrites, keep))  # lazy: texts that the map has are not rewritten
+    ruled = matching.resolve_labels(asked, tiers, "normal", F.lit(None).cast("string")).where("short is not null").select("normal", F.col("short").alias("ruled"))
+    found = asked.join(mapped.hint("merge"), "raw", "left").join(ruled.hint("merge"), "normal", "left")
+    # null where an earlier tier has the answer: rules pass over nulls
+    rest = F.when(F.col("mapped").isNull() & F.col("ruled").isNull(), F.col("raw"))
+    found = found.withColumn("plain", F.when(F.col("mapped").isNull(), F.coalesce("ruled", fallback_label(rest, rewrites, words))))
     tier = F.when(F.col("mapped").isNotNull(), "map").when(F.col("ruled").isNotNull(), "rules").otherwise("fallback")
-    answers = answers.select("raw", own.alias("short"), tier.alias("tier"))
+    answers = written(found.select("raw", "bare", "given", F.coalesce("mapped", polished_label(F.col("plain"), rewrites, keep)).alias("short"), tier.alias("tier")), "answers")
+    retried = (F.col("tier") == "fallback") & (F.col("bare") != F.col("raw")) & unchanged(F.col("short"), F.col("raw"))
+    given = answers.where("given").withColumn("retried", F.coalesce(retried, F.lit(False)))
     again = answers.select(F.col("raw").alias("bare"), F.col("short").alias("second"))
-    both = answers.join(distinct.hint("merge"), "raw").withColumn("bare", bare).join(again.hint("merge"), "bare", "left")
-    retry = (F.col("tier") == "fallback") & unchanged(F.col("short"), F.col("raw")) & (F.col("bare") != F.col("raw")) & (F.col("second") != "") & ~unchanged(F.col("second"), F.col("raw"))
-    return both.select(F.col("raw").alias(text), F.when(retry, F.col("second")).otherwise(F.col("short")).alias("short"), F.when(retry, "retry").otherwise(F.col("tier")).alias("tier"))
+    second = given.where("retried").join(again.hint("merge"), "bare", "left")
+    better = (F.col("second") != "") & ~unchanged(F.col("second"), F.col("raw"))
+    second = second.select("raw", F.when(better, F.col("second")).otherwise(F.col("short")).alias("short"), F.when(better, "retry").otherwise(F.col("tier")).alias("tier"))
+    return given.where("not retried").select("raw", "short", "tier").unionByName(second).withColumnRenamed("raw", text)

@@ -243,3 +243,12 @@ def test_rules_run_over_arrow_batches(spark):
     got = {r.i: (r.f, r.p, r["all"]) for r in made.collect()}
     assert got[0] == got[8] == (None, None, [None] * 7) and got[1][:2] == got[2][:2] == ("", "")
     assert [got[i][0] for i in (3, 4, 5, 6, 7)] == [",", "Italy", "Y", "Acme", "12345"]
+
+
+def test_whole_resolution_is_written_between_its_steps(spark):
+    texts = spark.createDataFrame([("Acme (Italy)",), ("Acme",), ("Acme (Italy)",), (None,), ("",)], "aff string")
+    tier = spark.createDataFrame([(1, "zzz", False, "Z")], "rule_id int, needle string, is_regex boolean, short string")
+    got = labels.canonical_labels(texts, "aff", [tier], spark.createDataFrame([], "form string, short string"))
+    # what was asked and answered is read back: only the retry's join is left
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert {r.aff: (r.short, r.tier) for r in got.collect()} == {"Acme (Italy)": ("Acme", "fallback"), "Acme": ("Acme", "fallback"), "": ("", "fallback")}
