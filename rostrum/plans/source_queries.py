@@ -64,9 +64,9 @@ def x2_problems(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s1_read_program", "SELECT o_custkey::VARCHAR AS conference_name, count(DISTINCT o_orderkey) AS n_sessions, count(l_orderkey) AS n_talks, count(*) FILTER (WHERE l_quantity > 10) AS n_titled FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def s1(spark: SparkSession, d: str) -> DataFrame:
-    """Program documents as files of JSON lines, read as sessions and talks."""
+    """Program documents as compressed files of JSON lines, a task a file, read as sessions and talks."""
     folder = _new(spark, "program-json")
-    processors.documents(processors.process(spark, "orders", folder=d)).select("document").write.text(folder)
+    processors.documents(processors.process(spark, "orders", folder=d)).select("document").write.option("compression", "gzip").text(folder)
     read = program.read_program(spark, folder, multi_line=False)
     sessions = read["sessions"].groupBy("conference_name").agg(F.count(F.lit(1)).alias("n_sessions"))
     talks = read["talks"].groupBy("conference_name").agg(F.count(F.lit(1)).alias("n_talks"), F.count("title").alias("n_titled"))

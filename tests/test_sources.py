@@ -134,3 +134,16 @@ def test_documents_are_read_in_arrow_batches(spark, tmp_path):
     assert [(r.conference_name, r.pos, r.id, r.title, r.withdrawn, r.speaker_pos) for r in rows] == [("5", 0, "7", "T", True, None), ("5", 1, None, None, None, None)]
     assert [a and (a.name, a.insts) for a in rows[0].authors] == [("A", [1, None]), None]
     assert processors.read_documents(spark, str(tmp_path), "broken").count() == 1
+
+
+def test_program_documents_are_written_compressed(spark, folder):
+    import glob
+
+    from rostrum.plans import registry, source_queries  # noqa: F401
+    from rostrum.session import shared_folder
+
+    top = f"{shared_folder(spark).removeprefix('file://')}/program-json-*/part-*"
+    before = set(glob.glob(top))
+    assert registry.queries()["s1_read_program"](spark, folder).count() > 0
+    made = set(glob.glob(top)) - before
+    assert made and all(f.endswith(".gz") for f in made)
