@@ -14,26 +14,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rostrum.operators.shared import hinted, written
+from rostrum.operators.shared import hinted, ranges_of, written
 
 
 def swept(rows: DataFrame, keys: Sequence[str], at: str, hits: Sequence[str], side: str = "side") -> DataFrame:
     """`rows` with, for each column h of `hits`, h_low: the last hit of the key up to and with the row, and h_high: the
     first hit behind it. A hit is a struct that begins with the row's `at`, or null. Rows go by `at` (nulls first), then `side`;
     of hits at one place, h_low is the largest and h_high the smallest. Null keys are a key."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(at).asc_nulls_first(), F.col(side), F.col("_salt")]
     # a number fixed by the write splits even rows of one place over the ranges
     salted = written(rows.withColumn("_salt", F.monotonically_increasing_id()), "stacked")
+    n = ranges_of(salted)
     ranged = written(salted.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_part", F.spark_partition_id()), "stretches")
     ends = ranged.groupBy(*keys, "_part").agg(*[f(h).alias(f"{n}_{h}") for h in hits for n, f in (("_max", F.max), ("_min", F.min))])
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     behind = W.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(W.unboundedPreceding, -1)
     carry = written(ends.select(*keys, "_part", *[c for h in hits for c in (F.max(f"_max_{h}").over(before).alias(f"_before_{h}"), F.min(f"_min_{h}").over(behind).alias(f"_behind_{h}"))]), "carry")
+    # the stretches are dealt by number and key over n tasks, which adaptive execution would put together to fewer
+    dealt = ranged.repartition(n, *keys, "_part")
     up = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy(*keys, "_part").orderBy(F.col(at).desc_nulls_last(), F.col(side).desc(), F.col("_salt").desc()).rowsBetween(W.unboundedPreceding, -1)
-    inside = ranged.withColumns({f"_up_{h}": F.max(h).over(up) for h in hits}).withColumns({f"_down_{h}": F.min(h).over(down) for h in hits})
+    inside = dealt.withColumns({f"_up_{h}": F.max(h).over(up) for h in hits}).withColumns({f"_down_{h}": F.min(h).over(down) for h in hits})
     named = carry.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}).withColumnRenamed("_part", "_p")
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_p"))
     both = inside.join(hinted(named), same, "left")

@@ -76,3 +76,11 @@ def test_hosts_equal_loops(spark, seed):
     assert {r.p: r.h for r in sweeps.contained_in(frame(parts, "p"), frame(hosts, "h"), ["k"], "p", "h").collect()} == want
     plan = sweeps.contained_in(frame(parts, "p"), frame(hosts, "h"), ["k"], "p", "h")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranges_grow_in_number_with_the_table(spark, monkeypatch):
+    from rostrum.operators import shared
+
+    monkeypatch.setattr(shared, "RANGE_ROWS", 10)
+    assert shared.ranges_of(spark.range(200)) == 20
+    assert shared.ranges_of(spark.range(5)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
