@@ -4,7 +4,8 @@ expressions, so they stay inside generated code and need no shuffle."""
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,19 +116,34 @@ def _capital(c: Column) -> Column:
     return F.when(c.rlike("^o['’]."), F.concat(F.lit("O"), c.substr(2, 1), F.upper(c.substr(3, 1)), c.substr(F.lit(4), F.length(c)))).otherwise(plain)
 
 
+def _capital_piece(p: Column, inner: Column) -> Column:
+    """A piece of A-Z only, repaired; by byte comparisons, without a pattern."""
+    particle = inner & (F.length(p) <= max(map(len, PARTICLES))) & p.isin(*[x.upper() for x in PARTICLES])
+    vowel = reduce(Column.__or__, [F.contains(p, F.lit(v)) for v in "EAIOUY"])
+    return F.when(particle, F.lower(p)).when((F.length(p) >= 3) & vowel, F.concat(F.substring(p, 1, 1), F.lower(p.substr(F.lit(2), F.length(p))))).otherwise(p)
+
+
+def _any_piece(p: Column, inner: Column) -> Column:
+    """A piece of any letters, repaired."""
+    capital = F.array_join(F.transform(F.split(F.lower(p), "-"), _capital), "-")
+    shouted = p.rlike(r"^[\p{Lu}\p{Mn}'’.-]{3,}$") & ~p.rlike(r"^(?:\p{Lu}\.-?)+$") & unmarked(p).rlike("[aeiouyæøœ]")
+    return F.when(inner & F.lower(p).isin(*PARTICLES), F.lower(p)).when(shouted, capital).otherwise(p)
+
+
 def repaired_name(c: Column) -> Column:
     """A person's name whose pieces are all capitals (of any alphabet) gets capitals at the beginnings only; particles between the ends
     go lower, initials stay, and so do names of over six pieces or with digits."""
-    pieces = F.split(squeezed(c), " ")
-    n = F.size(pieces)
 
-    def piece(p: Column, i: Column) -> Column:
-        inner = (i > 0) & (i < n - 1)
-        capital = F.array_join(F.transform(F.split(F.lower(p), "-"), _capital), "-")
-        shouted = p.rlike(r"^[\p{Lu}\p{Mn}'’.-]{3,}$") & ~p.rlike(r"^(?:\p{Lu}\.-?)+$") & unmarked(p).rlike("[aeiouyæøœ]")
-        return F.when(inner & F.lower(p).isin(*PARTICLES), F.lower(p)).when(shouted, capital).otherwise(p)
+    def joined(pieces: Column, piece: Callable[[Column, Column], Column]) -> Column:
+        return F.array_join(F.transform(pieces, lambda p, i: piece(p, (i > 0) & (i < F.size(pieces) - 1))), " ")
+
+    def any_name(pieces: Column) -> Column:
+        return F.when((F.size(pieces) > 6) | c.rlike("[0-9]"), c).otherwise(joined(pieces, _any_piece))
 
-    return F.when((n > 6) | c.rlike("[0-9]"), c).otherwise(F.array_join(F.transform(pieces, piece), " "))
+    # the pieces are bound once: a lambda that names the split would split again for each piece; names of A-Z and single blanks, most of
+    # the shouted ones, need no pattern for a piece
+    once = lambda pieces, f: F.get(F.transform(F.array(pieces), f), 0)
+    return F.when(c.rlike(r"^[A-Z]+(?: [A-Z]+){0,5}\z"), once(F.split(c, " "), lambda x: joined(x, _capital_piece))).otherwise(once(F.split(squeezed(c), " "), any_name))
 
 
 def given_first(c: Column) -> Column:

@@ -252,3 +252,17 @@ def test_whole_resolution_is_written_between_its_steps(spark):
     # what was asked and answered is read back: only the retry's join is left
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
     assert {r.aff: (r.short, r.tier) for r in got.collect()} == {"Acme (Italy)": ("Acme", "fallback"), "Acme": ("Acme", "fallback"), "": ("", "fallback")}
+
+
+def test_runs_of_words_come_as_strings(spark, tmp_path):
+    from rostrum.plans import text_queries
+
+    texts = ["", None, "--", "a", " One,two\n\nTHREE  four5six Straße é ", "x" * 5000 + " y z w", "a b c d e f", ". a-b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    for n in (2, 3):
+        words = {i: re.findall("[A-Za-z]+", t or "") for i, t in enumerate(texts)}
+        want = sorted((i, k // n, " ".join(w[k : k + n]), tuple(w[k : k + n])) for i, w in words.items() for k in range(0, len(w), n))
+        runs = text_queries._runs(spark, str(tmp_path), n)
+        assert sorted((r.doc_id, r.pos, r.run, tuple(r.w)) for r in runs.collect()) == want
+    plan = runs.select("doc_id", "pos", "run")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan

@@ -88,6 +88,30 @@ def test_shouted_names_of_any_alphabet(spark):
     assert one(spark, T.repaired_name, *names) == ["José García", "Shaun O’Neil", "Łukasz Wrzesiński", "J.-P. Émile", "Anna de la Cruz", "Van Mit", "R2 UNIT", "Abc", "J.K. Roe"]
 
 
+def _one_by_one(name):
+    """The rule of `repaired_name` by a loop, for letters A-Z and a-z."""
+    pieces = " ".join(name.split()).split(" ")
+    if len(pieces) > 6 or any(x.isdigit() for x in name):
+        return name
+
+    def piece(i, p):
+        if 0 < i < len(pieces) - 1 and p.lower() in T.PARTICLES:
+            return p.lower()
+        return p.capitalize() if len(p) > 2 and p.isupper() and p.isalpha() and set(p) & set("AEIOUY") else p
+
+    return " ".join(piece(i, p) for i, p in enumerate(pieces))
+
+
+def test_names_are_split_once_and_plain_ones_need_no_pattern_for_a_piece(spark):
+    words = ["VAN", "DE", "ANN", "BCD", "YVY", "AB", "Z", "Lee", "van", "BERG", "DEL", "R2D"]
+    names = [" ".join(words[(k * j + k // 7) % len(words)] for j in range(1, k % 9)) for k in range(400)]
+    names += ["ANN  BERG", " ANN BERG", "ANN BERG ", "ANN\n", "ANN\nDE BERG", "DE", "DE LA", "ANN DE", " ", "A" * 3000]
+    assert one(spark, T.repaired_name, *names) == [_one_by_one(x) for x in names]
+    assert one(spark, T.repaired_name, None) == [None]
+    plan = spark.createDataFrame([("x",)], "v string").select(T.repaired_name(F.col("v")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(v#") == 1
+
+
 def test_people_of_frequent_names_in_parts(spark):
     rows = lambda n, forms, i: spark.createDataFrame([(k, forms[k % len(forms)]) for k in range(n)], f"{i} int, name string")
     left, right = rows(60, ["Ada Lee", "A. Lee", "Bo Lee", "Lee", "Bo Ray", None, " "], "i"), rows(45, ["Lee, Ada", "B. Lee", "Lee, Ada Bea", "Ray", ""], "j")
