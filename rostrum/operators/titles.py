@@ -6,15 +6,20 @@ import difflib
 import heapq
 import re
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from rostrum.functions import text as T
-from rostrum.operators import matching
+from rostrum.operators import blocks, matching
 from rostrum.operators.matching import assign_once, claim_in_order
 from rostrum.operators.shared import hinted, written
 
@@ -48,14 +53,40 @@ def block_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _sizes_apart(left: DataFrame, right: DataFrame, block: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
-    """Both sides' rows in blocks of up to matching.GROUP_PAIRS pairs, and those in larger ones (or None without any)."""
-    count = lambda df, n: df.groupBy(block).agg(F.count(F.lit(1)).alias(n))
-    large = written(count(left, "_m").join(count(right, "_n").hint("merge"), block).where(F.col("_m") * F.col("_n") > matching.GROUP_PAIRS).select(block), "large-blocks")
-    if not large.take(1):
-        return (left, right), None
-    large = hinted(large)
-    return tuple(df.join(large, block, "left_anti") for df in (left, right)), tuple(df.join(large, block, "left_semi") for df in (left, right))
+def sided(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str) -> DataFrame:
+    """Both sides as rows of one table, all of a block in one partition: block, _side (0, 1), left_id, right_id, the title _t, the list
+    _names (of the left a speaker) and _start. left: (block, left_id, _t, _names, _start), right: (block, right_id, _t, _names)."""
+    row = lambda df, side: df.select(
+        block, F.lit(side).alias("_side"), *[F.col(c) if c in df.columns else F.lit(None).cast(of.schema[c].dataType).alias(c) for c, of in ((left_id, left), (right_id, right))],
+        "_t", "_names", F.col("_start") if side == 0 else F.lit(None).cast(left.schema["_start"].dataType).alias("_start"),
+    )
+    return row(left, 0).unionByName(row(right, 1)).where(F.col(block).isNotNull()).repartition(block)
+
+
+def large_blocks(sizes: DataFrame, block: str) -> DataFrame | None:
+    """Of (block, _m, _n), rows of the left and of the right or more, the blocks of more than matching.GROUP_PAIRS pairs or rows of a side;
+    None without any."""
+    most = F.lit(matching.GROUP_PAIRS)
+    large = written(sizes.where(F.col(block).isNotNull() & ((F.col("_m") * F.col("_n") > most) | (F.greatest("_m", "_n") > most))).select(block), "large-blocks")
+    return large if large.take(1) else None
+
+
+def _sizes(rows: DataFrame, block: str) -> DataFrame:
+    return rows.groupBy(block).agg(F.count_if(F.col("_side") == 0).alias("_m"), F.count_if(F.col("_side") == 1).alias("_n"))
+
+
+def _in_blocks(rows: DataFrame, large: DataFrame | None, block: str, left_id: str, right_id: str, work: Callable, order: Sequence[Column] = ()) -> DataFrame:
+    """`work` of blocks.in_blocks over the rows of small blocks; each side comes in `order`, then by its id."""
+    small = rows if large is None else rows.join(hinted(large), block, "left_anti").repartition(block)
+    used = small.select(block, "_side", left_id, right_id, "_t", "_names", *[o.alias(f"_o{k}") for k, o in enumerate(order)])
+    ordered = used.sortWithinPartitions(block, "_side", *[F.col(f"_o{k}").asc_nulls_first() for k in range(len(order))], left_id, right_id).drop(*[f"_o{k}" for k in range(len(order))])
+    kind = T_.StructType([*[rows.schema[c] for c in (block, left_id, right_id)], T_.StructField("score", T_.DoubleType())])
+    return ordered.mapInArrow(blocks.in_blocks(block, left_id, right_id, work), kind)
+
+
+def _large_sides(rows: DataFrame, large: DataFrame, block: str, left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
+    rows = written(rows.join(hinted(large), block, "left_semi"), "large-rows")
+    return rows.where("_side = 0").drop("_side", right_id), rows.where("_side = 1").drop("_side", left_id, "_start")
 
 
 def _assigned(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[int, int, float | None]]:
@@ -93,19 +124,28 @@ def _assigned(a: Sequence[str], b: Sequence[str], least: float) -> list[tuple[in
     return out + ([(i, j, None) for i, j in zip(sorted(rows), sorted(columns))] if len(rows) == len(columns) else [])
 
 
-def _assign_small(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, least: float) -> DataFrame:
-    """assign_titles of blocks that fit a task: each block's titles meet as one row."""
-
-    @F.pandas_udf("l array<int>, r array<int>, score array<double>")
-    def assigned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [[*zip(*_assigned(x, y, least))] or [(), (), ()] for x, y in zip(a, b)]
-        return pd.DataFrame({name: [list(f[k]) for f in found] for k, name in enumerate(("l", "r", "score"))})
-
-    form = title_form(F.coalesce(title, F.lit("")))
-    side = lambda df, i, to: df.where(F.col(block).isNotNull()).groupBy(block).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("id"), form.alias("t")))).alias(to))
-    blocks = side(left, left_id, "_a").join(side(right, right_id, "_b").hint("merge"), block).withColumn("_won", assigned("_a.t", "_b.t"))
-    each = blocks.select(block, "_a.id", F.col("_b.id").alias("_ids"), F.explode(F.arrays_zip("_won.l", "_won.r", "_won.score")).alias("_p"))
-    return each.select(block, F.get("id", F.col("_p.l")).alias(left_id), F.get("_ids", F.col("_p.r")).alias(right_id), "_p.score")
+def _assign_small(left: pa.Table, right: pa.Table, left_block: np.ndarray, right_block: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """assign_titles of many small blocks; those with a title over blocks.LONGEST go one by one."""
+    texts = [x["_t"].chunk(0) for x in (left, right)]
+    long = np.zeros(n, bool)
+    for text, number in zip(texts, (left_block, right_block)):
+        long[number[pc.binary_length(text).to_numpy() > blocks.LONGEST]] = True
+    found = []
+    if not long.all():
+        some = [np.flatnonzero(~long[number]) for number in (left_block, right_block)]
+        a, b = (blocks.texts_of(text.take(pa.array(rows))) for text, rows in zip(texts, some))
+        i, j, score = blocks.assigned(a, b, blocks.pairs_of(left_block[some[0]], right_block[some[1]], n), least)
+        free = [np.delete(rows, won) for rows, won in zip(some, (i, j))]
+        over = [np.bincount(number[rows], minlength=n) for number, rows in zip((left_block, right_block), free)]
+        rest = [rows[(over[0] == over[1])[number[rows]]] for number, rows in zip((left_block, right_block), free)]
+        found = [(some[0][i], some[1][j], score), (*rest, np.full(len(rest[0]), np.nan))]
+    for k in np.flatnonzero(long):
+        rows = [np.flatnonzero(number == k) for number in (left_block, right_block)]
+        if len(rows[0]) and len(rows[1]):
+            won = _assigned(*(text.take(pa.array(r)).to_pylist() for text, r in zip(texts, rows)), least)
+            found += [(rows[0][[w[0] for w in won]], rows[1][[w[1] for w in won]], np.array([np.nan if w[2] is None else w[2] for w in won]))] if won else []
+    i, j, score = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return i, j, pa.array(score, mask=np.isnan(score))
 
 
 def similar_titles(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, least: float = 0.5) -> DataFrame:
@@ -127,11 +167,17 @@ def assign_titles(left: DataFrame, right: DataFrame, block: str, left_id: str, r
     """(block, left_id, right_id, score): a one-to-one assignment inside each block.
 
     Pairs by falling similarity (then ids), each side once; where a block then has as many left as right rows over, these are paired
-    in order of their ids, with a null score. Ids are unique in their block. Blocks of up to matching.GROUP_PAIRS pairs are done in one
-    go each, and a title is compared only while both its rows are free; larger blocks list their similar pairs."""
-    (left_small, right_small), large = _sizes_apart(written(left.select(block, left_id, title), "left-titles"), written(right.select(block, right_id, title), "right-titles"), block)
-    small = _assign_small(left_small, right_small, block, left_id, right_id, title, least)
-    return small if large is None else small.unionByName(_assign_large(*large, block, left_id, right_id, title, least))
+    in order of their ids, with a null score. Ids are unique in their block. Many blocks of up to matching.GROUP_PAIRS pairs are done at once,
+    and a title is compared only while both its rows are free; larger blocks list their similar pairs."""
+    form, none = title_form(F.coalesce(title, F.lit(""))).alias("_t"), F.array().cast("array<string>").alias("_names")
+    rows = sided(left.select(block, left_id, form, none, F.lit(None).cast("int").alias("_start")), right.select(block, right_id, form, none), block, left_id, right_id)
+    return assign_sided(rows, large_blocks(_sizes(rows, block), block), block, left_id, right_id, least)
+
+
+def assign_sided(rows: DataFrame, large: DataFrame | None, block: str, left_id: str, right_id: str, least: float = 0.5) -> DataFrame:
+    """assign_titles of `sided` rows and their `large_blocks`."""
+    small = _in_blocks(rows, large, block, left_id, right_id, partial(_assign_small, least=least))
+    return small if large is None else small.unionByName(_assign_large(*_large_sides(rows, large, block, left_id, right_id), block, left_id, right_id, "_t", least))
 
 
 def _assign_large(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, title: str, least: float) -> DataFrame:
@@ -177,16 +223,46 @@ def presenter_scores(left: DataFrame, right: DataFrame, block: str, left_id: str
     or one name contains the other) max(0.72, j + 0.35 + c), without only j + c where j >= 0.74, or c and j >= 0.6; never over 1.
     A blank title scores 0.
 
-    Blocks of up to matching.GROUP_PAIRS pairs are scored inside one join. In larger ones candidates are found by three equi-joins
+    Many blocks of up to matching.GROUP_PAIRS pairs are scored at once. In larger ones candidates are found by three equi-joins
     before: equal titles; a word of the rarest ones that a similarity of 0.6 can't do without (prefixes by rarity, sizes bounded both
     ways); and presenters, each two names of a block once."""
-    a = written(left.select(block, left_id, title_form(F.coalesce("title", F.lit(""))).alias("t"), title_form(F.coalesce("speaker", F.lit(""))).alias("s")).where("t != ''").withColumn("w", _tokens(F.col("t"))), "talks")
+    rows = _presented(left, right, block, left_id, right_id)
+    return score_sided(rows, large_blocks(_sizes(rows, block), block), block, left_id, right_id, least)
+
+
+def _presented(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, start: Column | None = None) -> DataFrame:
+    title, start = title_form(F.coalesce("title", F.lit(""))).alias("_t"), F.lit(None).cast("int") if start is None else start
     names = F.filter(F.transform(F.coalesce("speakers", F.array().cast("array<string>")), title_form), lambda n: n.isNotNull())
-    b = written(right.select(block, right_id, title_form(F.coalesce("title", F.lit(""))).alias("u"), names.alias("names")).where("u != ''").withColumn("v", _tokens(F.col("u"))), "entries")
-    (a_small, b_small), large = _sizes_apart(a, b, block)
-    both = a_small.join(b_small.hint("merge"), block)
-    if large is not None:
-        both = both.unionByName(_candidates(*large, block, left_id, right_id))
+    left = left.select(block, left_id, title, F.array(title_form(F.coalesce("speaker", F.lit("")))).alias("_names"), start.alias("_start"))
+    return sided(left, right.select(block, right_id, title, names.alias("_names")), block, left_id, right_id)
+
+
+def _scored(left: pa.Table, right: pa.Table, left_block: np.ndarray, right_block: np.ndarray, n: int, least: float, once: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """presenter_scores of many small blocks; `once`: as the left rows claim them in their order."""
+    pairs = blocks.pairs_of(left_block, right_block, n)
+    text, names = ([x[c].chunk(0) for x in (left, right)] for c in ("_t", "_names"))
+    score = blocks.presenter_score(*text, pc.list_element(names[0], 0), names[1], left_block, right_block, pairs)
+    kept = np.flatnonzero(score >= least)
+    i, j, score = pairs.left[kept], pairs.right[kept], score[kept]
+    if once:
+        order = np.lexsort((j, -score, i))
+        won = order[blocks.one_pass(i[order], j[order])]
+        i, j, score = i[won], j[won], score[won]
+    return i, j, pa.array(score)
+
+
+def score_sided(rows: DataFrame, large: DataFrame | None, block: str, left_id: str, right_id: str, least: float = 0.38) -> DataFrame:
+    """presenter_scores of `sided` rows and their `large_blocks`."""
+    rows = rows.where("_t != ''")
+    small = _in_blocks(rows, large, block, left_id, right_id, partial(_scored, least=least))
+    return small if large is None else small.unionByName(_score_large(*_large_sides(rows, large, block, left_id, right_id), block, left_id, right_id, least))
+
+
+def _score_large(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, least: float) -> DataFrame:
+    """presenter_scores by tables of candidates."""
+    a = written(left.select(block, left_id, F.col("_t").alias("t"), F.get("_names", F.lit(0)).alias("s")).withColumn("w", _tokens(F.col("t"))), "talks")
+    b = written(right.select(block, right_id, F.col("_t").alias("u"), F.col("_names").alias("names")).withColumn("v", _tokens(F.col("u"))), "entries")
+    both = _candidates(a, b, block, left_id, right_id)
     shared = F.size(F.array_intersect("w", "v"))
     bonus = F.when(F.contains("t", F.col("u")) | F.contains("u", F.col("t")), 0.15).otherwise(0.0)
     speaks = (F.col("s") != "") & F.exists("names", lambda n: F.contains("s", n) | F.contains(n, F.col("s")))
@@ -200,9 +276,20 @@ def presenter_scores(left: DataFrame, right: DataFrame, block: str, left_id: str
 def claim_abstracts(left: DataFrame, right: DataFrame, block: str, start: str, left_id: str, right_id: str, least: float = 0.38) -> DataFrame:
     """(block, left_id, right_id, score): the talks of a session, in order of their start (then id), each claim the free
     entry that scores best (ties: the smaller id)."""
-    scored = presenter_scores(left, right, block, left_id, right_id, least).join(left.select(block, left_id, F.col(start).alias("_start")).hint("merge"), [block, left_id])
+    rows = _presented(left, right, block, left_id, right_id, F.col(start))
+    return claim_sided(rows, large_blocks(_sizes(rows, block), block), block, left_id, right_id, least)
+
+
+def claim_sided(rows: DataFrame, large: DataFrame | None, block: str, left_id: str, right_id: str, least: float = 0.38) -> DataFrame:
+    """claim_abstracts of `sided` rows and their `large_blocks`."""
+    rows = rows.where("_t != ''")
+    small = _in_blocks(rows, large, block, left_id, right_id, partial(_scored, least=least, once=True), [F.col("_start")])
+    if large is None:
+        return small
+    left, right = _large_sides(rows, large, block, left_id, right_id)
     order = F.struct(F.col("_start").isNotNull().alias("has"), F.col("_start").alias("at"))
-    return claim_in_order(scored.withColumn("_start", order), block, ["_start", left_id], left_id, right_id, "score").drop("_start")
+    scored = _score_large(left, right, block, left_id, right_id, least).join(left.select(block, left_id, order.alias("_start")).hint("merge"), [block, left_id])
+    return small.unionByName(claim_in_order(scored, block, ["_start", left_id], left_id, right_id, "score").drop("_start"))
 
 
 def significant_words(c: Column, stop: tuple[str, ...] = STOP_WORDS + DAYS) -> Column:
