@@ -110,3 +110,8 @@ def test_awkward_names(spark):
     got = {(r.i, r.j): r.score for r in titles.presenter_scores(left, right, "b", "i", "j").collect()}
     assert got == {(1, "p"): 0.72, (1, "r"): 0.72}
     assert [tuple(r) for r in titles.claim_abstracts(left.withColumn("at", F.lit(1)), right, "b", "at", "i", "j").collect()] == [("s", 1, "p", 0.72)]
+
+
+def test_times_travel_only_where_they_are_asked_for(spark, folder):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan(title_queries.j11_scores(spark, folder)) and "l_shipdate" in plan(title_queries.j11_claims(spark, folder))
