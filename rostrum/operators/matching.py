@@ -3,9 +3,12 @@ equi join; range conditions are checked inside a block."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,6 +138,85 @@ def word_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return both.groupBy(left_id, right_id, "left_n", "right_n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
+#: Words and rows of a right side whose index each task holds.
+INDEX_WORDS, INDEX_ROWS = 1 << 20, 1 << 12
+_CELLS = 1 << 22
+
+
+def _best_of(words: pa.Array, wanted: pa.Array, begin: np.ndarray, rows: np.ndarray, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left place, right place, score) of the pairs of `least` or more that share a word, some left rows at a time. `words`: the left rows' lists;
+    `wanted`: the right side's words, whose rows are rows[begin[w]:begin[w + 1]]."""
+    n = pc.list_value_length(words).fill_null(0).to_numpy()
+    parent, word = pc.list_parent_indices(words).to_numpy(), pc.index_in(pc.list_flatten(words), wanted)
+    known = word.is_valid().to_numpy(zero_copy_only=False)
+    parent, word = parent[known], word.drop_null().to_numpy()
+    step = max(1, _CELLS // len(sizes))
+    for s in range(0, len(n), step):
+        lo, hi = np.searchsorted(parent, [s, s + step])
+        each = begin[word[lo:hi] + 1] - begin[word[lo:hi]]
+        token = np.repeat(np.arange(lo, hi), each)
+        right = rows[np.arange(len(token)) - (np.cumsum(each) - each)[token - lo] + begin[word[token]]]
+        shared = np.bincount((parent[token] - s) * len(sizes) + right, minlength=min(step, len(n) - s) * len(sizes))
+        cell = np.flatnonzero(shared)
+        left, right, shared = cell // len(sizes) + s, cell % len(sizes), shared[cell]
+        score = shared / (n[left] + sizes[right] - shared)
+        keep = score >= least
+        yield left[keep], right[keep], score[keep]
+
+
+def _leading(table: pa.Table, block: str, left_id: str, most: int) -> pa.Table:
+    """Of (block, left_id, _right, score) the first `most` rows of each (block, _right) by falling score, then left_id."""
+    codes = table[block].combine_chunks().dictionary_encode(null_encoding="encode")
+    table = table.append_column("_code", (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).indices)
+    table = table.take(pc.sort_indices(table, [("_code", "ascending"), ("_right", "ascending"), ("score", "descending"), (left_id, "ascending")]))
+    key = table["_code"].to_numpy().astype(np.int64) * (1 << 32) + table["_right"].to_numpy()
+    return table.filter(pa.array(np.arange(len(key)) - np.searchsorted(key, key) < most)).drop_columns(["_code"])
+
+
+def assign_similar(left: DataFrame, right: DataFrame, block: str, left_id: str, right_id: str, words: str, least: float) -> DataFrame:
+    """(block, left_id, right_id, score): assign_once inside each block of the left rows, by the Jaccard similarity of the distinct words,
+    of all pairs that share a word and have `least` (above 0) or more. left: (block, left_id, words array), right: (right_id, words array),
+    whose rows stand in every block. Ids are unique and not null.
+
+    A right row's partner is among its best n of a block, where n is the number of right rows: fewer than n others are given away. So only those
+    leave a task, and of all tasks only those are passed over. A right side of up to INDEX_ROWS rows is held as an index by each task; a larger one is joined word by word."""
+    spark = left.sparkSession
+    b = written(right.where(F.size(words) > 0).select(right_id, F.array_distinct(words).alias("_words")), "right-words")
+    rows, each = b.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_words")), F.lit(0))).first()
+    a = left.where(F.size(words) > 0).select(block, left_id, F.array_distinct(words).alias("_words"))
+    if rows <= INDEX_ROWS and each <= INDEX_WORDS:
+        held = b.orderBy(right_id).collect()
+        ids, sizes = [r[0] for r in held], np.array([len(r[1]) for r in held], np.int64)
+        flat = pa.array([w for r in held for w in r[1]], pa.string())
+        wanted = pc.unique(flat)
+        word = pc.index_in(flat, wanted).to_numpy() if len(flat) else np.empty(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        begin, owner = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(wanted)))]), np.repeat(np.arange(len(held)), sizes)[order]
+
+        def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, n = [], 0
+            for batch in batches:
+                for i, j, score in _best_of(batch["_words"], wanted, begin, owner, sizes, least) if rows else ():
+                    i = pa.array(i)
+                    kept.append(pa.table({block: batch[block].take(i), left_id: batch[left_id].take(i), "_right": pa.array(j, pa.int32()), "score": score}))
+                    n += len(i)
+                    if n >= _CELLS:
+                        kept = [_leading(pa.concat_tables(kept), block, left_id, rows)]
+                        n = 0
+            if kept:
+                yield from _leading(pa.concat_tables(kept), block, left_id, rows).combine_chunks().to_batches()
+
+        named = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], T.StructType([T.StructField("_right", T.IntegerType()), b.schema[right_id]]))
+        kind = T.StructType([left.schema[block], left.schema[left_id], T.StructField("_right", T.IntegerType()), T.StructField("score", T.DoubleType())])
+        pairs = a.mapInArrow(leading, kind).join(F.broadcast(named), "_right").select(block, left_id, right_id, "score")
+    else:
+        shared = word_overlap(a, b, left_id, right_id, "_words", 1)
+        scored = shared.select(left_id, right_id, (F.col("shared") / (F.col("left_n") + F.col("right_n") - F.col("shared"))).alias("score")).where(F.col("score") >= least)
+        pairs = scored.join(a.select(left_id, block).hint("merge"), left_id).select(block, left_id, right_id, "score")
+    first = F.row_number().over(W.partitionBy(block, right_id).orderBy(F.col("score").desc(), left_id))
+    return assign_once(pairs.withColumn("_first", first).where(F.col("_first") <= rows).drop("_first"), block, left_id, right_id, "score")
+
+
 def best_word_match(overlap: DataFrame, left_id: str, right_id: str, least: int = 2) -> DataFrame:
     """The best right row of each left row: equal word sets first, else a subset of either side with `least` shared
     words, the larger overlap, the smallest id."""

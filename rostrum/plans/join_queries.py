@@ -120,11 +120,11 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j10_assign_once")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and benchmark items that share words, paired one to one inside each language by Jaccard similarity."""
-    docs = _words(spark, d, "documents", "doc_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("documents_id"), "lang"), "documents_id")
-    pairs = J.word_overlap(docs.select("documents_id", "words"), _words(spark, d, "benchmark", "item_id"), "documents_id", "benchmark_id", "words", 5)
-    scored = pairs.join(docs.select("documents_id", "lang"), "documents_id").withColumn("score", F.col("shared") / (F.col("left_n") + F.col("right_n") - F.col("shared"))).where("score >= 0.05")
-    return J.assign_once(scored.select("lang", "documents_id", "benchmark_id", "score"), "lang", "documents_id", "benchmark_id", "score")
+    """Documents and benchmark items, paired one to one inside each language by the Jaccard similarity of all their words."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "").alias("words")
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id").select(F.col("doc_id").alias("documents_id"), "lang", words)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("benchmark_id"), words)
+    return J.assign_similar(docs, items, "lang", "documents_id", "benchmark_id", "words", 0.05)
 
 
 @query(
