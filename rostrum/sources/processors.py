@@ -36,6 +36,10 @@ RELATIONS: dict[str, T.StructType] = {
 }
 #: Rows of one batch that the source hands to Spark.
 BATCH_ROWS = 4096
+#: Names of documents, as they are or compressed.
+_NAMES = (".jsonl", ".jsonl.gz", ".jsonl.zst")
+#: Bytes of text that a compressed byte counts for.
+_PACKED = 12
 #: What the source says of lines that are no document.
 BROKEN = T.StructType([T.StructField(c, T.StringType()) for c in ("file", "line", "problem")])
 
@@ -141,10 +145,10 @@ def documents(made: Program) -> DataFrame:
     return parts.select("conference_name", F.concat(F.lit("{"), F.concat_ws(",", head, *fields), F.lit("}")).alias("document"))
 
 
-def write_documents(made: Program, folder: str) -> None:
-    """The programs as a folder of documents; what lies there goes."""
+def write_documents(made: Program, folder: str, packed: bool = False) -> None:
+    """The programs as a folder of documents, `packed`: compressed; what lies there goes."""
     made["sessions"].sparkSession.dataSource.register(ProgramDocuments)
-    documents(made).write.format("program").mode("overwrite").save(folder)
+    documents(made).write.format("program").option("packed", packed).mode("overwrite").save(folder)
 
 
 def read_documents(spark: SparkSession, folder: str, relation: str) -> DataFrame:
@@ -198,7 +202,7 @@ class ProgramDocuments(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         if schema.names != ["conference_name", "document"]:
             raise SchemaProblem("the columns to write are conference_name and document")
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(self.options["path"], overwrite, str(self.options.get("packed", "false")).lower() == "true")
 
 
 class _Reader(DataSourceReader):
@@ -206,11 +210,11 @@ class _Reader(DataSourceReader):
         self.folder, self.relation, self.fields, self.share = folder, relation, schema, share
 
     def partitions(self) -> list[InputPartition]:
-        """Files in shares of about `share_bytes`, a larger file alone."""
+        """Files in shares of about `share_bytes` of text, a larger file alone."""
         from pyarrow import fs
 
         store, path = _store(self.folder)
-        found = sorted((f.path, f.size or 0) for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and f.path.endswith(".jsonl"))
+        found = sorted((f.path, (f.size or 0) * (1 if f.path.endswith(".jsonl") else _PACKED)) for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and f.path.endswith(_NAMES))
         shares, held, size = [], [], 0
         for name, n in found:
             if held and size + n > self.share:
@@ -228,7 +232,7 @@ class _Reader(DataSourceReader):
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         held: list[tuple] = []
         for name in partition.files:
-            with store.open_input_stream(name) as stream:
+            with store.open_input_stream(name, compression="detect") as stream:
                 for line in _lines(stream):
                     for row in self._rows(name, line):
                         held.append(row)
@@ -280,15 +284,15 @@ def _value(x: Any, kind: T.DataType) -> Any:
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
+    def __init__(self, folder: str, overwrite: bool, packed: bool):
+        self.folder, self.overwrite, self.packed = folder, overwrite, packed
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         """A task's documents as a draft, which readers don't see."""
         store, path = _store(self.folder)
         store.create_dir(path, recursive=True)
-        final = f"{path}/part-{uuid.uuid4().hex}.jsonl"
-        with store.open_output_stream(final + ".draft") as out:
+        final = f"{path}/part-{uuid.uuid4().hex}.jsonl" + (".zst" if self.packed else "")
+        with store.open_output_stream(final + ".draft", compression="zstd" if self.packed else None) as out:
             for row in iterator:
                 out.write((row.document + "\n").encode())
         return _Made(final + ".draft", final)
@@ -300,7 +304,7 @@ class _Writer(DataSourceWriter):
         if self.overwrite:
             made = {m.draft for m in messages if m}
             for f in store.get_file_info(fs.FileSelector(path)):
-                if f.type == fs.FileType.File and f.path.endswith((".jsonl", ".draft")) and f.path not in made:
+                if f.type == fs.FileType.File and f.path.endswith((*_NAMES, ".draft")) and f.path not in made:
                     store.delete_file(f.path)
         for m in messages:
             if m:
