@@ -104,6 +104,12 @@ def _recased(word: str, forms: Mapping[str, str], minor: frozenset[str]) -> tupl
         found = forms.get(up)
         return found if found is not None or not up.endswith("S") or (one := forms.get(up[:-1])) is None else one + "s"
 
+    core = word.rstrip(".,;:!?)")
+    if core.isascii() and core.isalpha():  # most words
+        low, up = core.lower(), core.upper()
+        if low not in minor and (len(up) < 2 or up.strip("MDCLXVI")) and not any(x in forms for x in (up, up[:-1], up + word[len(core) :])):
+            capital = up[0] + low[1:] + word[len(core) :]
+            return capital, capital, capital, capital
     letters = "".join(_LETTERS.findall(word)).lower()
     plain = known(word)
     inner = plain if plain is not None else word.lower() if letters in minor else None
@@ -151,12 +157,12 @@ def _recase_batches(batches: Iterator[pa.RecordBatch], title: str, forms: Mappin
             for w in words:
                 if w not in known:
                     known[w] = _recased(w, forms, minor)
+            ways = pa.concat_arrays([pa.array(way, pa.string()) for way in zip(*map(known.__getitem__, words))])
             colon = pc.ends_with(coded.dictionary, ":").to_numpy(zero_copy_only=False)[codes]
             begin = begin - begin[0]
             begins, inner = np.concatenate([[True], colon[:-1]]), np.ones(len(codes), bool)
             begins[begin[:-1]] = True
             inner[begin[:-1]] = inner[begin[1:] - 1] = False
-            ways = pa.array([known[w][k] for k in range(4) for w in words], pa.string())
             put = ways.take(pa.array(codes + len(words) * (inner + 2 * begins.astype(np.int64))))
             done = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), put), " ")
             at = out.schema.get_field_index(title)
